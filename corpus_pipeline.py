@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontaminate, neardup, sharding
+from seqloom.llm import decontaminate, mixing, neardup, sharding, toxicity
 from seqloom.llm.common import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return toxicity.judge(whole, model).filter("toxicity.score < 0.3").select("row.*")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of the smallest id."""
     marks = neardup.near_duplicates(docs)
@@ -23,9 +30,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*docs.columns)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row at least once, rows of small sources up to twice."""
+    return mixing.realise(docs, mixing.plan(docs, max_repeats=2.0))
+
+
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the shard of each row, 0 to 7."""
+    return sharding.assign(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
+    ("mixing", mix),
+    ("sharding", into_shards),
 ]
 
 #: SQL cannot express the stages that learn or hash.

@@ -14,7 +14,7 @@ import heapq
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,62 +35,70 @@ def longest_first(items: Iterable[tuple[str, int]], n_shards: int) -> dict[str,
     return out
 
 
-def shard(
-    docs: DataFrame,
-    n_shards: int = 8,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    items_per_shard: int = 4000,
-    rows_per_bucket: int = 8192,
-) -> DataFrame:
-    """One row per row of ``docs``: its columns ``id_col``, and size, text_crc32, law, shard, slot, grown_shard.
-
-    ``size`` is the UTF-8 length plus 1. Groups are equal texts; null counts as the empty
-    text. ``slot`` numbers the rows of a shard without gaps, by a hash bucket of the id, then
-    the id. Repeated rows are rows of their own; rows with null ids come first in their
-    bucket. An empty table gives an empty result. A group larger than a shard's share makes
-    its shard the largest: equal texts are never torn apart.
-    """
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = stored(
-        docs.select(
-            F.col(id_col).alias("id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("crc"),
-            F.md5(text).alias("grp"),
-        ),
-        "sizes",
+    return docs.select(
+        F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.md5(text).alias("grp")
     )
-    total = slim.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
+
+
+def _bundle(parts: int) -> Column:
+    return F.concat(F.lit("~"), F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("string"))
+
+
+def _plan(slim: DataFrame, n_shards: int, items_per_shard: int) -> tuple[DataFrame, DataFrame]:
+    """``(grp, heavy)`` and ``(bundle, light)``: the shard of each heavy group and of each bundle."""
     parts = n_shards * items_per_shard
-    cut = (total["b"] or 0) // parts
-    bundle = F.concat(F.lit("~"), F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("string"))
+    cut = (slim.agg(F.sum("size")).first()[0] or 0) // parts
     items = (
         slim.groupBy("grp").agg(F.sum("size").alias("b"))
-        .withColumn("item", F.when(F.col("b") > cut, F.col("grp")).otherwise(bundle))
+        .withColumn("item", F.when(F.col("b") > cut, F.col("grp")).otherwise(_bundle(parts)))
         .groupBy("item").agg(F.sum("b").alias("b"))
     )
     plan = longest_first(((r["item"], r["b"]) for r in items.collect()), n_shards)
-    spark = docs.sparkSession
     types = pa.schema([("item", pa.string()), ("to", pa.int32())])
-    plan_df = spark.createDataFrame(pa.table({"item": list(plan), "to": list(plan.values())}, schema=types))
-    heavy = plan_df.filter(~F.col("item").startswith("~")).select(F.col("item").alias("grp"), F.col("to").alias("heavy"))
-    light = plan_df.filter(F.col("item").startswith("~")).select(F.col("item").alias("bundle"), F.col("to").alias("light"))
-    buckets = max(1, -(-total["n"] // (n_shards * rows_per_bucket)))
-    placed = (
-        slim.withColumn("bundle", bundle)
-        .join(F.broadcast(heavy), "grp", "left")
-        .join(F.broadcast(light), "bundle", "left")
-        .select(
-            "id", "size", "crc", F.coalesce("heavy", "light").alias("shard"),
-            F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"),
-        )
+    df = slim.sparkSession.createDataFrame(pa.table({"item": list(plan), "to": list(plan.values())}, schema=types))
+    light = F.col("item").startswith("~")
+    return df.filter(~light).select(F.col("item").alias("grp"), F.col("to").alias("heavy")), df.filter(light).select(F.col("item").alias("bundle"), F.col("to").alias("light"))
+
+
+def _placed(rows: DataFrame, plan: tuple[DataFrame, DataFrame], parts: int) -> DataFrame:
+    """``rows``, which have ``grp``, with ``shard``. Either table has at most ``parts`` rows, so both are broadcast."""
+    heavy, light = plan
+    return (
+        rows.withColumn("bundle", _bundle(parts)).join(F.broadcast(heavy), "grp", "left").join(F.broadcast(light), "bundle", "left")
+        .withColumn("shard", F.coalesce("heavy", "light")).drop("grp", "bundle", "heavy", "light")
     )
+
+
+def assign(docs: DataFrame, n_shards: int = 8, items_per_shard: int = 4000, text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``shard``, which takes the place of one of that name; no row is shuffled.
+
+    Equal texts, null among the empty ones, share a shard.
+    """
+    plan = _plan(stored(_slim(docs, text_col, text_col).drop("id"), "sizes"), n_shards, items_per_shard)
+    kept = [c for c in docs.columns if c != "shard"]
+    rows = docs.select(F.struct(*kept).alias("row"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("grp"))
+    return _placed(rows, plan, n_shards * items_per_shard).select("row.*", "shard")
+
+
+def shard(
+    docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", items_per_shard: int = 4000, rows_per_bucket: int = 8192
+) -> DataFrame:
+    """Per row of ``docs``: ``id_col``, size, text_crc32, law, shard, slot, grown_shard.
+
+    ``size`` is the UTF-8 length plus 1. Groups are equal texts; null counts as the empty
+    text. ``slot`` numbers the rows of a shard without gaps, by a hash bucket of the id, then
+    the id. Repeated rows are rows of their own; rows with null ids come first in their
+    bucket. An empty table gives an empty result. A group larger than a shard's share makes
+    its shard the largest: equal texts are never torn apart.
+    """
+    slim = stored(_slim(docs, id_col, text_col), "sizes")
+    plan = _plan(slim, n_shards, items_per_shard)
+    buckets = max(1, -(-slim.count() // (n_shards * rows_per_bucket)))
+    placed = _placed(slim, plan, n_shards * items_per_shard).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-        .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
+    starts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = W.partitionBy("shard", "bucket").orderBy("id", "crc", "size")
     return (
         placed.withColumn("at", F.row_number().over(within) - 1)
