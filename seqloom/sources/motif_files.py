@@ -23,7 +23,7 @@ NAMES = {"adenine": 0, "cytosine": 1, "guanine": 2, "thymine": 3}
 
 
 def _text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def _floats(line: str) -> list[float]:
