@@ -1,10 +1,12 @@
 """Near duplicates by MinHash, banding, signature check, exact check and connected components.
 
 Texts with equal shingle sets form a class, of which one document goes on. Members of a
-band's bucket are first compared with one leader each, so a large group of near copies costs
-a few comparisons a member rather than all pairs. Where a bucket still holds several
-components, every pair across them is compared, so no link that could join two components
-is left out.
+band's bucket are first compared with one leader each, the one with the fewest shingles of
+its own, so a large group of near copies costs a few comparisons a member rather than all
+pairs. Where a bucket still holds several components, every pair across them is a candidate;
+bounds from the shingles that no other document has and a long signature of one bit a hash
+leave those that may reach the threshold, and these are compared in full, so no link that
+could join two components is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ ROWS = 5
 MISS = 1e-5
 #: Standard deviations below the threshold at which a signature's estimate still counts.
 SLACK = 5.0
+#: Words of 64 bits of the long signature.
+LONG = 32
 _MEMO = 400_000
 
 
@@ -106,12 +110,34 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
         for batch in batches:
-            found = [shingles(t.as_py(), k, memo).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "items"])
+            found = [shingles(t.as_py(), k, memo).view(np.int64) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            items = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), items], names=["id", "items"])
 
     return run
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lowest bit of each of 64 * LONG minima, packed."""
+    draw = np.random.default_rng(20240602)
+    a, b = (draw.integers(0, 1 << 32, 64 * LONG, np.uint32) for _ in "ab")
+    a |= np.uint32(1)
+    for batch in batches:
+        out = []
+        for row in batch.column("items"):
+            x = row.values.to_numpy().view(np.uint64)
+            x = (x ^ (x >> np.uint64(32))).astype(np.uint32)
+            least = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+            for i in range(0, len(x), 256):
+                np.minimum(least, (x[i : i + 256, None] * a + b).min(axis=0), out=least)
+            # the lowest bits of a product are weak, so a middle one is mixed in
+            low = ((least >> np.uint32(3)) ^ (least >> np.uint32(11)) ^ (least >> np.uint32(17))) & np.uint32(1)
+            out.append(np.packbits(low.astype(bool)).view(np.int64))
+        cols = np.array(out, np.int64).reshape(-1, LONG)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(cols[:, j]) for j in range(LONG)]], names=["id", *[f"s{j}" for j in range(LONG)]])
+
+
 def _alike(least: float):
     """Pairs whose signatures agree in ``least`` of their places at least."""
 
@@ -131,7 +157,7 @@ def _confirm(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                p, q = (z.values.to_numpy() for z in (x, y))
                 both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -158,20 +184,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = stored(full.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes, (full["digest"] == classes["digest"]) & (full["id"] == classes["rep"]), "left_semi")
     rows = reps.select("id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
-    order = F.xxhash64("id", "key")
-    heads = rows.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("id", "n"), order).alias("head")).filter("c > 1")
-    buckets = stored(rows.join(heads.select("key", "head"), "key"), "buckets")
+    shared = rows.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1").select("key")
+    found = stored(rows.join(shared, "key"), "buckets")
+    members = stored(found.select("id").distinct(), "members")
+    small = sized(members)
+    sets = stored(table.join(small, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, items array<long>"), "sets")
+    # A shingle that no other member has is in no intersection: what is left bounds a similarity from above.
+    shingle = sets.select("id", F.explode("items").alias("x"))
+    alone = shingle.groupBy("x").agg(F.count("*").alias("of"), F.min("id").alias("id")).filter("of = 1").groupBy("id").agg(F.count("*").alias("own"))
+    buckets = found.join(stored(alone, "alone"), "id", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
+    buckets = stored(buckets.filter(100 * F.col("c") >= percent * F.col("n")).select("key", "id", "n", "c"), "buckets")
+    best = F.struct(-F.col("c") / F.col("n"), F.xxhash64("id", "key"))
+    heads = buckets.groupBy("key").agg(F.min_by(F.struct("id", "n"), best).alias("head"))
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = stored(
-        buckets.filter((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).select(*pair(F.col("id"), F.col("head.id"))).distinct(),
+        buckets.join(heads, "key").filter((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n")))
+        .select(*pair(F.col("id"), F.col("head.id"))).distinct(),
         "leaders",
     )
-    members = stored(buckets.select("id").distinct(), "members")
-    small = sized(members)
     sigs = stored(reps.join(small, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]), "signatures")
-    sets = stored(table.join(small, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, items binary"), "sets")
     least = share - SLACK * math.sqrt(share * (1 - share) / (bands * ROWS))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -182,18 +215,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     edges = stored(links(first).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     comp = components(edges)
     # Buckets that still hold several components.
-    placed = buckets.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("comps > 1").select("key", "main")
+    placed = buckets.join(comp, "id", "left").select("key", "id", "n", "c", F.coalesce("component", "id").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("of"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("of", "comp")).alias("main")).filter("comps > 1").select("key", "main")
     open_ = stored(placed.join(mixed, "key"), "open")
-    rest = open_.filter("comp <> main").select("key", F.col("id").alias("i"), F.col("n").alias("m"), F.col("comp").alias("o"))
-    across = (
-        rest.join(open_, "key")
-        .filter((F.col("o") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("i") < F.col("id"))) & fits(F.col("m"), F.col("n")))
-        .select(*pair(F.col("i"), F.col("id"))).distinct()
-        .join(first, ["a", "b"], "left_anti")
+    those = sized(stored(open_.select("id").distinct(), "open-ids"))
+    long = [f"s{j}" for j in range(LONG)]
+    bits = stored(sets.join(those, "id", "left_semi").mapInArrow(_bits, ", ".join(["id long", *[f"{c} long" for c in long]])), "bits")
+    bands_of = reps.join(those, "id", "left_semi").dropDuplicates(["id"]).select("id", "keys")
+    known = stored(open_.join(bits, "id").join(bands_of, "id"), "known")
+    rest = known.filter("comp <> main").select("key", *[F.col(x).alias(f"{x}_") for x in ("id", "n", "c", "comp", "keys", *long)])
+    common = F.least("c", "c_")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in long), F.lit(0))
+    half = (1 - share) / 2
+    across = stored(
+        rest.join(known, "key")
+        .filter(
+            (F.col("comp_") != F.col("comp"))
+            & ((F.col("comp") == F.col("main")) | (F.col("id_") < F.col("id")))
+            & (100 * common >= percent * (F.col("n") + F.col("n_") - common))
+            & (apart <= int(64 * LONG * half + SLACK * math.sqrt(64 * LONG * half * (1 - half))))
+            & (F.array_min(F.array_intersect("keys", "keys_")) == F.col("key"))  # each pair in one of its buckets
+        )
+        .select(*pair(F.col("id_"), F.col("id"))),
+        "across",
     )
-    more = stored(links(stored(across, "across")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    across = across.join(first, ["a", "b"], "left_anti")
+    more = stored(links(across).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     reached = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
