@@ -19,7 +19,7 @@ from seqloom.functions import bases as B
 from seqloom.functions import gaps as G
 from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
-from seqloom.operators import intervals, likelihood, sampler, scan, synth
+from seqloom.operators import compare, intervals, likelihood, sampler, scan, synth
 
 MOTIF = M.kmer_to_pwm("TATAAT")
 SECOND = M.kmer_to_pwm("CCAAT")
@@ -281,33 +281,34 @@ _PAIRS = f"""WITH {MOTIFS}, c AS (SELECT q.motif_id AS query_id, o.motif_id AS o
       sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM c)"""
 
 
-def _pairs(spark, d):
-    """Every motif whose id is divisible by 50 against all others; the queries are few enough to broadcast by their share."""
+def _best(spark, d, measure):
+    """Every motif whose id is divisible by 50 against all others."""
     all_ = motif_table(spark, d)
-    asked = all_.filter("motif_id % 50 = 0").select(F.col("motif_id").alias("query_id"), F.col("pwm").alias("a"))
-    return all_.select(F.col("motif_id").alias("other_id"), F.col("pwm").alias("b")).join(asked, F.col("other_id") != F.col("query_id"))
+    return compare.best_matches(all_.filter("motif_id % 50 = 0"), all_, measure)
+
+
+_FIRST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, other_id) = 1"
 
 
 @query(
-    f"""{_PAIRS}, s AS (SELECT query_id, other_id, round(avg((ab - sa * sb / 4) / sqrt((aa - sa * sa / 4) * (bb - sb * sb / 4))), 6) AS corr FROM k GROUP BY 1, 2)
-    SELECT query_id, other_id, corr FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY corr DESC, other_id) = 1"""
+    f"""{_PAIRS}, s AS (SELECT query_id, other_id, round(avg((ab - sa * sb / 4) / sqrt((aa - sa * sa / 4) * (bb - sb * sb / 4))), 6) AS value FROM k GROUP BY 1, 2)
+    SELECT query_id, other_id, value FROM s {_FIRST}"""
 )
 def pwm_pearson_best_match(spark, d):
-    each = _pairs(spark, d).select("query_id", "other_id", F.round(M.column_pearson(F.col("a"), F.col("b")), 6).alias("corr"))
-    best = each.groupBy("query_id").agg(F.min(F.struct((-F.col("corr")).alias("c"), "other_id")).alias("x"))
-    return best.select("query_id", "x.other_id", (-F.col("x.c")).alias("corr"))
+    return _best(spark, d, compare.pearson)
 
 
-@query(f"{_PAIRS} SELECT query_id, other_id, round(sqrt(sum(dist * dist)), 6) AS distance FROM k GROUP BY 1, 2")
+@query(f"{_PAIRS}, s AS (SELECT query_id, other_id, round(-sqrt(sum(dist * dist)), 6) AS value FROM k GROUP BY 1, 2) SELECT query_id, other_id, value FROM s {_FIRST}")
 def pwm_euclidean(spark, d):
-    square = F.aggregate(F.zip_with(F.flatten("a"), F.flatten("b"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return _pairs(spark, d).select("query_id", "other_id", F.round(F.sqrt(square), 6).alias("distance"))
+    return _best(spark, d, compare.euclidean)
 
 
-@query(f"{_PAIRS} SELECT query_id, other_id, round(sum(list_sum(list_transform(list_zip(a, b), lambda z: z[1] * log2(z[1] / z[2])))), 6) AS kl FROM c GROUP BY 1, 2")
+@query(
+    f"""{_PAIRS}, s AS (SELECT query_id, other_id, round(-sum(list_sum(list_transform(list_zip(a, b), lambda z: z[1] * log2(z[1] / z[2])))), 6) AS value FROM c GROUP BY 1, 2)
+    SELECT query_id, other_id, value FROM s {_FIRST}"""
+)
 def pwm_kl(spark, d):
-    terms = F.zip_with(F.flatten("a"), F.flatten("b"), lambda p, q: F.when(p > 0, p * F.log2(p / q)).otherwise(0.0))
-    return _pairs(spark, d).select("query_id", "other_id", F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 6).alias("kl"))
+    return _best(spark, d, compare.kullback_leibler)
 
 
 @query(

@@ -12,7 +12,7 @@ from seqloom.functions import bases as B
 from seqloom.functions import gaps as G
 from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
-from seqloom.operators import intervals, sampler, scan, synth
+from seqloom.operators import compare, intervals, sampler, scan, synth
 from seqloom.operators import likelihood as L
 from seqloom.sources import fasta, motif_files
 from seqloom.streaming import kmers
@@ -90,6 +90,21 @@ def test_scan(spark):
     assert best == {0: 2, 1: 2}
 
 
+def test_best_matches_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    made = {i: rng.dirichlet([1] * 4, 3 if i % 7 else 2) for i in range(60)}
+    df = spark.createDataFrame([(i, m.tolist()) for i, m in made.items()], "motif_id long, pwm array<array<double>>")
+    asked = df.filter("motif_id % 5 = 0")
+    for measure, one in ((compare.pearson, M.pearson), (compare.euclidean, lambda a, b: -M.distance(a, b)[0]), (compare.kullback_leibler, lambda a, b: -M.kullback_leibler(a, b))):
+        want = {}
+        for q in range(0, 60, 5):
+            value, other = max((round(one(made[q], m), 6), -i) for i, m in made.items() if i != q and m.shape == made[q].shape)
+            want[q] = (-other, pytest.approx(value, abs=2e-6))
+        for block in (2000, 4):
+            monkeypatch.setattr(compare, "BLOCK", block)
+            assert {r["query_id"]: (r["other_id"], r["value"]) for r in compare.best_matches(asked, df, measure).collect()} == want
+
+
 def brute(seq, model):
     """Adds up every way to read a short sequence."""
     x = L.encode(seq)
