@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ascii_words, stored
+from seqloom.llm.common import ascii_words, sized, stored
 
 SAMPLES = 64
 #: The table of gamma draws is a grid of GRID x GRID cells.
@@ -45,18 +45,36 @@ def _draw(d: int) -> Column:
     return F.shiftleft(high, 16).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFF)))
 
 
+#: Begins a pseudo-word that carries a part of a text's hash; no word holds this character.
+MARK = "#"
+#: Parts of a hash of 64 hexadecimal digits.
+PARTS = 8
+
+
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """``keys`` and ``fp`` (array of ``samples`` 16-bit numbers) of each row ``(keys, text)``.
 
-    ``keys`` identify the rows. A null or wordless text has a null ``fp``.
+    ``keys`` identify the rows. A null or wordless text has no row.
     """
-    spark = texts.sparkSession
-    terms = texts.select(*keys, F.explode(ascii_words(F.col("text"))).alias("w")).select(*keys, F.xxhash64("w").alias("term"))
+    words = texts.select(*keys, F.explode(ascii_words(F.col("text"))).alias("w"))
+    return _least(words.select(*keys, F.xxhash64("w").alias("term")), keys, samples).drop("part")
+
+
+def _least(terms: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """``keys``, ``fp`` and ``part``, the largest term, of exploded ``(keys, term)``."""
+    spark = terms.sparkSession
     counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"))
     tables = _gammas(spark, log=False).alias("gamma"), _gammas(spark, log=True).alias("log_gamma")
     weighted = counts.select(*keys, "term", F.ln("n").alias("weight"), *tables)
-    least = weighted.groupBy(*keys).agg(*[F.min(_draw(d)).alias(f"m{d}") for d in range(samples)])
-    return least.select(*keys, F.array(*[F.col(f"m{d}").bitwiseAND(F.lit(0xFFFF)).cast("int") for d in range(samples)]).alias("fp"))
+    least = weighted.groupBy(*keys).agg(F.max("term").alias("part"), *[F.min(_draw(d)).alias(f"m{d}") for d in range(samples)])
+    return least.select(*keys, "part", F.array(*[F.col(f"m{d}").bitwiseAND(F.lit(0xFFFF)).cast("int") for d in range(samples)]).alias("fp"))
+
+
+def _with_hash(text: Column) -> Column:
+    """The words of a text and, as pseudo-words, the parts of its SHA-256, so that one pass over the texts gives both."""
+    sha = F.sha2(text, 256)
+    width = 64 // PARTS
+    return F.concat(ascii_words(text), F.array(*[F.concat(F.lit(f"{MARK}{i}"), F.substring(sha, i * width + 1, width)) for i in range(PARTS)]))
 
 
 def as_text(fp: Column) -> Column:
@@ -82,7 +100,7 @@ def next_in_order(ids: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
     following = firsts.select(F.col("part"), F.coalesce(F.lead("first").over(every), F.first("first").over(every.rowsBetween(W.unboundedPreceding, W.currentRow))).alias("wrap"))
     own = W.partitionBy("part").orderBy(*down)
     after = parts.withColumn("nk", F.lead("k").over(own)).withColumn("nh", F.lead("h").over(own))
-    return after.join(F.broadcast(following), "part").select("id", "k", "h", "n", F.coalesce("nk", "wrap.k").alias("nk"), F.coalesce("nh", "wrap.h").alias("nh"))
+    return after.join(sized(stored(following, "firsts")), "part").select("id", "k", "h", "n", F.coalesce("nk", "wrap.k").alias("nk"), F.coalesce("nh", "wrap.h").alias("nh"))
 
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,16 +128,23 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
         rows.select("k", "h", "text").join(chain.select("k", "h", "n"), ["k", "h"]).join(heads, ["k", "h"])
         .select("k", "h", "text", F.concat(F.substring("text", F.lit(1), F.col("n") - third), "head").alias("edited"))
     )
-    kinds = F.posexplode(F.array("text", "edited")).alias("v", "text")
-    fps = fingerprints(both.select("k", "h", kinds), ["k", "h", "v"], samples)
-    side = lambda v, to: F.max(F.when(F.col("v") == v, F.col("fp"))).alias(to)
-    found = stored(fps.groupBy("k", "h").agg(side(0, "fp"), side(1, "efp")), "fingerprints")
-    shas = stored(both.select("k", "h", F.sha2("edited", 256).alias("sha")), "hashes")
+    # Kind 0 is the text, 1 the edited text, 2 and on are the parts of the edited text's hash.
+    kinds = F.posexplode(F.array(ascii_words(F.col("text")), _with_hash(F.col("edited")))).alias("v", "ws")
+    each = both.select("k", "h", kinds).select("k", "h", "v", F.explode("ws").alias("w"))
+    marked = F.col("w").startswith(MARK)
+    terms = each.select(
+        "k", "h", F.when(marked, F.substring("w", 2, 1).cast("int") + 2).otherwise(F.col("v")).alias("v"),
+        F.when(marked, F.conv(F.substring("w", 3, 64 // PARTS), 16, 10).cast("long")).otherwise(F.xxhash64("w")).alias("term"),
+    )
+    fps = _least(terms, ["k", "h", "v"], samples)
+    side = lambda v, of, to: F.max(F.when(F.col("v") == v, F.col(of))).alias(to)
+    found = stored(fps.groupBy("k", "h").agg(side(0, "fp", "fp"), side(1, "fp", "efp"), *[side(i + 2, "part", f"p{i}") for i in range(PARTS)]), "fingerprints")
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"p{i}"), 64 // PARTS, "0") for i in range(PARTS)]))
     other = found.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("fp").alias("nfp"))
     return (
-        chain.join(shas, ["k", "h"]).join(found, ["k", "h"], "left").join(other, ["nk", "nh"], "left")
+        chain.join(found, ["k", "h"]).join(other, ["nk", "nh"], "left")
         .select(
-            F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"),
+            F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), sha.alias("edited_sha256"),
             as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
             likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
         )

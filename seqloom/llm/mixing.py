@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import sized, stored
 
-PARTS, ROUNDS = 16, 6
+PARTS, ROUNDS, STEEPEST = 16, 6, 64.0
 
 
 def n_tokens(text: Column) -> Column:
@@ -29,7 +29,10 @@ def n_tokens(text: Column) -> Column:
 
 
 def exponent(totals: DataFrame, max_repeats: float | None, entropy: float | None, budget: int | None) -> float:
-    """The least exponent in [0, 1] that keeps to the limit; 1 where none does.
+    """The least exponent that keeps to the limit.
+
+    Repeats are limited by exponents from 0 to 1, and 1 is taken where none does; an entropy
+    below that of the sources themselves needs a larger one, up to STEEPEST.
 
     ``totals`` has ``share``. Exactly one of ``max_repeats`` (most passes over a source) and
     ``entropy`` (in nats, at most) is given. Without ``budget`` the budget is the least one
@@ -39,8 +42,8 @@ def exponent(totals: DataFrame, max_repeats: float | None, entropy: float | None
         raise ValueError("give max_repeats or entropy")
     log = F.ln("share")
     tokens = totals.agg(F.sum("t")).first()[0]
-    low, high = 0.0, 1.0
-    for i in range(ROUNDS):
+    low, high, left = 0.0, 1.0, ROUNDS
+    while left:
         step = (high - low) / PARTS
         tries = [low + step * j for j in range(PARTS + 1)]
         sums = []
@@ -57,8 +60,12 @@ def exponent(totals: DataFrame, max_repeats: float | None, entropy: float | None
             most = r[f"m{j}"] * budget / tokens / z if budget else r[f"m{j}"] / r[f"n{j}"]
             return most <= max_repeats * (1 + 1e-12)
 
-        if i == 0 and keeps(0):
+        if low == 0.0 and keeps(0):
             return 0.0
+        if entropy is not None and not keeps(PARTS) and high < STEEPEST:
+            low, high = high, 4 * high
+            continue
+        left -= 1
         first = next((j for j in range(1, PARTS + 1) if keeps(j)), PARTS)
         low, high = tries[first - 1], tries[first]
     return high

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import sized, stored
+from seqloom.llm.common import arrow_bytes, discard, sized, stored
 from seqloom.llm.components import components
 
 #: Rows of each band; with 5 a pair at 0.8 shares a band with probability 0.33.
@@ -175,6 +175,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     one document and get the same answer; a row with a null id links with nothing and is
     kept. An empty table gives an empty result. Ids are integers.
     """
+    with arrow_bytes(docs.sparkSession):
+        return _near_duplicates(docs, k, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     share = percent / 100
     bands = bands_for(share)
     table = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -192,7 +197,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # A shingle that no other member has is in no intersection: what is left bounds a similarity from above.
     shingle = sets.select("id", F.explode("items").alias("x"))
     alone = shingle.groupBy("x").agg(F.count("*").alias("of"), F.min("id").alias("id")).filter("of = 1").groupBy("id").agg(F.count("*").alias("own"))
-    buckets = found.join(stored(alone, "alone"), "id", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
+    alone = stored(alone, "alone")
+    buckets = found.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
     buckets = stored(buckets.filter(100 * F.col("c") >= percent * F.col("n")).select("key", "id", "n", "c"), "buckets")
     best = F.struct(-F.col("c") / F.col("n"), F.xxhash64("id", "key"))
     heads = buckets.groupBy("key").agg(F.min_by(F.struct("id", "n"), best).alias("head"))
@@ -210,16 +216,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     def links(pairs: DataFrame) -> DataFrame:
         side = lambda df, col, to: df.select(F.col("id").alias(to), F.col(col).alias({"sig": "s", "items": "x"}[col] + to))
         likely = stored(pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").mapInArrow(_alike(least), "a long, b long"), "likely")
-        return likely.join(side(sets, "items", "a"), "a").join(side(sets, "items", "b"), "b").mapInArrow(_confirm(percent), "a long, b long")
+        true = likely.join(side(sets, "items", "a"), "a").join(side(sets, "items", "b"), "b").mapInArrow(_confirm(percent), "a long, b long")
+        out = stored(true.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        discard(likely)
+        return out
 
-    edges = stored(links(first).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    edges = links(first)
     comp = components(edges)
     # Buckets that still hold several components.
     placed = buckets.join(comp, "id", "left").select("key", "id", "n", "c", F.coalesce("component", "id").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("of"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("of", "comp")).alias("main")).filter("comps > 1").select("key", "main")
     open_ = stored(placed.join(mixed, "key"), "open")
-    those = sized(stored(open_.select("id").distinct(), "open-ids"))
+    open_ids = stored(open_.select("id").distinct(), "open-ids")
+    those = sized(open_ids)
     long = [f"s{j}" for j in range(LONG)]
     bits = stored(sets.join(those, "id", "left_semi").mapInArrow(_bits, ", ".join(["id long", *[f"{c} long" for c in long]])), "bits")
     bands_of = reps.join(those, "id", "left_semi").dropDuplicates(["id"]).select("id", "keys")
@@ -240,11 +250,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         .select(*pair(F.col("id_"), F.col("id"))),
         "across",
     )
-    across = across.join(first, ["a", "b"], "left_anti")
-    more = stored(links(across).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    more = links(across.join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     reached = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
     own = stored(sketch.select("id", "n", "digest"), "rows")
+    discard(sketch, found, members, sets, alone, buckets, first, sigs, edges, open_, open_ids, bits, known, across, more)
     out = own.join(reached, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("reached", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
