@@ -12,7 +12,7 @@ from seqloom.functions import bases as B
 from seqloom.functions import gaps as G
 from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
-from seqloom.operators import compare, intervals, sampler, scan, synth
+from seqloom.operators import compare, evaluate, intervals, mixture, sampler, scan, synth
 from seqloom.operators import likelihood as L
 from seqloom.sources import fasta, motif_files
 from seqloom.streaming import kmers
@@ -320,6 +320,30 @@ def test_stream(spark, tmp_path):
     assert {r["kmer"]: r["cnt"] for r in spark.table("stream_kmers").collect()} == {"ACG": 1, "CGT": 2, "GTA": 1}
 
 
+def test_evaluation(tmp_path):
+    truth = [M.iupac_pwm(s) for s in ("GATTACAG", "TTTGGG", "CCC")]
+    found = [M.iupac_pwm("CCCAAA"), M.iupac_pwm("GATTACAG", 0.2)]
+    r = evaluate.report(found, truth)
+    assert [(m.found, m.reversed) for m in r["matches"]] == [(1, False), (0, True), (-1, False)] and r["found"] == pytest.approx(2 / 3)
+    assert r["matches"][0].by_position == pytest.approx([1] * 8) and r["strength"][2] == (pytest.approx(0.9625), 0.0)
+    assert evaluate.by_strings(["CCCAAA"], ["TTTGGG"])[0][1:] == ("CCCAAA", 106.0, True) and evaluate.by_strings([], ["A"])[0][3] is False
+    assert evaluate.exact(found, "TTTGGG") and not evaluate.exact(found, "AAAA")
+    assert evaluate.save_logos(found, truth, str(tmp_path / "x.png")) in (True, False)
+
+
+def test_mixtures():
+    s = mixture.MixtureSearch(["ACGTTTAAAC", "TTAAACTT", ""], 2, 4, ensemble=5, seed=1, moves=15)
+    start = s.best.total
+    for _ in range(5):
+        s.step()
+    assert s.dead == sorted(s.dead) and s.best.total >= start and all(p.total >= s.dead[-1] for p in s.particles)
+    code = L.encode("ACGTTTAAAC")
+    assert mixture.sequence_likelihood(code, [M.kmer_to_pwm("AAAC")], np.array([False])) == -20
+    assert mixture.sequence_likelihood(code, [M.kmer_to_pwm("AAAC")], np.array([True])) == pytest.approx(L.score([code], [L.Model.plain([M.kmer_to_pwm("AAAC")], UNIFORM, 10, False)])[0, 0])
+    with pytest.raises(ValueError):
+        mixture.MixtureSearch([], 1, 4, ensemble=1)
+
+
 def test_cli(spark, tmp_path, capsys):
     out = str(tmp_path)
     cli.main(["generate", "-o", f"{out}/s", "-n", "12", "-L", "60", "--motif", "TATAAATA", "--truth", f"{out}/t.json", "--density", "1"])
