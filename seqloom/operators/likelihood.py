@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.gaps import GapConfig
@@ -190,6 +191,16 @@ def score_sequences(corpus: DataFrame, models: list[Model], id_type: str = "long
     return corpus.select("seq_id", "seq").mapInArrow(run, f"seq_id {id_type}, model_id int, log2_lik double")
 
 
+def register(spark: SparkSession, model: Model, name: str = "seq_log2lik") -> None:
+    """Make a model's likelihood of a sequence available to SQL text."""
+
+    @F.pandas_udf("double")
+    def lik(seqs: pd.Series) -> pd.Series:
+        return pd.Series(score([encode(s or "") for s in seqs], [model])[0])
+
+    spark.udf.register(name, lik)
+
+
 def score_models(corpus: DataFrame, models: list[Model]) -> DataFrame:
     """``(model_id, log2_lik)`` over the corpus: partial sums in each batch, so little is shuffled."""
 

@@ -149,6 +149,9 @@ def test_likelihood_goldens(spark):
     models = [L.Model.plain([M.kmer_to_pwm("AAAC")], UNIFORM, 8, both) for both in (False, True)]
     got = {r["model_id"]: r["log2_lik"] for r in L.score_models(seqs(spark, [*texts, ""]).repartition(3), models).collect()}
     assert got == {0: pytest.approx(-47.16082113060135), 1: pytest.approx(-43.11055707056956, abs=1e-6)}
+    L.register(spark, models[0])
+    seqs(spark, texts).createOrReplaceTempView("some_seqs")
+    assert spark.sql("SELECT sum(seq_log2lik(seq)) FROM some_seqs").first()[0] == pytest.approx(got[0])
     pwm = np.log2(np.array([[0.9 if i == j else 0.03 if j != (i + 1) % 4 else 0.04 for j in range(4)] for i in range(4)]))
     assert L.score([L.encode("ACGTACGT")], [L.Model.plain([pwm], UNIFORM, 8, True)])[0, 0] >= L.score([L.encode("ACGTACGT")], [L.Model.plain([pwm], UNIFORM, 8, False)])[0, 0]
 
