@@ -86,7 +86,7 @@ def _background(x: np.ndarray, bg: np.ndarray) -> np.ndarray:
     return np.where(ok, bg[ctx, np.maximum(x, 0)], -2.0)
 
 
-def _block(x: np.ndarray, pwm: np.ndarray) -> np.ndarray:
+def block_scores(x: np.ndarray, pwm: np.ndarray) -> np.ndarray:
     """Score of each window, -inf if a base is unknown."""
     n = x.shape[1] - len(pwm) + 1
     out = np.zeros((len(x), max(n, 0)))
@@ -98,7 +98,7 @@ def _block(x: np.ndarray, pwm: np.ndarray) -> np.ndarray:
 
 def _emissions(x: np.ndarray, piece: Piece, bg: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """``(span, scores by start)`` for every layout of gaps; gap bases weigh as background."""
-    scores = [_block(x, b) for b in piece.blocks]
+    scores = [block_scores(x, b) for b in piece.blocks]
     upto = np.concatenate([np.zeros((len(x), 1)), np.cumsum(bg, axis=1)], axis=1)
     out = []
     for gaps, prior in piece.layouts():

@@ -1,13 +1,17 @@
-"""Scanning sequences with a motif, as plain columns."""
+"""Scanning sequences with a motif: all windows as plain columns, or a summary of each row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.bases import BASES, windows
+from seqloom.functions.bases import BASES, from_index, windows
 from seqloom.functions.motifs import reverse
+from seqloom.operators.likelihood import block_scores, encode
 
 
 def window_score(window: Column, pwm: np.ndarray) -> Column:
@@ -22,32 +26,72 @@ def window_score(window: Column, pwm: np.ndarray) -> Column:
     return out
 
 
+#: Longest window whose scores are looked up in a table of all windows, 4^LOOKUP rows at most.
+LOOKUP = 8
+
+
 def scan(corpus: DataFrame, pwm: np.ndarray, both_strands: bool = False) -> DataFrame:
     """``(seq_id, pos, score)`` of every window of known bases, ``pos`` from 0; with both strands the better score.
 
-    A window's score depends on its letters alone, and no row is shuffled.
+    A window's score depends on its letters alone: short ones are looked up in a broadcast
+    table of all windows, and no row is shuffled.
     """
-    each = corpus.select("seq_id", F.posexplode(windows(F.col("seq"), len(pwm))).alias("pos", "w"))
+    w = len(pwm)
+    each = corpus.select("seq_id", F.posexplode(windows(F.col("seq"), w)).alias("pos", "w"))
     score = window_score(F.col("w"), pwm)
     if both_strands:
         score = F.greatest(score, window_score(F.col("w"), reverse(pwm)))
-    return each.withColumn("score", score).filter("score is not null").drop("w")
+    if w > LOOKUP:
+        return each.select("seq_id", "pos", score.alias("score")).filter("score is not null")
+    table = corpus.sparkSession.range(4**w).select(from_index(F.col("id"), w).alias("w")).withColumn("score", score)
+    return each.join(F.broadcast(table), "w").select("seq_id", "pos", "score")
+
+
+def summaries(corpus: DataFrame, pwm: np.ndarray, both_strands: bool, least: float = 0.0, id_type: str = "long") -> DataFrame:
+    """``(seq_id, pos, score, hits, total)`` of each row with any window of known bases.
+
+    ``pos`` and ``score`` are those of its best window, the first of equals; ``hits`` counts
+    windows that score ``least`` or more; ``total`` is the log2 of the sum of 2^score. A
+    batch's sequences are scored as one array, and nothing is shuffled.
+    """
+    w, fwd, rev = len(pwm), np.asarray(pwm, float), reverse(pwm)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [encode(s or "") for s in batch.column(1).to_pylist()]
+            joined = np.concatenate([x for c in codes for x in (c, np.full(1, -1, np.int8))] or [np.empty(0, np.int8)])[None, :]
+            score = block_scores(joined, fwd)[0]
+            if both_strands:
+                score = np.maximum(score, block_scores(joined, rev)[0])
+            at, rows = 0, []
+            for i, c in enumerate(codes):
+                own = score[at : at + max(0, len(c) - w + 1)]
+                at += len(c) + 1
+                if len(own) and (top := own[best := int(own.argmax())]) > -np.inf:
+                    rows.append((i, best, top, int((own >= least).sum()), top + np.log2(np.exp2(own - top).sum())))
+            keep, pos, tops, hits, totals = zip(*rows, strict=True) if rows else ((),) * 5
+            ids = batch.column(0).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(pos, pa.int32()), pa.array(tops, pa.float64()), pa.array(hits, pa.int64()), pa.array(totals, pa.float64())],
+                names=["seq_id", "pos", "score", "hits", "total"],
+            )
+
+    return corpus.select("seq_id", "seq").mapInArrow(run, f"seq_id {id_type}, pos int, score double, hits long, total double")
 
 
 def best_hits(corpus: DataFrame, pwm: np.ndarray, both_strands: bool = True) -> DataFrame:
-    """``(seq_id, pos, score)``: each sequence's best window, the first of equals."""
-    best = scan(corpus, pwm, both_strands).groupBy("seq_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "pos")).alias("x"))
-    return best.select("seq_id", "x.pos", (-F.col("x.s")).alias("score"))
+    """``(seq_id, pos, score)``: each row's best window, the first of equals."""
+    return summaries(corpus, pwm, both_strands).select("seq_id", "pos", "score")
 
 
 def hits(corpus: DataFrame, pwm: np.ndarray, least: float, both_strands: bool = True) -> DataFrame:
-    """``(seq_id, hits)``: windows that score ``least`` or more, for sequences with any."""
-    return scan(corpus, pwm, both_strands).filter(F.col("score") >= least).groupBy("seq_id").agg(F.count("*").alias("hits"))
+    """``(seq_id, hits)``: windows that score ``least`` or more, for rows with any."""
+    return summaries(corpus, pwm, both_strands, least).select("seq_id", "hits").filter("hits > 0")
 
 
 def log2_sums(corpus: DataFrame, pwm: np.ndarray) -> DataFrame:
-    """``(seq_id, total)``: log2 of the sum of 2^score over a sequence's windows."""
-    return scan(corpus, pwm).groupBy("seq_id").agg(F.log2(F.sum(F.pow(F.lit(2.0), "score"))).alias("total"))
+    """``(seq_id, total)``: log2 of the sum of 2^score over a row's windows."""
+    return summaries(corpus, pwm, both_strands=False).select("seq_id", "total")
 
 
 def logistic_facet(corpus: DataFrame, labels: DataFrame, pwms: list[np.ndarray], weights: list[float]) -> DataFrame:
