@@ -1,29 +1,35 @@
 """Toxicity by a linear-chain conditional random field over two tags, fine and toxic.
 
 Labels mark documents, so tokens are labelled first: in a toxic training document a token is
-toxic if one of its features (the word, its first 4 to 6 letters) is tied to toxic documents
+toxic if one of its features (the word, its first 4 to 8 letters) is tied to toxic documents
 by a likelihood-ratio test. The field is fitted to these by penalised likelihood with
 gradients from forward-backward. A document's score is a logistic function of its tokens'
 marginals, fitted on the same sample; runs of tokens with a marginal of 0.5 or more are its
-offending spans. Fitting uses a bounded sample (``per_class`` rows of each label, of at most
-``max_chars`` characters each); scoring reads every text whole.
+offending spans. Fitting uses a bounded sample (see :func:`train`); scoring reads every text
+whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 #: Likelihood ratio (twice the log) beyond which a feature is tied to toxic documents.
-LLR = 26.0
+LLR = 20.0
+PREFIXES = (4, 5, 6, 7, 8)
+#: Clean documents that the field is fitted to, if not more by the number of toxic ones.
+MOST_CLEAN = 2400
+#: Weights nearer to zero are left out of a model.
+LEAST_WEIGHT = 0.01
 #: Tokens before and after a block whose influence on the block's marginals is followed.
 WARM, BLOCK, CHUNK = 64, 256, 400_000
 _MEMO = 300_000
@@ -31,9 +37,9 @@ SPANS = "struct<score:double,spans:array<struct<start:int,end:int,marginal:doubl
 
 
 def features(word: str) -> list[str]:
-    """The word itself, its prefixes of 4 to 6 letters and its last 3 letters."""
+    """The word itself, its last 3 letters and its prefixes of 4 to 8 letters."""
     out = ["w=" + word, "s=" + word[-3:]]
-    return out + [f"p{k}=" + word[:k] for k in (4, 5, 6) if len(word) >= k]
+    return out + [f"p{k}=" + word[:k] for k in PREFIXES if len(word) >= k]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -163,24 +169,16 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-def tied(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features that occur in toxic documents more than chance allows (likelihood-ratio test)."""
-    a, b = Counter(), Counter()
-    for docs, n in ((toxic, a), (clean, b)):
-        for words in docs:
-            n.update({f for w in set(words) if not w.isdigit() for f in features(w) if f[0] != "s"})
-    na, nb = max(1, len(toxic)), max(1, len(clean))
-    out = set()
-    xlog = lambda k, n: k * np.log(k / n) if k else 0.0
-    for f, x in a.items():
-        y = b.get(f, 0)
-        if x < 3 or x * nb <= 4 * y * na:
-            continue
-        full = xlog(x, na) + xlog(na - x, na) + xlog(y, nb) + xlog(nb - y, nb)
-        both = xlog(x + y, na + nb) + xlog(na + nb - x - y, na + nb)
-        if 2 * (full - both) >= LLR:
-            out.add(f)
-    return out
+def tied(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features occur in toxic documents more than chance allows (likelihood-ratio test).
+
+    ``toxic`` and ``clean`` count the documents of either kind that have each feature.
+    """
+    a, b = toxic.astype(float), clean.astype(float)
+    xlog = lambda k, n: np.where(k > 0, k * np.log(np.maximum(k, 1) / n), 0.0)
+    full = xlog(a, n_toxic) + xlog(n_toxic - a, n_toxic) + xlog(b, n_clean) + xlog(n_clean - b, n_clean)
+    both = xlog(a + b, n_toxic + n_clean) + xlog(n_toxic + n_clean - a - b, n_toxic + n_clean)
+    return (a >= 3) & (a * n_clean > 4 * b * n_toxic) & (2 * (full - both) >= LLR)
 
 
 def _minimise(value, x: np.ndarray, rounds: int) -> np.ndarray:
@@ -221,31 +219,48 @@ def fit(texts: list[str], toxic: list[int], prior: float, rounds: int = 40) -> M
 
     Without both labels in the sample the model scores every text alike, by the prior.
     """
-    docs = [WORD.findall(t.lower()) for t in texts]
-    y = np.array(toxic)
+    y = np.array(toxic, bool)
     prior = min(max(prior, 1e-3), 1 - 1e-3)
-    marked = tied([d for d, t in zip(docs, y, strict=True) if t], [d for d, t in zip(docs, y, strict=True) if not t])
-    if not marked or not 0 < y.sum() < len(y):
-        return Model(bias=-20.0, head=[float(np.log(prior / (1 - prior))), 0.0, 0.0, 0.0])
+    flat_model = Model(bias=-20.0, head=[float(np.log(prior / (1 - prior))), 0.0, 0.0, 0.0])
+    if not 0 < y.sum() < len(y):
+        return flat_model
     vocab: dict[str, int] = {}
-    index = [np.array([vocab.setdefault(w, len(vocab)) for w in d], int) for d in docs]
-    names = list(vocab)
-    seen = Counter(f for w in names for f in features(w))
-    counts = Counter()
-    for d in docs:
-        counts.update(set(d))
-    fid = {f: i for i, f in enumerate(f for f, c in seen.items() if c >= 2 or (f[0] == "w" and counts[f[2:]] >= 2))}
-    pairs = [(i, fid[f]) for i, w in enumerate(names) for f in features(w) if f in fid]
-    rows, cols = (np.array(x, int) for x in zip(*pairs, strict=True))
-    bad = np.array([any(f in marked for f in features(w)) for w in names])
+    index = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+    # Features are those of words in toxic documents.
+    fid: dict[str, int] = {}
+    of = np.full((len(vocab), 2 + len(PREFIXES)), -1, np.int32)
+    toxic_words = np.zeros(len(vocab), bool)
+    toxic_words[np.concatenate([i for i, t in zip(index, y, strict=True) if t])] = True
+    for own in (True, False):
+        for i, w in enumerate(vocab):
+            if toxic_words[i] == own:
+                for j, f in enumerate(features(w)):
+                    of[i, j] = fid.setdefault(f, len(fid)) if own else fid.get(f, -1)
+    counts = np.zeros((2, len(fid)), np.int64)
+    for idx, t in zip(index, y, strict=True):
+        here = np.unique(of[np.unique(idx)])
+        counts[int(t), here[here >= 0]] += 1
+    words = np.array([f[0] == "w" for f in fid], bool)
+    usable = np.array([f[0] != "s" and not f[f.index("=") + 1 :].isdigit() for f in fid], bool)
+    marked = np.append(tied(counts[1], counts[0], int(y.sum()), int((~y).sum())) & usable, False)
+    if not marked.any():
+        return flat_model
+    bad = marked[of].any(axis=1)
+    # All documents have been counted; the field is fitted to the toxic ones and not many more clean ones.
+    some = np.flatnonzero(y | (np.cumsum(~y) <= max(MOST_CLEAN, int(1.5 * y.sum()))))
+    index, y = [index[i] for i in some], y[some]
+    kept = (np.bincount(of[of >= 0], minlength=len(fid)) >= 2) | words & (counts.sum(axis=0) >= 2)
+    number = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)
+    rows, place = np.nonzero(number[of] >= 0)
+    cols = number[of][rows, place]
+    names, nf = list(vocab), int(kept.sum())
     sizes = np.array([len(i) for i in index])
     flat = np.concatenate(index)
     starts = np.zeros(len(flat), bool)
     starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    tag = bad[flat] & np.repeat(y.astype(bool), sizes)
+    tag = bad[flat] & np.repeat(y, sizes)
     went = np.flatnonzero(~starts)
     seen_pairs = np.bincount(2 * tag[went - 1] + tag[went], minlength=4).reshape(2, 2).astype(float)
-    nf = len(fid)
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
         """Negative penalised log likelihood and its gradient, a document's average."""
@@ -266,17 +281,17 @@ def fit(texts: list[str], toxic: list[int], prior: float, rounds: int = 40) -> M
         g[nf] = err.sum()
         g[nf + 1 :] = (expected - seen_pairs).ravel()[1:] + 0.1 * x[nf + 1 :]
         f = z - gold + 0.5 * (w @ w) + 0.05 * (x[nf + 1 :] @ x[nf + 1 :])
-        return f / len(docs), g / len(docs)
+        return f / len(y), g / len(y)
 
     start = np.zeros(nf + 4)
     start[nf] = -5.0
     x = _minimise(value, start, rounds)
-    weights = {f: float(x[i]) for f, i in fid.items() if abs(x[i]) > 1e-3}
+    weights = {f: float(x[number[i]]) for f, i in fid.items() if kept[i] and abs(x[number[i]]) > LEAST_WEIGHT}
     model = Model(weights, float(x[nf]), [[0.0, float(x[nf + 1])], [float(x[nf + 2]), float(x[nf + 3])]])
     by_word = np.array([model.unary(w) for w in names])
     m = np.array([document_features(p) for p in token_marginals([by_word[i] for i in index], np.array(model.trans))])
     share = y.mean()
-    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    weight = np.where(y, prior / share, (1 - prior) / (1 - share))
 
     def logistic(h: np.ndarray) -> tuple[float, np.ndarray]:
         s = m @ h
@@ -295,9 +310,9 @@ def held_out(id_col: str) -> F.Column:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 10_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 3600, max_chars: int = 10_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
-    """Fit on at most ``per_class`` labelled rows of each label, of at most ``max_chars`` characters.
+    """Fit on at most ``toxic_rows`` and ``clean_rows`` labelled rows, of at most ``max_chars`` characters each.
 
     The sample is that of the smallest hashes of the id, held-out ids left out. Of several
     labels of one id the larger counts; rows without label, id or text are left out.
@@ -310,15 +325,22 @@ def train(
     total = sum(r["count"] for r in counts)
     prior = sum(r["count"] for r in counts if r["toxic"] == 1) / total if total else 0.0
     order = F.xxhash64("id")
-    ids = [r for t in (0, 1) for r in rows.filter(F.col("toxic") == t).orderBy(order, "id").limit(per_class).collect()]
+    ids = [r for t, n in ((0, clean_rows), (1, toxic_rows)) for r in rows.filter(F.col("toxic") == t).orderBy(order, "id").limit(n).collect()]
     if not ids:
         return fit([], [], prior)
     picked = docs.sparkSession.createDataFrame(pd.DataFrame({"id": [r["id"] for r in ids], "toxic": [r["toxic"] for r in ids]}), "id long, toxic int")
     sample = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= max_chars)
-        .join(F.broadcast(picked), "id").dropDuplicates(["id"]).orderBy("id").collect()
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= max_chars).join(F.broadcast(picked), "id").select("id", "toxic", "text")
     )
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample], prior)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {(r["id"], r["text"]): r["toxic"] for b in batches for r in b.to_pylist()}
+        order = sorted(rows)
+        model = fit([t for _, t in order], [rows[k] for k in order], prior)
+        yield pa.RecordBatch.from_pydict({"model": [json.dumps(vars(model))]})
+
+    # The sample is bounded, so one task fits the model and the driver stays small.
+    return Model(**json.loads(sample.repartition(1).mapInArrow(one, "model string").first()["model"]))
 
 
 def judge(docs: DataFrame, model: Model, text_col: str = "text", to: str = "toxicity") -> DataFrame:
