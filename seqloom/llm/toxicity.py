@@ -181,6 +181,33 @@ def tied(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np
     return (a >= 3) & (a * n_clean > 4 * b * n_toxic) & (2 * (full - both) >= LLR)
 
 
+def distinct(docs: list[np.ndarray], sketch: int = 16, least: int = 4) -> np.ndarray:
+    """Numbers of the documents that aren't copies or near copies of an earlier one.
+
+    Copies of one toxic document would tie all its words to toxicity. A copy shares ``least``
+    or more of the ``sketch`` smallest hashes of its three-word sequences with one document;
+    shorter documents are copies if they are equal.
+    """
+    owner: dict[int, int] = {}
+    whole: set[bytes] = set()
+    out = []
+    for i, words in enumerate(docs):
+        w = words.astype(np.uint64) + np.uint64(1)
+        if (raw := words.tobytes()) in whole:
+            continue
+        if len(w) >= 3:
+            h = (w[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (w[2:] * np.uint64(0x165667B19E3779F9))
+            h = np.unique((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9))[:sketch].tolist()
+            seen = [owner[x] for x in h if x in owner]
+            if seen and max(map(seen.count, set(seen))) >= min(least, len(h)):
+                continue
+            for x in h:
+                owner.setdefault(x, i)
+        whole.add(raw)
+        out.append(i)
+    return np.array(out, int)
+
+
 def _minimise(value, x: np.ndarray, rounds: int) -> np.ndarray:
     """Limited-memory BFGS with backtracking."""
     f, g = value(x)
@@ -226,6 +253,10 @@ def fit(texts: list[str], toxic: list[int], prior: float, rounds: int = 40) -> M
         return flat_model
     vocab: dict[str, int] = {}
     index = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+    once = distinct(index)
+    index, y = [index[i] for i in once], y[once]
+    if not 0 < y.sum() < len(y):
+        return flat_model
     # Features are those of words in toxic documents.
     fid: dict[str, int] = {}
     of = np.full((len(vocab), 2 + len(PREFIXES)), -1, np.int32)

@@ -181,6 +181,8 @@ def test_blocks_of_a_page():
     assert htmltext.best(root).path == "/html/body/article.post-#"
     for odd in (None, "", "<", "<p", "plain text", "<script>never closed", "</div></p>", "<p hidden>x", "<div><div><div>", "<" * 5000, "<a b=" * 3000):
         assert isinstance(htmltext.extract(odd, ["/html"]), str)
+    assert htmltext.extract("<nav><a>menu</a><article><p>x</p></article><article class='comment'>c</article>", None) == "x"
+    assert htmltext.extract("<body class='no-comments'><div class='comments'><article>c</article></div><main><p>x</p></main>", None) == "x"
     assert htmltext.extract("plain text", None) == "plain text" and htmltext.extract("<p hidden>x</p><p>y", None) == "y"
 
 
@@ -226,6 +228,16 @@ def test_marginals_equal_all_taggings():
     assert many[:300] == pytest.approx(toxicity.marginals(long[:500], one[:500], trans)[0][:300], abs=1e-9)
 
 
+def test_copies_in_a_sample():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(500, size=60) for _ in range(20)]
+    near = [d.copy() for d in docs]
+    for d in near:
+        d[30] = 501
+    short = [np.array([1, 2]), np.array([1, 2]), np.array([], int)]
+    assert toxicity.distinct([*docs, *near, *docs, *short]).tolist() == [*range(20), 60, 62]
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     found = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
