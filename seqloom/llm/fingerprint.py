@@ -32,7 +32,7 @@ def _gammas(spark: SparkSession, log: bool) -> Column:
 
 
 def _draw(d: int) -> Column:
-    """The draw of sample ``d`` as one number: ``ln a`` in the upper bits, 16 bits of a hash of term and t below."""
+    """The draw of sample ``d`` as one number: ``ln a`` in the upper bits, 16 bits that stand for term and t below."""
     h = F.xxhash64("term", F.lit(d))
     cell = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(GRID * GRID - 1)).cast("int")
     r = F.get("gamma", cell(0))
@@ -42,7 +42,9 @@ def _draw(d: int) -> Column:
     low = c - r * (t.cast("double") + 1.0 - b)
     # ln a lies well within 2000 of zero
     high = ((low + 2000.0) * F.lit(float(1 << 34))).cast("long")
-    return F.shiftleft(high, 16).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFF)))
+    # Bits of the hash, changed by t, stand for the pair of term and t.
+    own = F.shiftrightunsigned(h, 2 * _BITS).bitwiseXOR(t * 40503).bitwiseAND(F.lit(0xFFFF))
+    return F.shiftleft(high, 16).bitwiseOR(own)
 
 
 #: Begins a pseudo-word that carries a part of a text's hash; no word holds this character.

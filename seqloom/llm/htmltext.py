@@ -35,6 +35,10 @@ OUT_WORDS = frozenset(
     " header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply respond search"
     " share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets contentinfo complementary".split()
 )
+#: Classes of an article that is a reader's comment.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies".split())
+#: Elements that an article ends if they were left open before it.
+UNCLOSED = ("nav", "header", "form", "aside", "menu", "head")
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')|["'=])*+)>""", re.S
 )
@@ -120,14 +124,22 @@ def blocks(html: str) -> tuple[Node, list[tuple[str, tuple[Node, ...]]]]:
                 flush()
             continue
         if skip:
-            if tag in CONTAINER or tag in OUT or tag in skip:
-                skip.append(tag)
-            continue
+            if tag in ("article", "main") and skip[0] in UNCLOSED and not any(n.tag in ("article", "main") for n in stack):
+                skip.clear()  # an article inside a menu means that the menu was never closed
+            else:
+                if tag in CONTAINER or tag in OUT or tag in skip:
+                    skip.append(tag)
+                continue
         inner = any(n.tag in ("article", "main") for n in stack)
         cls, words = ("", set())
         if attrs:
             cls, words = _names(attrs)
-            gone = bool(words & OUT_WORDS) and tag not in ("html", "body", "article", "main") or bool(_HIDDEN.search(attrs))
+            if tag in ("html", "body", "main"):
+                gone = False
+            elif tag == "article":
+                gone = bool(COMMENT_WORDS & set(cls.split(".")))
+            else:
+                gone = bool(words & OUT_WORDS) or bool(_HIDDEN.search(attrs))
         else:
             gone = False
         if tag in OUT or (tag == "header" and not inner) or gone:

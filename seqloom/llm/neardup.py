@@ -213,15 +213,15 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     sigs = stored(reps.join(small, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]), "signatures")
     least = share - SLACK * math.sqrt(share * (1 - share) / (bands * ROWS))
 
+    def side(df: DataFrame, col: str, to: str) -> DataFrame:
+        return df.select(F.col("id").alias(to), F.col(col).alias({"sig": "s", "items": "x"}[col] + to))
+
     def links(pairs: DataFrame) -> DataFrame:
-        side = lambda df, col, to: df.select(F.col("id").alias(to), F.col(col).alias({"sig": "s", "items": "x"}[col] + to))
-        likely = stored(pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").mapInArrow(_alike(least), "a long, b long"), "likely")
-        true = likely.join(side(sets, "items", "a"), "a").join(side(sets, "items", "b"), "b").mapInArrow(_confirm(percent), "a long, b long")
-        out = stored(true.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        discard(likely)
-        return out
-
-    edges = links(first)
+        true = pairs.join(side(sets, "items", "a"), "a").join(side(sets, "items", "b"), "b").mapInArrow(_confirm(percent), "a long, b long")
+        return stored(true.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+    likely = stored(first.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").mapInArrow(_alike(least), "a long, b long"), "likely")
+    edges = links(likely)
     comp = components(edges)
     # Buckets that still hold several components.
     placed = buckets.join(comp, "id", "left").select("key", "id", "n", "c", F.coalesce("component", "id").alias("comp"))
@@ -255,6 +255,6 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
         comp = components(edges.unionByName(more))
     reached = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
     own = stored(sketch.select("id", "n", "digest"), "rows")
-    discard(sketch, found, members, sets, alone, buckets, first, sigs, edges, open_, open_ids, bits, known, across, more)
+    discard(sketch, found, members, sets, alone, buckets, first, sigs, likely, edges, open_, open_ids, bits, known, across, more)
     out = own.join(reached, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("reached", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
