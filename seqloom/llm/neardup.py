@@ -31,7 +31,7 @@ MISS = 1e-5
 SLACK = 5.0
 #: Words of 64 bits of the long signature.
 LONG = 32
-_MEMO = 400_000
+_MEMO = 150_000
 
 
 class _Hashes(dict):

@@ -32,7 +32,7 @@ MOST_CLEAN = 2400
 LEAST_WEIGHT = 0.01
 #: Tokens before and after a block whose influence on the block's marginals is followed.
 WARM, BLOCK, CHUNK = 64, 256, 400_000
-_MEMO = 300_000
+_MEMO = 150_000
 SPANS = "struct<score:double,spans:array<struct<start:int,end:int,marginal:double>>>"
 
 
