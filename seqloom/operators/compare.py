@@ -7,16 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.motifs import column_pearson
-
 #: At most so many query motifs are broadcast; of more, blocks of this size meet parts of the others.
 BLOCK = 2000
 
 Measure = Callable[[Column, Column], Column]
 
 
+def _units(pwm: Column) -> Column:
+    """Rows without their mean and of length 1, end to end, and a 1 for each row that isn't flat."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+
+    def row(r: Column) -> Column:
+        centred = F.transform(r, lambda x: x - total(r) / 4)
+        norm = F.sqrt(total(F.transform(centred, lambda x: x * x)))
+        return F.when(norm > 0, F.transform(centred, lambda x: x / norm)).otherwise(F.transform(r, lambda x: F.lit(0.0)))
+
+    units = F.transform(pwm, row)
+    return F.struct(F.flatten(units).alias("u"), F.transform(units, lambda r: (F.array_max(r) > 0).cast("double")).alias("f"))
+
+
 def pearson(a: Column, b: Column) -> Column:
-    return column_pearson(a, b)
+    """Mean correlation of rows, 0 if no two rows vary; ``a`` and ``b`` come from :func:`_units`."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    rows = dot(a["f"], b["f"])
+    return F.when(F.size(a["f"]) == F.size(b["f"]), F.when(rows > 0, dot(a["u"], b["u"]) / rows).otherwise(0.0))
+
+
+#: What a measure wants to know of each motif, worked out once a motif rather than once a pair.
+PREPARE: dict[Measure, Callable[[Column], Column]] = {pearson: _units}
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -42,7 +60,8 @@ def pairs(asked: DataFrame, motifs: DataFrame, parts: int = 64) -> DataFrame:
     n = asked.count()
     apart = F.col("query_id") != F.col("other_id")
     if n <= BLOCK:
-        return o.join(F.broadcast(q), apart)
+        # Few bytes of motifs make much work, so they are dealt out first.
+        return o.repartition(parts, "other_id").join(F.broadcast(q), apart)
     blocks = -(-n // BLOCK)
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     o = o.withColumn("part", F.pmod(F.xxhash64("other_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -54,6 +73,8 @@ def best_matches(asked: DataFrame, motifs: DataFrame, measure: Measure, digits:
 
     Only each task's best is shuffled. Motifs without one of equal length have no row.
     """
+    ready = PREPARE.get(measure, lambda pwm: pwm)(F.col("pwm"))
+    asked, motifs = (df.select("motif_id", ready.alias("pwm")) for df in (asked, motifs))
     each = pairs(asked, motifs).select("query_id", "other_id", F.round(measure(F.col("a"), F.col("b")), digits).alias("value")).filter("value is not null")
     best = each.groupBy("query_id").agg(F.min(F.struct((-F.col("value")).alias("v"), "other_id")).alias("x"))
     return best.select("query_id", "x.other_id", (-F.col("x.v")).alias("value"))
