@@ -5,45 +5,48 @@ a term of weight S has gamma draws r and c and a uniform b that depend on term a
 only; with ``t = floor(ln S / r + b)`` the term whose ``ln c - r (t + 1 - b)`` is least is
 drawn, and the sample is a hash of term and t. Two documents agree in a sample with a
 probability equal to their generalised Jaccard similarity. DataFrame functions only: the
-draws come from one hash by way of a table of gamma values.
+draws are computed from 192 bits of hashes of term and sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import ascii_words, sized, stored
 
 SAMPLES = 64
-#: The table of gamma draws is a grid of GRID x GRID cells.
-GRID = 128
-_BITS = 14
-
-
-def _gammas(spark: SparkSession, log: bool) -> Column:
-    """-ln(u v) over a grid of u and v: draws of Gamma(2, 1), or their logarithms, as a scalar subquery."""
-    u = (F.floor(F.col("id") / GRID) + 0.5) / GRID
-    v = (F.col("id") % GRID + 0.5) / GRID
-    draw = -F.ln(u * v)
-    rows = spark.range(GRID * GRID).select("id", (F.ln(draw) if log else draw).alias("v"))
-    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("g")).scalar()
-
-
-def _draw(d: int) -> Column:
-    """The draw of sample ``d`` as one number: ``ln a`` in the upper bits, 16 bits that stand for term and t below."""
-    h = F.xxhash64("term", F.lit(d))
-    cell = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(GRID * GRID - 1)).cast("int")
-    r = F.get("gamma", cell(0))
-    c = F.get("log_gamma", cell(_BITS))
-    b = F.shiftrightunsigned(h, 2 * _BITS).bitwiseAND(F.lit((1 << 30) - 1)).cast("double") / F.lit(float(1 << 30))
-    t = F.floor(F.col("weight") / r + b)
+#: Samples of one row of the aggregate: the JVM compiles no method as long as one for all samples would be.
+BLOCK = 16
+
+
+def _uniform(h: Column, shift: int) -> Column:
+    """32 bits of ``h``, from bit ``shift`` on, as a number between 0 and 1, both left out."""
+    bits = F.shiftrightunsigned(h, shift) if shift else h
+    return (bits.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) * F.lit(2.0**-32)
+
+
+def _gamma(h: Column) -> Column:
+    """-ln(u v) of the two halves of ``h``: a draw of Gamma(2, 1)."""
+    return -F.ln(_uniform(h, 0) * _uniform(h, 32))
+
+
+def _draw(d: int, weight: str) -> Column:
+    """The draw of sample ``d`` of a row's block as one number: ``ln a`` in the upper bits, 16 bits that stand for term and t below.
+
+    The hashes and gamma draws are the same for every ``weight``, so Spark computes them once a term.
+    """
+    h = [F.xxhash64("term", "block", F.lit(3 * d + i)) for i in range(3)]
+    r = _gamma(h[0])
+    c = F.ln(_gamma(h[1]))
+    b = _uniform(h[2], 32)
+    t = F.floor(F.col(weight) / r + b)
     low = c - r * (t.cast("double") + 1.0 - b)
     # ln a lies well within 2000 of zero
     high = ((low + 2000.0) * F.lit(float(1 << 34))).cast("long")
     # Bits of the hash, changed by t, stand for the pair of term and t.
-    own = F.shiftrightunsigned(h, 2 * _BITS).bitwiseXOR(t * 40503).bitwiseAND(F.lit(0xFFFF))
+    own = h[2].bitwiseXOR(t * 40503).bitwiseAND(F.lit(0xFFFF))
     return F.shiftleft(high, 16).bitwiseOR(own)
 
 
@@ -59,17 +62,27 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     ``keys`` identify the rows. A null or wordless text has no row.
     """
     words = texts.select(*keys, F.explode(ascii_words(F.col("text"))).alias("w"))
-    return _least(words.select(*keys, F.xxhash64("w").alias("term")), keys, samples).drop("part")
+    return _least(words.select(*keys, F.lit(0).alias("v"), F.xxhash64("w").alias("term")), keys, 1, samples).withColumnRenamed("fp0", "fp")
 
 
-def _least(terms: DataFrame, keys: list[str], samples: int) -> DataFrame:
-    """``keys``, ``fp`` and ``part``, the largest term, of exploded ``(keys, term)``."""
-    spark = terms.sparkSession
-    counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    tables = _gammas(spark, log=False).alias("gamma"), _gammas(spark, log=True).alias("log_gamma")
-    weighted = counts.select(*keys, "term", F.ln("n").alias("weight"), *tables)
-    least = weighted.groupBy(*keys).agg(F.max("term").alias("part"), *[F.min(_draw(d)).alias(f"m{d}") for d in range(samples)])
-    return least.select(*keys, "part", F.array(*[F.col(f"m{d}").bitwiseAND(F.lit(0xFFFF)).cast("int") for d in range(samples)]).alias("fp"))
+def _least(terms: DataFrame, keys: list[str], texts: int, samples: int, parts: int = 0) -> DataFrame:
+    """``keys`` and, from exploded ``(keys, v, term)``, ``fp0`` and on of the texts, whose terms have that number as
+    ``v``, null where there is no term; then ``p0`` and on, the terms of the ``v`` that follow.
+    """
+    v, part = F.col("v"), F.greatest("v", F.lit(texts - 1))
+    weights = [F.ln(F.count_if(v == i)).alias(f"weight{i}") for i in range(texts)]
+    # The texts of one row share their terms; ln 0 is null, which no minimum counts.
+    weighted = terms.groupBy(*keys, part.alias("part"), "term").agg(*weights)
+    blocks = F.explode(F.array(*[F.lit(j) for j in range(-(-samples // BLOCK))]))
+    mins = [F.min(_draw(d, f"weight{i}")).alias(f"m{i}_{d}") for d in range(BLOCK) for i in range(texts)]
+    own = [F.max(F.when(F.col("part") == texts + i, F.col("term"))).alias(f"p{i}") for i in range(parts)]
+    least = weighted.select("*", blocks.alias("block")).groupBy(*keys, "block").agg(*mins, *own)
+    some = lambda i: F.array(*[F.col(f"m{i}_{d}").bitwiseAND(F.lit(0xFFFF)).cast("int") for d in range(BLOCK)])
+    fps = [F.when(F.col(f"m{i}_0").isNotNull(), some(i)).alias(f"s{i}") for i in range(texts)]
+    rows = least.select(*keys, "block", *fps, *[f"p{i}" for i in range(parts)])
+    in_block = lambda i, j: F.max(F.when(F.col("block") == j, F.col(f"s{i}")))
+    fp = lambda i: F.slice(F.concat(*[in_block(i, j) for j in range(-(-samples // BLOCK))]), 1, samples)
+    return rows.groupBy(*keys).agg(*[fp(i).alias(f"fp{i}") for i in range(texts)], *[F.max(f"p{i}").alias(f"p{i}") for i in range(parts)])
 
 
 def _with_hash(text: Column) -> Column:
@@ -138,9 +151,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
         "k", "h", F.when(marked, F.substring("w", 2, 1).cast("int") + 2).otherwise(F.col("v")).alias("v"),
         F.when(marked, F.conv(F.substring("w", 3, 64 // PARTS), 16, 10).cast("long")).otherwise(F.xxhash64("w")).alias("term"),
     )
-    fps = _least(terms, ["k", "h", "v"], samples)
-    side = lambda v, of, to: F.max(F.when(F.col("v") == v, F.col(of))).alias(to)
-    found = stored(fps.groupBy("k", "h").agg(side(0, "fp", "fp"), side(1, "fp", "efp"), *[side(i + 2, "part", f"p{i}") for i in range(PARTS)]), "fingerprints")
+    found = _least(terms, ["k", "h"], 2, samples, PARTS).withColumnsRenamed({"fp0": "fp", "fp1": "efp"})
+    found = stored(found, "fingerprints")
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"p{i}"), 64 // PARTS, "0") for i in range(PARTS)]))
     other = found.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("fp").alias("nfp"))
     return (

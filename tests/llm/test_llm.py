@@ -445,6 +445,15 @@ def test_fingerprints_odd_rows(spark):
     assert fingerprint.edited_fingerprints(docs_of(spark, [(1, "one two three")])).first()["near_next"] == 1.0
 
 
+def test_collisions_of_long_texts(spark):
+    """Terms of weight 1 in one text and 2 in the other: the generalised Jaccard similarity is 1/2, however many they are."""
+    texts = [" ".join(f"g{g}x{i}" for i in range(5000)) for g in range(30)]
+    df = spark.createDataFrame([(2 * g + twice, " ".join([t] * (1 + twice))) for g, t in enumerate(texts) for twice in (0, 1)], "id long, text string")
+    got = {r["id"]: r["fp"] for r in fingerprint.fingerprints(df, ["id"]).collect()}
+    same = [x == y for g in range(30) for x, y in zip(got[2 * g], got[2 * g + 1], strict=True)]
+    assert abs(np.mean(same) - 0.5) < 4 * 0.5 / math.sqrt(len(same))
+
+
 def test_next_over_many_parts(spark):
     ids = spark.range(100).select((F.col("id") * 7 % 101).alias("id"), (F.col("id") * 7 % 101).alias("k"), F.lit(0).cast("long").alias("h"), F.lit(1).alias("n"))
     got = {r["k"]: r["nk"] for r in fingerprint.next_in_order(ids, rows_per_part=9).collect()}
