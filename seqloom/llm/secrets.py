@@ -30,7 +30,6 @@ WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "format")
 #: Tokens that the automata score.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
-MAX_LEN = 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -48,7 +47,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 def symbols(token: str) -> str:
     """Character classes: a hex letter, l other lower, u upper, d digit, p the rest; the first four characters as they are if upper."""
     out = []
-    for i, c in enumerate(token[:MAX_LEN]):
+    for i, c in enumerate(token):
         if i < 4 and "A" <= c <= "Z":
             out.append(c)
         elif c.isdigit():

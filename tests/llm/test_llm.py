@@ -347,6 +347,17 @@ def test_grammars():
     assert 0 < total < 1.0
 
 
+def test_a_token_is_scored_whole():
+    rng = random.Random(5)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    sym = secrets.symbols
+    hexes, words = [sym(draw("0123456789abcdef", 32)) for _ in range(300)], [sym(draw("etaoinshrdlu", rng.randint(16, 100))) for _ in range(300)]
+    g = secrets.Grammars({"hex": secrets.Automaton(hexes)}, secrets.Automaton(words))
+    front = draw("etaoinshrdlu", 64)
+    assert len(sym(front * 3)) == 192
+    assert g.likely(front) < g.gain <= g.likely(front + draw("0123456789", 200))
+
+
 # 7: mixing
 def brute_exponent(tokens, repeats):
     shares = [t / sum(tokens) for t in tokens if t]
