@@ -176,7 +176,7 @@ class Grammars:
         out = [(s, e, k) for s, e, k, _ in base]
         memo: dict[str, bool] = {}
         for m in CANDIDATE.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _, _ in base) or not any(c.isdigit() for c in m[0]):
+            if any(s < m.end() and m.start() < e for s, e, _, _ in base):
                 continue
             if m[0] not in memo:
                 memo[m[0]] = self.likely(m[0]) >= self.gain

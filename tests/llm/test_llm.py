@@ -358,6 +358,15 @@ def test_a_token_is_scored_whole():
     assert g.likely(front) < g.gain <= g.likely(front + draw("0123456789", 200))
 
 
+def test_credentials_without_digits():
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    sym = secrets.symbols
+    keys = [sym(draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20)) for _ in range(300)]
+    g = secrets.Grammars({"access": secrets.Automaton(keys)}, secrets.Automaton([sym(draw("etaoinshrdlu", rng.randint(16, 24))) for _ in range(300)]))
+    assert g.spans("see QWERTZUIOPASDFGHJKLY and " + draw("etaoinshrdlu", 20)) == [(4, 24, "format")]
+
+
 # 7: mixing
 def brute_exponent(tokens, repeats):
     shares = [t / sum(tokens) for t in tokens if t]
