@@ -199,9 +199,9 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
 
 
-def infer(docs: DataFrame, per_kind: int = 2000, share: float = 0.25, text_col: str = "text") -> Grammars:
+def infer(docs: DataFrame, per_kind: int = 2000, share: float = 1.0, text_col: str = "text") -> Grammars:
     """Grammars from a sample: at most ``per_kind`` distinct tokens of each kind, those of the smallest hashes,
-    from texts whose hash lies in the first ``share`` of all hashes.
+    from all texts; a caller may ask for a smaller ``share`` of them, by hash.
 
     Where the sample has no credential there is no grammar and nothing is added to the base spans.
     """

@@ -367,6 +367,12 @@ def test_credentials_without_digits():
     assert g.spans("see QWERTZUIOPASDFGHJKLY and " + draw("etaoinshrdlu", 20)) == [(4, 24, "format")]
 
 
+def test_grammars_of_rare_kinds(spark):
+    rng = random.Random(7)
+    rows = [(i, "see " + "".join(rng.choice("0123456789abcdef") for _ in range(24)) + " there") for i in range(5)]
+    assert set(secrets.infer(docs_of(spark, rows)).kinds) == {"hex"}
+
+
 # 7: mixing
 def brute_exponent(tokens, repeats):
     shares = [t / sum(tokens) for t in tokens if t]
