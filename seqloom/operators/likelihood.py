@@ -88,8 +88,8 @@ def _background(x: np.ndarray, bg: np.ndarray) -> np.ndarray:
 
 def block_scores(x: np.ndarray, pwm: np.ndarray) -> np.ndarray:
     """Score of each window, -inf if a base is unknown."""
-    n = x.shape[1] - len(pwm) + 1
-    out = np.zeros((len(x), max(n, 0)))
+    n = max(x.shape[1] - len(pwm) + 1, 0)
+    out = np.zeros((len(x), n))
     table = np.column_stack([pwm, np.full(len(pwm), -np.inf)])
     for j in range(len(pwm)):
         out += table[j, x[:, j : j + n]]

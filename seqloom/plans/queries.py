@@ -417,11 +417,8 @@ def gapped_dp(spark, d):
 
 @query()
 def nested_sampling_run(spark, d):
-    """A short search on sequences with a planted motif."""
-    data = synth.PRESETS["sharp"]
-    made = synth.Dataset(60, synth.Lengths("fixed", 60), motifs=data.motifs[:1], planting=synth.Planting(density=1)).generate(spark)
-    made = made.select("seq_id", "seq", "length")
-    return sampler.running_evidence(sampler.Search(made, length=8, ensemble=10, bg_order=0, deaths=2, seed=1).run(20).table())
+    """A search over all documents, with the operator's own settings."""
+    return sampler.running_evidence(sampler.Search(corpus(spark, d), seed=1).run().table())
 
 
 @query()

@@ -1,8 +1,10 @@
 """Every query with SQL gives DuckDB's rows."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from seqloom.plans import queries
 from seqloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +34,21 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_search_reads_all_documents(spark, tmp_path, monkeypatch):
+    texts = ["ACGTACGTTTGACA", "xx TATAAT", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, init = [], queries.sampler.Search.__init__
+    monkeypatch.setattr(queries.sampler.Search, "__init__", lambda self, *a, **b: made.append((a, b)) or init(self, *a, **b))
+    monkeypatch.setattr(queries.sampler.Search, "run", lambda self: self.step() or self)
+    assert QUERIES["nested_sampling_run"](spark, str(tmp_path)).count() == 1
+    (args, options), = made
+    assert sorted(r["seq"] for r in args[0].collect()) == ["", "ACGTACGTTTGACA", "TATAAT"] and options == {"seed": 1}
+
+
+def test_motif_longer_than_all_sequences():
+    assert queries.likelihood.block_scores(np.zeros((3, 4), int), np.zeros((7, 4))).shape == (3, 0)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
