@@ -37,20 +37,23 @@ class Lengths:
     low: int = 50
     high: int = 1000
     values: tuple[int, ...] = ()
+    #: How often each of ``values`` was seen; empty: once.
+    counts: tuple[int, ...] = ()
 
     def sample(self, rng: np.random.Generator) -> int:
         if self.kind == "fixed":
             return int(self.a)
         if self.kind == "learned":
-            return int(rng.choice(self.values))
+            p = np.array(self.counts) / sum(self.counts) if self.counts else None
+            return int(rng.choice(self.values, p=p))
         x = rng.normal(self.a, self.b) if self.kind == "normal" else rng.lognormal(self.a, self.b)
         return int(np.clip(int(x), self.low, self.high))
 
 
-def learned_lengths(corpus: DataFrame, most: int = 100_000) -> Lengths:
-    """Lengths of a corpus; of more than ``most`` sequences, those of the smallest hashes of their ids."""
-    rows = corpus.orderBy(F.xxhash64("seq_id")).limit(most).select("length").collect()
-    return Lengths("learned", values=tuple(r["length"] for r in rows))
+def learned_lengths(corpus: DataFrame) -> Lengths:
+    """The distinct lengths of a corpus with their exact counts."""
+    rows = corpus.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()
+    return Lengths("learned", values=tuple(r["length"] for r in rows), counts=tuple(r["n"] for r in rows))
 
 
 @dataclass

@@ -272,6 +272,14 @@ def test_markov_and_lengths(spark):
         synth.Markov.uniform(2)
 
 
+def test_lengths_of_a_large_corpus(spark):
+    many = spark.range(150_000).selectExpr("id AS seq_id", "IF(id = 149999, 7, 40 + CAST(id % 2 AS INT)) AS length")
+    learned = synth.learned_lengths(many)
+    assert learned.values == (7, 40, 41) and learned.counts == (1, 75_000, 74_999)
+    rng = np.random.default_rng(1)
+    assert {learned.sample(rng) for _ in range(50)} == {40, 41}
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "a.fa").write_bytes(b">one first > second\r\nACGT\r\nac\r\n>two\nGG\n\n>empty\n>two\nTT")
     rows = [(r["seq_id"], r["description"], r["seq"], r["length"]) for r in fasta.read_fasta(spark, str(tmp_path / "a.fa")).collect()]
