@@ -112,6 +112,12 @@ def test_mined_rules_and_matches(spark):
         assert found.get(key) == ((min(fits)[3], min(fits)[4]) if fits else None)
 
 
+def test_rules_of_four_tokens(spark):
+    sets = [(sorted(s), "block" if len(s) == 4 else "allow") for n in (3, 4) for s in itertools.combinations("abcd", n)] * 10
+    rules = urls.mine(spark.createDataFrame(sets, "tokens array<string>, verdict string"), 0.05, 0.9).collect()
+    assert [(r["items"], r["verdict"]) for r in rules if r["n"] == 4] == [(list("abcd"), "block")]
+
+
 def test_url_filter_odd_rows(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge(none).count() == 0
