@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 24 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+T = TypeVar("T")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,31 +47,61 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.add(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[id(out)] = path, out
+    out._stored_at = path
     return out
 
 
-#: Path of each stored table by its DataFrame, which is held so that its id stays its own.
-_WRITTEN: dict[int, tuple[str, DataFrame]] = {}
+#: Paths of the tables that :func:`stored` wrote and that are still there.
+_WRITTEN: set[str] = set()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that no result needs any more."""
+    """Delete stored tables that no result needs any more; other tables are left alone."""
     for df in tables:
-        path, _ = _WRITTEN.pop(id(df))
-        _delete(df.sparkSession, path)
+        if (path := getattr(df, "_stored_at", None)) in _WRITTEN:
+            _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table that :func:`stored` wrote; results not yet read become unreadable."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.popitem()[1][0])
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def folders_read(df: DataFrame) -> set[str]:
+    """Last parts of the folders that a DataFrame's plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out = set()
+    for i in range(leaves.size()):
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+            roots = leaves.apply(i).relation().location().rootPaths()
+            out |= {roots.apply(j).getName() for j in range(roots.size())}
+    return out
+
+
+def tidy(make: Callable[..., T]) -> Callable[..., T]:
+    """Decorates what stores tables: those that its result, a DataFrame or a plain value, doesn't read are deleted on return."""
+
+    @wraps(make)
+    def run(*args, **options):
+        before = set(_WRITTEN)
+        out = make(*args, **options)
+        needed = folders_read(out) if isinstance(out, DataFrame) else set()
+        spark = out.sparkSession if isinstance(out, DataFrame) else SparkSession.active()
+        for path in _WRITTEN - before:
+            if path.rpartition("/")[2] not in needed:
+                _delete(spark, path)
+        return out
+
+    return run
 
 
 @contextmanager
@@ -86,10 +119,16 @@ def arrow_bytes(spark: SparkSession, most: str = "16m") -> Iterator[None]:
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its measured size allows it, else as it is.
 
-    ``df`` should be a stored table, as measuring reads it.
+    Strings and binaries count by their bytes, arrays, maps and structs by the bytes of their
+    JSON, any other column as 16 bytes. ``df`` should be a stored table, as measuring reads it.
     """
-    text = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
-    width = sum((F.coalesce(c, F.lit(0)) for c in text), F.lit(16 * len(df.columns)))
+    widths = []
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            widths.append(F.octet_length(F.col(f"`{c}`")))
+        elif kind.startswith(("array", "map", "struct")):
+            widths.append(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))))
+    width = sum((F.coalesce(w, F.lit(0)).cast("long") for w in widths), F.lit(16 * len(df.columns)).cast("long"))
     row = df.agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
     return F.broadcast(df) if row["n"] <= max_rows and (row["b"] or 0) <= max_bytes else df
 
@@ -106,5 +145,22 @@ def ascii_words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " +"), "")
 
 
+#: Everything that separates words: ASCII characters but letters and digits.
+_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def raw_words(text: Column) -> Column:
+    """The words of :func:`ascii_words` in the case they are written in; :func:`lower_word` of each gives the same words.
+
+    Where words are exploded anyway this is faster, as most are pure ASCII.
+    """
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _GAPS), "")
+
+
+def lower_word(word: Column) -> Column:
+    """A-Z of a word in lower case."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _UPPER.lower()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index stores postings ``(term, doc, position)`` of training tokens for the terms that the
-test windows are looked up by, and each document's length under a term of its own. A window's
+One pass over the texts stores the postings ``(term, doc, position)`` of all training tokens
+that any test window holds, and each document's length under a term of its own. A window's
 two rarest terms fetch their lists, which are shifted by the terms' offsets and intersected;
 what remains is compared word by word. DataFrame functions only.
 """
@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ascii_words, sized, stored
+from seqloom.llm.common import ascii_words, lower_word, raw_words, sized, stored, tidy
 
 #: Stands for a document's end; no word holds this character.
 END = "#"
+#: Words of one part of a document that is compared with windows.
+PART = 4096
 
 
 def windows(bench: DataFrame, size: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -33,22 +35,21 @@ def windows(bench: DataFrame, size: int = 13, id_col: str = "item_id", text_col:
     )
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each of ``terms`` occurs in all of ``docs``: ``(term, cnt)``."""
-    return (
-        docs.select(F.explode(ascii_words(F.col(text_col))).alias("term"))
-        .join(sized(terms), "term", "left_semi")
-        .groupBy("term").agg(F.count("*").alias("cnt"))
-    )
+def vocabulary(wins: DataFrame) -> DataFrame:
+    """``(term, t)``: the words of all windows, each with a number; END has -1."""
+    words = wins.select(F.explode("wwords").alias("term")).distinct()
+    end = wins.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(-1).cast("long").alias("t"))
+    return stored(words.select("term", F.monotonically_increasing_id().alias("t")).unionByName(end), "vocabulary")
 
 
-def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: ``(term, doc, pos)`` of ``terms``, and ``(END, doc, length)`` of each row."""
-    wanted = stored(terms.unionByName(terms.sparkSession.range(1).select(F.lit(END).alias("term"))).distinct(), "terms")
-    tokens = docs.select(
-        F.col(id_col).alias("doc"), F.posexplode(F.array_append(ascii_words(F.col(text_col)), END)).alias("pos", "term")
-    )
-    return stored(tokens.join(sized(wanted), "term", "left_semi").select("term", "doc", "pos"), "postings")
+def postings(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index ``(t, doc, pos)``: every place of every word of the vocabulary, and the length of each row as END's place.
+
+    The texts are split into words here and nowhere else but in the documents that a window may occur in.
+    """
+    tokens = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.array_append(raw_words(F.col(text_col)), END)).alias("pos", "term"))
+    tokens = tokens.select("doc", "pos", lower_word(F.col("term")).alias("term"))
+    return stored(tokens.join(sized(vocabulary), "term").select("t", "doc", "pos"), "postings")
 
 
 class Index:
@@ -58,46 +59,56 @@ class Index:
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
         self.items = stored(wins, "windows")
         self.wins = self.items.select("win", "n", "wwords").distinct()
-        offsets = self.wins.select("win", "n", F.posexplode("wwords").alias("off", "term"))
-        counts = term_counts(docs, stored(offsets.select("term").distinct(), "vocabulary"), text_col)
+        terms = vocabulary(self.items)
+        self.index = postings(docs, terms, id_col, text_col)
+        # Pre-aggregated by term, so a word that fills a third of all texts is a few rows of the shuffle.
+        counts = stored(self.index.groupBy("t").agg(F.count("*").alias("cnt")), "counts")
+        offsets = self.wins.select("win", "n", F.posexplode("wwords").alias("off", "term")).join(sized(terms), "term")
         rare = W.partitionBy("win").orderBy("cnt", "off")
         # A window with a term that never occurs cannot occur.
         self.keys = stored(
-            offsets.join(counts, "term", "left")
+            offsets.join(sized(counts), "t", "left")
             .withColumn("rank", F.row_number().over(rare))
             .withColumn("least", F.min(F.coalesce("cnt", F.lit(0))).over(W.partitionBy("win")))
             .filter((F.col("rank") <= 2) & (F.col("least") > 0))
-            .select("win", "n", "off", "term", "rank"),
+            .select("win", "n", "off", "t", "rank"),
             "keys",
         )
-        self.index = postings(docs, self.keys.select("term").distinct(), id_col, text_col)
 
     def lengths(self) -> DataFrame:
         """``(doc, n_words)``, one row per row of the documents."""
-        return self.index.filter(F.col("term") == END).select("doc", F.col("pos").cast("long").alias("n_words"))
+        return self.index.filter("t = -1").select("doc", F.col("pos").cast("long").alias("n_words"))
 
-    def _texts(self, found: DataFrame) -> DataFrame:
-        """``found`` ``(doc, ...)`` as ``(doc, words, found)``, for the documents with any row."""
+    def _texts(self, found: DataFrame, at: str, before: int, after: int) -> DataFrame:
+        """``found`` ``(doc, at, ...)`` as ``(doc, first, words, found)``: parts of the documents with any row, from word ``first`` on.
+
+        A part holds the rows that are ``at`` one of PART words, and ``before`` words more in
+        front and ``after`` behind, so no row grows with the document or its matches.
+        """
         rest = [c for c in found.columns if c != "doc"]
-        lists = stored(found.groupBy("doc").agg(F.collect_list(F.struct(*rest)).alias("found")), "candidates")
+        part = F.floor(F.col(at) / PART).cast("int").alias("part")
+        lists = stored(found.groupBy("doc", part).agg(F.collect_list(F.struct(*rest)).alias("found")), "candidates")
+        ids = sized(stored(lists.select("doc").distinct(), "ids"))
         docs = self.docs.select(F.col(self.id_col).alias("d"), F.col(self.text_col).alias("t"))
-        ids = sized(lists.select("doc"))
-        return (
-            docs.join(ids, docs["d"].eqNullSafe(ids["doc"]), "left_semi")
-            .join(lists, F.col("d").eqNullSafe(lists["doc"]))
-            .select("doc", ascii_words(F.col("t")).alias("words"), "found")
-        )
+        words = docs.join(ids, docs["d"].eqNullSafe(ids["doc"]), "left_semi").select("d", ascii_words(F.col("t")).alias("words"))
+        first = lambda p: F.greatest(p * PART - before, F.lit(0))
+        cut = lambda p: F.slice("words", first(p) + 1, p * PART - first(p) + PART + after)
+        # Cut inside the row, so that no copy of a long text is made for each of its parts.
+        cuts = F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / PART).cast("int")), lambda p: F.struct(p.alias("p"), first(p).alias("first"), cut(p).alias("words")))
+        parts = words.select("d", F.explode(cuts).alias("x")).select("d", "x.*")
+        return parts.join(lists, F.col("d").eqNullSafe(lists["doc"]) & (F.col("p") == lists["part"])).select("doc", "first", "words", "found")
 
     def phrases(self) -> DataFrame:
         """``(doc, start, n, win)``: every exact occurrence of a window; start counts words from 0."""
-        keys = sized(self.keys)
-        lists = self.index.join(keys, "term").select("doc", (F.col("pos") - F.col("off")).alias("start"), "win", "n")
+        lists = self.index.join(sized(self.keys), "t").select("doc", (F.col("pos") - F.col("off")).alias("start"), "win", "n")
         both = (
             lists.filter(F.col("start") >= 0).groupBy("doc", "start", "win", "n").agg(F.count("*").alias("c"))
             .filter(F.col("c") >= F.least(F.lit(2), "n")).drop("c")
         )
-        texts = self._texts(both.join(sized(self.wins.select("win", "wwords")), "win"))
-        same = F.filter("found", lambda f: F.slice("words", f["start"] + 1, f["n"]) == f["wwords"])
+        longest = self.wins.agg(F.max("n")).first()[0] or 1
+        texts = self._texts(both, "start", 0, longest)
+        own = lambda f: F.slice("words", f["start"] - F.col("first") + 1, f["n"])
+        same = F.filter("found", lambda f: (F.size(own(f)) == f["n"]) & (F.md5(F.concat_ws(" ", own(f))) == f["win"]))
         return texts.select("doc", F.explode(same).alias("f")).select("doc", "f.start", "f.n", "f.win").distinct()
 
     def near(self, slop: int) -> DataFrame:
@@ -105,20 +116,20 @@ class Index:
 
         An exact occurrence is also such a match.
         """
-        keys = sized(self.keys.filter("rank = 1"))
-        texts = self._texts(
-            self.index.join(keys, "term").select("doc", F.col("pos").alias("at"), "win", "n")
-            .join(sized(self.wins.select("win", "wwords")), "win")
-        )
+        keys = sized(stored(self.keys.filter("rank = 1").join(self.wins, ["win", "n"]), "rarest"))
+        reach = (self.wins.agg(F.max("n")).first()[0] or 1) + slop - 1
+        found = self.index.join(keys, "t").select("doc", F.col("pos").alias("at"), "win", "n", "wwords")
+        texts = self._texts(found, "at", reach, reach)
 
         def close(f):
-            reach = f["n"] + slop - 1
-            first = F.greatest(f["at"] - reach, F.lit(0))
-            return F.size(F.array_except(f["wwords"], F.slice("words", first + 1, f["at"] - first + reach + 1))) == 0
+            own = f["n"] + slop - 1
+            left = F.greatest(f["at"] - own - F.col("first"), F.lit(0))
+            return F.size(F.array_except(f["wwords"], F.slice("words", left + 1, f["at"] - F.col("first") - left + own + 1))) == 0
 
         return texts.select("doc", F.explode(F.filter("found", close)).alias("f")).select("doc", "f.at", "f.n", "f.win").distinct()
 
 
+@tidy
 def contamination(
     docs: DataFrame, bench: DataFrame, size: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -142,7 +153,7 @@ def contamination(
     found = covered.select(F.col("doc").alias("d1"), "n_hit").join(items.select(F.col("doc").alias("d2"), "n_items", "list"), F.col("d1").eqNullSafe(F.col("d2")))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
-        index.lengths().join(found, F.col("doc").eqNullSafe(F.col("d1")), "left")
+        stored(index.lengths(), "lengths").join(stored(found, "found"), F.col("doc").eqNullSafe(F.col("d1")), "left")
         .select(
             F.col("doc").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"),
