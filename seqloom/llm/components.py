@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import shared_dir
+from seqloom.llm.common import discard, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,11 @@ def components(edges: DataFrame) -> DataFrame:
     ``component`` is the least node reachable. Loops, repeated and reversed edges change
     nothing; rows with a null are left out; no edges give an empty table.
     """
-    shared_dir(edges.sparkSession)  # so that checkpoint() has a folder
-    now = edges.select("u", "v").filter("u <> v").distinct().checkpoint()
+    now = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = None
     while True:
-        now = _small(_large(now)).checkpoint()
+        last, now = now, stored(_small(_large(now)), "edges")
+        discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ascii_words, sized, stored
+from seqloom.llm.common import ascii_words, sized, stored, tidy
 
 SAMPLES = 64
 #: Samples of one row of the aggregate: the JVM compiles no method as long as one for all samples would be.
@@ -118,6 +118,7 @@ def next_in_order(ids: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
     return after.join(sized(stored(following, "firsts")), "part").select("id", "k", "h", "n", F.coalesce("nk", "wrap.k").alias("nk"), F.coalesce("nh", "wrap.h").alias("nh"))
 
 
+@tidy
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import sized, stored
+from seqloom.llm.common import sized, stored, tidy
 from seqloom.llm.urls import host_of
 
 # Fixed names of HTML.
@@ -212,6 +212,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@tidy
 def main_texts(pages: DataFrame, least: float = 0.05) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import sized, stored
+from seqloom.llm.common import sized, stored, tidy
 
 PARTS, ROUNDS, STEEPEST = 16, 6, 64.0
 
@@ -200,6 +200,7 @@ def realise(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", source_col: s
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
+@tidy
 def mixed(docs: DataFrame, max_repeats: float = 4.0, id_col: str = "doc_id", **options) -> DataFrame:
     """:func:`schedule` of a mixture that passes over every row at least once; an empty table gives an empty result."""
     return schedule(plan(docs, max_repeats, id_col=id_col, **options)).withColumnRenamed("id", id_col)

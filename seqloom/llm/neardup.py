@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import arrow_bytes, discard, sized, stored
+from seqloom.llm.common import arrow_bytes, discard, sized, stored, tidy
 from seqloom.llm.components import components
 
 #: Rows of each band; with 5 a pair at 0.8 shares a band with probability 0.33.
@@ -165,6 +165,7 @@ def _confirm(percent: int):
     return run
 
 
+@tidy
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_shingles, component_id, kept.
 

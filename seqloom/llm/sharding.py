@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stored
+from seqloom.llm.common import stored, tidy
 
 
 def longest_first(items: Iterable[tuple[str, int]], n_shards: int) -> dict[str, int]:
@@ -71,6 +71,7 @@ def _placed(rows: DataFrame, plan: tuple[DataFrame, DataFrame], parts: int) -> D
     )
 
 
+@tidy
 def assign(docs: DataFrame, n_shards: int = 8, items_per_shard: int = 4000, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``shard``, which takes the place of one of that name; no row is shuffled.
 
@@ -82,6 +83,7 @@ def assign(docs: DataFrame, n_shards: int = 8, items_per_shard: int = 4000, text
     return _placed(rows, plan, n_shards * items_per_shard).select("row.*", "shard")
 
 
+@tidy
 def shard(
     docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", items_per_shard: int = 4000, rows_per_bucket: int = 8192
 ) -> DataFrame:
