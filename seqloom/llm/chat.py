@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stored
+from seqloom.llm.common import stored, tidy
 
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
@@ -54,8 +54,8 @@ def paths(nodes: DataFrame) -> DataFrame:
     """``(tree, leaf, node, depth)`` for every node on the way from a leaf to its root; depth counts from the leaf.
 
     ``nodes`` is ``(tree, node, parent)``, ``(tree, node)`` being a key. A null parent, or one
-    that isn't there, makes a root. Parents must not form a ring: nodes of a ring have no leaf
-    and appear in no path. The joins reach twice as far each time.
+    that isn't there, makes a root. Nodes of a ring of parents have no root: they, and all
+    that reply to them, appear in no path. The joins reach twice as far each time.
     """
     up = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("to"))
     known = nodes.select(F.col("tree").alias("kt"), F.col("node").alias("kn"))
@@ -63,10 +63,16 @@ def paths(nodes: DataFrame) -> DataFrame:
     inner = up.filter("to is not null").select(F.col("t").alias("kt"), F.col("to").alias("kn")).distinct()
     leaf = F.col("t").eqNullSafe(F.col("kt")) & (F.col("n") == F.col("kn"))
     found = up.join(inner, leaf, "left_anti").select(F.col("t").alias("tree"), F.col("n").alias("leaf"), F.col("n").alias("node"), F.lit(0).alias("depth"))
-    reach = 1
+    reach, left = 1, -1
     while True:
+        # Nodes with an ancestor so far up. One that leads to a root has ancestors at every
+        # smaller depth, some of which drop out now: if none did, only rings are left.
         jump = up.filter("to is not null")
-        if jump.isEmpty():
+        before, left = left, jump.count()
+        if left == before:
+            lost = jump.select(F.col("t").alias("kt"), F.col("n").alias("kn"))
+            return found.join(lost, F.col("tree").eqNullSafe(F.col("kt")) & (F.col("leaf") == F.col("kn")), "left_anti") if left else found
+        if not left:
             return found
         further = (
             found.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
@@ -143,9 +149,12 @@ def digests(formatted: DataFrame) -> DataFrame:
     return formatted.select(F.col("tree").cast("long"), "formatted").mapInArrow(_digests, kinds)
 
 
+@tidy
 def chats(conversations: DataFrame) -> DataFrame:
-    """Every conversation formatted and read back; null roles and texts are empty, repeated rows are turns of their own.
+    """The best branch of every conversation formatted and read back.
 
-    An empty table gives an empty result; a null conv_id is a conversation of its own.
+    A conversation without replies to one turn is a tree of one branch, so that branch is all
+    of it. Null roles and texts are empty, repeated rows are turns of their own. An empty
+    table gives an empty result; a null conv_id is a conversation of its own.
     """
-    return digests(format_trees(stored(linear(conversations.select("conv_id", "turn", "role", "text")), "turns")))
+    return digests(format_trees(stored(linear(conversations.select("conv_id", "turn", "role", "text")), "turns"), branches=1))
