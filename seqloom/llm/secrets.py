@@ -2,9 +2,11 @@
 
 Credentials found by fixed patterns serve as labels. For each kind a prefix tree of their
 strings, over character classes, has its statistically compatible states merged (Hoeffding
-bound) into a probabilistic automaton. Every other token of a text is scored by how much
-likelier its format is under an automaton than under one inferred from ordinary tokens.
-The automata are fitted to a bounded sample; all texts are scanned whole.
+bound) into a probabilistic automaton: first those of equal depth, which keeps what is known
+of lengths, then any. Every other token of a text is scored by how much likelier its format
+is under an automaton than under one inferred from ordinary tokens, and by whether it is as
+likely as the credentials that the automaton comes from. The automata are fitted to a bounded
+sample; all texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stored
+from seqloom.llm.common import stored, tidy
 
 # Fixed patterns: kinds in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -28,8 +30,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "format")
-#: Tokens that the automata score.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
+#: Tokens that the automata score: characters of an assigned secret, a full stop at neither end.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]", re.A)
+#: Parts of a kind's credentials, each scored by an automaton of the others, that its floor comes from.
+FOLDS = 4
+#: Nats by which a token as a whole may fall below the floor: about half a step that no credential of the sample takes.
+MARGIN = 2.0
+#: Standard deviations by which two states' ends may differ.
+ENDS = 3.0
+#: Largest part of all other tokens that may be hidden credentials of a kind.
+HIDDEN = 1 / 3
+#: Tokens whose judgement a task keeps.
+_MEMO = 100_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -72,7 +84,7 @@ class State:
 
 
 class Automaton:
-    """A probabilistic automaton inferred from strings by merging compatible states (red and blue sets)."""
+    """A probabilistic automaton inferred from strings by merging compatible states: of equal depth, then by red and blue sets."""
 
     def __init__(self, strings: list[str], confidence: float = 0.05) -> None:
         self.confidence = confidence
@@ -89,19 +101,40 @@ class Automaton:
                 at = state.next[c]
             self.states[at].count += 1
             self.states[at].ends += 1
+        self._into = list(range(len(self.states)))
+        self._level()
         self._infer()
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         bound = math.sqrt(0.5 * math.log(2 / self.confidence))
         return abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
+    @staticmethod
+    def _end_apart(x: State, y: State) -> bool:
+        """Whether the parts of strings that end differ by more than ENDS standard deviations of their common mean.
+
+        Formats are told apart by length above all, and this sees it from six strings on, the Hoeffding bound only from fifteen.
+        """
+        p = (x.ends + y.ends) / (x.count + y.count)
+        return abs(x.ends / x.count - y.ends / y.count) > ENDS * math.sqrt(p * (1 - p) * (1 / x.count + 1 / y.count))
+
+    def _at(self, i: int) -> int:
+        """The state that ``i`` has been merged into."""
+        while self._into[i] != i:
+            self._into[i] = self._into[self._into[i]]
+            i = self._into[i]
+        return i
+
     def _compatible(self, a: int, b: int) -> bool:
-        todo = [(a, b)]
+        """Whether no two states reached alike from both differ in how often a string ends or goes on by a symbol."""
+        todo, seen = [(a, b)], set()
         while todo:
-            x, y = (self.states[i] for i in todo.pop())
-            if not x.count or not y.count:
+            pair = tuple(map(self._at, todo.pop()))
+            if pair in seen or pair[0] == pair[1]:
                 continue
-            if self._differ(x.ends, x.count, y.ends, y.count):
+            seen.add(pair)
+            x, y = (self.states[i] for i in pair)
+            if self._end_apart(x, y):
                 return False
             for c in x.next.keys() | y.next.keys():
                 if self._differ(x.times[c], x.count, y.times[c], y.count):
@@ -110,12 +143,15 @@ class Automaton:
                     todo.append((x.next[c], y.next[c]))
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Add the tree below ``b`` to the states from ``a`` on."""
+    def _merge(self, a: int, b: int) -> None:
+        """Make ``b`` one with ``a``, and so on with what both lead to by the same symbol, so that a string has one way."""
         todo = [(a, b)]
         while todo:
-            i, j = todo.pop()
+            i, j = map(self._at, todo.pop())
+            if i == j:
+                continue
             x, y = self.states[i], self.states[j]
+            self._into[j] = i
             x.count += y.count
             x.ends += y.ends
             x.times.update(y.times)
@@ -125,44 +161,93 @@ class Automaton:
                 else:
                     x.next[c] = to
 
+    def _level(self) -> None:
+        """Merge compatible states of equal depth, the largest first, from the root down.
+
+        Strings of random characters part ways after a few steps, and states with a handful of
+        strings look alike at any depth; merged level by level they show where strings end.
+        """
+        level = [0]
+        while level:
+            below = sorted({self._at(to) for i in level for to in self.states[i].next.values()}, key=lambda i: (-self.states[i].count, i))
+            kept: list[int] = []
+            for b in below:
+                for r in kept:
+                    if self._compatible(r, b):
+                        self._merge(r, b)
+                        break
+                else:
+                    kept.append(b)
+            level = kept
+
     def _infer(self) -> None:
+        """Red states are settled; the largest state next to them is merged with a red one or settled itself."""
         red = [0]
         while True:
-            blue = sorted({(i, c) for i in red for c, to in self.states[i].next.items() if to not in red}, key=lambda x: (red.index(x[0]), x[1]))
+            blue = {self._at(to) for i in red for to in self.states[i].next.values()} - set(red)
             if not blue:
                 break
-            i, c = max(blue, key=lambda x: self.states[self.states[x[0]].next[x[1]]].count)
-            b = self.states[i].next[c]
+            b = min(blue, key=lambda i: (-self.states[i].count, i))
             for r in red:
                 if self._compatible(r, b):
-                    self.states[i].next[c] = r
-                    self._fold(r, b)
+                    self._merge(r, b)
+                    red = list(dict.fromkeys(map(self._at, red)))
                     break
             else:
                 red.append(b)
         number = {i: k for k, i in enumerate(red)}
-        self.states = [self.states[i] for i in red]
-        for s in self.states:
-            s.next = {c: number[to] for c, to in s.next.items()}
+        for s in (kept := [self.states[i] for i in red]):
+            s.next = {c: number[self._at(to)] for c, to in s.next.items()}
+        self.states = kept
+        del self._into
 
     def score(self, s: str) -> float:
-        """Log likelihood of a string; an unseen step has half a count among 32 symbols and leads to the start."""
+        """Log likelihood of a string; an unseen step has half a count among 32 symbols and leads where most steps lead, or to the start."""
         at, total = 0, 0.0
         for c in s:
             state = self.states[at]
             total += math.log((state.times[c] + 0.5) / (state.count + 16))
-            at = state.next.get(c, 0)
+            at = state.next[c] if c in state.next else state.next[max(state.times, key=lambda x: (state.times[x], x))] if state.next else 0
         state = self.states[at]
         return total + math.log((state.ends + 0.5) / (state.count + 16))
 
 
+def _floor(strings: list[str]) -> float:
+    """Likelihood a character that 19 of 20 credentials reach under an automaton of others of their kind."""
+    each = []
+    for f in range(FOLDS):
+        rest = [s for i, s in enumerate(strings) if i % FOLDS != f]
+        a = Automaton(rest or strings)
+        each += [a.score(s) / len(s) for s in strings[f::FOLDS]]
+    return sorted(each)[len(each) // 20]
+
+
 @dataclass
 class Grammars:
-    """``kinds``: automaton of each kind; ``plain``: that of ordinary tokens; a format counts from ``gain`` nats a character on."""
+    """``kinds``: automaton of each kind; ``plain``: that of ordinary tokens; ``floors``: likelihood a character that 19 of
+    20 of each kind's credentials reach, where known; a format counts from ``gain`` nats a character on.
+    """
 
     kinds: dict[str, Automaton]
     plain: Automaton | None
     gain: float = 0.25
+    floors: dict[str, float] = field(default_factory=dict)
+
+    @classmethod
+    def fit(cls, strings: dict[str, list[str]], plain: list[str]) -> Grammars:
+        """Grammars of every kind that has a credential, from symbols of credentials by kind and of other tokens.
+
+        Other tokens are ordinary ones and credentials that no fixed pattern finds. Those that
+        are typical of a kind are left out of the ordinary tokens' grammar, unless they are
+        more than HIDDEN of all, when it is the kind that looks like ordinary tokens.
+        """
+        kinds = {k: Automaton(v) for k, v in strings.items() if v}
+        floors = {k: _floor(strings[k]) for k in kinds}
+        for k, a in kinds.items():
+            alike = {s for s in set(plain) if a.score(s) >= floors[k] * len(s) - MARGIN}
+            if sum(s in alike for s in plain) <= HIDDEN * len(plain):
+                plain = [s for s in plain if s not in alike]
+        return cls(kinds, Automaton(plain) if plain else None, floors=floors)
 
     def likely(self, token: str) -> float:
         """Nats a character by which the best kind beats ordinary tokens."""
@@ -170,17 +255,27 @@ class Grammars:
         plain = self.plain.score(s) if self.plain else 0.0
         return (max(a.score(s) for a in self.kinds.values()) - plain) / len(s) if self.kinds else -1.0
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """All spans: those of the fixed patterns, and tokens apart from them that a grammar finds likely."""
+    def typical(self, token: str) -> bool:
+        """Whether some kind finds the token about as likely as the credentials it was inferred from."""
+        s = symbols(token)
+        return any(k not in self.floors or a.score(s) >= self.floors[k] * len(s) - MARGIN for k, a in self.kinds.items())
+
+    def spans(self, text: str, memo: dict[str, bool] | None = None) -> list[tuple[int, int, str]]:
+        """All spans: those of the fixed patterns, and tokens apart from them that a grammar finds likely and typical.
+
+        ``memo`` keeps what was found of each token.
+        """
         base = base_spans(text)
         out = [(s, e, k) for s, e, k, _ in base]
-        memo: dict[str, bool] = {}
+        memo = {} if memo is None else memo
         for m in CANDIDATE.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _, _ in base):
+            if base and any(s < m.end() and m.start() < e for s, e, _, _ in base):
                 continue
-            if m[0] not in memo:
-                memo[m[0]] = self.likely(m[0]) >= self.gain
-            if memo[m[0]]:
+            if (found := memo.get(m[0])) is None:
+                if len(memo) >= _MEMO:
+                    memo.clear()
+                found = memo[m[0]] = self.likely(m[0]) >= self.gain and self.typical(m[0])
+            if found:
                 out.append((m.start(), m.end(), "format"))
         return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -199,11 +294,13 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
 
 
+@tidy
 def infer(docs: DataFrame, per_kind: int = 2000, share: float = 1.0, text_col: str = "text") -> Grammars:
     """Grammars from a sample: at most ``per_kind`` distinct tokens of each kind, those of the smallest hashes,
     from all texts; a caller may ask for a smaller ``share`` of them, by hash.
 
-    Where the sample has no credential there is no grammar and nothing is added to the base spans.
+    Every kind with a credential gets a grammar; where there is no credential of any kind nothing
+    is added to the base spans.
     """
     texts = docs.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(10_000)) < int(share * 10_000))
     tokens = stored(texts.mapInArrow(_sample, "kind string, token string").distinct(), "tokens")
@@ -213,7 +310,7 @@ def infer(docs: DataFrame, per_kind: int = 2000, share: float = 1.0, text_col: s
         for kind in (*KINDS[:3], "plain")
     }
     plain = strings.pop("plain", [])
-    return Grammars({k: Automaton(v) for k, v in strings.items() if len(v) >= 5}, Automaton(plain) if plain else None)
+    return Grammars.fit(strings, plain)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -226,10 +323,11 @@ def scan(docs: DataFrame, grammars: Grammars, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, bool] = {}
         for batch in batches:
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = grammars.spans(text.as_py() or "")
+                found = grammars.spans(text.as_py() or "", memo)
                 n = Counter(k for _, _, k in found)
                 join = lambda x: ",".join(f"{k}:{s}:{e}" for s, e, k in x)
                 base = hashlib.sha256(join([x for x in found if x[2] != "format"]).encode()).hexdigest()

@@ -18,7 +18,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import chat, components, decontaminate, fingerprint, htmltext, mixing, neardup, queries, secrets, sharding, toxicity, urls
-from seqloom.llm.common import ascii_words, release
+from seqloom.llm import common
+from seqloom.llm.common import ascii_words, release, sized
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -176,6 +177,42 @@ def test_proximity(spark):
     assert {r["doc"] for r in index.near(2).collect()} == {1, 2, 3}
 
 
+def test_parts_of_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART", 8)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r[0]: tuple(r)[1:6] for r in decontaminate.contamination(docs_of(spark, rows), bench, size=4).collect()}
+    assert got == brute_hits(rows, items, 4)
+    index = decontaminate.Index(docs_of(spark, rows), decontaminate.windows(bench, 4))
+    want = set()
+    for k in index.keys.filter("rank = 1").join(index.wins, ["win", "n"]).withColumn("term", F.col("wwords")[F.col("off")]).collect():
+        for i, t in rows:
+            w = words(t)
+            want |= {(i, at, k["win"]) for at in range(len(w)) if w[at] == k["term"] and set(k["wwords"]) <= set(w[max(0, at - k["n"]) : at + k["n"] + 1])}
+    assert {(r["doc"], r["at"], r["win"]) for r in index.near(1).collect()} == want
+
+
+# Stored tables
+def test_wide_arrays_are_not_broadcast(spark):
+    wide = spark.range(50).select("id", F.array_repeat(F.lit("x" * 100), 100).alias("a"))
+    assert "broadcast" in sized(wide.select("id"), 100, 10_000)._jdf.queryExecution().analyzed().toString().lower()
+    for df in (wide, wide.select(F.struct("a").alias("s")), wide.select(F.create_map("id", "a").alias("m"))):
+        assert "hint" not in sized(df, 100, 10_000)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def left_over(made):
+    before = set(common._WRITTEN)
+    out = made()
+    return {p.rpartition("/")[2] for p in common._WRITTEN - before} - common.folders_read(out)
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_leave_what_their_result_reads(spark, name):
+    assert not left_over(lambda: queries.queries()[name](spark, SF))
+
+
 # 3: HTML
 def test_blocks_of_a_page():
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{a:b}</style></head><body><nav><a href="/">Home</a></nav><!-- ad > -->
@@ -379,6 +416,49 @@ def test_grammars_of_rare_kinds(spark):
     assert set(secrets.infer(docs_of(spark, rows)).kinds) == {"hex"}
 
 
+UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ANY = UPPER + UPPER.lower() + DIGITS
+FORMATS = {
+    "sk": lambda d: "sk-" + d(ANY, 32), "ghp": lambda d: "ghp_" + d(ANY, 36), "base64": lambda d: d(ANY + "+/", 38) + "==", "upper": lambda d: d(UPPER + DIGITS, 24),
+    "dotted": lambda d: ".".join(("eyJ" + d(ANY, 17), "eyJ" + d(ANY, 40), d(ANY + "_-", 43))),
+}
+ORDINARY = [
+    lambda r, d: f"/blog/{r.randint(2000, 2030)}/{r.randint(10, 12)}/my-post-about-things.html", lambda r, d: f"2024-01-{r.randint(10, 28)}T{r.randint(10, 23)}-00",
+    lambda r, d: f"SomeCamelCaseIdentifier{r.randint(0, 99)}", lambda r, d: f"mail{r.randint(0, 9)}.example.com", lambda r, d: "snake_case_name_of_" + d("etaoinshrdlu", 8),
+    lambda r, d: "+49-30-" + d(DIGITS, 8), lambda r, d: "INTRODUCTION-AND-OVERVIEW", lambda r, d: d("etaoinshrdlu", r.randint(12, 24)), lambda r, d: f"{r.randint(100, 255)}.{r.randint(100, 255)}.{r.randint(100, 255)}.{r.randint(1, 9)}",
+]
+
+
+@pytest.mark.parametrize("name", sorted(FORMATS))
+def test_credentials_without_their_prefix(spark, name):
+    """Formats labelled by ``token=`` are found where they stand alone; ordinary tokens are not."""
+    rng = random.Random(8)
+    d = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, f"some {ORDINARY[i % 9](rng, d)} and {d('etaoinshrdlu', rng.randint(12, 24))} token={FORMATS[name](d)} end") for i in range(40)]
+    alone = {1000 + i: FORMATS[name](d) for i in range(200)}
+    plain = {2000 + i: ORDINARY[i % 9](rng, d) for i in range(900)}
+    df = docs_of(spark, rows + [(i, f"see {t}. Then") for i, t in (alone | plain).items()])
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(df, secrets.infer(df)).collect()}
+    right = sum(got[i] == f"format:4:{4 + len(t)}" for i, t in alone.items() if not brute_base(t))
+    assert right >= 0.9 * sum(not brute_base(t) for t in alone.values())
+    assert len({t for i, t in plain.items() if "format" in got[i]}) <= 0.02 * len(set(plain.values()))
+
+
+def test_automata_know_lengths():
+    rng = random.Random(9)
+    draw = lambda n: secrets.symbols("".join(rng.choice("0123456789abcdef") for _ in range(n)))
+    a = secrets.Automaton([draw(40) for _ in range(100)])
+    assert len(a.states) == 41
+    assert min(a.score(draw(40)) / 40 for _ in range(50)) > max(a.score(draw(n)) / n for n in (20, 30, 39, 41, 60))
+    mixed = secrets.Automaton([draw(rng.randint(12, 60)) for _ in range(500)])
+    assert len(mixed.states) < 60
+
+
+def test_no_format_is_hidden_in_the_tables(spark):
+    """All credentials of the tables are in reach of the fixed patterns, so the grammars have none to add."""
+    assert not queries.op6_secrets(spark, "/root/testdata/sf0.01").filter("spans like '%format%'").count()
+
+
 # 7: mixing
 def brute_exponent(tokens, repeats):
     shares = [t / sum(tokens) for t in tokens if t]
@@ -538,6 +618,17 @@ def test_trees(spark):
     assert [[t for _, t, _, _ in chat.parse(r["formatted"])] for r in made] == [[f"t{n}" for n in reversed(up(i))] for i in best]
 
 
+def test_rings_of_replies(spark):
+    rows = [(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 4, 3), (1, 5, 4), (1, 10, None), (1, 11, 10), (1, 12, 12), (2, 1, None), (2, 2, 1), (2, 3, 2), (None, 1, 2), (None, 2, 1), (None, 7, None)]
+    rows += [(3, i, i - 1 if i else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long")
+    got = collections.defaultdict(dict)
+    for r in chat.paths(df).collect():
+        got[r["tree"], r["leaf"]][r["depth"]] = r["node"]
+    assert {k: [v[d] for d in sorted(v)] for k, v in got.items()} == {(1, 11): [11, 10], (2, 3): [3, 2, 1], (None, 7): [7], (3, 39): list(range(39, -1, -1))}
+    assert chat.paths(df.filter("tree = 1 and node < 6")).count() == 0
+
+
 # 10: near duplicates
 def brute_components(rows, k, percent):
     sets = {}
