@@ -1,18 +1,30 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the text below them and the page names the path, of
-generalised tag and class names, of its best one. Spark counts these votes by host. Every
-page is then read again with its host's winning paths: the text of all containers on the
-first of these that gives any; else of the page's own best container.
+Each page's containers are scored by the text below them, links left out, and the page names
+the path, of generalised tag and class names, of its best one. Spark counts by host how many
+votes a path gets and how many pages have it: what is the best container of most pages that
+have it is the article of a layout, what is there on all pages but seldom best is a sidebar
+that is long now and then. Every page is then read again with its host's winning paths, the
+surest first: the text of all containers on the first that gives any; else of the page's own
+best container.
+
+What is never an article's by its element (menus, footers, forms, scripts) or by a class of
+its own (``ad``, ``comments``) is left out at once. A longer class that only holds such a word
+(``share-price``, ``share-buttons``) makes a container suspect: inside the winning container it
+goes if Spark sees its text repeated over the host's pages, if it is mostly links, or if it
+names adverts or comments; it stays if it holds most of the page. Headings, paragraphs and
+tables never go by a part of a longer class.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +41,7 @@ CONTAINER = frozenset("html body div section article main center table tbody the
 BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote address caption figcaption hr summary legend option hgroup".split())
 #: Elements whose text is never the article's.
 OUT = frozenset("head nav footer aside form button select dialog svg canvas object menu audio video math".split())
-#: Words of class, id and role that mark such text.
+#: Classes, ids and roles that mark such text.
 OUT_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer"
     " header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply respond search"
@@ -37,6 +49,10 @@ OUT_WORDS = frozenset(
 )
 #: Classes of an article that is a reader's comment.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies".split())
+#: Words that say it even as the first or last part of a longer class.
+STRONG = COMMENT_WORDS | frozenset("ad ads advert advertisement advertising sponsor sponsored cookie cookies consent".split())
+#: Containers that a longer class makes suspect.
+WRAPPER = frozenset("div section center ul ol dl figure fieldset details".split())
 #: Elements that an article ends if they were left open before it.
 UNCLOSED = ("nav", "header", "form", "aside", "menu", "head")
 _TAG = re.compile(
@@ -45,49 +61,100 @@ _TAG = re.compile(
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 _ATTR = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: A child container takes its parent's place if it holds this part of the parent's text.
 HOLDS = 0.75
+#: Pages of a host that a suspect path needs to be judged by.
+LEAST_PAGES = 3
+SUSPECT, SURE = 1, 2
 
 
 class Node:
-    __slots__ = ("kids", "path", "size", "tag")
+    """A container. ``size`` counts its characters outside of links, ``linked`` those inside, ``mix`` stands for its text."""
+
+    __slots__ = ("key", "kids", "label", "linked", "mix", "parent", "size", "suspect", "tag")
+
+    def __init__(self, tag: str, label: str, parent: Node | None, suspect: int) -> None:
+        self.tag, self.label, self.parent, self.suspect = tag, label, parent, suspect
+        self.size = self.linked = self.mix = 0
+        self.kids: list[Node] = []
+        self.key = _step(parent.key, label) if parent else 0
+        if parent:
+            parent.kids.append(self)
+
+    @property
+    def path(self) -> str:
+        labels, at = [], self
+        while at.parent:
+            labels.append(at.label)
+            at = at.parent
+        return "".join("/" + x for x in reversed(labels))
+
 
-    def __init__(self, tag: str, path: str) -> None:
-        self.tag, self.path, self.size, self.kids = tag, path, 0, []
+def _step(key: int, label: str) -> int:
+    return xxhash.xxh3_64_intdigest(label, seed=key)
 
 
-def _names(attrs: str) -> tuple[str, set[str]]:
-    """The generalised class (digits as #, sorted) and the words of class, id and role."""
-    cls, words = "", set()
+def path_key(path: str) -> int:
+    """The key of the nodes on a path: a chain of hashes, so that deep pages take no longer a node."""
+    key = 0
+    for label in path.split("/")[1:]:
+        key = _step(key, label)
+    return key
+
+
+def _names(attrs: str) -> tuple[str, set[str], int]:
+    """The generalised class (digits as #, sorted), the words that name what the element is, and how suspect longer ones make it."""
+    cls, named, suspect = "", set(), 0
     for m in _ATTR.finditer(attrs):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "class":
-            cls = ".".join(sorted({re.sub(r"\d+", "#", c) for c in value.split()}))
-        if m[1].lower() != "style":
-            words.update(re.findall(r"[a-z]+", value))
-    return cls, words
+        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if kind == "style":
+            continue
+        if kind == "class":
+            cls = ".".join(sorted({re.sub(r"\d+", "#", c).replace("/", "|") for c in value.lower().split()}))
+        for token in value.split():
+            if token.lower() in OUT_WORDS:
+                named.add(token.lower())
+                continue
+            parts = [p.lower() for p in _PART.findall(token)]
+            if OUT_WORDS.intersection(parts):
+                suspect = max(suspect, SURE if STRONG.intersection((parts[0], parts[-1])) else SUSPECT)
+    return cls, named, suspect
 
 
-def blocks(html: str) -> tuple[Node, list[tuple[str, tuple[Node, ...]]]]:
-    """The tree of containers and the blocks of text, each with the containers around it, in page order.
+def blocks(html: str) -> tuple[Node, list[tuple[str, Node]]]:
+    """The tree of containers and the blocks of text, each with the innermost container around it, in page order.
 
     Menus, page headers, footers, sidebars, notices, adverts, forms, comments and what is
-    not text are left out already.
+    not text are left out already where an element or a class of its own says so.
     """
-    root = Node("", "")
-    stack: list[Node] = [root]
-    out: list[tuple[str, tuple[Node, ...]]] = []
+    root = Node("", "", None, 0)
+    nodes, stack = [root], [root]
+    open_ = Counter({"": 1})
+    out: list[tuple[str, Node]] = []
     parts: list[str] = []
+    linked = 0
+    in_link = False
     skip: list[str] = []  # open elements from the first left-out one on
+    skipped: Counter[str] = Counter()
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                for n in stack:
-                    n.size += len(text)
-                out.append((text, tuple(stack)))
+                node = stack[-1]
+                links = min(linked, len(text))
+                node.linked += links
+                node.size += len(text) - links
+                node.mix = (node.mix + xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))) % (1 << 64)
+                out.append((text, node))
+        linked = 0
+
+    def leave_out(tag: str) -> None:
+        skip.append(tag)
+        skipped[tag] += 1
 
     at, end = 0, len(html)
     while at < end:
@@ -95,6 +162,8 @@ def blocks(html: str) -> tuple[Node, list[tuple[str, tuple[Node, ...]]]]:
         stop = m.start() if m else end
         if stop > at and not skip:
             parts.append(html[at:stop])
+            if in_link:
+                linked += len(" ".join(html[at:stop].split()))
         if not m:
             break
         at = m.end()
@@ -103,15 +172,19 @@ def blocks(html: str) -> tuple[Node, list[tuple[str, tuple[Node, ...]]]]:
         tag, attrs = m[2].lower(), m[3]
         if m[1]:
             if skip:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
+                if skipped[tag]:
+                    while (last := skip.pop()) != tag:
+                        skipped[last] -= 1
+                    skipped[tag] -= 1
                 continue
+            if tag == "a":
+                in_link = False
             if tag in CONTAINER or tag in BLOCK or tag in OUT or tag == "header":
                 flush()
-            if tag in CONTAINER and any(n.tag == tag for n in stack):
-                while stack.pop().tag != tag:
-                    pass
+            if tag in CONTAINER and open_[tag]:
+                while (last := stack.pop().tag) != tag:
+                    open_[last] -= 1
+                open_[tag] -= 1
             continue
         if tag in RAW:
             close = _RAW_END[tag].search(html, at)
@@ -123,41 +196,56 @@ def blocks(html: str) -> tuple[Node, list[tuple[str, tuple[Node, ...]]]]:
             elif tag == "hr" and not skip:
                 flush()
             continue
+        inner = open_["article"] or open_["main"]
         if skip:
-            if tag in ("article", "main") and skip[0] in UNCLOSED and not any(n.tag in ("article", "main") for n in stack):
+            if tag in ("article", "main") and skip[0] in UNCLOSED and not inner:
                 skip.clear()  # an article inside a menu means that the menu was never closed
+                skipped.clear()
+                in_link = False
             else:
-                if tag in CONTAINER or tag in OUT or tag in skip:
-                    skip.append(tag)
+                if tag in CONTAINER or tag in OUT or skipped[tag]:
+                    leave_out(tag)
                 continue
-        inner = any(n.tag in ("article", "main") for n in stack)
-        cls, words = ("", set())
+        cls, suspect, gone = "", 0, False
         if attrs:
-            cls, words = _names(attrs)
-            if tag in ("html", "body", "main"):
-                gone = False
-            elif tag == "article":
+            cls, named, suspect = _names(attrs)
+            if tag == "article":
                 gone = bool(COMMENT_WORDS & set(cls.split(".")))
-            else:
-                gone = bool(words & OUT_WORDS) or bool(_HIDDEN.search(attrs))
-        else:
-            gone = False
+            elif tag not in ("html", "body", "main"):
+                # Within an article a header is its title's.
+                gone = bool(named - {"header"} if inner else named) or bool(_HIDDEN.search(attrs))
         if tag in OUT or (tag == "header" and not inner) or gone:
             if tag in CONTAINER or tag in BLOCK or tag in OUT or tag == "header":
                 flush()
-            skip.append(tag)
+            leave_out(tag)
             continue
         if tag in CONTAINER:
             flush()
-            node = Node(tag, f"{stack[-1].path}/{tag}{'.' + cls if cls else ''}")
-            stack[-1].kids.append(node)
+            node = Node(tag, f"{tag}{'.' + cls if cls else ''}", stack[-1], suspect if tag in WRAPPER else 0)
+            nodes.append(node)
             stack.append(node)
+            open_[tag] += 1
         elif tag in BLOCK or tag == "header":
             flush()
+        elif tag == "a":
+            in_link = True
     flush()
+    for node in reversed(nodes[1:]):
+        node.parent.size += node.size
+        node.parent.linked += node.linked
+        node.parent.mix = (node.parent.mix + node.mix) % (1 << 64)
     return root, out
 
 
+def _all(root: Node) -> Iterator[Node]:
+    """Every node, parents first."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += node.kids
+
+
 def best(root: Node) -> Node:
     """The deepest container that holds most of the text: from the root down while one child holds HOLDS of it.
 
@@ -173,39 +261,76 @@ def best(root: Node) -> Node:
     return now
 
 
-def extract(html: str | None, paths: list[str] | None) -> str:
+def _below(root: Node, found: list[tuple[str, Node]], chosen: set[Node], repeated: set[int]) -> str:
+    """The text of the chosen containers without the suspect ones in them that go."""
+    inside: set[Node] = set()
+    for node in _all(root):
+        if node in chosen:
+            inside.add(node)
+        elif node.parent in inside:
+            # The page itself is no article: what only the words of its classes tell is all there is to go by.
+            bare = node.suspect and any(n.tag in ("", "html", "body") for n in chosen)
+            links = 2 * node.linked >= node.linked + node.size
+            gone = node.suspect and (bare or links or node.suspect == SURE or node.key in repeated) and 2 * node.size <= root.size
+            if not gone:
+                inside.add(node)
+    return "\n\n".join(t for t, node in found if node in inside)
+
+
+def extract(html: str | None, paths: list[str] | None, repeated: Iterable[int] = ()) -> str:
+    """The main text of a page, by its host's winning ``paths`` in order and the keys of ``repeated`` suspects."""
     root, found = blocks(html or "")
+    gone = set(repeated)
     for path in paths or ():
-        texts = [t for t, around in found if any(n.path == path for n in around)]
-        if texts:
-            return "\n\n".join(texts)
-    own = best(root)
-    return "\n\n".join(t for t, around in found if own in around)
+        key = path_key(path)
+        text = _below(root, found, {n for n in _all(root) if n.key == key and n.parent}, gone)
+        if text:
+            return text
+    return _below(root, found, {best(root)}, gone)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page ``(host, path, key, mix)``: its best path; every path with text, by key; the key and text of each suspect."""
     for batch in batches:
-        hosts, paths = [], []
+        rows = []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            node = best(blocks(html.as_py() or "")[0])
+            root, _ = blocks(html.as_py() or "")
+            node = best(root)
             if node.size:
-                hosts.append(host), paths.append(node.path)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])
+                rows.append((host, node.path, node.key - 2**63, None))
+                rows += [(host, None, k - 2**63, None) for k in {n.key for n in _all(root) if n.size}]
+            rows += [(host, None, n.key - 2**63, n.mix - 2**63) for n in _all(root) if n.suspect == SUSPECT and n.size + n.linked]
+        host, path, key, mix = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(key, pa.int64()), pa.array(mix, pa.int64())], names=["host", "path", "key", "mix"])
 
 
 def consensus(pages: DataFrame, least: float = 0.05) -> DataFrame:
-    """``(host, paths)``: the paths that got ``least`` of a host's votes or more, most votes first, ties by path."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path string")
-    counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"))
+    """``(host, paths, repeated)``: what a host's pages agree on.
+
+    ``paths`` got ``least`` of the host's votes or more; first those that are best on the
+    largest part of the pages that have them, then by votes, then by path. ``repeated`` are
+    keys of suspect paths on LEAST_PAGES and a hundredth of the host's voters or more, with
+    one text for every two pages at most.
+    """
+    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path string, key long, mix long")
+    # Summed before they are shuffled, so that a large host is a few rows of each task.
+    counts = stored(votes.groupBy("host", "path", "key", "mix").agg(F.count("*").alias("n")), "votes")
+    by_path = counts.filter("path is not null").select("host", "path", "key", "n")
+    have = counts.filter("path is null and mix is null").select("host", "key", F.col("n").alias("pages"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("host"))
-    top = counts.withColumn("share", share).filter(F.col("share") >= least)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
-    return top.groupBy("host").agg(ranked.alias("r")).select("host", F.col("r.path").alias("paths"))
+    top = by_path.withColumn("share", share).filter(F.col("share") >= least).join(have, ["host", "key"])
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n") / F.col("pages")).alias("sure"), (-F.col("n")).alias("n"), "path")))
+    won = top.groupBy("host").agg(ranked.alias("r")).select("host", F.col("r.path").alias("paths"))
+    voters = by_path.groupBy("host").agg(F.sum("n").alias("voters"))
+    seen = counts.filter("mix is not null").groupBy("host", "key").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    often = seen.join(voters, "host").filter((F.col("n") >= LEAST_PAGES) & (100 * F.col("n") >= F.col("voters")) & (2 * F.col("texts") <= F.col("n")))
+    return won.join(often.groupBy("host").agg(F.collect_list("key").alias("repeated")), "host", "left")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(h.as_py(), p.as_py()) for h, p in zip(batch.column(2), batch.column(3), strict=True)]
+        won = [[x or [] for x in batch.column(i).to_pylist()] for i in (3, 4)]
+        texts = [extract(h.as_py(), p, [k + 2**63 for k in r]) for h, p, r in zip(batch.column(2), *won, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -220,7 +345,7 @@ def main_texts(pages: DataFrame, least: float = 0.05) -> DataFrame:
     null or textless page has the empty text. A null url's host is empty. Repeated rows are
     read alike (and vote each); an empty table gives an empty result.
     """
-    won = stored(consensus(pages, least), "paths").select(F.col("host").alias("h"), "paths")
+    won = stored(consensus(pages, least), "paths").select(F.col("host").alias("h"), "paths", "repeated")
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    rows = rows.join(sized(won), F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "paths")
+    rows = rows.join(sized(won), F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "paths", "repeated")
     return rows.mapInArrow(_read, "page_id long, url string, text string, n_chars long")
