@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import arrow_bytes, discard, sized, stored, tidy
+from seqloom.llm.common import arrow_bytes, sized, stored, tidy
 from seqloom.llm.components import components
 
 #: Rows of each band; with 5 a pair at 0.8 shares a band with probability 0.33.
@@ -110,10 +110,11 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
         for batch in batches:
-            found = [shingles(t.as_py(), k, memo).view(np.int64) for t in batch.column(1)]
+            found = [shingles(t.as_py(), k, memo) for t in batch.column(1)]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            items = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), items], names=["id", "items"])
+            items = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))
+            digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), digest, items], names=["of", "dig", "items"])
 
     return run
 
@@ -172,9 +173,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Two documents are linked if the Jaccard similarity of their sets of distinct ``k``-word
     shingles is ``percent`` / 100 or more; a shorter text is one shingle, and null or
     wordless texts are linked with nothing. ``component_id`` is the smallest id reachable,
-    the own one included; ``kept`` says whether it is the own one. Rows of one id count as
-    one document and get the same answer; a row with a null id links with nothing and is
-    kept. An empty table gives an empty result. Ids are integers.
+    the own one included; ``kept`` says whether it is the own one. Rows of one id are one
+    document: it has the links of all its texts, and its rows get the same answer but for
+    n_shingles, which is that of the row's text. A row with a null id links with nothing and
+    is kept. An empty table gives an empty result. Ids are integers.
     """
     with arrow_bytes(docs.sparkSession):
         return _near_duplicates(docs, k, percent, id_col, text_col)
@@ -187,14 +189,25 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     kinds = "id long, n long, digest binary, sig binary, keys array<long>"
     sketch = stored(table.mapInArrow(_sketch(k, bands), kinds), "sketches")
     full = sketch.filter(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = stored(full.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = full.join(classes, (full["digest"] == classes["digest"]) & (full["id"] == classes["rep"]), "left_semi")
-    rows = reps.select("id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    # A node stands for a class of texts with equal sets; ``rep`` is the least id that has one.
+    classes = full.groupBy("digest").agg(F.min("id").alias("rep")).select("digest", "rep", F.monotonically_increasing_id().alias("node"))
+    classes = stored(classes, "classes")
+    again = stored(sketch.filter("id is not null").groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "repeated")
+    repeated = not again.isEmpty()
+    owners = classes.withColumnsRenamed({"digest": "dig"})
+    reps = full.join(owners, (F.col("digest") == F.col("dig")) & (F.col("id") == F.col("rep"))).select(F.col("node").alias("id"), "rep", "dig", F.col("n").cast("int").alias("n"), "sig", "keys")
+    # Rows of one id and text are alike in all of this, so any of them will do.
+    reps = stored(reps.dropDuplicates(["id"]) if repeated else reps, "nodes")
+    rows = reps.select("id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1").select("key")
     found = stored(rows.join(shared, "key"), "buckets")
     members = stored(found.select("id").distinct(), "members")
     small = sized(members)
-    sets = stored(table.join(small, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, items array<long>"), "sets")
+    wanted = stored(reps.join(small, "id", "left_semi").select("id", "rep", "dig"), "wanted")
+    whose = sized(stored(wanted.select(F.col("rep").alias("id")).distinct(), "whose"))
+    read = table.join(whose, "id", "left_semi").mapInArrow(_sets(k), "of long, dig binary, items array<long>")
+    read = read.join(sized(wanted), (F.col("of") == F.col("rep")) & (read["dig"] == wanted["dig"])).select("id", "items")
+    sets = stored(read.dropDuplicates(["id"]) if repeated else read, "sets")
     # A shingle that no other member has is in no intersection: what is left bounds a similarity from above.
     shingle = sets.select("id", F.explode("items").alias("x"))
     alone = shingle.groupBy("x").agg(F.count("*").alias("of"), F.min("id").alias("id")).filter("of = 1").groupBy("id").agg(F.count("*").alias("own"))
@@ -211,7 +224,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
         .select(*pair(F.col("id"), F.col("head.id"))).distinct(),
         "leaders",
     )
-    sigs = stored(reps.join(small, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]), "signatures")
+    sigs = stored(reps.join(small, "id", "left_semi").select("id", "sig"), "signatures")
     least = share - SLACK * math.sqrt(share * (1 - share) / (bands * ROWS))
 
     def side(df: DataFrame, col: str, to: str) -> DataFrame:
@@ -223,6 +236,11 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
 
     likely = stored(first.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").mapInArrow(_alike(least), "a long, b long"), "likely")
     edges = links(likely)
+    if repeated:
+        # Texts of one id are linked by it, each with the first of them.
+        texts = stored(full.join(sized(again), "id", "left_semi").select("id", "digest").distinct().join(classes, "digest").select("id", "digest", "node"), "texts")
+        hubs = texts.groupBy("id").agg(F.min("node").alias("u"))
+        edges = stored(edges.unionByName(texts.join(hubs, "id").select("u", F.col("node").alias("v")).filter("u <> v")), "links")
     comp = components(edges)
     # Buckets that still hold several components.
     placed = buckets.join(comp, "id", "left").select("key", "id", "n", "c", F.coalesce("component", "id").alias("comp"))
@@ -233,7 +251,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     those = sized(open_ids)
     long = [f"s{j}" for j in range(LONG)]
     bits = stored(sets.join(those, "id", "left_semi").mapInArrow(_bits, ", ".join(["id long", *[f"{c} long" for c in long]])), "bits")
-    bands_of = reps.join(those, "id", "left_semi").dropDuplicates(["id"]).select("id", "keys")
+    bands_of = reps.join(those, "id", "left_semi").select("id", "keys")
     known = stored(open_.join(bits, "id").join(bands_of, "id"), "known")
     rest = known.filter("comp <> main").select("key", *[F.col(x).alias(f"{x}_") for x in ("id", "n", "c", "comp", "keys", *long)])
     common = F.least("c", "c_")
@@ -254,8 +272,15 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     more = links(across.join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
-    reached = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
-    own = stored(sketch.select("id", "n", "digest"), "rows")
-    discard(sketch, found, members, sets, alone, buckets, first, sigs, likely, edges, open_, open_ids, bits, known, across, more)
-    out = own.join(reached, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("reached", "id").alias("component_id"))
+    # The least id of each component of more than one node.
+    linked = comp.select(F.col("id").alias("node"), "component").unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
+    least_id = classes.join(linked, "node").groupBy("component").agg(F.min("rep").alias("reached"))
+    placed_nodes = linked.join(least_id, "component").select("node", "reached")
+    reached = stored(classes.join(placed_nodes, "node", "left").select("digest", F.coalesce("reached", "rep").alias("reached")), "reached")
+    out = stored(sketch.select("id", "n", "digest"), "rows").join(reached, "digest", "left")
+    if repeated:
+        # A wordless row of an id that has other texts goes with these.
+        by_id = texts.join(reached, "digest").groupBy(F.col("id").alias("own")).agg(F.min("reached").alias("other"))
+        out = out.join(sized(stored(by_id, "by-id")), F.col("id") == F.col("own"), "left").withColumn("reached", F.coalesce("reached", "other"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("reached", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

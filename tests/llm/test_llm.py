@@ -823,6 +823,36 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def brute_components_of_ids(rows, k, percent):
+    """Documents of several texts: linked if any two of their texts are."""
+    sets = [(i, s) for i, t in rows for w in [low(t).encode().split()] for s in [{tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()]]
+    near = {i: {i} for i, _ in sets}
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            near[i].add(j)
+            near[j].add(i)
+
+    def reach(i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        return min(seen)
+
+    return sorted((i, len(s), reach(i), reach(i) == i) for i, s in sets)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(12)
+    base = [" ".join(f"d{b}w{i}" for i in range(40)) for b in range(12)]
+    rows = [(rng.randrange(25), base[rng.randrange(12)] + " tail" * rng.randint(0, 2)) for _ in range(40)]
+    rows += [(1, "T t t t t"), (1, "U u u u u"), (0, "U u u u u"), (5, "T t t t t"), (7, None), (7, ""), (24, " "), (30, None), (30, "only here"), *rows[:6]]
+    for k, percent in ((3, 85), (5, 80)):
+        got = neardup.near_duplicates(docs_of(spark, rows), k, percent).collect()
+        assert sorted(map(tuple, got)) == brute_components_of_ids(rows, k, percent)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(64)] + [(5, 5), (None, 3)]
