@@ -104,6 +104,16 @@ def tidy(make: Callable[..., T]) -> Callable[..., T]:
     return run
 
 
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """:func:`stored`, after which the stored tables that ``df`` read are deleted."""
+    read = folders_read(df)
+    old = [path for path in _WRITTEN if path.rpartition("/")[2] in read]
+    out = stored(df, tag)
+    for path in old:
+        _delete(df.sparkSession, path)
+    return out
+
+
 @contextmanager
 def arrow_bytes(spark: SparkSession, most: str = "16m") -> Iterator[None]:
     """Arrow batches of at most so many bytes for what runs inside."""

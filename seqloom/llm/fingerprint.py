@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ascii_words, sized, stored, tidy
+from seqloom.llm.common import lower_word, raw_words, sized, stored, tidy
 
 SAMPLES = 64
 #: Samples of one row of the aggregate: the JVM compiles no method as long as one for all samples would be.
@@ -61,8 +61,8 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
 
     ``keys`` identify the rows. A null or wordless text has no row.
     """
-    words = texts.select(*keys, F.explode(ascii_words(F.col("text"))).alias("w"))
-    return _least(words.select(*keys, F.lit(0).alias("v"), F.xxhash64("w").alias("term")), keys, 1, samples).withColumnRenamed("fp0", "fp")
+    words = texts.select(*keys, F.explode(raw_words(F.col("text"))).alias("w"))
+    return _least(words.select(*keys, F.lit(0).alias("v"), F.xxhash64(lower_word(F.col("w"))).alias("term")), keys, 1, samples).withColumnRenamed("fp0", "fp")
 
 
 def _least(terms: DataFrame, keys: list[str], texts: int, samples: int, parts: int = 0) -> DataFrame:
@@ -73,7 +73,9 @@ def _least(terms: DataFrame, keys: list[str], texts: int, samples: int, parts: i
     weights = [F.ln(F.count_if(v == i)).alias(f"weight{i}") for i in range(texts)]
     # The texts of one row share their terms; ln 0 is null, which no minimum counts.
     weighted = terms.groupBy(*keys, part.alias("part"), "term").agg(*weights)
-    blocks = F.explode(F.array(*[F.lit(j) for j in range(-(-samples // BLOCK))]))
+    every = F.array(*[F.lit(j) for j in range(-(-samples // BLOCK))])
+    # What stands for no word needs no draws, so one block carries it.
+    blocks = F.explode(F.when(F.col("part") < texts, every).otherwise(F.array(F.lit(0))) if parts else every)
     mins = [F.min(_draw(d, f"weight{i}")).alias(f"m{i}_{d}") for d in range(BLOCK) for i in range(texts)]
     own = [F.max(F.when(F.col("part") == texts + i, F.col("term"))).alias(f"p{i}") for i in range(parts)]
     least = weighted.select("*", blocks.alias("block")).groupBy(*keys, "block").agg(*mins, *own)
@@ -89,7 +91,7 @@ def _with_hash(text: Column) -> Column:
     """The words of a text and, as pseudo-words, the parts of its SHA-256, so that one pass over the texts gives both."""
     sha = F.sha2(text, 256)
     width = 64 // PARTS
-    return F.concat(ascii_words(text), F.array(*[F.concat(F.lit(f"{MARK}{i}"), F.substring(sha, i * width + 1, width)) for i in range(PARTS)]))
+    return F.concat(raw_words(text), F.array(*[F.concat(F.lit(f"{MARK}{i}"), F.substring(sha, i * width + 1, width)) for i in range(PARTS)]))
 
 
 def as_text(fp: Column) -> Column:
@@ -145,12 +147,12 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
         .select("k", "h", "text", F.concat(F.substring("text", F.lit(1), F.col("n") - third), "head").alias("edited"))
     )
     # Kind 0 is the text, 1 the edited text, 2 and on are the parts of the edited text's hash.
-    kinds = F.posexplode(F.array(ascii_words(F.col("text")), _with_hash(F.col("edited")))).alias("v", "ws")
+    kinds = F.posexplode(F.array(raw_words(F.col("text")), _with_hash(F.col("edited")))).alias("v", "ws")
     each = both.select("k", "h", kinds).select("k", "h", "v", F.explode("ws").alias("w"))
     marked = F.col("w").startswith(MARK)
     terms = each.select(
         "k", "h", F.when(marked, F.substring("w", 2, 1).cast("int") + 2).otherwise(F.col("v")).alias("v"),
-        F.when(marked, F.conv(F.substring("w", 3, 64 // PARTS), 16, 10).cast("long")).otherwise(F.xxhash64("w")).alias("term"),
+        F.when(marked, F.conv(F.substring("w", 3, 64 // PARTS), 16, 10).cast("long")).otherwise(F.xxhash64(lower_word(F.col("w")))).alias("term"),
     )
     found = _least(terms, ["k", "h"], 2, samples, PARTS).withColumnsRenamed({"fp0": "fp", "fp1": "efp"})
     found = stored(found, "fingerprints")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -90,6 +91,23 @@ def _block_order(epoch: Column, seed: int) -> list[Column]:
     return [F.xxhash64("source", "block", epoch, F.lit(seed)), F.col("block")]
 
 
+def _starts(blocks: DataFrame, by: list[str], epoch: Column, seed: int) -> DataFrame:
+    """Stored ``blocks`` ``(*by, block, b)`` with ``start``: the tokens of those before each in the epoch's order, within ``by``.
+
+    Sums in two levels, as one source may have most of the blocks: within 1024 ranges of the
+    order, and over the ranges.
+    """
+    o, block = _block_order(epoch, seed)
+    rows = blocks.withColumn("o", o).withColumn("range", F.shiftright("o", 54))
+    before = W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "range").agg(F.sum("b").alias("sum")).withColumn("head", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    heads = stored(sums.select(*[F.col(c).alias(f"{c}_") for c in [*by, "range"]], "head"), "heads")
+    within = W.partitionBy(*by, "range").orderBy("o", block).rowsBetween(W.unboundedPreceding, -1)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*by, "range"]])
+    own = rows.withColumn("inner", F.coalesce(F.sum("b").over(within), F.lit(0)))
+    return own.join(sized(heads), same).withColumn("start", F.col("head") + F.col("inner")).select(*blocks.columns, "start")
+
+
 def plan(
     docs: DataFrame,
     max_repeats: float | None = 4.0,
@@ -130,9 +148,8 @@ def plan(
         "sources",
     )
     placed = _placed(rows, sources)
-    sums = placed.groupBy("source", "block", "full", "rest").agg(F.sum("tokens").alias("b"))
-    before = W.partitionBy("source").orderBy(*_block_order(F.col("full"), seed)).rowsBetween(W.unboundedPreceding, -1)
-    blocks = stored(sums.withColumn("left", F.col("rest") - F.coalesce(F.sum("b").over(before), F.lit(0))), "blocks")
+    sums = stored(placed.groupBy("source", "block", "full", "rest").agg(F.sum("tokens").alias("b")), "blocks")
+    blocks = stored(_starts(sums, ["source"], F.col("full"), seed).withColumn("left", F.col("rest") - F.col("start")), "blocks")
     # The block in which a source's last epoch ends: its rows up to a place in its order.
     edge = blocks.filter("left > 0 and left < b").select("source", "block", "left")
     own = Mixture(alpha, rows, sources, blocks, seed)
@@ -178,8 +195,8 @@ def schedule(mix: Mixture) -> DataFrame:
     within = W.partitionBy("source", "block", "epoch").orderBy("o", "id").rowsBetween(W.unboundedPreceding, -1)
     rows = epochs.withColumn("o", mix.order(F.col("epoch").cast("long"))).withColumn("inner", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     turns = mix.blocks.select("source", "block", "b", F.explode(F.sequence(F.lit(0), F.col("full").cast("int"))).alias("epoch"))
-    before = W.partitionBy("source", "epoch").orderBy(*_block_order(F.col("epoch").cast("long"), mix.seed)).rowsBetween(W.unboundedPreceding, -1)
-    starts = stored(turns.select(F.col("source").alias("s"), F.col("block").alias("k"), F.col("epoch").alias("e"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("start")), "starts")
+    starts = _starts(stored(turns, "turns"), ["source", "epoch"], F.col("epoch").cast("long"), mix.seed)
+    starts = stored(starts.select(F.col("source").alias("s"), F.col("block").alias("k"), F.col("epoch").alias("e"), "start"), "starts")
     per = mix.sources.select(F.col("source").alias("s2"), "t", "weight", "quota")
     position = F.col("epoch") * F.col("t") + F.col("start") + F.col("inner")
     return (

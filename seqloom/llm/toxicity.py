@@ -346,7 +346,8 @@ def train(
     """Fit on at most ``toxic_rows`` and ``clean_rows`` labelled rows, of at most ``max_chars`` characters each.
 
     The sample is that of the smallest hashes of the id, held-out ids left out. Of several
-    labels of one id the larger counts; rows without label, id or text are left out.
+    labels of one id the larger counts; rows without label, id or text are left out. Ids of
+    labelled rows are integers.
     """
     rows = (
         labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))

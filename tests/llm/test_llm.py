@@ -26,6 +26,8 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Columns whose names operators might use for themselves.
 CLASHES = ["term", "pos", "shard", "copies", "words", "w", "id", "n", "key", "row", "found", "full", "h"]
+#: And those that the stages of the pipeline use.
+INTERNAL = ["gone", "own", "toxicity", "kept", "component_id", "item", "grp", "bundle", "heavy", "light", "block", "cut", "s", "k", "doc", "d", "t", "node", "rep", "digest", "dig"]
 
 
 def low(t):
@@ -894,7 +896,7 @@ def test_pipeline(spark, tmp_path):
             want = brute_hits(kept["near_dedup"], bench)
             assert {i for i, _ in kept[name]} == {i for i, x in want.items() if not x[4]}
     assert set(kept["mixing"]) == set(kept["decontamination"]) and docs.columns[-1] == "shard"
-    odd = docs_of(spark, ODD_REPEATED, extra=True)
+    odd = docs_of(spark, ODD_REPEATED, extra=True).select("*", *[F.lit("y").alias(c) for c in INTERNAL])
     for _, stage in corpus_pipeline.STAGES:
         odd = stage(spark, odd, SF)
         assert odd.count() > 0
@@ -904,6 +906,89 @@ def test_pipeline(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_stages_by_brute_force(spark):
+    """Toxicity against the fitted model's own scores; mixing against the plan's counts; sharding against the greedy deal."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {}
+    for i, r in rows.items():
+        u = [model.unary(w) for w in re.findall(r"\w+", (r["text"] or "").lower())]
+        forward, odds = [], 1.0
+        e = np.exp(np.array(model.trans))
+        for j, x in enumerate(u):
+            before = 1.0 if j == 0 else (odds * e[1, 1] + e[0, 1]) / (odds * e[1, 0] + e[0, 0])
+            forward.append(before)
+            odds = before * math.exp(x)
+        back, p = 1.0, np.zeros(len(u))
+        for j in range(len(u) - 1, -1, -1):
+            o = forward[j] * math.exp(u[j]) * back
+            p[j] = o / (1 + o)
+            back = (e[1, 0] + e[1, 1] * math.exp(u[j]) * back) / (e[0, 0] + e[0, 1] * math.exp(u[j]) * back)
+        scores[i] = 1 / (1 + math.exp(-float(toxicity.document_features(p) @ np.array(model.head))))
+    clear = {i for i, s in scores.items() if abs(s - 0.3) > 1e-6}
+    kept = {r["doc_id"] for r in stages["toxicity"](spark, docs, SF).collect()}
+    assert kept & clear == {i for i in clear if scores[i] < 0.3}
+
+    tokens = collections.Counter()
+    for r in rows.values():
+        tokens[r["source"]] += len(re.findall(r"[^ \t-\r]+", r["text"] or ""))
+    alpha = brute_exponent(list(tokens.values()), 2.0)
+    weight = {s: (n / sum(tokens.values())) ** alpha for s, n in tokens.items()}
+    spend = max(n / weight[s] for s, n in tokens.items() if n)
+    taken, times = collections.Counter(), collections.Counter()
+    for r in stages["mixing"](spark, docs, SF).collect():
+        taken[r["source"]] += len(re.findall(r"[^ \t-\r]+", r["text"] or ""))
+        times[r["doc_id"]] += 1
+    longest = max(len((r["text"] or "").split()) for r in rows.values())
+    assert set(times) == set(rows) and max(times.values()) <= 2
+    assert all(weight[s] * spend - longest - 1 <= taken[s] <= weight[s] * spend * 1.0001 + 1 for s in tokens)
+
+    sizes = collections.Counter()
+    for r in rows.values():
+        sizes[hashlib.md5((r["text"] or "").encode()).hexdigest()] += len((r["text"] or "").encode()) + 1
+    want = brute_longest_first(sizes, 8)
+    placed = stages["sharding"](spark, docs, SF).collect()
+    assert len(placed) == len(rows) and all(r["shard"] == want[hashlib.md5((r["text"] or "").encode()).hexdigest()] for r in placed)
+
+
+def test_stages_keep_one_of_each_group(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "a b c d e f g"), (None, "lonely text without any id"), (None, "lonely text without any id"), (3, ""), (4, None), (5, "quite another text than that")]
+    left = sorted((r["doc_id"] or -1, r["text"]) for r in stages["near_dedup"](spark, docs_of(spark, rows), SF).collect())
+    groups = [{r for r in left if r[1] in ("a b c d e f g", "u v w x y z")}, {r for r in left if "lonely" in (r[1] or "")}]
+    assert len(left) == 5 and all(len(g) == 1 for g in groups) and {(3, ""), (4, None), (5, rows[-1][1])} <= set(left)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    mixed = [(1, passage), (1, "clean text of the same id"), (None, passage), (None, "clean text without id"), (2, passage + " x"), (3, "clean")]
+
+    def table(spark, sf_dir, name):
+        return bench
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(corpus_pipeline, "table", table)
+        left = [(r["doc_id"], r["text"]) for r in stages["decontamination"](spark, docs_of(spark, mixed), SF).collect()]
+    assert sorted(left, key=str) == sorted([mixed[1], mixed[3], mixed[5]], key=str)
+
+
+def test_blocks_of_a_source_in_two_levels(spark):
+    rows = [(s, b, (b * 7919 + 13) % 101) for s in ("x", None) for b in range(3000)]
+    df = spark.createDataFrame(rows, "source string, block long, b long")
+    o, block = mixing._block_order(F.lit(3).cast("long"), 1)
+    order = [(r["source"], r["block"], r["b"]) for r in df.orderBy("source", o, block).collect()]
+    want, at = {}, collections.Counter()
+    for s, b, n in order:
+        want[s, b] = at[s]
+        at[s] += n
+    got = mixing._starts(df, ["source"], F.lit(3).cast("long"), 1).collect()
+    assert {(r["source"], r["block"]): r["start"] for r in got} == want
+
+
 def test_the_rest_imports_without_this(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("seqloom.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
