@@ -117,33 +117,99 @@ def _emissions(x: np.ndarray, piece: Piece, bg: np.ndarray) -> list[tuple[int, n
     return out
 
 
-def _score_matrix(x: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
-    """log2 likelihood of each row of ``x`` (codes, -1 beyond its size)."""
-    bg = _background(x, model.bg)
-    pieces = [p for i, p in enumerate(model.pieces) if not model.active or model.active[i]]
-    if not pieces:
-        return np.where(np.arange(x.shape[1]) < sizes[:, None], bg, 0).sum(axis=1)
-    each = 1 / model.mean_length
-    stay, enter = np.log2(1 - min(len(pieces) * each, 0.9999)), np.log2(each)
-    moves: list[tuple[int, np.ndarray]] = []
+#: Exponents of 2 up to which weights relative to the background are multiplied rather than added as logarithms.
+LARGE = 300.0
+
+
+def _moves(x: np.ndarray, pieces: list[Piece], bg: np.ndarray, both_strands: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """``(span, scores by start)`` of every piece and layout, the better strand's if asked for."""
     for p in pieces:
         found = _emissions(x, p, bg)
-        if model.both_strands:
+        if both_strands:
             other = dict(_by_layout(x, p.other_strand(), bg))
             found = [(s, np.maximum(m, other[key])) for key, (s, m) in zip(_keys(x, p), found, strict=True)]
-        moves += found
-    f = np.full((x.shape[1] + 1, len(x)), -np.inf)
-    f[0] = 0.0
-    out = np.zeros(len(x))
-    for i in range(1, x.shape[1] + 1):
-        best = f[i - 1] + bg[:, i - 1] + stay
-        for span, m in moves:
-            if i >= span:
-                best = np.logaddexp2(best, f[i - span] + m[:, i - span] + enter)
-        f[i] = best
-        done = sizes == i
-        out[done] = best[done]
-    return out
+        yield from found
+
+
+@dataclass
+class Batch:
+    """Sequences of like length side by side: codes, -1 beyond each one's size, and their places in the list they come from."""
+
+    place: np.ndarray
+    x: np.ndarray
+    sizes: np.ndarray
+    _bg: tuple[bytes, np.ndarray] = (b"", np.empty(0))
+
+    def background(self, bg: np.ndarray) -> np.ndarray:
+        """:func:`_background`, kept for the last model asked for."""
+        if (key := bg.tobytes()) != self._bg[0]:
+            self._bg = key, _background(self.x, bg)
+        return self._bg[1]
+
+    def score(self, model: Model) -> np.ndarray:
+        """log2 likelihood of each row.
+
+        Relative to a read of background bases alone the recursion is a sum of products, and
+        within as many bases as the shortest motif has, no instance ends that begins there:
+        so it goes that many bases at a time. Rows are scaled down before they overflow.
+        """
+        x, sizes, bg = self.x, self.sizes, self.background(model.bg)
+        n = x.shape[1]
+        pieces = [p for i, p in enumerate(model.pieces) if not model.active or model.active[i]]
+        if not pieces:
+            return np.where(np.arange(n) < sizes[:, None], bg, 0).sum(axis=1)
+        each = 1 / model.mean_length
+        stay, enter = np.log2(1 - min(len(pieces) * each, 0.9999)), np.log2(each)
+        upto = np.concatenate([np.zeros((len(x), 1)), np.cumsum(bg + stay, axis=1)], axis=1)
+        # Layouts of one span add up to one weight.
+        ratios: dict[int, np.ndarray] = {}
+        for span, m in _moves(x, pieces, bg, model.both_strands):
+            gain = m + enter - (upto[:, span:] - upto[:, : n - span + 1])
+            if gain.max(initial=-np.inf) > LARGE:
+                return self._score_logs(model, pieces, bg, stay, enter)
+            ratio = np.exp2(gain)
+            ratios[span] = ratios[span] + ratio if span in ratios else ratio
+        out = np.take_along_axis(upto, sizes[:, None], axis=1)[:, 0]
+        if not ratios:
+            return out
+        block, reach = min(ratios), max(ratios)
+        g = np.zeros((len(x), n + 1))
+        g[:, 0] = 1.0
+        scale = np.zeros(len(x))
+        for lo in range(0, n, block):
+            hi = min(lo + block, n)
+            add = np.zeros((len(x), hi - lo))
+            for span, r in ratios.items():
+                first = max(lo + 1, span)
+                if first <= hi:
+                    add[:, first - lo - 1 :] += g[:, first - span : hi - span + 1] * r[:, first - span : hi - span + 1]
+            np.cumsum(add, axis=1, out=add)
+            g[:, lo + 1 : hi + 1] = add + g[:, lo : lo + 1]
+            done = np.flatnonzero((sizes > lo) & (sizes <= hi))
+            out[done] += np.log2(g[done, sizes[done]]) + scale[done]
+            big = np.flatnonzero(g[:, hi] > 2.0**LARGE)
+            if len(big):
+                down = np.floor(np.log2(g[big, hi]))
+                scale[big] += down
+                g[big, max(0, hi - reach) : hi + 1] *= np.exp2(-down)[:, None]
+        return out
+
+    def _score_logs(self, model: Model, pieces: list[Piece], bg: np.ndarray, stay: float, enter: float) -> np.ndarray:
+        """The same base by base in logarithms, for weights that no number holds."""
+        x, sizes = self.x, self.sizes
+        moves = list(_moves(x, pieces, bg, model.both_strands))
+        f = np.full((x.shape[1] + 1, len(x)), -np.inf)
+        f[0] = 0.0
+        out = np.zeros(len(x))
+        for i in range(1, x.shape[1] + 1):
+            best = f[i - 1] + bg[:, i - 1] + stay
+            for span, m in moves:
+                if i >= span:
+                    best = np.logaddexp2(best, f[i - span] + m[:, i - span] + enter)
+            f[i] = best
+            done = sizes == i
+            out[done] = best[done]
+        return out
 
 
 def _keys(x: np.ndarray, piece: Piece) -> list[tuple[int, ...]]:
@@ -156,27 +222,35 @@ def _by_layout(x: np.ndarray, turned: Piece, bg: np.ndarray) -> list[tuple[tuple
     return [(key[::-1], m) for key, (_, m) in zip(_keys(x, turned), _emissions(x, turned, bg), strict=True)]
 
 
-def score(seqs: list[np.ndarray], models: list[Model]) -> np.ndarray:
-    """log2 likelihoods, (models, sequences). Sequences of like length are scored together."""
-    out = np.zeros((len(models), len(seqs)))
+def batches(seqs: list[np.ndarray], cells: int = CELLS) -> list[Batch]:
+    """Sequences of like length together, at most ``cells`` bases at a time; empty ones are in none."""
+    out = []
     order = np.argsort([len(s) for s in seqs], kind="stable")
     at = len(order)
     while at:
         longest = len(seqs[order[at - 1]])
         if not longest:
             break
-        take = order[max(0, at - max(1, CELLS // (longest + 1))) : at]
+        take = order[max(0, at - max(1, cells // (longest + 1))) : at]
         take = take[[len(seqs[i]) * 2 >= longest for i in take]]
         x = np.full((len(take), longest), -1, np.int8)
         for r, i in enumerate(take):
             x[r, : len(seqs[i])] = seqs[i]
-        sizes = np.array([len(seqs[i]) for i in take])
-        for k, m in enumerate(models):
-            out[k, take] = _score_matrix(x, sizes, m)
+        out.append(Batch(take, x, np.array([len(seqs[i]) for i in take])))
         at -= len(take)
     return out
 
 
+def score(seqs: list[np.ndarray], models: list[Model]) -> np.ndarray:
+    """log2 likelihoods, (models, sequences); an empty sequence has 0."""
+    out = np.zeros((len(models), len(seqs)))
+    layouts = max((len(p.layouts()) for m in models for p in m.pieces), default=1)
+    for batch in batches(seqs, CELLS // layouts):
+        for k, m in enumerate(models):
+            out[k, batch.place] = batch.score(m)
+    return out
+
+
 def score_sequences(corpus: DataFrame, models: list[Model], id_type: str = "long") -> DataFrame:
     """``(seq_id, model_id, log2_lik)``; an empty sequence has log2 likelihood 0."""
 
@@ -201,12 +275,21 @@ def register(spark: SparkSession, model: Model, name: str = "seq_log2lik") -> No
     spark.udf.register(name, lik)
 
 
+#: A sequence's likelihood counts in steps of 2^-20, so that sums are exact and depend on no order.
+STEPS = float(1 << 20)
+
+
+def in_steps(scores: np.ndarray) -> int:
+    return int(np.round(scores * STEPS).astype(np.int64).sum())
+
+
 def score_models(corpus: DataFrame, models: list[Model]) -> DataFrame:
     """``(model_id, log2_lik)`` over the corpus: partial sums in each batch, so little is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = score([encode(s) for s in batch.column(0).to_pylist()], models).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(found)], names=["model_id", "log2_lik"])
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [in_steps(x) for x in score([encode(s) for s in part.column(0).to_pylist()], models)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(found, pa.int64())], names=["model_id", "steps"])
 
-    return corpus.select("seq").mapInArrow(run, "model_id int, log2_lik double").groupBy("model_id").agg(F.sum("log2_lik").alias("log2_lik"))
+    sums = corpus.select("seq").mapInArrow(run, "model_id int, steps long").groupBy("model_id").agg(F.sum(F.col("steps").cast("decimal(38,0)")).alias("s"))
+    return sums.select("model_id", (F.col("s").cast("double") / STEPS).alias("log2_lik"))

@@ -172,6 +172,55 @@ def test_likelihood_equals_all_paths():
     assert L.score([L.encode("ACGT")], [idle])[0, 0] == -8
 
 
+def test_blocks_of_bases_equal_one_at_a_time():
+    """The recursion by blocks against the same in logarithms: long and short rows, unknown bases, all backgrounds, gaps."""
+    rng = np.random.default_rng(4)
+    draw = lambda n, a=0.3: np.log2(rng.dirichlet([a] * 4, n) + 1e-10)
+    seqs_ = ["".join("ACGTN"[i] for i in rng.choice(5, p=[0.3, 0.2, 0.2, 0.29, 0.01], size=n)) for n in (0, 1, 3, 7, 40, 41, 60, 300, 2000, 2900)]
+    seqs_ += ["ACGTACGTAC" * 400]
+    strong = np.where(np.eye(4)[[0, 1, 2, 3, 0, 1, 2, 3, 0, 1]] > 0, 0.0, -10.0)
+    config = G.GapConfig(prior="poisson", shortest=0, longest=6, param=2.0)
+    for order in (0, 1, 3):
+        bg = np.log2(rng.dirichlet([1] * 4, 4**order))
+        for both in (False, True):
+            models = [
+                L.Model.plain([draw(5)], bg, 200, both), L.Model.plain([strong, draw(12)], bg, 9, both), L.Model.plain([draw(1), draw(3)], bg, 2.5, both),
+                L.Model([L.Piece([draw(4), draw(4)], config), L.Piece([draw(3), draw(2), draw(4)], lengths=[5, 0])], bg, 50, both),
+            ]
+            for m in models:
+                for b in L.batches([L.encode(s) for s in seqs_]):
+                    pieces = m.pieces
+                    stay, enter = np.log2(1 - min(len(pieces) / m.mean_length, 0.9999)), np.log2(1 / m.mean_length)
+                    assert b.score(m) == pytest.approx(b._score_logs(m, pieces, b.background(bg), stay, enter), rel=1e-9, abs=1e-7)
+    tiny = np.full((1, 4), -40.0)
+    b = L.batches([L.encode("ACGTACGTAC")])[0]
+    assert b.score(L.Model.plain([strong], tiny, 9))[0] == pytest.approx(b._score_logs(L.Model.plain([strong], tiny, 9), [L.Piece([strong])], b.background(tiny), np.log2(8 / 9), np.log2(1 / 9))[0])
+
+
+def test_both_ways_of_a_search_make_the_same_chains(spark, monkeypatch):
+    data = synth.Dataset(30, synth.Lengths("normal", 60, 20, 20, 120), motifs=synth.patterns(["TATAAATA"], 0.0)).generate(spark).select("seq_id", "seq", "length").cache()
+    jobs = []
+    real = sampler.score_models
+    monkeypatch.setattr(sampler, "score_models", lambda c, m: jobs.append(len(m)) or real(c, m))
+    for options in ({}, {"deaths": 2, "adaptive": True, "gaps": G.GapConfig()}):
+        make = lambda **o: sampler.Search(data, length=9, ensemble=6, seed=2, **options, **o).run(2)  # noqa: B023,E731
+        small = make()
+        assert len(jobs) == 1 and small._shared is None  # the first ensemble; the broadcast is given back
+        jobs.clear()
+        big = make(broadcast_bases=0, ahead=16)
+        assert big.dead == small.dead and [p.dump() for p in big.particles] == [p.dump() for p in small.particles]
+        assert 4 * (len(jobs) - 1) < sum(jobs[1:])
+        one = make(broadcast_bases=0, ahead=3)
+        assert one.dead == small.dead
+        jobs.clear()
+
+
+def test_grace_of_a_search(spark):
+    data = synth.Dataset(5, synth.Lengths("fixed", 30)).generate(spark).select("seq_id", "seq", "length")
+    make = lambda **o: sampler.Search(data, length=6, ensemble=4, bg_order=0).run(9, "iqr", 1e9, every=2, **o).cycle
+    assert (make(), make(grace=5), make(grace=100)) == (2, 6, 9)
+
+
 def test_gaps(spark):
     c = G.GapConfig(prior="uniform", shortest=5, longest=10)
     assert c.log_prior(7) == pytest.approx(-math.log(6)) and c.log_prior(4) == -math.inf
