@@ -1,4 +1,4 @@
-"""Command line: ``find``, ``discover``, ``generate``, ``benchmark``, ``inspect``.
+"""Command line: ``find``, ``discover``, ``mixture``, ``generate``, ``benchmark``, ``inspect``.
 
 Run as ``python -m seqloom.cli COMMAND --help``.
 """
@@ -8,17 +8,21 @@ from __future__ import annotations
 import argparse
 import math
 from dataclasses import replace
-from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.functions.gaps import GapConfig
 from seqloom.functions.motifs import GappedPattern, perturb
 from seqloom.operators import corpus as C
-from seqloom.operators import sampler, synth
+from seqloom.operators import mixture, sampler, synth
 from seqloom.sources import fasta, motif_files
 
 
+#: Cycles for which a search for a fixed number of motifs goes on whatever its convergence.
+GRACE = 500
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seqloom", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -60,6 +64,15 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("-stopIqr", type=float, default=0.5)
     d.add_argument("-startLength", type=int, default=10)
 
+    m = sub.add_parser("mixture", help="each sequence with motifs of its own; for small sets")
+    m.add_argument("-seqs", required=True)
+    m.add_argument("-numMotifs", type=int, default=1)
+    m.add_argument("-motifLength", type=int, default=10)
+    m.add_argument("-ensembleSize", type=int, default=50)
+    m.add_argument("-out", default="motifs.xms")
+    m.add_argument("-maxCycles", type=int, default=1000)
+    m.add_argument("-seed", type=int, default=0)
+
     g = sub.add_parser("generate", help="synthetic sequences with planted motifs")
     g.add_argument("-o", "--output", required=True, help="folder of FASTA part files")
     g.add_argument("-n", type=int, default=100)
@@ -88,6 +101,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--motif", action="append", default=[])
     b.add_argument("--bg-fasta")
     b.add_argument("--seed", type=int, default=42)
+    b.add_argument("--standard", action="store_true", help="a folder for each set, the test set with the next seed")
 
     i = sub.add_parser("inspect", help="what a checkpoint holds")
     i.add_argument("checkpoint")
@@ -105,6 +119,15 @@ def _export(best: sampler.Particle, path: str, form: str, evidence: float, notes
     motif_files.write(motifs, path, form, **({"evidence": evidence, "notes": notes} if form == "xms" else {}))
 
 
+def mix(spark: SparkSession, a: argparse.Namespace) -> mixture.MixtureSearch:
+    seqs = [r["seq"] for r in _corpus(spark, a.seqs).select("seq").orderBy("seq_id").collect()]
+    search = mixture.MixtureSearch(seqs, a.numMotifs, a.motifLength, a.ensembleSize, a.seed)
+    for _ in range(a.maxCycles):
+        search.step()
+    motif_files.write([(f"motif{i}", np.exp2(m)) for i, m in enumerate(search.best.motifs)], a.out, "legacy")
+    return search
+
+
 def find(spark: SparkSession, a: argparse.Namespace) -> sampler.Search:
     seqs = _corpus(spark, a.seqs)
     if a.restart:
@@ -114,7 +137,7 @@ def find(spark: SparkSession, a: argparse.Namespace) -> sampler.Search:
         seeds = C.seed_kmers(seqs, a.numMotifs, a.motifLength) if a.kmerSeeds else []
         search = sampler.Search(seqs, a.numMotifs, a.motifLength, a.ensembleSize, not a.singleStrand, a.bgOrder, a.adaptiveMCMC, seeds, config, a.seed, a.deaths)
     mode, stop = ("iqr", a.stopIqr) if a.convergenceMode == "iqr" else ("remaining", a.stopH)
-    search.run(a.maxCycles, mode, stop, a.checkpointInterval, a.checkpoint)
+    search.run(a.maxCycles, mode, stop, a.checkpointInterval, a.checkpoint, grace=GRACE)
     _export(search.best, a.out, a.format, search.log2_evidence, {"cycles": search.cycle})
     return search
 
@@ -134,10 +157,10 @@ def discover(spark: SparkSession, a: argparse.Namespace) -> list[tuple[int, floa
 def _data(spark: SparkSession, a: argparse.Namespace) -> synth.Dataset:
     if a.preset:
         return replace(synth.PRESETS[a.preset], seed=a.seed)
-    background: synth.Markov | synth.Shuffled = synth.Markov.uniform(a.gc, a.bg_order)
+    background: synth.Markov | synth.ShuffledCorpus = synth.Markov.uniform(a.gc, a.bg_order)
     if a.learn_bg_from:
         seqs = _corpus(spark, a.learn_bg_from)
-        background = synth.Shuffled([r["seq"] for r in seqs.select("seq").collect()]) if a.bg_method == "shuffle" else synth.Markov.learned(seqs, a.bg_order)
+        background = synth.ShuffledCorpus(seqs, a.seed) if a.bg_method == "shuffle" else synth.Markov.learned(seqs, a.bg_order)
     motifs = synth.patterns(a.motif)
     if a.motif_file:
         motifs += [GappedPattern([m], [], n) for n, m in motif_files.read_meme(spark, a.motif_file)]
@@ -151,17 +174,19 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     made = data.generate(spark)
     fasta.write_fasta(made, a.output)
     if a.truth:
-        Path(a.truth).write_text(data.truth(made))
+        motif_files.write_text(a.truth, data.truth(made))
     return made
 
 
 def benchmark(spark: SparkSession, a: argparse.Namespace) -> None:
     background = synth.Markov.learned(_corpus(spark, a.bg_fasta)) if a.bg_fasta else synth.Markov.uniform()
     data = synth.Dataset(background=background, motifs=synth.patterns(a.motif), seed=a.seed)
+    if a.standard:
+        return synth.standard_suite(data, spark, a.output, a.train, a.test)
     for name, part in synth.splits(data, a.train, a.test).items():
         made = part.generate(spark)
         fasta.write_fasta(made, f"{a.output}/{name}")
-        Path(a.output, f"{name}_truth.json").write_text(part.truth(made))
+        motif_files.write_text(f"{a.output}/{name}_truth.json", part.truth(made))
 
 
 def inspect(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -187,10 +212,12 @@ def plot(values: list[float], height: int = 10, width: int = 50) -> str:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("seqloom").getOrCreate()
-    out = {"find": find, "discover": discover, "generate": generate, "benchmark": benchmark, "inspect": inspect}[a.command](spark, a)
+    out = {"find": find, "discover": discover, "mixture": mix, "generate": generate, "benchmark": benchmark, "inspect": inspect}[a.command](spark, a)
     if isinstance(out, sampler.Search):
         print(plot(out.dead))
         print(f"cycles {out.cycle}, log2 evidence {out.log2_evidence:.2f}, best {out.best.log2_lik:.2f}, remaining {out.remaining():.2f}, iqr {out.iqr():.2f}")
+    elif isinstance(out, mixture.MixtureSearch):
+        print(f"best {out.best.total:.2f} of {len(out.particles)}, written to {a.out}")
     elif out is not None and not isinstance(out, DataFrame):
         print(out)
 

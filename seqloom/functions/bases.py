@@ -23,9 +23,12 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(F.regexp_replace(F.upper(seq), "[^ACGT]", "N"), BASES, BASES[::-1]))
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """All windows of ``k`` known bases, in one linear pass; none if the sequence is shorter."""
-    return F.regexp_extract_all(F.upper(seq), F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+def kmers(seq: Column, k: int, only_n: bool = False) -> Column:
+    """All windows of ``k`` known bases, in one linear pass; none if the sequence is shorter.
+
+    With ``only_n`` only windows with an N are left out, and other unknown letters stay.
+    """
+    return F.regexp_extract_all(F.upper(seq), F.lit(f"(?s)(?=({'[^N]' if only_n else '[ACGT]'}{{{k}}}))"), F.lit(1))
 
 
 def windows(seq: Column, k: int) -> Column:
@@ -58,7 +61,7 @@ def log2_sum(values: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions available to SQL text: ``revcomp``, ``kmers``, ``log2_sum``."""
+    """Make the functions available to SQL text: ``revcomp``, ``kmers``, ``log2_sum``, and the table function ``kmer_table``."""
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION revcomp(s STRING) RETURNS STRING"
         " RETURN reverse(translate(regexp_replace(upper(s), '[^ACGT]', 'N'), 'ACGT', 'TGCA'))"
@@ -71,3 +74,8 @@ def register(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION log2_sum(v ARRAY<DOUBLE>) RETURNS DOUBLE"
         " RETURN array_max(v) + log2(aggregate(v, 0D, (a, x) -> a + pow(2D, x - array_max(v))))"
     )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION kmer_table(s STRING, k INT) RETURNS TABLE (pos INT, kmer STRING)"
+        " RETURN SELECT pos, w AS kmer FROM posexplode(regexp_extract_all(upper(s), concat('(?s)(?=(.{', k, '}))'), 1)) AS t(pos, w)"
+        " WHERE w RLIKE '^[ACGT]*$'"
+    )

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seqloom.functions.motifs import consensus
+from seqloom.functions.motifs import FLOOR, consensus
 
 PRIORS = ("uniform", "geometric", "poisson")
 #: Least columns of a block.
@@ -50,6 +50,11 @@ class GapConfig:
         p = np.exp([self.log_prior(int(g)) for g in at])
         return int(rng.choice(at, p=p / p.sum()))
 
+    @property
+    def inserted(self) -> GapConfig:
+        """The same for a gap that moves insert or change: of 1 or more, as a gap of 0 is none and could not be undone."""
+        return replace(self, shortest=max(1, self.shortest))
+
 
 def prior_column(g: Column, config: GapConfig) -> Column:
     """:meth:`GapConfig.log_prior` of a column; null outside of the range."""
@@ -127,8 +132,9 @@ def _splits(m: GappedMotif) -> list[int]:
 def insert_gap(m: GappedMotif, config: GapConfig, rng: np.random.Generator) -> Move:
     """Split a block of 8 columns or more and draw a gap; the second value is the log Hastings ratio."""
     where = _splits(m)
-    if not where or m.n_gaps >= config.most:
+    if not where or m.n_gaps >= config.most or not config.longest:
         return None, 0.0
+    config = config.inserted
     i = int(rng.choice(where))
     b = m.blocks[i]
     places = len(b) - 2 * LEAST_BLOCK + 1
@@ -136,7 +142,7 @@ def insert_gap(m: GappedMotif, config: GapConfig, rng: np.random.Generator) -> M
     g = config.sample(rng)
     new = GappedMotif([*m.blocks[:i], b[:at].copy(), b[at:].copy(), *m.blocks[i + 1 :]], [*m.gaps[:i], g, *m.gaps[i:]])
     forward = -math.log(len(where)) - math.log(places) + config.log_prior(g)
-    return new, -math.log(max(1, new.n_gaps)) - forward
+    return new, -math.log(new.n_gaps) - forward
 
 
 def delete_gap(m: GappedMotif, config: GapConfig, rng: np.random.Generator) -> Move:
@@ -149,7 +155,7 @@ def delete_gap(m: GappedMotif, config: GapConfig, rng: np.random.Generator) -> M
     if len(joined) < 2 * LEAST_BLOCK:
         return None, 0.0
     new = GappedMotif([*m.blocks[:i], joined, *m.blocks[i + 2 :]], [*m.gaps[:i], *m.gaps[i + 1 :]])
-    back = -math.log(len(_splits(new))) - math.log(len(joined) - 2 * LEAST_BLOCK + 1) + config.log_prior(m.gaps[i])
+    back = -math.log(len(_splits(new))) - math.log(len(joined) - 2 * LEAST_BLOCK + 1) + config.inserted.log_prior(m.gaps[i])
     return new, back + math.log(len(where))
 
 
@@ -160,7 +166,7 @@ def change_gap(m: GappedMotif, config: GapConfig, rng: np.random.Generator, reac
         return None, 0.0
     i = int(rng.choice(where))
     g = m.gaps[i] + int(rng.integers(-reach, reach + 1))
-    if not config.shortest <= g <= config.longest:
+    if not max(1, config.shortest) <= g <= config.longest:
         return None, 0.0
     new = m.copy()
     new.gaps[i] = g
@@ -168,7 +174,11 @@ def change_gap(m: GappedMotif, config: GapConfig, rng: np.random.Generator, reac
 
 
 def shift_boundary(m: GappedMotif, config: GapConfig, rng: np.random.Generator, reach: int = 2) -> Move:
-    """Grow or shrink the blocks beside a gap at the gap's expense; new columns are uniform."""
+    """Grow or shrink the blocks beside a gap at the gap's expense.
+
+    New columns are drawn from their prior, which cancels out against the chance to draw them,
+    so a column that went can come back and the ratio is 0 either way.
+    """
     where = [i for i, g in enumerate(m.gaps) if g > 0]
     if not where:
         return None, 0.0
@@ -178,11 +188,11 @@ def shift_boundary(m: GappedMotif, config: GapConfig, rng: np.random.Generator,
     j = i if left else i + 1
     b = new.blocks[j]
     if by > 0:
-        more = np.full((by, 4), -2.0)
+        more = np.log2(rng.dirichlet([1.0] * 4, by) + FLOOR)
         new.blocks[j] = np.concatenate([b, more] if left else [more, b])
     else:
         if len(b) + by < LEAST_BLOCK:
             return None, 0.0
         new.blocks[j] = b[:by] if left else b[-by:]
     new.gaps[i] -= by
-    return (new, 0.0) if config.shortest <= new.gaps[i] <= config.longest else (None, 0.0)
+    return (new, 0.0) if max(1, config.shortest) <= new.gaps[i] <= config.longest else (None, 0.0)

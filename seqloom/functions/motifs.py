@@ -182,6 +182,12 @@ def column_information(prob: Column) -> Column:
     return F.aggregate(F.transform(prob, row), F.lit(0.0), lambda a, x: a + x)
 
 
+def column_from_counts(counts: Column, pseudocount: float = 0.1) -> Column:
+    """:func:`from_counts` of a column of rows of four counts."""
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(counts, lambda r: F.transform(r, lambda x: (x + pseudocount) / (total(F.transform(r, lambda y: y + 0.0)) + 4 * pseudocount)))
+
+
 def column_reverse(pwm: Column) -> Column:
     return F.reverse(F.transform(pwm, F.reverse))
 

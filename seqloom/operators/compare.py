@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many query motifs are broadcast; of more, blocks of this size meet parts of the others.
-BLOCK = 2000
+from seqloom.functions.motifs import column_pearson, column_reverse
+
+#: At most so many query motifs, of so many bytes in all, are broadcast; beyond that, blocks meet parts of the others.
+BLOCK, BLOCK_BYTES = 2000, 16 << 20
 
 Measure = Callable[[Column, Column], Column]
 
@@ -37,12 +39,23 @@ def pearson(a: Column, b: Column) -> Column:
 PREPARE: dict[Measure, Callable[[Column], Column]] = {pearson: _units}
 
 
+def either_strand(a: Column, b: Column) -> Column:
+    """The better of the mean correlations with a motif and with its other strand; null if lengths differ."""
+    return F.greatest(column_pearson(a, b), column_pearson(a, column_reverse(b)))
+
+
 def euclidean(a: Column, b: Column) -> Column:
     """Negative, so that the nearest is the largest; null if lengths differ."""
     total = F.aggregate(F.zip_with(F.flatten(a), F.flatten(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(a) == F.size(b), -F.sqrt(total))
 
 
+def shorter(a: Column, b: Column) -> Column:
+    """Negative Frobenius distance over the shorter of two lengths."""
+    n = F.least(F.size(a), F.size(b))
+    return euclidean(F.slice(a, 1, n), F.slice(b, 1, n))
+
+
 def kullback_leibler(a: Column, b: Column) -> Column:
     """Negative divergence of ``a`` from ``b``; terms with a = 0 are 0; null if lengths differ."""
     terms = F.zip_with(F.flatten(a), F.flatten(b), lambda p, q: F.when(p > 0, p * F.log2(p / q)).otherwise(0.0))
@@ -57,12 +70,13 @@ def pairs(asked: DataFrame, motifs: DataFrame, parts: int = 64) -> DataFrame:
     """
     q = asked.select(F.col("motif_id").alias("query_id"), F.col("pwm").alias("a"))
     o = motifs.select(F.col("motif_id").alias("other_id"), F.col("pwm").alias("b"))
-    n = asked.count()
+    sizes = asked.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("pwm"))).cast("long")).alias("b")).first()
+    n, total = sizes["n"], sizes["b"] or 0
     apart = F.col("query_id") != F.col("other_id")
-    if n <= BLOCK:
+    if n <= BLOCK and total <= BLOCK_BYTES:
         # Few bytes of motifs make much work, so they are dealt out first.
         return o.repartition(parts, "other_id").join(F.broadcast(q), apart)
-    blocks = -(-n // BLOCK)
+    blocks = max(-(-n // BLOCK), min(n, -(-total // BLOCK_BYTES)))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     o = o.withColumn("part", F.pmod(F.xxhash64("other_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return q.join(o, (q["block"] == o["block"]) & (q["part"] == o["part"]) & apart).drop("block", "part")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.bases import clean, context_index, from_index, kmers, reverse_complement
+from seqloom.functions.motifs import kmer_pwm_column
 
 PSEUDO = 0.01
 
@@ -23,12 +24,26 @@ def last_wins(records: DataFrame) -> DataFrame:
     return records.groupBy("seq_id").agg(F.max_by("seq", "ord").alias("seq"), F.min("ord").alias("ord"))
 
 
+#: Letters of the pieces that long records are cut into, so that no row holds all windows of a chromosome.
+PIECE = 1_000_000
+
+
+def pieces(corpus: DataFrame, k: int, size: int = PIECE) -> DataFrame:
+    """``(seq,)``: sequences cut into pieces of ``size`` window starts each, which overlap by ``k - 1`` letters.
+
+    Every window of ``k`` letters is in one piece.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)), F.lit(size))
+    cut = F.transform(starts, lambda i: F.substring(F.col("seq"), i + 1, F.lit(size + k - 1)))
+    return corpus.select(F.explode(F.when(F.length("seq") <= size + k - 1, F.array("seq")).otherwise(cut)).alias("seq"))
+
+
 def count_kmers(corpus: DataFrame, k: int, strands: int = 2) -> DataFrame:
     """``(kmer, cnt)``; with two strands each window also counts its reverse complement (a palindrome twice).
 
     Windows are counted before the other strand is added, so that only counts are doubled.
     """
-    one = corpus.select(F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    one = pieces(corpus, k).select(F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("cnt"))
     if strands == 1:
         return one
     both = one.select(F.explode(F.array("kmer", reverse_complement(F.col("kmer")))).alias("kmer"), "cnt")
@@ -37,7 +52,7 @@ def count_kmers(corpus: DataFrame, k: int, strands: int = 2) -> DataFrame:
 
 def canonical_kmers(corpus: DataFrame, k: int) -> DataFrame:
     """``(canon, cnt)``: windows of both strands under the lesser of the two spellings."""
-    one = corpus.select(F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    one = pieces(corpus, k).select(F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("cnt"))
     return one.groupBy(F.least("kmer", reverse_complement(F.col("kmer"))).alias("canon")).agg(F.sum("cnt").alias("cnt"))
 
 
@@ -70,9 +85,13 @@ def enriched(corpus: DataFrame, k: int = 8, top: int = 10, least: int = 5) -> Da
     return best.withColumn("rnk", F.row_number().over(W.orderBy(F.desc("ratio"), "kmer")))
 
 
+def seed_pwms(corpus: DataFrame, motifs: int, length: int) -> DataFrame:
+    """``(rnk, kmer, pwm)``: k-mers to begin with, the best ``motifs`` of the ``2 * motifs`` most enriched, as log2 matrices."""
+    return enriched(corpus, length, 2 * motifs).filter(F.col("rnk") <= motifs).select("rnk", "kmer", kmer_pwm_column(F.col("kmer")).alias("pwm"))
+
+
 def seed_kmers(corpus: DataFrame, motifs: int, length: int) -> list[str]:
-    """K-mers to begin with: the best ``motifs`` of the ``2 * motifs`` most enriched."""
-    return [r["kmer"] for r in enriched(corpus, length, 2 * motifs).orderBy("rnk").limit(motifs).collect()]
+    return [r["kmer"] for r in seed_pwms(corpus, motifs, length).orderBy("rnk").collect()]
 
 
 def background(corpus: DataFrame, order: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ adds up its part of every model's total.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -86,20 +86,49 @@ def _background(x: np.ndarray, bg: np.ndarray) -> np.ndarray:
     return np.where(ok, bg[ctx, np.maximum(x, 0)], -2.0)
 
 
-def block_scores(x: np.ndarray, pwm: np.ndarray) -> np.ndarray:
+#: Positions of a motif whose weights are looked up together, by the number of their letters.
+TOGETHER = 5
+Codes = Callable[[int], np.ndarray]
+
+
+def window_codes(x: np.ndarray) -> Codes:
+    """The numbers of all windows of a width, base 5 with 4 for an unknown letter; each width is worked out once."""
+    digits = np.where(x < 0, 4, x).astype(np.intp)
+    known: dict[int, np.ndarray] = {}
+
+    def codes(width: int) -> np.ndarray:
+        if width not in known:
+            n = max(x.shape[1] - width + 1, 0)
+            out = np.zeros((len(x), n), np.intp)
+            for j in range(width):
+                out = out * 5 + digits[:, j : j + n]
+            known[width] = out
+        return known[width]
+
+    return codes
+
+
+def block_scores(x: np.ndarray, pwm: np.ndarray, codes: Codes | None = None) -> np.ndarray:
     """Score of each window, -inf if a base is unknown."""
     n = max(x.shape[1] - len(pwm) + 1, 0)
     out = np.zeros((len(x), n))
-    table = np.column_stack([pwm, np.full(len(pwm), -np.inf)])
-    for j in range(len(pwm)):
-        out += table[j, x[:, j : j + n]]
+    if not n:
+        return out
+    codes = codes or window_codes(x)
+    rows = np.column_stack([pwm, np.full(len(pwm), -np.inf)])
+    for at in range(0, len(pwm), TOGETHER):
+        part = rows[at : at + TOGETHER]
+        table = np.zeros(1)
+        for r in part:
+            table = np.add.outer(table, r).ravel()
+        out += table[codes(len(part))[:, at : at + n]]
     return out
 
 
-def _emissions(x: np.ndarray, piece: Piece, bg: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def _emissions(x: np.ndarray, piece: Piece, bg: np.ndarray, codes: Codes) -> list[tuple[int, np.ndarray]]:
     """``(span, scores by start)`` for every layout of gaps; gap bases weigh as background."""
-    scores = [block_scores(x, b) for b in piece.blocks]
-    upto = np.concatenate([np.zeros((len(x), 1)), np.cumsum(bg, axis=1)], axis=1)
+    scores = [block_scores(x, b, codes) for b in piece.blocks]
+    upto = np.concatenate([np.zeros((len(x), 1)), np.cumsum(bg, axis=1)], axis=1) if len(scores) > 1 else None
     out = []
     for gaps, prior in piece.layouts():
         span = sum(map(len, piece.blocks)) + sum(gaps)
@@ -121,12 +150,12 @@ def _emissions(x: np.ndarray, piece: Piece, bg: np.ndarray) -> list[tuple[int, n
 LARGE = 300.0
 
 
-def _moves(x: np.ndarray, pieces: list[Piece], bg: np.ndarray, both_strands: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _moves(x: np.ndarray, pieces: list[Piece], bg: np.ndarray, both_strands: bool, codes: Codes) -> Iterator[tuple[int, np.ndarray]]:
     """``(span, scores by start)`` of every piece and layout, the better strand's if asked for."""
     for p in pieces:
-        found = _emissions(x, p, bg)
+        found = _emissions(x, p, bg, codes)
         if both_strands:
-            other = dict(_by_layout(x, p.other_strand(), bg))
+            other = dict(_by_layout(x, p.other_strand(), bg, codes))
             found = [(s, np.maximum(m, other[key])) for key, (s, m) in zip(_keys(x, p), found, strict=True)]
         yield from found
 
@@ -139,6 +168,13 @@ class Batch:
     x: np.ndarray
     sizes: np.ndarray
     _bg: tuple[bytes, np.ndarray] = (b"", np.empty(0))
+    _codes: Codes | None = None
+
+    @property
+    def codes(self) -> Codes:
+        if self._codes is None:
+            self._codes = window_codes(self.x)
+        return self._codes
 
     def background(self, bg: np.ndarray) -> np.ndarray:
         """:func:`_background`, kept for the last model asked for."""
@@ -163,41 +199,50 @@ class Batch:
         upto = np.concatenate([np.zeros((len(x), 1)), np.cumsum(bg + stay, axis=1)], axis=1)
         # Layouts of one span add up to one weight.
         ratios: dict[int, np.ndarray] = {}
-        for span, m in _moves(x, pieces, bg, model.both_strands):
+        for span, m in _moves(x, pieces, bg, model.both_strands, self.codes):
             gain = m + enter - (upto[:, span:] - upto[:, : n - span + 1])
             if gain.max(initial=-np.inf) > LARGE:
                 return self._score_logs(model, pieces, bg, stay, enter)
-            ratio = np.exp2(gain)
+            # By position first, so that a step works on neighbours in memory.
+            ratio = np.ascontiguousarray(np.exp2(gain, out=gain).T)
             ratios[span] = ratios[span] + ratio if span in ratios else ratio
         out = np.take_along_axis(upto, sizes[:, None], axis=1)[:, 0]
         if not ratios:
             return out
         block, reach = min(ratios), max(ratios)
-        g = np.zeros((len(x), n + 1))
-        g[:, 0] = 1.0
+        g = np.empty((n + 1, len(x)))
+        g[0] = 1.0
         scale = np.zeros(len(x))
+        left = np.arange(len(x))
+
+        def finish(upto_: int) -> np.ndarray:
+            done = left[sizes[left] <= upto_]
+            out[done] += np.log2(g[sizes[done], done]) + scale[done]
+            return left[sizes[left] > upto_]
+
         for lo in range(0, n, block):
             hi = min(lo + block, n)
-            add = np.zeros((len(x), hi - lo))
+            add = g[lo + 1 : hi + 1]
+            add[:] = 0.0
             for span, r in ratios.items():
                 first = max(lo + 1, span)
                 if first <= hi:
-                    add[:, first - lo - 1 :] += g[:, first - span : hi - span + 1] * r[:, first - span : hi - span + 1]
-            np.cumsum(add, axis=1, out=add)
-            g[:, lo + 1 : hi + 1] = add + g[:, lo : lo + 1]
-            done = np.flatnonzero((sizes > lo) & (sizes <= hi))
-            out[done] += np.log2(g[done, sizes[done]]) + scale[done]
-            big = np.flatnonzero(g[:, hi] > 2.0**LARGE)
-            if len(big):
-                down = np.floor(np.log2(g[big, hi]))
+                    add[first - lo - 1 :] += g[first - span : hi - span + 1] * r[first - span : hi - span + 1]
+            add[0] += g[lo]
+            np.cumsum(add, axis=0, out=add)
+            if g[hi].max() > 2.0**LARGE:
+                left = finish(hi)
+                big = np.flatnonzero(g[hi] > 2.0**LARGE)
+                down = np.floor(np.log2(g[hi, big]))
                 scale[big] += down
-                g[big, max(0, hi - reach) : hi + 1] *= np.exp2(-down)[:, None]
+                g[max(0, hi - reach) : hi + 1, big] *= np.exp2(-down)
+        finish(n)
         return out
 
     def _score_logs(self, model: Model, pieces: list[Piece], bg: np.ndarray, stay: float, enter: float) -> np.ndarray:
         """The same base by base in logarithms, for weights that no number holds."""
         x, sizes = self.x, self.sizes
-        moves = list(_moves(x, pieces, bg, model.both_strands))
+        moves = list(_moves(x, pieces, bg, model.both_strands, self.codes))
         f = np.full((x.shape[1] + 1, len(x)), -np.inf)
         f[0] = 0.0
         out = np.zeros(len(x))
@@ -217,9 +262,9 @@ def _keys(x: np.ndarray, piece: Piece) -> list[tuple[int, ...]]:
     return [tuple(g) for g, prior in piece.layouts() if x.shape[1] - span - sum(g) + 1 > 0 and prior != -np.inf]
 
 
-def _by_layout(x: np.ndarray, turned: Piece, bg: np.ndarray) -> list[tuple[tuple[int, ...], np.ndarray]]:
+def _by_layout(x: np.ndarray, turned: Piece, bg: np.ndarray, codes: Codes) -> list[tuple[tuple[int, ...], np.ndarray]]:
     """Scores of the other strand by the forward strand's gap lengths."""
-    return [(key[::-1], m) for key, (_, m) in zip(_keys(x, turned), _emissions(x, turned, bg), strict=True)]
+    return [(key[::-1], m) for key, (_, m) in zip(_keys(x, turned), _emissions(x, turned, bg, codes), strict=True)]
 
 
 def batches(seqs: list[np.ndarray], cells: int = CELLS) -> list[Batch]:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.bases import BASES, from_index, windows
 from seqloom.functions.motifs import reverse
-from seqloom.operators.likelihood import block_scores, encode
+from seqloom.operators.likelihood import block_scores, encode, window_codes
 
 
 def window_score(window: Column, pwm: np.ndarray) -> Column:
@@ -60,9 +62,10 @@ def summaries(corpus: DataFrame, pwm: np.ndarray, both_strands: bool, least: flo
         for batch in batches:
             codes = [encode(s or "") for s in batch.column(1).to_pylist()]
             joined = np.concatenate([x for c in codes for x in (c, np.full(1, -1, np.int8))] or [np.empty(0, np.int8)])[None, :]
-            score = block_scores(joined, fwd)[0]
+            numbers = window_codes(joined)
+            score = block_scores(joined, fwd, numbers)[0]
             if both_strands:
-                score = np.maximum(score, block_scores(joined, rev)[0])
+                score = np.maximum(score, block_scores(joined, rev, numbers)[0])
             at, rows = 0, []
             for i, c in enumerate(codes):
                 own = score[at : at + max(0, len(c) - w + 1)]
@@ -106,3 +109,27 @@ def logistic_facet(corpus: DataFrame, labels: DataFrame, pwms: list[np.ndarray],
         out = out.join(one, "seq_id", "left").select("seq_id", (F.col("eta") + w * F.coalesce("x", F.lit(0.0))).alias("eta"))
     p = 1 / (1 + F.exp(-F.col("eta")))
     return out.join(labels, "seq_id").withColumn("p", p).withColumn("log2_lik", F.log2(F.when(F.col("label"), F.col("p")).otherwise(1 - F.col("p"))))
+
+
+def sum_facets(*facets: DataFrame) -> DataFrame:
+    """``(seq_id, log2_lik)``: the sum over facets ``(seq_id, log2_lik)`` of each datum; a facet without the datum adds nothing."""
+    every = reduce(DataFrame.unionByName, [f.select("seq_id", "log2_lik") for f in facets])
+    return every.groupBy("seq_id").agg(F.sum("log2_lik").alias("log2_lik"))
+
+
+def register(spark: SparkSession, pwm: np.ndarray, name: str = "pwm_scan", both_strands: bool = True) -> None:
+    """Make a motif's best window score of a sequence available to SQL text; null where no window is known."""
+    fwd, rev = np.asarray(pwm, float), reverse(pwm)
+
+    @F.pandas_udf("double")
+    def best(seqs: pd.Series) -> pd.Series:
+        def one(s: str | None) -> float | None:
+            x = encode(s or "")[None, :]
+            score = block_scores(x, fwd)
+            score = np.maximum(score, block_scores(x, rev)) if both_strands else score
+            top = score.max(initial=-np.inf)
+            return float(top) if top > -np.inf else None
+
+        return pd.Series([one(s) for s in seqs], dtype="float64")
+
+    spark.udf.register(name, best)

@@ -14,11 +14,13 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.bases import BASES
 from seqloom.functions.motifs import GappedPattern, consensus_pwm, iupac_pwm
 from seqloom.operators import corpus as C
+from seqloom.sources.fasta import write_fasta
 
 _COMPLEMENT = str.maketrans(BASES, BASES[::-1])
 
@@ -134,16 +136,59 @@ def shuffle_dinucleotides(seq: str, rng: np.random.Generator) -> str:
     return "".join(made)
 
 
+def _fitted(template: str, length: int, rng: np.random.Generator) -> str:
+    """A shuffled template, cut or filled up with uniform bases."""
+    base = shuffle_dinucleotides(template, rng)[:length]
+    return base + "".join(BASES[int(i)] for i in rng.integers(4, size=length - len(base)))
+
+
 @dataclass
 class Shuffled:
-    """Templates by length; one of the wanted length if there is any, else any, cut or filled up with uniform bases."""
+    """A few templates by length; one of the wanted length if there is any, else any, cut or filled up with uniform bases."""
 
     templates: list[str]
 
+    def __post_init__(self) -> None:
+        self._by_length: dict[int, list[str]] = {}
+        for t in self.templates:
+            self._by_length.setdefault(len(t), []).append(t)
+
     def generate(self, length: int, rng: np.random.Generator) -> str:
-        fits = [t for t in self.templates if len(t) == length] or self.templates
-        base = shuffle_dinucleotides(fits[int(rng.integers(len(fits)))], rng)[:length]
-        return base + "".join(BASES[int(i)] for i in rng.integers(4, size=length - len(base)))
+        fits = self._by_length.get(length, self.templates)
+        return _fitted(fits[int(rng.integers(len(fits)))], length, rng)
+
+
+@dataclass
+class ShuffledCorpus:
+    """The same from a corpus ``(seq_id, seq, length)`` of any size, whose sequences stay where they are.
+
+    Sequences are numbered within their length and over all lengths, in two levels so that no
+    task numbers a whole length; each wanted sequence draws a number and is joined with it.
+    """
+
+    corpus: DataFrame
+    seed: int = 0
+    #: Parts that the sequences of one length are numbered in.
+    parts: int = 1024
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        """``rows`` ``(len, part, seq_id, seq)`` as ``(len, number, seq)``."""
+        sizes = rows.groupBy("len", "part").agg(F.count("*").alias("n"))
+        before = W.partitionBy("len").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        heads = sizes.select("len", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("head"))
+        own = rows.withColumn("own", F.row_number().over(W.partitionBy("len", "part").orderBy("seq_id", "seq")))
+        return own.join(heads, ["len", "part"]).select("len", (F.col("head") + F.col("own") - 1).alias("number"), "seq")
+
+    def templates(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` ``(id, want)`` with the ``template`` of each; without any sequence in the corpus the template is empty."""
+        rows = self.corpus.select(F.length("seq").alias("len"), F.pmod(F.xxhash64("seq_id"), F.lit(self.parts)).alias("part"), "seq_id", "seq")
+        every = self._numbered(rows.unionByName(rows.withColumn("len", F.lit(-1))))
+        counts = rows.groupBy("len").agg(F.count("*").alias("n"))
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+        fits = wanted.join(counts.withColumnRenamed("len", "want"), "want", "left").crossJoin(F.broadcast(total))
+        draw = F.pmod(F.xxhash64("id", F.lit(self.seed)), F.greatest(F.coalesce("n", "all"), F.lit(1)))
+        asked = fits.select("id", "want", F.when(F.col("n").isNull(), -1).otherwise(F.col("want")).alias("len"), draw.alias("number"))
+        return asked.join(every, ["len", "number"], "left").select("id", "want", F.coalesce("seq", F.lit("")).alias("template"))
 
 
 @dataclass(frozen=True)
@@ -196,21 +241,31 @@ class Dataset:
 
     n: int = 100
     lengths: Lengths = field(default_factory=Lengths)
-    background: Markov | Shuffled = field(default_factory=Markov.uniform)
+    background: Markov | Shuffled | ShuffledCorpus = field(default_factory=Markov.uniform)
     motifs: list[GappedPattern] = field(default_factory=list)
     planting: Planting = field(default_factory=Planting)
     seed: int = 42
     split: int = 0
+    #: Chances that a sequence holds 0, 1, 2 ... instances, each of a motif drawn at random; empty: every motif by the planting's density.
+    inserts: tuple[float, ...] = ()
+
+    def length_of(self, i: int) -> int:
+        return self.lengths.sample(np.random.default_rng([self.seed, self.split, i]))
 
-    def one(self, i: int) -> tuple[str, list[dict]]:
+    def one(self, i: int, template: str | None = None) -> tuple[str, list[dict]]:
         rng = np.random.default_rng([self.seed, self.split, i])
-        seq = self.background.generate(self.lengths.sample(rng), rng)
+        length = self.lengths.sample(rng)
+        seq = self.background.generate(length, rng) if template is None else _fitted(template, length, rng)
         taken: list[tuple[int, int]] = []
         planted = []
-        for k, motif in enumerate(self.motifs):
+        each, density = list(enumerate(self.motifs)), self.planting.density
+        if self.inserts:
+            drawn = rng.integers(len(self.motifs), size=int(rng.choice(len(self.inserts), p=self.inserts)))
+            each, density = [(int(k), self.motifs[k]) for k in drawn], 1.0
+        for k, motif in each:
             near = None
-            for _ in range(self.planting.occurrences):
-                if rng.random() > self.planting.density:
+            for _ in range(1 if self.inserts else self.planting.occurrences):
+                if rng.random() > density:
                     continue
                 made, gaps = instance(motif, rng)
                 at = self.planting.place(len(seq), len(made), taken, near, rng)
@@ -227,13 +282,27 @@ class Dataset:
     def generate(self, spark: SparkSession) -> DataFrame:
         """``(seq_id, seq, length, planted)``."""
 
+        own = replace(self, background=None) if isinstance(self.background, ShuffledCorpus) else self
+
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                made = [self.one(int(i)) for i in part["id"]]
+                templates = part["template"] if "template" in part else [None] * len(part)
+                made = [own.one(int(i), t) for i, t in zip(part["id"], templates, strict=True)]
                 yield pd.DataFrame({"seq_id": [f"seq_{i}" for i in part["id"]], "seq": [s for s, _ in made], "length": [len(s) for s, _ in made], "planted": [p for _, p in made]})
 
+        def lengths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                yield pd.DataFrame({"id": part["id"], "want": [own.length_of(int(i)) for i in part["id"]]})
+
+        rows = spark.range(self.n)
+        if isinstance(self.background, ShuffledCorpus):
+            rows = self.background.templates(rows.mapInPandas(lengths, "id long, want int")).select("id", "template")
         kinds = "seq_id string, seq string, length int, planted array<struct<motif_id:int,start:int,end:int,strand:string,sequence:string,gap_lengths:array<int>>>"
-        return spark.range(self.n).mapInPandas(run, kinds)
+        return rows.mapInPandas(run, kinds)
+
+    def write_truth(self, made: DataFrame, path: str) -> None:
+        """The truth of a set of any size as a folder of JSON lines, one a sequence."""
+        made.select(F.to_json(F.struct(F.col("seq_id").alias("id"), "planted")).alias("value")).write.mode("overwrite").text(path)
 
     def truth(self, made: DataFrame) -> str:
         """The truth as JSON; for sets small enough to be read by people."""
@@ -274,8 +343,8 @@ def _drawn(n: int, low: int, high: int, seed: int, strengths: np.ndarray) -> lis
     return [solid(t, float(s)) for t, s in zip(texts, strengths, strict=True)]
 
 
-PRESETS["hard"] = Dataset(100, Lengths("fixed", 200), motifs=_drawn(10, 8, 12, 42, np.linspace(0.95, 0.40, 10)), planting=Planting(density=0.5))
-PRESETS["complex"] = Dataset(10_000, Lengths("fixed", 100), motifs=[_drawn(1, n, n, n, np.array([0.9]))[0] for n in (6, 8, 10, 12, 14)])
+PRESETS["hard"] = Dataset(100, Lengths("fixed", 200), motifs=_drawn(10, 8, 12, 42, np.linspace(0.95, 0.40, 10)), inserts=(0.10, 0.40, 0.35, 0.15))
+PRESETS["complex"] = Dataset(10_000, Lengths("fixed", 100), motifs=[_drawn(1, n, n, n, np.array([0.9]))[0] for n in (6, 8, 10, 12, 14)], inserts=(0.2,) * 5)
 
 
 def splits(data: Dataset, train: int = 1000, test: int = 200) -> dict[str, Dataset]:
@@ -283,5 +352,13 @@ def splits(data: Dataset, train: int = 1000, test: int = 200) -> dict[str, Datas
     return {"train": replace(data, n=train, split=1), "test": replace(data, n=test, split=2)}
 
 
+def standard_suite(data: Dataset, spark: SparkSession, folder: str, train: int = 1000, test: int = 200) -> None:
+    """Sequences and truth in ``train`` and ``test`` below a folder; the test set's seed is one larger."""
+    for name, part in (("train", replace(data, n=train)), ("test", replace(data, n=test, seed=data.seed + 1))):
+        made = part.generate(spark)
+        write_fasta(made, f"{folder}/{name}/sequences")
+        part.write_truth(made, f"{folder}/{name}/truth")
+
+
 def expected_density(data: Dataset) -> float:
     return 1 - (1 - data.planting.density) ** data.planting.occurrences if data.motifs else math.nan

@@ -71,7 +71,7 @@ def revcomp(spark, d):
 
 
 @query(
-    """SELECT doc_id AS seq_id, reverse(translate(regexp_replace(upper(substring(t, 1, 20000000)), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS rc
+    """SELECT doc_id AS seq_id, reverse(translate(regexp_replace(upper(t), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS rc
     FROM (SELECT doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGTNRY]', '', 'g') AS t FROM documents)"""
 )
 def revcomp_unknown(spark, d):
@@ -125,6 +125,18 @@ def kmer_enrichment_topk(spark, d):
     return C.enriched(corpus(spark, d), 8, 25).select("kmer", *_long("cnt"), F.round("ratio", 6).alias("ratio"), *_long("rnk"))
 
 
+@query(
+    SQL["kmer_enrichment_topk"].replace("<= 25", "<= 5").replace("SELECT kmer, cnt, round(ratio, 6) AS ratio, row_number()", ", b AS (SELECT kmer, row_number()").replace("FROM o WHERE n = 1", "FROM o WHERE n = 1", 1)
+    + """)
+    SELECT rnk, kmer, p AS pos, round(log2(CASE WHEN l = 'A' THEN h ELSE m END + CAST(1e-10 AS DOUBLE)), 6) AS a, round(log2(CASE WHEN l = 'C' THEN h ELSE m END + CAST(1e-10 AS DOUBLE)), 6) AS c,
+      round(log2(CASE WHEN l = 'G' THEN h ELSE m END + CAST(1e-10 AS DOUBLE)), 6) AS g, round(log2(CASE WHEN l = 'T' THEN h ELSE m END + CAST(1e-10 AS DOUBLE)), 6) AS t
+    FROM (SELECT rnk, kmer, p, substring(kmer, p + 1, 1) AS l, CAST(0.7 AS DOUBLE) AS h, CAST(0.1 AS DOUBLE) AS m FROM b, range(8) x(p))"""
+)
+def seed_pwms(spark, d):
+    rows = C.seed_pwms(corpus(spark, d), 5, 8).select("rnk", "kmer", F.posexplode("pwm").alias("pos", "r"))
+    return rows.select(*_long("rnk"), "kmer", *_long("pos"), *[F.round(F.col("r")[i], 6).alias(c) for i, c in enumerate("acgt")])
+
+
 def _background_sql(order: int) -> str:
     index = " + ".join(f"(instr('ACGT', substring(kmer, {i + 1}, 1)) - 1) * {4 ** (order - i)}" for i in range(order + 1))
     return f"""WITH {CORPUS}, {_windows(order + 1)}, s AS (SELECT {index} AS id, count(*) AS cnt FROM w GROUP BY 1),
@@ -140,7 +152,7 @@ def _background(order: int) -> Query:
     return run
 
 
-for _order in (0, 1, 3):
+for _order in range(6):
     query(_background_sql(_order))(_background(_order))
 
 
@@ -191,12 +203,49 @@ def dinucl_counts(spark, d):
     greatest(50, CAST(floor(50 * log10(greatest(sum(length(seq)), 100))) AS BIGINT)) AS ensemble FROM corpus"""
 )
 def mean_len_transition(spark, d):
-    s = C.lengths(corpus(spark, d))
-    each = 1 / F.col("mean")
-    return s.select(
-        "n", "total", F.round("mean", 6).alias("mean"), F.round(F.log2(1 - F.least(2 * each, F.lit(0.9999))), 6).alias("stay"), F.round(F.log2(each), 6).alias("enter"),
-        F.greatest(F.lit(50), F.floor(50 * F.log10(F.greatest("total", F.lit(100))))).cast("long").alias("ensemble"),
-    )
+    r = C.lengths(corpus(spark, d)).first()
+    mean = float(r["mean"] or 1.0)
+    stay, enter = C.transitions(mean, 2)
+    row = (r["n"], r["total"], round(mean, 6), round(stay, 6), round(enter, 6), C.ensemble_size(r["total"] or 0))
+    return spark.createDataFrame([row], "n long, total long, mean double, stay double, enter double, ensemble long")
+
+
+@query(f"WITH {CORPUS} SELECT seq_id, translate(seq, 'ACGT', '0123') AS codes FROM corpus")
+def base_codes(spark, d):
+    return corpus(spark, d).select("seq_id", F.array_join(F.transform(B.encode(F.col("seq")), lambda c: c.cast("string")), "").alias("codes"))
+
+
+@query(
+    """WITH corpus AS (SELECT doc_id AS seq_id, regexp_replace(upper(coalesce(text, '')), '[^ACGTNRY]', '', 'g') AS seq FROM documents),
+    """ + _windows(4) + " SELECT kmer, count(*) AS cnt FROM w WHERE NOT contains(kmer, 'N') GROUP BY kmer"
+)
+def kmer_counts_without_n(spark, d):
+    """Windows of any letters but N."""
+    letters = F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGTNRY]", "")
+    return table(spark, d, "documents").select(F.explode(B.kmers(letters, 4, only_n=True)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("cnt"))
+
+
+@query(
+    """SELECT event_id, round(greatest(x, y) + log2(1 + pow(CAST(2 AS DOUBLE), -abs(x - y))), 6) AS total
+    FROM (SELECT event_id, -value / 10 AS x, CAST(event_id % 40 AS DOUBLE) - 20 AS y FROM events WHERE value IS NOT NULL)"""
+)
+def log2_add(spark, d):
+    e = table(spark, d, "events").filter("value is not null")
+    return e.select("event_id", F.round(B.log2_add(-F.col("value") / 10, (F.col("event_id") % 40).cast("double") - 20), 6).alias("total"))
+
+
+@query(
+    f"""WITH {CORPUS}, c AS (SELECT i AS pos, substring(seq, i + 1, 1) AS b FROM corpus, range(12) t(i) WHERE length(seq) > i),
+    n AS (SELECT pos, count(*) FILTER (b = 'A') AS a, count(*) FILTER (b = 'C') AS c, count(*) FILTER (b = 'G') AS g, count(*) FILTER (b = 'T') AS t FROM c GROUP BY pos)
+    SELECT pos, round((a + CAST(0.1 AS DOUBLE)) / (a + c + g + t + CAST(0.4 AS DOUBLE)), 6) AS a, round((c + CAST(0.1 AS DOUBLE)) / (a + c + g + t + CAST(0.4 AS DOUBLE)), 6) AS c,
+      round((g + CAST(0.1 AS DOUBLE)) / (a + c + g + t + CAST(0.4 AS DOUBLE)), 6) AS g, round((t + CAST(0.1 AS DOUBLE)) / (a + c + g + t + CAST(0.4 AS DOUBLE)), 6) AS t FROM n"""
+)
+def pwm_of_first_letters(spark, d):
+    """A motif from the counts of bases at the first twelve places of all sequences."""
+    letters = corpus(spark, d).select(F.posexplode(B.encode(F.substring("seq", 1, 12))).alias("pos", "b"))
+    counts = letters.groupBy("pos").agg(F.array(*[F.count_if(F.col("b") == i) for i in range(4)]).alias("n"))
+    rows = counts.select("pos", M.column_from_counts(F.array("n"))[0].alias("p"))
+    return rows.select(*_long("pos"), *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate("acgt")])
 
 
 def _score_sql(pwm) -> str:
@@ -311,6 +360,36 @@ def pwm_kl(spark, d):
     return _best(spark, d, compare.kullback_leibler)
 
 
+@query(
+    f"""{_PAIRS}, s AS (SELECT query_id, other_id, avg((ab - sa * sb / 4) / sqrt((aa - sa * sa / 4) * (bb - sb * sb / 4))) AS f FROM k GROUP BY 1, 2),
+    n AS (SELECT motif_id, max(p) AS top FROM m GROUP BY 1),
+    t AS (SELECT q.motif_id AS query_id, o.motif_id AS other_id, q.r AS a, list_reverse(o.r) AS b FROM m q JOIN m o ON q.motif_id <> o.motif_id JOIN n ON n.motif_id = o.motif_id AND o.p = top - q.p WHERE q.motif_id % 50 = 0),
+    u AS (SELECT query_id, other_id, list_sum(a) AS sa, list_sum(b) AS sb, list_dot_product(a, b) AS ab, list_dot_product(a, a) AS aa, list_dot_product(b, b) AS bb FROM t),
+    v AS (SELECT query_id, other_id, avg((ab - sa * sb / 4) / sqrt((aa - sa * sa / 4) * (bb - sb * sb / 4))) AS r FROM u GROUP BY 1, 2),
+    z AS (SELECT query_id, other_id, round(greatest(f, r), 6) AS value FROM s JOIN v USING (query_id, other_id)) SELECT query_id, other_id, value FROM z {_FIRST}"""
+)
+def pwm_either_strand(spark, d):
+    return _best(spark, d, compare.either_strand)
+
+
+@query(f"{_PAIRS}, s AS (SELECT query_id, other_id, round(-sqrt(sum(dist * dist)), 6) AS value FROM k WHERE p < 5 GROUP BY 1, 2) SELECT query_id, other_id, value FROM s {_FIRST}")
+def pwm_distance_of_shorter(spark, d):
+    """The first five positions of each query motif against as many of all others."""
+    all_ = motif_table(spark, d)
+    return compare.best_matches(all_.filter("motif_id % 50 = 0").withColumn("pwm", F.slice("pwm", 1, 5)), all_, compare.shorter)
+
+
+@query(
+    """WITH e AS (SELECT user_id AS grp, event_id AS id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s FROM events)
+    SELECT grp, id, s AS start FROM e WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.grp = e.grp AND o.id % 2 = 1 AND abs(o.s - e.s) < 3600)"""
+)
+def interval_free(spark, d):
+    """Hours that begin with the events of even number and overlap none of those of odd number."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("start"))
+    e = e.withColumn("end", F.col("start") + 3600)
+    return intervals.free(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), 7200).select("grp", "id", "start")
+
+
 @query(
     """WITH e AS (SELECT user_id AS grp, event_id AS id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s FROM events)
     SELECT a.grp, a.id AS a_id, b.id AS b_id, least(a.s, b.s) + 3600 - greatest(a.s, b.s) AS overlap FROM e a JOIN e b ON a.grp = b.grp AND a.id < b.id AND abs(a.s - b.s) < 3600"""
@@ -347,8 +426,9 @@ def evidence_running(spark, d):
 
 @query(f"{_DEAD} SELECT round(greatest(0, max(log2_lik) - max_by(z, step)), 6) AS remaining, round(max_by(z, step) - avg(log2_lik), 6) AS information FROM r")
 def remaining_info(spark, d):
-    r = sampler.running_evidence(_dead(spark, d)).agg(F.max("log2_lik").alias("top"), F.max_by("log2_evidence", "step").alias("z"), F.avg("log2_lik").alias("mean"))
-    return r.select(F.round(F.greatest(F.lit(0.0), F.col("top") - F.col("z")), 6).alias("remaining"), F.round(F.col("z") - F.col("mean"), 6).alias("information"))
+    r = sampler.running_evidence(_dead(spark, d)).orderBy("step").collect()
+    z, liks = r[-1]["log2_evidence"], [x["log2_lik"] for x in r]
+    return spark.createDataFrame([(round(sampler.remaining(z, liks), 6), round(sampler.information(z, liks), 6))], "remaining double, information double")
 
 
 @query(
@@ -379,40 +459,127 @@ for _kind, _c in _PRIORS.items():
     query(f"WITH r AS (SELECT g AS gap, {_RAW[_kind]} AS x FROM range({_c.shortest}, {_c.longest + 1}) s(g)) SELECT gap, round(x - ln(sum(exp(x)) OVER ()), 6) AS logp FROM r")(_gap(_kind))
 
 
+def _mean(spark, d) -> float:
+    """Of the lengths; 1 where there are no sequences."""
+    return float(C.lengths(corpus(spark, d)).first()["mean"] or 1.0)
+
+
 def _uniform_models(spark, d, both):
-    mean = float(C.lengths(corpus(spark, d)).first()["mean"])
-    return [likelihood.Model.plain([MOTIF], np.full((1, 4), -2.0), mean, both)]
+    return [likelihood.Model.plain([MOTIF], np.full((1, 4), -2.0), _mean(spark, d), both)]
+
+
+def _learned(spark, d, order: int) -> np.ndarray:
+    bg = np.full((4**order, 4), -2.0)
+    for r in C.background(corpus(spark, d), order).collect():
+        bg[r["ctx"], r["base"]] = r["logp"]
+    return bg
+
 
+#: The chances of entering a motif and of staying in the background, for one motif.
+_K = "c AS (SELECT 1 / avg(length(seq)) AS e FROM corpus), k AS MATERIALIZED (SELECT log2(1 - least(e, CAST(0.9999 AS DOUBLE))) AS stay, log2(e) AS enter FROM c)"
 
-def _dp_sql(score: str) -> str:
-    """The recursion over positions: each row carries its last six values, the newest last."""
-    return f"""WITH RECURSIVE {CORPUS}, c AS (SELECT 1 / avg(length(seq)) AS e FROM corpus), k AS (SELECT log2(1 - least(e, CAST(0.9999 AS DOUBLE))) AS stay, log2(e) AS enter FROM c),
+
+def _dp_sql(score: str, base: str = "-2", more: str = "", tables: str = "") -> str:
+    """The recursion over positions: each row carries its last six values, the newest last; ``base`` weighs the base at place ``i + 1``."""
+    return f"""WITH RECURSIVE {CORPUS}, {_K}{more},
     f(seq_id, seq, i, v) AS (SELECT seq_id, seq, 0, [CAST(0 AS DOUBLE)] FROM corpus
       UNION ALL SELECT seq_id, seq, i + 1, list_append(CASE WHEN len(v) >= 6 THEN v[2:] ELSE v END,
         CASE WHEN len(v) < 6 THEN b ELSE greatest(b, m) + log2(1 + pow(CAST(2 AS DOUBLE), -abs(b - m))) END)
-      FROM (SELECT *, v[len(v)] - 2 + stay AS b, v[1] + enter + ({score}) AS m FROM (SELECT f.*, stay, enter, substring(seq, i - 4, 6) AS kmer FROM f, k WHERE i < length(seq))))
+      FROM (SELECT *, v[len(v)] + ({base}) + stay AS b, v[1] + enter + ({score}) AS m FROM (SELECT f.*, k.*, substring(seq, i - 4, 6) AS kmer{tables} WHERE i < length(seq))))
     SELECT seq_id, round(v[len(v)], 4) AS log2_lik FROM f WHERE i = length(seq)"""
 
 
-@query(_dp_sql(_FWD))
+def _plain_dp_sql(score: str) -> str:
+    return _dp_sql(score, tables=" FROM f, k")
+
+
+@query(_plain_dp_sql(_FWD))
 def dp_likelihood_fwd(spark, d):
     out = likelihood.score_sequences(corpus(spark, d), _uniform_models(spark, d, False))
     return out.select("seq_id", F.round("log2_lik", 4).alias("log2_lik"))
 
 
-@query(_dp_sql(f"greatest({_FWD}, {_REV})"))
+@query(_plain_dp_sql(f"greatest({_FWD}, {_REV})"))
 def dp_likelihood_dual(spark, d):
     out = likelihood.score_sequences(corpus(spark, d), _uniform_models(spark, d, True))
     return out.select("seq_id", F.round("log2_lik", 4).alias("log2_lik"))
 
 
-@query()
+#: The weights of a learned background of order 3 as one list, by the number of four letters.
+_BG3 = ", " + _background_sql(3).replace(f"WITH {CORPUS}, ", "").replace("SELECT ctx, base, cnt, round(", ", g AS (SELECT ctx * 4 + base AS id, (").replace(", 6) AS logp FROM f", ") AS logp FROM f)").replace("f AS (SELECT g.id", "f0 AS (SELECT g.id").replace("FROM f)", "FROM f0)") + ", bg AS MATERIALIZED (SELECT list(logp ORDER BY id) AS bgl FROM g)"
+_CODE = lambda at: f"(instr('ACGT', substring(seq, {at}, 1)) - 1)"
+_AT3 = f"CASE WHEN i < 3 THEN -2 ELSE bgl[CAST(1 + {_CODE('i - 2')} * 64 + {_CODE('i - 1')} * 16 + {_CODE('i')} * 4 + {_CODE('i + 1')} AS BIGINT)] END"
+
+
+@query(_dp_sql(f"greatest({_FWD}, {_REV})", _AT3, _BG3, ", bgl FROM f, k, bg"))
+def dp_likelihood_bg3(spark, d):
+    """A motif on either strand over the corpus's own background of order 3."""
+    model = likelihood.Model.plain([MOTIF], _learned(spark, d, 3), _mean(spark, d))
+    return likelihood.score_sequences(corpus(spark, d), [model]).select("seq_id", F.round("log2_lik", 4).alias("log2_lik"))
+
+
+#: Likelihood of every sequence as background of order 3 alone; the first three bases weigh 2 bits each.
+_ALONE = f"""WITH {CORPUS}{_BG3}, l AS (SELECT seq_id, coalesce(sum(bgl[CAST(1 + {_CODE('i')} * 64 + {_CODE('i + 1')} * 16 + {_CODE('i + 2')} * 4 + {_CODE('i + 3')} AS BIGINT)]), 0) AS x
+    FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM corpus), bg GROUP BY seq_id),
+    a AS (SELECT corpus.seq_id, coalesce(x, 0) - 2 * least(length(seq), 3) AS log2_lik FROM corpus LEFT JOIN l USING (seq_id))"""
+
+
+@query(f"{_ALONE} SELECT seq_id, round(log2_lik, 4) AS log2_lik FROM a")
+def background_likelihood(spark, d):
+    model = likelihood.Model([], _learned(spark, d, 3), _mean(spark, d))
+    return likelihood.score_sequences(corpus(spark, d), [model]).select("seq_id", F.round("log2_lik", 4).alias("log2_lik"))
+
+
+@query(f"{_ALONE} SELECT CAST(0 AS BIGINT) AS model_id, round(sum(log2_lik), 2) AS log2_lik FROM a")
+def corpus_likelihood(spark, d):
+    model = likelihood.Model([], _learned(spark, d, 3), _mean(spark, d))
+    return likelihood.score_models(corpus(spark, d), [model]).select(*_long("model_id"), F.round("log2_lik", 2).alias("log2_lik"))
+
+
+@query(
+    f"""{_ALONE}, {_windows(6).replace("w AS", "y AS")}, z AS (SELECT seq_id, log2(sum(pow(CAST(2 AS DOUBLE), {_FWD}))) + 12 AS x FROM y GROUP BY seq_id),
+    e AS (SELECT corpus.seq_id, CAST(0.5 AS DOUBLE) * coalesce(x, 0) AS eta FROM corpus LEFT JOIN z USING (seq_id)),
+    q AS (SELECT e.seq_id, log2(CASE WHEN quality = 1 THEN 1 / (1 + exp(-eta)) ELSE 1 - 1 / (1 + exp(-eta)) END) AS y FROM e JOIN labels ON doc_id = e.seq_id)
+    SELECT a.seq_id, round(a.log2_lik + coalesce(y, 0), 4) AS log2_lik FROM a LEFT JOIN q USING (seq_id)"""
+)
+def facets_sum(spark, d):
+    """Two facets of each document: its sequence as background, and its label by a logistic model."""
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("seq_id"), (F.col("quality") == 1).alias("label"))
+    model = likelihood.Model([], _learned(spark, d, 3), _mean(spark, d))
+    one = likelihood.score_sequences(corpus(spark, d), [model])
+    out = scan.sum_facets(one, scan.logistic_facet(corpus(spark, d), labels, [MOTIF], [0.5]))
+    return out.select("seq_id", F.round("log2_lik", 4).alias("log2_lik"))
+
+
+_GAPPED = [G.GapConfig(prior="uniform", shortest=0, longest=4), G.GapConfig(shortest=0, longest=4), G.GapConfig(prior="uniform", shortest=0, longest=0)]
+
+
+def _gapped_sql() -> str:
+    """The recursion with two blocks of three bases and 0 to 4 bases between them; rows carry their last ten values."""
+    raw = {0: ["1"] * 5, 1: [f"pow(CAST(0.9 AS DOUBLE), {g})" for g in range(5)], 2: ["1"]}
+    priors = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS model_id, [" + ", ".join(f"log2(CAST({x} AS DOUBLE) / ({' + '.join(r)}))" for x in r) + "] AS pr" for k, r in raw.items())
+    first, last, rev_first, rev_last = (_score_sql(m) for m in (MOTIF[:3], MOTIF[3:], M.reverse(MOTIF[3:]), M.reverse(MOTIF[:3])))
+    terms = []
+    for g in range(5):
+        a, z = f"substring(seq, i - {4 + g}, 3)", "substring(seq, i - 1, 3)"
+        at = lambda s, w: f"({s.replace('kmer', w)})"
+        both = f"greatest({at(first, a)} + {at(last, z)}, {at(rev_first, a)} + {at(rev_last, z)})"
+        terms.append(f"CASE WHEN len(v) >= {6 + g} AND len(pr) > {g} THEN v[len(v) - {5 + g}] + enter + pr[{g + 1}] - {2 * g} + {both} ELSE -1e9 END AS m{g}")
+    return f"""WITH RECURSIVE {CORPUS}, {_K}, cfg AS MATERIALIZED ({priors}),
+    f(model_id, pr, seq_id, seq, i, v) AS (SELECT model_id, pr, seq_id, seq, 0, [CAST(0 AS DOUBLE)] FROM corpus, cfg
+      UNION ALL SELECT model_id, pr, seq_id, seq, i + 1, list_append(CASE WHEN len(v) >= 10 THEN v[2:] ELSE v END, top + log2({" + ".join(f"pow(CAST(2 AS DOUBLE), {x} - top)" for x in ("b", "m0", "m1", "m2", "m3", "m4"))}))
+      FROM (SELECT *, greatest(b, m0, m1, m2, m3, m4) AS top FROM (SELECT *, {", ".join(terms)}
+        FROM (SELECT f.*, enter, v[len(v)] - 2 + stay AS b FROM f, k WHERE i < length(seq)))))
+    SELECT seq_id, model_id, round(v[len(v)], 4) AS log2_lik FROM f WHERE i = length(seq)"""
+
+
+@query(_gapped_sql())
 def gapped_dp(spark, d):
-    """Total likelihood of a motif of two blocks, for three priors of the gap between them."""
-    one = _uniform_models(spark, d, True)[0]
-    configs = [G.GapConfig(prior="uniform", shortest=0, longest=4), G.GapConfig(shortest=0, longest=4), G.GapConfig(prior="uniform", shortest=0, longest=0)]
-    models = [likelihood.Model([likelihood.Piece([MOTIF[:3], MOTIF[3:]], c)], one.bg, one.mean_length) for c in configs]
-    return likelihood.score_models(corpus(spark, d), models)
+    """Likelihood of each sequence under a motif of two blocks, for three priors of the gap between them."""
+    mean = _mean(spark, d)
+    models = [likelihood.Model([likelihood.Piece([MOTIF[:3], MOTIF[3:]], c)], np.full((1, 4), -2.0), mean) for c in _GAPPED]
+    out = likelihood.score_sequences(corpus(spark, d), models)
+    return out.select("seq_id", *_long("model_id"), F.round("log2_lik", 4).alias("log2_lik"))
 
 
 @query()
@@ -426,6 +593,14 @@ def synthetic_generate(spark, d):
     return synth.PRESETS["multi"].generate(spark)
 
 
+@query("SELECT concat('seq_', i) AS seq_id, 200 AS length, true AS found FROM range(100) t(i)")
+def synthetic_truth(spark, d):
+    """Whether all that was planted stands where the truth says."""
+    made = synth.PRESETS["gapped"].generate(spark)
+    there = F.forall("planted", lambda p: F.substring(F.col("seq"), p["start"] + 1, p["end"] - p["start"]) == p["sequence"])
+    return made.select("seq_id", "length", there.alias("found"))
+
+
 @query()
 def dinucl_shuffle(spark, d):
     """Each document's letters in another order with the same neighbours."""
@@ -434,3 +609,10 @@ def dinucl_shuffle(spark, d):
             yield pd.DataFrame({"seq_id": p["seq_id"], "shuffled": [synth.shuffle_dinucleotides(s, np.random.default_rng([7, int(i)])) for i, s in zip(p["seq_id"], p["seq"], strict=True)]})
 
     return corpus(spark, d).select("seq_id", "seq").mapInPandas(run, "seq_id long, shuffled string")
+
+
+@query(f"WITH {CORPUS}, {_windows(2)} SELECT seq_id, kmer, count(*) AS cnt FROM w GROUP BY seq_id, kmer")
+def dinucl_shuffle_counts(spark, d):
+    """Neighbours in the shuffled documents, which are those of the documents themselves."""
+    pairs = dinucl_shuffle(spark, d).select("seq_id", F.explode(B.kmers(F.col("shuffled"), 2)).alias("kmer"))
+    return pairs.groupBy("seq_id", "kmer").agg(F.count("*").alias("cnt"))

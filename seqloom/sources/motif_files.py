@@ -6,10 +6,8 @@ are read and written on the driver, through Spark's readers, so that any store i
 
 from __future__ import annotations
 
-import json
 import re
 import xml.etree.ElementTree as ET
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -94,13 +92,23 @@ def read_truth_text(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(part(1).cast("int").alias("motif"), part(2).cast("int").alias("length"), part(3).alias("consensus"))
 
 
-def xms(motifs: list[Motif], evidence: float = 0.0, notes: dict[str, object] | None = None) -> str:
-    """The simple form; matrices are normalised by position and written with four decimals."""
+def legacy_xms(motifs: list[Motif], weights: list[float] | None = None) -> str:
+    """The oldest form: numbered motifs with their weight in the mixture (1 if not given) and length, rows as they are."""
+    out = ["<motifs>"]
+    for i, (_, m) in enumerate(motifs):
+        out += [f"  <motif id='{i}' weight='{1.0 if weights is None else weights[i]}'>", f"    <weightMatrix length='{len(m)}'>"]
+        out += ["      " + " ".join(f"{x:.4f}" for x in r) for r in np.asarray(m, float)] + ["    </weightMatrix>", "  </motif>"]
+    return "\n".join([*out, "</motifs>", ""])
+
+
+def xms(motifs: list[Motif], evidence: float = 0.0, notes: dict[str, object] | None = None, weights: list[float] | None = None) -> str:
+    """The simple form; matrices are normalised by position and written with four decimals, weights are 1 if not given."""
     lines = ['<?xml version="1.0" encoding="UTF-8"?>', f'<motifset evidence="{evidence:.4f}">']
     lines += [f"  <!-- {k}: {v} -->" for k, v in (notes or {}).items()]
-    for name, m in motifs:
+    for i, (name, m) in enumerate(motifs):
+        weight = 1.0 if weights is None else weights[i]
         rows = "\n".join("      " + " ".join(f"{x:.4f}" for x in r) for r in _normal(m))
-        lines += ["  <motif>", f"    <name>{name}</name>", "    <weight>1.0</weight>", f"    <weightMatrix>\n{rows}\n    </weightMatrix>", "  </motif>"]
+        lines += ["  <motif>", f"    <name>{name}</name>", f"    <weight>{weight}</weight>", f"    <weightMatrix>\n{rows}\n    </weightMatrix>", "  </motif>"]
     return "\n".join([*lines, "</motifset>", ""])
 
 
@@ -127,12 +135,19 @@ def transfac(motifs: list[Motif]) -> str:
     return "\n".join([*out, ""])
 
 
-FORMATS = {"xms": xms, "meme": meme, "pfm": pfm, "transfac": transfac}
+FORMATS = {"xms": xms, "legacy": legacy_xms, "meme": meme, "pfm": pfm, "transfac": transfac}
 
 
-def write(motifs: list[Motif], path: str, form: str = "xms", **options) -> None:
-    Path(path).write_text(FORMATS[form](motifs, **options))
+def write_text(path: str, text: str) -> None:
+    """A small file on any store that Spark knows; one of that name is replaced."""
+    spark = SparkSession.active()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
-def truth_json(n_sequences: int, seed: int, motifs: list[dict], sequences: list[dict]) -> str:
-    return json.dumps({"config": {"n_sequences": n_sequences, "seed": seed, "n_motifs": len(motifs)}, "motifs": motifs, "sequences": sequences}, indent=2)
+def write(motifs: list[Motif], path: str, form: str = "xms", **options) -> None:
+    write_text(path, FORMATS[form](motifs, **options))

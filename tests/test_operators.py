@@ -417,3 +417,95 @@ def test_cli(spark, tmp_path, capsys):
     assert "cycles 4" in capsys.readouterr().out
     text = cli.plot([0, 1, 2, 3, 4], height=5)
     assert len(text.splitlines()) == 7 and "4.00" in text and "0.00" in text and cli.plot([]) == ""
+
+
+def test_pieces_of_long_records(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join("ACGTN"[i] for i in rng.integers(5, size=n)) for n in (0, 3, 9, 10, 11, 57, 200)]
+    df = seqs(spark, texts)
+    for k in (1, 4):
+        whole = {r["kmer"]: r["cnt"] for r in C.count_kmers(df, k, strands=1).collect()}
+        cut = C.pieces(df, k, 10)
+        assert max(len(r["seq"]) for r in cut.collect()) <= 10 + k - 1
+        assert {r["kmer"]: r["cnt"] for r in cut.select(F.explode(B.kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("cnt")).collect()} == whole
+
+
+def test_shuffled_corpus(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join("ACGT"[i] for i in rng.integers(4, size=n)) for n in [30] * 40 + [31, 32]]
+    corpus = seqs(spark, texts)
+    wanted = spark.createDataFrame([(i, 30 if i < 300 else 31 if i < 310 else 99) for i in range(330)], "id long, want int")
+    got = {r["id"]: r["template"] for r in synth.ShuffledCorpus(corpus, parts=4).templates(wanted).collect()}
+    assert len({got[i] for i in range(300)}) > 35 and all(len(got[i]) == 30 for i in range(300))
+    assert {got[i] for i in range(300, 310)} == {texts[40]} and {got[i] for i in range(310, 330)} <= set(texts)
+    data = synth.Dataset(20, synth.Lengths("fixed", 30), background=synth.ShuffledCorpus(corpus))
+    made = data.generate(spark).collect()
+    pairs = lambda s: sorted(s[i : i + 2] for i in range(len(s) - 1))
+    assert len(made) == 20 and all(any(pairs(r["seq"]) == pairs(t) for t in texts) for r in made)
+    assert synth.ShuffledCorpus(corpus.limit(0)).templates(wanted).filter("template <> ''").count() == 0
+
+
+def test_random_inserts_and_suite(spark, tmp_path):
+    hard = synth.PRESETS["hard"].generate(spark).collect()
+    assert {len(r["planted"]) for r in hard} <= {0, 1, 2, 3} and sum(len(r["planted"]) for r in hard) > 100
+    assert max(len(r["planted"]) for r in synth.replace(synth.PRESETS["complex"], n=200).generate(spark).collect()) == 4
+    data = synth.Dataset(5, synth.Lengths("fixed", 40), motifs=synth.patterns(["ACGTACGT"]))
+    synth.standard_suite(data, spark, str(tmp_path), 6, 4)
+    for name, n, seed in (("train", 6, 42), ("test", 4, 43)):
+        read = {r["seq_id"]: r["seq"] for r in fasta.read_fasta(spark, f"{tmp_path}/{name}/sequences").collect()}
+        assert read == {r["seq_id"]: r["seq"] for r in synth.replace(data, n=n, seed=seed).generate(spark).collect()}
+        assert spark.read.json(f"{tmp_path}/{name}/truth").count() == n
+
+
+def test_mixture_likelihoods(spark):
+    rng = np.random.default_rng(8)
+    motifs = [mixture.uniform_pwm(4, rng) for _ in range(2)]
+    rows = [("a", "ACGTACGTAA", [True, False]), ("b", "TTTT", [True, True]), ("c", "ACG", [False, False]), ("d", "", [True, True]), ("e", None, [True, False])]
+    got = {r["seq_id"]: r["log2_lik"] for r in mixture.likelihoods(spark.createDataFrame(rows, "seq_id string, seq string, active array<boolean>"), motifs).collect()}
+    assert got == {i: pytest.approx(mixture.sequence_likelihood(L.encode(s or ""), motifs, np.array(a))) for i, s, a in rows}
+    s = mixture.MixtureSearch(["ACGTTTAAAC", "TTAAACTT", "", "ACACAC"], 2, 4, ensemble=4, seed=2, moves=25)
+    for _ in range(4):
+        s.step()
+    for p in s.particles:
+        assert p.liks == pytest.approx(s._score(p.motifs, p.active).liks)
+
+
+def test_legacy_motif_file():
+    text = motif_files.legacy_xms([("m", np.array([[0.7, 0.1, 0.1, 0.1]]))], [0.25])
+    assert "<motif id='0' weight='0.25'>" in text and "<weightMatrix length='1'>" in text and "0.7000 0.1000 0.1000 0.1000" in text
+    assert "<weight>0.5</weight>" in motif_files.xms([("m", np.full((2, 4), 0.25))], weights=[0.5])
+
+
+def test_sql_functions(spark):
+    B.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT pos, kmer FROM kmer_table('acgNtt', 2) ORDER BY pos").collect()] == [(0, "AC"), (1, "CG"), (4, "TT")]
+    scan.register(spark, M.kmer_to_pwm("ACG"))
+    got = spark.sql("SELECT pwm_scan(s) AS x FROM VALUES ('ttACGtt'), ('CGTA'), ('AC'), (null) AS t(s)").collect()
+    best = 3 * math.log2(0.7)
+    assert [None if r["x"] is None or r["x"] != r["x"] else round(r["x"], 6) for r in got] == [round(best, 6), round(best, 6), None, None]
+
+
+def test_gap_moves_can_be_undone():
+    """Each move's ratio is minus that of its way back, and no move makes a gap that counts as none."""
+    rng = np.random.default_rng(11)
+    config = G.GapConfig(shortest=0, longest=4, most=2)
+    m = G.GappedMotif([M.kmer_to_pwm("ACGTACGTACGT")])
+    for _ in range(300):
+        new, ratio = G.insert_gap(m, config, rng)
+        assert min(new.gaps) > 0
+        back = None
+        while back is None:
+            back, other = G.delete_gap(new, config, rng)
+        assert other == pytest.approx(-ratio) and np.allclose(back.flat(), m.flat())
+        for move in (G.change_gap, G.shift_boundary):
+            other, ratio = move(new, config, rng)
+            assert other is None or (min(other.gaps) > 0 and ratio == 0.0)
+    assert G.insert_gap(m, G.GapConfig(shortest=0, longest=0), rng)[0] is None
+
+
+def test_wide_query_motifs_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(compare, "BLOCK_BYTES", 500)
+    motifs = spark.createDataFrame([(i, [[0.1 * (i % 7) + 0.1, 0.3, 0.2, 0.4 - 0.05 * (i % 7)]] * 5) for i in range(12)], "motif_id long, pwm array<array<double>>")
+    pairs = compare.pairs(motifs, motifs, 3)
+    assert "hint" not in pairs._jdf.queryExecution().logical().toString().lower()
+    assert sorted((r["query_id"], r["other_id"]) for r in pairs.collect()) == [(i, j) for i in range(12) for j in range(12) if i != j]
