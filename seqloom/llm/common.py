@@ -81,9 +81,13 @@ def folders_read(df: DataFrame) -> set[str]:
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     out = set()
     for i in range(leaves.size()):
-        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+        kind = leaves.apply(i).getClass().getSimpleName()
+        if kind == "LogicalRelation":
             roots = leaves.apply(i).relation().location().rootPaths()
             out |= {roots.apply(j).getName() for j in range(roots.size())}
+        elif kind.startswith("DataSourceV2"):
+            # Where the session reads Parquet by the newer interface only the files are known.
+            return out | {part for path in df.inputFiles() for part in path.split("/")}
     return out
 
 
