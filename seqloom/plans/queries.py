@@ -269,6 +269,34 @@ def pwm_scan_dual_best(spark, d):
     return scan.best_hits(corpus(spark, d), MOTIF).select("seq_id", *_long("pos"), F.round("score", 6).alias("score"))
 
 
+def _rule_sql(letters: str, hit, miss) -> str:
+    """A window's score where a base in a position's set weighs ``hit`` and any other ``miss``, by the size of the set."""
+    return " + ".join(f"CASE WHEN instr('{of}', substring(kmer, {i + 1}, 1)) > 0 THEN log2({hit(len(of))}) ELSE log2({miss(len(of))}) END" for i, of in enumerate(letters.split()))
+
+
+#: TATAWAWR spelt out.
+_IUPAC = _rule_sql("T A T A AT A AT AG", lambda n: f"CAST(0.95 AS DOUBLE) / {n} + CAST(0.0125 AS DOUBLE)", lambda n: "CAST(0.0125 AS DOUBLE)")
+_SOLID = _rule_sql("G A T T A C A", lambda n: "CAST(0.85 AS DOUBLE)", lambda n: "CAST(0.05 AS DOUBLE)")
+
+
+@query(f"WITH {CORPUS}, {_windows(8)}, s AS (SELECT seq_id, pos, round({_IUPAC}, 6) AS score FROM w) SELECT seq_id, max(score) AS score FROM s GROUP BY seq_id")
+def iupac_scan_best(spark, d):
+    return scan.best_hits(corpus(spark, d), np.log2(M.iupac_pwm("TATAWAWR")), both_strands=False).select("seq_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CORPUS}, {_windows(7)}, s AS (SELECT seq_id, pos, round({_SOLID}, 6) AS score FROM w) SELECT seq_id, max(score) AS score FROM s GROUP BY seq_id")
+def consensus_scan_best(spark, d):
+    """A consensus of strength 0.8: each base weighs 0.85, the others 0.05."""
+    return scan.best_hits(corpus(spark, d), np.log2(M.consensus_pwm("GATTACA", 0.8)), both_strands=False).select("seq_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT conv_id AS seq_id, arg_max(text, turn) AS seq, min(turn) AS ord FROM conversations GROUP BY conv_id")
+def last_record_wins(spark, d):
+    """Conversations as records of one id: the last one's text at the first one's place."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("seq_id"), F.col("text").alias("seq"), F.col("turn").alias("ord"))
+    return C.last_wins(rows)
+
+
 @query(f"{_DUAL} SELECT seq_id, count(*) AS hits FROM s WHERE score >= -6 GROUP BY seq_id")
 def pwm_hits_per_sequence(spark, d):
     return scan.hits(corpus(spark, d), MOTIF, -6.0)
