@@ -177,6 +177,18 @@ def column_consensus(pwm: Column) -> Column:
     return F.array_join(F.transform(pwm, lambda r: F.element_at(F.array(*map(F.lit, BASES)), F.array_position(r, F.array_max(r)).cast("int"))), "")
 
 
+def column_dominant(prob: Column) -> Column:
+    """The mean over positions of the likeliest base's chance."""
+    return F.aggregate(prob, F.lit(0.0), lambda a, r: a + F.array_max(r)) / F.size(prob)
+
+
+def column_perturb(log2_prob: Column) -> Column:
+    """:func:`perturb` of a column."""
+    floored = lambda r: F.transform(r, lambda x: F.greatest(F.pow(F.lit(2.0), x), F.lit(FLOOR)))
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(F.transform(log2_prob, floored), lambda r: F.transform(r, lambda x: x / total(r)))
+
+
 def column_information(prob: Column) -> Column:
     row = lambda r: 2 + F.aggregate(r, F.lit(0.0), lambda a, p: a + p * F.log2(F.greatest(p, F.lit(FLOOR))))
     return F.aggregate(F.transform(prob, row), F.lit(0.0), lambda a, x: a + x)

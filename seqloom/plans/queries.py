@@ -19,7 +19,7 @@ from seqloom.functions import bases as B
 from seqloom.functions import gaps as G
 from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
-from seqloom.operators import compare, intervals, likelihood, sampler, scan, synth
+from seqloom.operators import compare, intervals, likelihood, mixture, sampler, scan, synth
 
 MOTIF = M.kmer_to_pwm("TATAAT")
 SECOND = M.kmer_to_pwm("CCAAT")
@@ -352,6 +352,22 @@ def pwm_revcomp(spark, d):
     return motif_table(spark, d).select("motif_id", M.column_consensus(M.column_reverse(F.col("pwm"))).alias("consensus"))
 
 
+@query(f"WITH {MOTIFS} SELECT motif_id, round(avg(list_max(r)), 6) AS chance FROM m GROUP BY motif_id")
+def pwm_dominant(spark, d):
+    return motif_table(spark, d).select("motif_id", F.round(M.column_dominant(F.col("pwm")), 6).alias("chance"))
+
+
+@query(
+    f"""WITH {MOTIFS}, x AS (SELECT motif_id, p, list_transform(r, lambda x: greatest(pow(CAST(2 AS DOUBLE), 40 * x - 40), CAST(1e-10 AS DOUBLE))) AS w FROM m)
+    SELECT motif_id, p AS pos, round(w[1] / list_sum(w), 6) AS a, round(w[2] / list_sum(w), 6) AS c, round(w[3] / list_sum(w), 6) AS g, round(w[4] / list_sum(w), 6) AS t FROM x"""
+)
+def pwm_perturb(spark, d):
+    """Log2 weights of up to 40 bits back to probabilities, floored and normalised."""
+    weights = F.transform("pwm", lambda r: F.transform(r, lambda x: 40 * x - 40))
+    rows = motif_table(spark, d).select("motif_id", F.posexplode(M.column_perturb(weights)).alias("pos", "r"))
+    return rows.select("motif_id", *_long("pos"), *[F.round(F.col("r")[i], 6).alias(c) for i, c in enumerate("acgt")])
+
+
 _PAIRS = f"""WITH {MOTIFS}, c AS (SELECT q.motif_id AS query_id, o.motif_id AS other_id, q.p, q.r AS a, o.r AS b
     FROM m q JOIN m o ON q.p = o.p AND q.motif_id <> o.motif_id WHERE q.motif_id % 50 = 0),
     k AS (SELECT query_id, other_id, p, list_sum(a) AS sa, list_sum(b) AS sb, list_dot_product(a, b) AS ab, list_dot_product(a, a) AS aa, list_dot_product(b, b) AS bb,
@@ -582,7 +598,23 @@ def facets_sum(spark, d):
 _GAPPED = [G.GapConfig(prior="uniform", shortest=0, longest=4), G.GapConfig(shortest=0, longest=4), G.GapConfig(prior="uniform", shortest=0, longest=0)]
 
 
-def _gapped_sql() -> str:
+@query(
+    _dp_sql(_FWD, tables=", log2(1 - least(CAST(1 AS DOUBLE) / length(seq), CAST(0.9999 AS DOUBLE))) AS stay, log2(CAST(1 AS DOUBLE) / length(seq)) AS enter FROM f").replace("k.*, ", "")
+    .replace("SELECT seq_id, round(v[len(v)], 4)", "SELECT seq_id, round(CASE WHEN seq_id % 2 = 0 THEN v[len(v)] ELSE -2 * length(seq) END, 4)")
+)
+def mixture_likelihood(spark, d):
+    """A motif that is active in the documents of even number, entered once a sequence on average."""
+    rows = corpus(spark, d).withColumn("active", F.array(F.col("seq_id") % 2 == 0))
+    return mixture.likelihoods(rows, [MOTIF]).select("seq_id", F.round("log2_lik", 4).alias("log2_lik"))
+
+
+@query(f"WITH {CORPUS} SELECT length(seq) AS length, count(*) AS n FROM corpus GROUP BY 1")
+def length_histogram(spark, d):
+    learned = synth.learned_lengths(corpus(spark, d))
+    return spark.createDataFrame(list(zip(learned.values, learned.counts, strict=True)), "length long, n long")
+
+
+def _gapped_sql(both: bool = True) -> str:
     """The recursion with two blocks of three bases and 0 to 4 bases between them; rows carry their last ten values."""
     raw = {0: ["1"] * 5, 1: [f"pow(CAST(0.9 AS DOUBLE), {g})" for g in range(5)], 2: ["1"]}
     priors = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS model_id, [" + ", ".join(f"log2(CAST({x} AS DOUBLE) / ({' + '.join(r)}))" for x in r) + "] AS pr" for k, r in raw.items())
@@ -591,8 +623,9 @@ def _gapped_sql() -> str:
     for g in range(5):
         a, z = f"substring(seq, i - {4 + g}, 3)", "substring(seq, i - 1, 3)"
         at = lambda s, w: f"({s.replace('kmer', w)})"
-        both = f"greatest({at(first, a)} + {at(last, z)}, {at(rev_first, a)} + {at(rev_last, z)})"
-        terms.append(f"CASE WHEN len(v) >= {6 + g} AND len(pr) > {g} THEN v[len(v) - {5 + g}] + enter + pr[{g + 1}] - {2 * g} + {both} ELSE -1e9 END AS m{g}")
+        fwd = f"{at(first, a)} + {at(last, z)}"
+        best = f"greatest({fwd}, {at(rev_first, a)} + {at(rev_last, z)})" if both else fwd
+        terms.append(f"CASE WHEN len(v) >= {6 + g} AND len(pr) > {g} THEN v[len(v) - {5 + g}] + enter + pr[{g + 1}] - {2 * g} + {best} ELSE -1e9 END AS m{g}")
     return f"""WITH RECURSIVE {CORPUS}, {_K}, cfg AS MATERIALIZED ({priors}),
     f(model_id, pr, seq_id, seq, i, v) AS (SELECT model_id, pr, seq_id, seq, 0, [CAST(0 AS DOUBLE)] FROM corpus, cfg
       UNION ALL SELECT model_id, pr, seq_id, seq, i + 1, list_append(CASE WHEN len(v) >= 10 THEN v[2:] ELSE v END, top + log2({" + ".join(f"pow(CAST(2 AS DOUBLE), {x} - top)" for x in ("b", "m0", "m1", "m2", "m3", "m4"))}))
@@ -601,15 +634,24 @@ def _gapped_sql() -> str:
     SELECT seq_id, model_id, round(v[len(v)], 4) AS log2_lik FROM f WHERE i = length(seq)"""
 
 
-@query(_gapped_sql())
-def gapped_dp(spark, d):
-    """Likelihood of each sequence under a motif of two blocks, for three priors of the gap between them."""
+def _gapped(spark, d, both: bool) -> DataFrame:
     mean = _mean(spark, d)
-    models = [likelihood.Model([likelihood.Piece([MOTIF[:3], MOTIF[3:]], c)], np.full((1, 4), -2.0), mean) for c in _GAPPED]
+    models = [likelihood.Model([likelihood.Piece([MOTIF[:3], MOTIF[3:]], c)], np.full((1, 4), -2.0), mean, both) for c in _GAPPED]
     out = likelihood.score_sequences(corpus(spark, d), models)
     return out.select("seq_id", *_long("model_id"), F.round("log2_lik", 4).alias("log2_lik"))
 
 
+@query(_gapped_sql())
+def gapped_dp(spark, d):
+    """Likelihood of each sequence under a motif of two blocks, for three priors of the gap between them."""
+    return _gapped(spark, d, True)
+
+
+@query(_gapped_sql(both=False))
+def gapped_dp_fwd(spark, d):
+    return _gapped(spark, d, False)
+
+
 @query()
 def nested_sampling_run(spark, d):
     """A search over all documents, with the operator's own settings."""
