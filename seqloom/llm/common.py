@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from contextlib import contextmanager
 from functools import wraps
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,7 +121,7 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_bytes(spark: SparkSession, most: str = "16m") -> Iterator[None]:
+def arrow_bytes(spark: SparkSession, most: str = "8m") -> Iterator[None]:
     """Arrow batches of at most so many bytes for what runs inside."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
@@ -130,6 +132,23 @@ def arrow_bytes(spark: SparkSession, most: str = "16m") -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def lean(run: Callable[..., Iterator[T]]) -> Callable[..., Iterator[T]]:
+    """Decorates what works on a task's batches: the Python worker, which waits for further tasks, gives unused memory back when it ends."""
+
+    @wraps(run)
+    def out(batches: Iterator) -> Iterator[T]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return out
+
+
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its measured size allows it, else as it is.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import arrow_bytes, sized, stored, tidy
+from seqloom.llm.common import arrow_bytes, lean, sized, stored, tidy
 from seqloom.llm.components import components
 
 #: Rows of each band; with 5 a pair at 0.8 shares a band with probability 0.33.
@@ -187,7 +187,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     bands = bands_for(share)
     table = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kinds = "id long, n long, digest binary, sig binary, keys array<long>"
-    sketch = stored(table.mapInArrow(_sketch(k, bands), kinds), "sketches")
+    sketch = stored(table.mapInArrow(lean(_sketch(k, bands)), kinds), "sketches")
     full = sketch.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     # A node stands for a class of texts with equal sets; ``rep`` is the least id that has one.
     classes = full.groupBy("digest").agg(F.min("id").alias("rep")).select("digest", "rep", F.monotonically_increasing_id().alias("node"))
@@ -205,7 +205,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     small = sized(members)
     wanted = stored(reps.join(small, "id", "left_semi").select("id", "rep", "dig"), "wanted")
     whose = sized(stored(wanted.select(F.col("rep").alias("id")).distinct(), "whose"))
-    read = table.join(whose, "id", "left_semi").mapInArrow(_sets(k), "of long, dig binary, items array<long>")
+    read = table.join(whose, "id", "left_semi").mapInArrow(lean(_sets(k)), "of long, dig binary, items array<long>")
     read = read.join(sized(wanted), (F.col("of") == F.col("rep")) & (read["dig"] == wanted["dig"])).select("id", "items")
     sets = stored(read.dropDuplicates(["id"]) if repeated else read, "sets")
     # A shingle that no other member has is in no intersection: what is left bounds a similarity from above.
@@ -231,10 +231,10 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
         return df.select(F.col("id").alias(to), F.col(col).alias({"sig": "s", "items": "x"}[col] + to))
 
     def links(pairs: DataFrame) -> DataFrame:
-        true = pairs.join(side(sets, "items", "a"), "a").join(side(sets, "items", "b"), "b").mapInArrow(_confirm(percent), "a long, b long")
+        true = pairs.join(side(sets, "items", "a"), "a").join(side(sets, "items", "b"), "b").mapInArrow(lean(_confirm(percent)), "a long, b long")
         return stored(true.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
-    likely = stored(first.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").mapInArrow(_alike(least), "a long, b long"), "likely")
+    likely = stored(first.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").mapInArrow(lean(_alike(least)), "a long, b long"), "likely")
     edges = links(likely)
     if repeated:
         # Texts of one id are linked by it, each with the first of them.
@@ -250,7 +250,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     open_ids = stored(open_.select("id").distinct(), "open-ids")
     those = sized(open_ids)
     long = [f"s{j}" for j in range(LONG)]
-    bits = stored(sets.join(those, "id", "left_semi").mapInArrow(_bits, ", ".join(["id long", *[f"{c} long" for c in long]])), "bits")
+    bits = stored(sets.join(those, "id", "left_semi").mapInArrow(lean(_bits), ", ".join(["id long", *[f"{c} long" for c in long]])), "bits")
     bands_of = reps.join(those, "id", "left_semi").select("id", "keys")
     known = stored(open_.join(bits, "id").join(bands_of, "id"), "known")
     rest = known.filter("comp <> main").select("key", *[F.col(x).alias(f"{x}_") for x in ("id", "n", "c", "comp", "keys", *long)])

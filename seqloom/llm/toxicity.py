@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import lean
+
 WORD = re.compile(r"\w+")
 #: Likelihood ratio (twice the log) beyond which a feature is tied to toxic documents.
 LLR = 20.0
@@ -372,7 +374,7 @@ def train(
         yield pa.RecordBatch.from_pydict({"model": [json.dumps(vars(model))]})
 
     # The sample is bounded, so one task fits the model and the driver stays small.
-    return Model(**json.loads(sample.repartition(1).mapInArrow(one, "model string").first()["model"]))
+    return Model(**json.loads(sample.repartition(1).mapInArrow(lean(one), "model string").first()["model"]))
 
 
 def judge(docs: DataFrame, model: Model, text_col: str = "text", to: str = "toxicity") -> DataFrame:
@@ -381,12 +383,16 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text", to: str = "toxi
     Null and empty texts have no tokens and score as a text without toxic tokens.
     """
 
-    @F.pandas_udf(SPANS)
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @lean
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             found = list(model.score_all(list(texts)))
             yield pd.DataFrame({"score": [s for s, _ in found], "spans": [x for _, x in found]}, columns=["score", "spans"])
 
+    @F.pandas_udf(SPANS)
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from run(parts)
+
     return docs.withColumn(to, score(F.col(text_col)))
 
 
