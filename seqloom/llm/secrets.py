@@ -88,6 +88,8 @@ class Automaton:
 
     def __init__(self, strings: list[str], confidence: float = 0.05) -> None:
         self.confidence = confidence
+        self.overall = Counter(c for s in strings for c in [*s, ""])
+        self.size = self.overall.total()
         self.states = [State()]
         for s in strings:
             at = 0
@@ -201,15 +203,19 @@ class Automaton:
         self.states = kept
         del self._into
 
+    def _chance(self, times: int, count: int, c: str) -> float:
+        """Chance of a symbol, "" at the end, seen ``times`` of ``count``: 16 more are dealt as the symbols of all strings, with half of one for each of 32."""
+        return (times + 16 * (self.overall[c] + 0.5) / (self.size + 16)) / (count + 16)
+
     def score(self, s: str) -> float:
-        """Log likelihood of a string; an unseen step has half a count among 32 symbols and leads where most steps lead, or to the start."""
+        """Log likelihood of a string; an unseen step is as likely as its symbol is in all strings and leads where most steps lead, or to the start."""
         at, total = 0, 0.0
         for c in s:
             state = self.states[at]
-            total += math.log((state.times[c] + 0.5) / (state.count + 16))
+            total += math.log(self._chance(state.times[c], state.count, c))
             at = state.next[c] if c in state.next else state.next[max(state.times, key=lambda x: (state.times[x], x))] if state.next else 0
         state = self.states[at]
-        return total + math.log((state.ends + 0.5) / (state.count + 16))
+        return total + math.log(self._chance(state.ends, state.count, ""))
 
 
 def _floor(strings: list[str]) -> float:
