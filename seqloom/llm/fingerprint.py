@@ -5,7 +5,8 @@ a term of weight S has gamma draws r and c and a uniform b that depend on term a
 only; with ``t = floor(ln S / r + b)`` the term whose ``ln c - r (t + 1 - b)`` is least is
 drawn, and the sample is a hash of term and t. Two documents agree in a sample with a
 probability equal to their generalised Jaccard similarity. DataFrame functions only: the
-draws are computed from 192 bits of hashes of term and sample.
+draws are computed from 192 bits of hashes of term and sample. Those of the most frequent
+words are computed once and looked up, which changes no result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from seqloom.llm.common import lower_word, raw_words, sized, stored, tidy
 SAMPLES = 64
 #: Samples of one row of the aggregate: the JVM compiles no method as long as one for all samples would be.
 BLOCK = 16
+#: Words whose draws are looked up, for weights up to COUNTS: with 64 samples at most 17 MB.
+FREQUENT = 16_384
+COUNTS = 2
+#: Of these, only words that occur once in so many characters are ranked: at most half as many, as a word and a gap take two.
+RARE = 1 << 23
 
 
 def _uniform(h: Column, shift: int) -> Column:
@@ -36,8 +42,9 @@ def _draw(d: int, weight: str) -> Column:
     """The draw of sample ``d`` of a row's block as one number: ``ln a`` in the upper bits, 16 bits that stand for term and t below.
 
     The hashes and gamma draws are the same for every ``weight``, so Spark computes them once a term.
+    Null, and without any computation, where the draws are known from ``near``.
     """
-    h = [F.xxhash64("term", "block", F.lit(3 * d + i)) for i in range(3)]
+    h = [F.when(F.col("near").isNull(), F.xxhash64(F.lit(3 * d + i), "cell")) for i in range(3)]
     r = _gamma(h[0])
     c = F.ln(_gamma(h[1]))
     b = _uniform(h[2], 32)
@@ -65,20 +72,46 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     return _least(words.select(*keys, F.lit(0).alias("v"), F.xxhash64(lower_word(F.col("w"))).alias("term")), keys, 1, samples).withColumnRenamed("fp0", "fp")
 
 
-def _least(terms: DataFrame, keys: list[str], texts: int, samples: int, parts: int = 0) -> DataFrame:
+def _blocks(samples: int) -> Column:
+    return F.array(*[F.lit(j) for j in range(-(-samples // BLOCK))])
+
+
+def known_draws(texts: DataFrame, chars: int, most: int, samples: int = SAMPLES) -> DataFrame:
+    """``(term, near)`` of the ``most`` frequent words of ``(text)`` with ``chars`` characters: the draws for weights 1 to COUNTS, block by block."""
+    words = texts.select(F.explode(raw_words(F.col("text"))).alias("w"))
+    counts = words.groupBy(F.xxhash64(lower_word(F.col("w"))).alias("term")).agg(F.count("*").alias("n"))
+    top = stored(counts.filter(F.col("n") >= chars // RARE).orderBy(F.col("n").desc(), "term").limit(most).select("term"), "frequent")
+    each = top.select("term", F.explode(F.array(*[F.lit(n) for n in range(1, COUNTS + 1)])).alias("n")).select("*", F.explode(_blocks(samples)).alias("block"))
+    ready = each.select("*", F.ln("n").alias("weight"), F.xxhash64("term", "block").alias("cell"), F.lit(None).cast("array<bigint>").alias("near"))
+    drawn = ready.select("term", F.struct("n", "block", F.array(*[_draw(d, "weight") for d in range(BLOCK)]).alias("m")).alias("draws"))
+    return stored(drawn.groupBy("term").agg(F.flatten(F.transform(F.array_sort(F.collect_list("draws")), lambda x: x["m"])).alias("near")), "draws")
+
+
+def _least(terms: DataFrame, keys: list[str], texts: int, samples: int, parts: int = 0, known: DataFrame | None = None) -> DataFrame:
     """``keys`` and, from exploded ``(keys, v, term)``, ``fp0`` and on of the texts, whose terms have that number as
-    ``v``, null where there is no term; then ``p0`` and on, the terms of the ``v`` that follow.
+    ``v``, null where there is no term; then ``p0`` and on, the terms of the ``v`` that follow. ``known`` is a result
+    of :func:`known_draws`, which saves time only.
     """
     v, part = F.col("v"), F.greatest("v", F.lit(texts - 1))
-    weights = [F.ln(F.count_if(v == i)).alias(f"weight{i}") for i in range(texts)]
     # The texts of one row share their terms; ln 0 is null, which no minimum counts.
-    weighted = terms.groupBy(*keys, part.alias("part"), "term").agg(*weights)
-    every = F.array(*[F.lit(j) for j in range(-(-samples // BLOCK))])
+    counted = terms.groupBy(*keys, part.alias("part"), "term").agg(*[F.count_if(v == i).alias(f"n{i}") for i in range(texts)])
+    near = F.lit(None).cast("array<bigint>")
+    if known is not None:
+        # At most FREQUENT rows of known width.
+        counted = counted.join(F.broadcast(known), "term", "left")
+        near = F.when(F.greatest(*[F.col(f"n{i}") for i in range(texts)], F.lit(0)) <= COUNTS, F.col("near"))
+    weights = [F.ln(f"n{i}").alias(f"weight{i}") for i in range(texts)]
+    weighted = counted.select(*keys, "part", "term", *[f"n{i}" for i in range(texts)], *weights, near.alias("near"))
+    every = _blocks(samples)
     # What stands for no word needs no draws, so one block carries it.
     blocks = F.explode(F.when(F.col("part") < texts, every).otherwise(F.array(F.lit(0))) if parts else every)
-    mins = [F.min(_draw(d, f"weight{i}")).alias(f"m{i}_{d}") for d in range(BLOCK) for i in range(texts)]
+    starts = [((F.col(f"n{i}") - 1) * (-(-samples // BLOCK) * BLOCK) + F.col("block") * BLOCK).cast("int").alias(f"at{i}") for i in range(texts)]
+    # Either the draw known from before or the new one is null.
+    either = lambda d, i: F.greatest(F.get("near", F.col(f"at{i}") + d), _draw(d, f"weight{i}"))
+    mins = [F.min(either(d, i)).alias(f"m{i}_{d}") for d in range(BLOCK) for i in range(texts)]
     own = [F.max(F.when(F.col("part") == texts + i, F.col("term"))).alias(f"p{i}") for i in range(parts)]
-    least = weighted.select("*", blocks.alias("block")).groupBy(*keys, "block").agg(*mins, *own)
+    ready = weighted.select("*", blocks.alias("block")).select("*", F.xxhash64("term", "block").alias("cell"), *starts)
+    least = ready.groupBy(*keys, "block").agg(*mins, *own)
     some = lambda i: F.array(*[F.col(f"m{i}_{d}").bitwiseAND(F.lit(0xFFFF)).cast("int") for d in range(BLOCK)])
     fps = [F.when(F.col(f"m{i}_0").isNotNull(), some(i)).alias(f"s{i}") for i in range(texts)]
     rows = least.select(*keys, "block", *fps, *[f"p{i}" for i in range(parts)])
@@ -121,13 +154,14 @@ def next_in_order(ids: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
 
 
 @tidy
-def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """Per document: ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last third replaced by as many of the first characters of the
     next document, by descending id (ties by a hash of the text); after the last comes the
     first. Null texts are empty; rows of equal id and text are one document; an empty table
-    gives an empty result; a null id comes last.
+    gives an empty result; a null id comes last. The draws of the ``frequent`` commonest words
+    are looked up; results don't depend on it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     h = F.xxhash64(text)
@@ -154,7 +188,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
         "k", "h", F.when(marked, F.substring("w", 2, 1).cast("int") + 2).otherwise(F.col("v")).alias("v"),
         F.when(marked, F.conv(F.substring("w", 3, 64 // PARTS), 16, 10).cast("long")).otherwise(F.xxhash64(lower_word(F.col("w")))).alias("term"),
     )
-    found = _least(terms, ["k", "h"], 2, samples, PARTS).withColumnsRenamed({"fp0": "fp", "fp1": "efp"})
+    chars = ids.agg(F.sum("n")).first()[0] or 0
+    known = known_draws(rows.select("text"), chars, frequent, samples) if frequent else None
+    found = _least(terms, ["k", "h"], 2, samples, PARTS, known).withColumnsRenamed({"fp0": "fp", "fp1": "efp"})
     found = stored(found, "fingerprints")
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"p{i}"), 64 // PARTS, "0") for i in range(PARTS)]))
     other = found.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("fp").alias("nfp"))

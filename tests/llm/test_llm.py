@@ -701,6 +701,12 @@ def test_fingerprints_odd_rows(spark):
     assert fingerprint.edited_fingerprints(docs_of(spark, [(1, "one two three")])).first()["near_next"] == 1.0
 
 
+def test_known_draws_change_nothing(spark, texts):
+    df = docs_of(spark, [*texts.items()])
+    plain, some, most = (sorted(fingerprint.edited_fingerprints(df, frequent=n).collect()) for n in (0, 7, 100_000))
+    assert plain == some == most
+
+
 def test_collisions_of_long_texts(spark):
     """Terms of weight 1 in one text and 2 in the other: the generalised Jaccard similarity is 1/2, however many they are."""
     texts = [" ".join(f"g{g}x{i}" for i in range(5000)) for g in range(30)]
