@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, decontaminate, fingerprint, htmltext, mixing, neardup, secrets, sharding, toxicity, urls
+from seqloom.llm import chat, decontaminate, fingerprint, htmltext, mixing, nearest, neardup, secrets, sharding, toxicity, trie, urls
 from seqloom.llm.common import table
 
 
@@ -58,6 +58,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 #: The template of :mod:`seqloom.llm.chat` written out: markers of 12 and 10 characters, two line feeds a turn, and its escapes.
 OP9 = r"""
 WITH t AS (
@@ -103,11 +111,31 @@ k AS (SELECT id, min(to_id) AS component_id FROM r GROUP BY id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN k ON k.id = doc_id
 """
 
+#: A turn is written as the bytes of its role, a colon, role and text; the list after -1, and then its bits, gives the crc32 of a conv_id.
+OP11 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+x AS (SELECT conv_id, turn, role, text, left(sha256(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || text), 32) AS digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+own AS (SELECT conv_id, list(struct_pack(x := digest, w := words) ORDER BY turn NULLS FIRST, role, digest) AS turns FROM x GROUP BY conv_id),
+crc AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 4 AS h FROM own),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d, len(turns) AS n, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w, sha256(list_aggregate(list_transform(turns[1:d], lambda e: e.x), 'string_agg', ',')) AS k
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+p2 AS (SELECT conv_id, d, n, w, CASE WHEN d = 0 THEN '' ELSE k END AS k FROM p),
+node AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM p2 GROUP BY d, k),
+up AS (SELECT node.d, node.k, p2.k AS up_k FROM node JOIN p2 ON p2.conv_id = node.conv_id AND p2.d = node.d - 1),
+kids AS (SELECT d - 1 AS d, up_k AS k, count(*) AS n FROM up GROUP BY 1, 2),
+below AS (SELECT a.d, a.k, sum((v.n_convs - 1) * v.w) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM node v JOIN p2 a ON a.conv_id = v.conv_id AND a.d <= v.d LEFT JOIN kids ON kids.d = v.d AND kids.k = v.k GROUP BY 1, 2)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, v.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM node v JOIN below USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN up USING (d, k) LEFT JOIN node above ON above.d = v.d - 1 AND above.k = up.up_k
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_decontaminate, op3_main_text, op4_toxicity, op5_shards, op6_secrets, op7_mixture, op8_fingerprints, op9_chat, op10_near_duplicates]
+    own = [op1_url_filter, op2_decontaminate, op3_main_text, op4_toxicity, op5_shards, op6_secrets, op7_mixture, op8_fingerprints, op9_chat, op10_near_duplicates, op11_prefix_trie, op12_nearest]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op9_chat": OP9, "op10_near_duplicates": OP10}
+    return {"op2_decontaminate": OP2, "op9_chat": OP9, "op10_near_duplicates": OP10, "op11_prefix_trie": OP11}
