@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,26 +28,29 @@ def last_wins(records: DataFrame) -> DataFrame:
 PIECE = 1_000_000
 
 
-def pieces(corpus: DataFrame, k: int, size: int = PIECE) -> DataFrame:
-    """``(seq,)``: sequences cut into pieces of ``size`` window starts each, which overlap by ``k - 1`` letters.
+def pieces(corpus: DataFrame, k: int, size: int = PIECE, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(seq,)`` and the columns ``by``: sequences cut into pieces of ``size`` window starts each, which overlap by ``k - 1`` letters.
 
     Every window of ``k`` letters is in one piece.
     """
     starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)), F.lit(size))
     cut = F.transform(starts, lambda i: F.substring(F.col("seq"), i + 1, F.lit(size + k - 1)))
-    return corpus.select(F.explode(F.when(F.length("seq") <= size + k - 1, F.array("seq")).otherwise(cut)).alias("seq"))
+    return corpus.select(*by, F.explode(F.when(F.length("seq") <= size + k - 1, F.array("seq")).otherwise(cut)).alias("seq"))
 
 
-def count_kmers(corpus: DataFrame, k: int, strands: int = 2) -> DataFrame:
-    """``(kmer, cnt)``; with two strands each window also counts its reverse complement (a palindrome twice).
+def count_kmers(corpus: DataFrame, k: int, strands: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(kmer, cnt)``, or ``(*by, kmer, cnt)``; with two strands each window also counts its reverse complement (a palindrome twice).
 
     Windows are counted before the other strand is added, so that only counts are doubled.
     """
-    one = pieces(corpus, k).select(F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("cnt"))
-    if strands == 1:
-        return one
-    both = one.select(F.explode(F.array("kmer", reverse_complement(F.col("kmer")))).alias("kmer"), "cnt")
-    return both.groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    one = pieces(corpus, k, by=by).select(*by, F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("cnt"))
+    return one if strands == 1 else other_strand(one, by)
+
+
+def other_strand(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of one strand as those of both."""
+    both = counts.select(*by, F.explode(F.array("kmer", reverse_complement(F.col("kmer")))).alias("kmer"), "cnt")
+    return both.groupBy(*by, "kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 def canonical_kmers(corpus: DataFrame, k: int) -> DataFrame:
@@ -69,20 +72,34 @@ def enriched(corpus: DataFrame, k: int = 8, top: int = 10, least: int = 5) -> Da
     Expected is the chance of the k-mer under the corpus's GC content times the number of
     windows of both strands, at least 1. Ties go by the k-mer.
     """
-    counts = count_kmers(corpus, k).filter(F.col("cnt") >= least)
-    gc_n = F.length(F.regexp_replace("kmer", "[^GC]", ""))
-    stats = corpus.agg(
+    # The one row of statistics is broadcast.
+    rated = count_kmers(corpus, k).filter(F.col("cnt") >= least).crossJoin(F.broadcast(composition(corpus, k)))
+    best = one_spelling(rated.withColumn("ratio", enrichment(k))).orderBy(F.desc("ratio"), "kmer").limit(top)
+    return best.withColumn("rnk", F.row_number().over(W.orderBy(F.desc("ratio"), "kmer")))
+
+
+def composition(corpus: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, seqs, g, l, p)``: sequences, letters G and C, letters but N, and windows of ``k`` letters of both strands."""
+    return corpus.groupBy(*by).agg(
+        F.count("*").alias("seqs"),
         F.sum(F.length(F.regexp_replace(F.upper("seq"), "[^GC]", ""))).alias("g"),
         F.sum(F.length(F.regexp_replace(F.upper("seq"), "N", ""))).alias("l"),
         F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0)) * 2).alias("p"),
-    ).select(F.when(F.col("l") > 0, F.col("g") / F.col("l")).otherwise(0.5).alias("gc"), "p")
-    expected = F.pow(F.col("gc") / 2, gc_n) * F.pow((1 - F.col("gc")) / 2, k - gc_n) * F.col("p")
-    # The one row of statistics is broadcast.
-    rated = counts.crossJoin(F.broadcast(stats)).withColumn("ratio", F.col("cnt") / F.greatest(expected, F.lit(1.0)))
+    )
+
+
+def enrichment(k: int) -> Column:
+    """Observed over expected count of a row ``(kmer, cnt, g, l, p)``; expected is at least 1."""
+    gc_n = F.length(F.regexp_replace("kmer", "[^GC]", ""))
+    gc = F.when(F.col("l") > 0, F.col("g") / F.col("l")).otherwise(0.5)
+    return F.col("cnt") / F.greatest(F.pow(gc / 2, gc_n) * F.pow((1 - gc) / 2, k - gc_n) * F.col("p"), F.lit(1.0))
+
+
+def one_spelling(rated: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, kmer, cnt, ratio)``: of a k-mer and its reverse complement the one with the greater ratio, then the lesser spelling."""
     canon = F.least("kmer", reverse_complement(F.col("kmer")))
-    one = rated.groupBy(canon.alias("canon")).agg(F.min(F.struct((-F.col("ratio")).alias("r"), "kmer", "cnt")).alias("x"))
-    best = one.select("x.kmer", "x.cnt", (-F.col("x.r")).alias("ratio")).orderBy(F.desc("ratio"), "kmer").limit(top)
-    return best.withColumn("rnk", F.row_number().over(W.orderBy(F.desc("ratio"), "kmer")))
+    one = rated.groupBy(*by, canon.alias("canon")).agg(F.min(F.struct((-F.col("ratio")).alias("r"), "kmer", "cnt")).alias("x"))
+    return one.select(*by, "x.kmer", "x.cnt", (-F.col("x.r")).alias("ratio"))
 
 
 def seed_pwms(corpus: DataFrame, motifs: int, length: int) -> DataFrame:

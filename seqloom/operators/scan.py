@@ -60,16 +60,15 @@ def summaries(corpus: DataFrame, pwm: np.ndarray, both_strands: bool, least: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [encode(s or "") for s in batch.column(1).to_pylist()]
-            joined = np.concatenate([x for c in codes for x in (c, np.full(1, -1, np.int8))] or [np.empty(0, np.int8)])[None, :]
+            joined, lengths = _side_by_side(batch.column(1).to_pylist())
             numbers = window_codes(joined)
             score = block_scores(joined, fwd, numbers)[0]
             if both_strands:
                 score = np.maximum(score, block_scores(joined, rev, numbers)[0])
             at, rows = 0, []
-            for i, c in enumerate(codes):
-                own = score[at : at + max(0, len(c) - w + 1)]
-                at += len(c) + 1
+            for i, n in enumerate(lengths):
+                own = score[at : at + max(0, n - w + 1)]
+                at += n + 1
                 if len(own) and (top := own[best := int(own.argmax())]) > -np.inf:
                     rows.append((i, best, top, int((own >= least).sum()), top + np.log2(np.exp2(own - top).sum())))
             keep, pos, tops, hits, totals = zip(*rows, strict=True) if rows else ((),) * 5
@@ -97,16 +96,76 @@ def log2_sums(corpus: DataFrame, pwm: np.ndarray) -> DataFrame:
     return summaries(corpus, pwm, both_strands=False).select("seq_id", "total")
 
 
+def _side_by_side(seqs: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    """Codes of sequences one after another, with an unknown letter after each, and their lengths."""
+    codes = [encode(s or "") for s in seqs]
+    joined = np.concatenate([x for c in codes for x in (c, np.full(1, -1, np.int8))] or [np.empty(0, np.int8)])
+    return joined[None, :], [len(c) for c in codes]
+
+
+def best_sites(corpus: DataFrame, motifs: dict[str, np.ndarray], id_type: str = "long") -> DataFrame:
+    """``(seq_id, motif, pos, strand, score, site)``: each row's best window of every motif, on either strand, in one pass.
+
+    Scores have nine decimals, so that windows of equal weights tie: the first one wins, then
+    the strand ``+``. ``site`` is the window as the motif reads it. A row without a window of
+    known bases has no site.
+    """
+    sides = {name: (np.asarray(m, float), reverse(m)) for name, m in motifs.items()}
+    kinds = pa.schema([("motif", pa.string()), ("pos", pa.int64()), ("strand", pa.string()), ("score", pa.float64()), ("site", pa.string())])
+    turn = str.maketrans(BASES, BASES[::-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column(1).to_pylist()
+            joined, lengths = _side_by_side(seqs)
+            numbers, keep, rows = window_codes(joined), [], []
+            for name, (fwd, rev) in sides.items():
+                w, at = len(fwd), 0
+                plus, minus = (np.round(block_scores(joined, m, numbers)[0], 9) for m in (fwd, rev))
+                both = np.maximum(plus, minus)
+                for i, n in enumerate(lengths):
+                    own = both[at : at + max(0, n - w + 1)]
+                    if len(own) and own[best := int(own.argmax())] > -np.inf:
+                        straight = plus[at + best] == own[best]
+                        site = seqs[i][best : best + w].upper()
+                        keep.append(i)
+                        rows.append({"motif": name, "pos": best, "strand": "+" if straight else "-", "score": float(own[best]), "site": site if straight else site.translate(turn)[::-1]})
+                    at += n + 1
+            out = pa.RecordBatch.from_pylist(rows, kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *out.columns], names=["seq_id", *kinds.names])
+
+    return corpus.select("seq_id", "seq").mapInArrow(run, f"seq_id {id_type}, motif string, pos long, strand string, score double, site string")
+
+
+def site_counts(sites: DataFrame) -> DataFrame:
+    """``(motif, pos, a, c, g, t)``: the letters of all sites of a motif at each of its places."""
+    letters = sites.select("motif", F.posexplode(F.split("site", "")).alias("pos", "b")).filter(F.col("b") != "")
+    return letters.groupBy("motif", F.col("pos").cast("long").alias("pos")).agg(*[F.count_if(F.col("b") == b).alias(b.lower()) for b in BASES])
+
+
 def logistic_facet(corpus: DataFrame, labels: DataFrame, pwms: list[np.ndarray], weights: list[float]) -> DataFrame:
     """``(seq_id, eta, p, log2_lik)`` of a logistic model of boolean labels ``(seq_id, label)``.
 
     ``eta`` is the weighted sum, over motifs, of a sequence's log2 sum of window likelihoods
-    over the uniform background's; a sequence shorter than the motif adds nothing.
+    over the uniform background's; a sequence shorter than the motif adds nothing. All motifs
+    are scored in one pass.
     """
-    out = corpus.select("seq_id").withColumn("eta", F.lit(0.0))
-    for pwm, w in zip(pwms, weights, strict=True):
-        one = log2_sums(corpus, pwm).select("seq_id", (F.col("total") + 2.0 * len(pwm)).alias("x"))
-        out = out.join(one, "seq_id", "left").select("seq_id", (F.col("eta") + w * F.coalesce("x", F.lit(0.0))).alias("eta"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined, lengths = _side_by_side(batch.column(1).to_pylist())
+            numbers, eta = window_codes(joined), np.zeros(len(lengths))
+            for pwm, weight in zip(pwms, weights, strict=True):
+                score, at = block_scores(joined, np.asarray(pwm, float), numbers)[0], 0
+                for i, n in enumerate(lengths):
+                    own = score[at : at + max(0, n - len(pwm) + 1)]
+                    if len(own) and (top := own.max()) > -np.inf:
+                        eta[i] += weight * (top + np.log2(np.exp2(own - top).sum()) + 2.0 * len(pwm))
+                    at += n + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(eta)], names=["seq_id", "eta"])
+
+    kind = corpus.schema["seq_id"].dataType.simpleString()
+    out = corpus.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, eta double")
     p = 1 / (1 + F.exp(-F.col("eta")))
     return out.join(labels, "seq_id").withColumn("p", p).withColumn("log2_lik", F.log2(F.when(F.col("label"), F.col("p")).otherwise(1 - F.col("p"))))
 

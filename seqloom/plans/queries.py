@@ -248,13 +248,13 @@ def pwm_of_first_letters(spark, d):
     return rows.select(*_long("pos"), *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate("acgt")])
 
 
-def _score_sql(pwm) -> str:
+def score_sql(pwm) -> str:
     return " + ".join(
         "CASE substring(kmer, %d, 1) %s END" % (i + 1, " ".join(f"WHEN '{b}' THEN CAST({float(x)!r} AS DOUBLE)" for b, x in zip(B.BASES, r, strict=True))) for i, r in enumerate(pwm)
     )
 
 
-_FWD, _REV = _score_sql(MOTIF), _score_sql(M.reverse(MOTIF))
+_FWD, _REV = score_sql(MOTIF), score_sql(M.reverse(MOTIF))
 _SCAN = f"WITH {CORPUS}, {_windows(6)}, s AS (SELECT seq_id, pos, {_FWD} AS score FROM w)"
 _DUAL = f"WITH {CORPUS}, {_windows(6)}, s AS (SELECT seq_id, pos, greatest({_FWD}, {_REV}) AS score FROM w)"
 
@@ -309,7 +309,7 @@ def scan_log2sumexp(spark, d):
 
 @query(
     f"""{_SCAN}, t AS (SELECT seq_id, log2(sum(pow(CAST(2 AS DOUBLE), score))) + 12 AS x FROM s GROUP BY seq_id),
-    {_windows(5).replace("w AS", "v AS")}, u AS (SELECT seq_id, log2(sum(pow(CAST(2 AS DOUBLE), {_score_sql(SECOND)}))) + 10 AS x FROM v GROUP BY seq_id),
+    {_windows(5).replace("w AS", "v AS")}, u AS (SELECT seq_id, log2(sum(pow(CAST(2 AS DOUBLE), {score_sql(SECOND)}))) + 10 AS x FROM v GROUP BY seq_id),
     e AS (SELECT corpus.seq_id, CAST(0.5 AS DOUBLE) * coalesce(t.x, 0) - CAST(0.25 AS DOUBLE) * coalesce(u.x, 0) AS eta FROM corpus LEFT JOIN t USING (seq_id) LEFT JOIN u USING (seq_id))
     SELECT seq_id, round(eta, 6) AS eta, round(1 / (1 + exp(-eta)), 6) AS p,
       round(log2(CASE WHEN quality = 1 THEN 1 / (1 + exp(-eta)) ELSE 1 - 1 / (1 + exp(-eta)) END), 6) AS log2_lik
@@ -618,7 +618,7 @@ def _gapped_sql(both: bool = True) -> str:
     """The recursion with two blocks of three bases and 0 to 4 bases between them; rows carry their last ten values."""
     raw = {0: ["1"] * 5, 1: [f"pow(CAST(0.9 AS DOUBLE), {g})" for g in range(5)], 2: ["1"]}
     priors = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS model_id, [" + ", ".join(f"log2(CAST({x} AS DOUBLE) / ({' + '.join(r)}))" for x in r) + "] AS pr" for k, r in raw.items())
-    first, last, rev_first, rev_last = (_score_sql(m) for m in (MOTIF[:3], MOTIF[3:], M.reverse(MOTIF[3:]), M.reverse(MOTIF[:3])))
+    first, last, rev_first, rev_last = (score_sql(m) for m in (MOTIF[:3], MOTIF[3:], M.reverse(MOTIF[3:]), M.reverse(MOTIF[:3])))
     terms = []
     for g in range(5):
         a, z = f"substring(seq, i - {4 + g}, 3)", "substring(seq, i - 1, 3)"
