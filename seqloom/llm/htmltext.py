@@ -8,12 +8,13 @@ that is long now and then. Every page is then read again with its host's winning
 surest first: the text of all containers on the first that gives any; else of the page's own
 best container.
 
-What is never an article's by its element (menus, footers, forms, scripts) or by a class of
-its own (``ad``, ``comments``) is left out at once. A longer class that only holds such a word
-(``share-price``, ``share-buttons``) makes a container suspect: inside the winning container it
+What is never an article's by its element (menus, footers, forms, scripts) is left out at once, and
+so is a container with a class or role that says so by a word of its own (``ad``, ``comments``). A
+longer class that only holds such a word (``share-price``, ``share-buttons``), or an id, makes a container suspect: inside the winning container it
 goes if Spark sees its text repeated over the host's pages, if it is mostly links, or if it
-names adverts or comments; it stays if it holds most of the page. Headings, paragraphs and
-tables never go by a part of a longer class.
+names adverts or comments; it stays if it holds most of the page. Headings and what stands in a line never
+go by a name, tables and their cells not within an article, and its paragraphs and list items
+only as notices or adverts. What is left out ends where HTML lets an end tag be left off.
 """
 
 from __future__ import annotations
@@ -51,10 +52,21 @@ OUT_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies".split())
 #: Words that say it even as the first or last part of a longer class.
 STRONG = COMMENT_WORDS | frozenset("ad ads advert advertisement advertising sponsor sponsored cookie cookies consent".split())
-#: Containers that a longer class makes suspect.
+#: What a paragraph or list item of an article must be named to go.
+ITEM_WORDS = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promoted promotion notice notices cookie cookies consent".split())
+#: Containers that a class or role of OUT_WORDS leaves out, and that a longer class or an id makes suspect.
 WRAPPER = frozenset("div section center ul ol dl figure fieldset details".split())
 #: Elements that an article ends if they were left open before it.
 UNCLOSED = ("nav", "header", "form", "aside", "menu", "head")
+#: Start tags that end an element without an end tag of its own, unless one of the third kind was opened in it.
+_P_ENDS = frozenset(
+    "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
+)
+_ROW, _CELL = frozenset(("tr", "tbody", "tfoot", "thead")), frozenset(("td", "th"))
+IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
+    "p": (_P_ENDS, frozenset()), "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))), **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+    "tr": (_ROW, frozenset(("table",))), **dict.fromkeys(_CELL, (_CELL | _ROW, frozenset(("table",)))), **dict.fromkeys(_ROW - {"tr"}, (_ROW - {"tr"}, frozenset(("table",)))),
+}
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')|["'=])*+)>""", re.S
 )
@@ -104,7 +116,10 @@ def path_key(path: str) -> int:
 
 
 def _names(attrs: str) -> tuple[str, set[str], int]:
-    """The generalised class (digits as #, sorted), the words that name what the element is, and how suspect longer ones make it."""
+    """The generalised class (digits as #, sorted), the words by which class or role name what the element is, and how suspect longer classes, or an id, make it.
+
+    An id may only be the aim of a link, so it alone names nothing.
+    """
     cls, named, suspect = "", set(), 0
     for m in _ATTR.finditer(attrs):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -113,7 +128,7 @@ def _names(attrs: str) -> tuple[str, set[str], int]:
         if kind == "class":
             cls = ".".join(sorted({re.sub(r"\d+", "#", c).replace("/", "|") for c in value.lower().split()}))
         for token in value.split():
-            if token.lower() in OUT_WORDS:
+            if token.lower() in OUT_WORDS and kind != "id":
                 named.add(token.lower())
                 continue
             parts = [p.lower() for p in _PART.findall(token)]
@@ -122,6 +137,20 @@ def _names(attrs: str) -> tuple[str, set[str], int]:
     return cls, named, suspect
 
 
+def _named_out(tag: str, cls: str, named: set[str], inner: bool) -> bool:
+    """Whether an element's names leave it out; ``inner`` says that it is within an article.
+
+    Headings and what stands in a line never go; nor does a table or its cells within an
+    article, whose paragraphs and list items go as notices or adverts alone (items as
+    comments too) and whose header is its title's.
+    """
+    if tag == "article":
+        return bool(COMMENT_WORDS & set(cls.split(".")))
+    if tag in WRAPPER or (not inner and (tag in CONTAINER or tag in ("p", "li", "dt", "dd")) and tag not in ("html", "body", "main")):
+        return bool(named - {"header"} if inner else named)
+    return bool(named & (ITEM_WORDS | COMMENT_WORDS if tag == "li" else ITEM_WORDS)) if tag in ("p", "li") else False
+
+
 def blocks(html: str) -> tuple[Node, list[tuple[str, Node]]]:
     """The tree of containers and the blocks of text, each with the innermost container around it, in page order.
 
@@ -176,7 +205,13 @@ def blocks(html: str) -> tuple[Node, list[tuple[str, Node]]]:
                     while (last := skip.pop()) != tag:
                         skipped[last] -= 1
                     skipped[tag] -= 1
-                continue
+                    continue
+                # What is around ends here, and with it an element that was left open.
+                loose = skip[0] in IMPLIED or not (skip[0] in CONTAINER or skip[0] in BLOCK or skip[0] in OUT)
+                if not (open_[tag] and tag in CONTAINER and (loose or tag in ("article", "main", "body", "html")) or loose and tag in BLOCK):
+                    continue
+                skip.clear()
+                skipped.clear()
             if tag == "a":
                 in_link = False
             if tag in CONTAINER or tag in BLOCK or tag in OUT or tag == "header":
@@ -196,7 +231,10 @@ def blocks(html: str) -> tuple[Node, list[tuple[str, Node]]]:
             elif tag == "hr" and not skip:
                 flush()
             continue
-        inner = open_["article"] or open_["main"]
+        inner = bool(open_["article"] or open_["main"])
+        if skip and skip[0] in IMPLIED and tag in IMPLIED[skip[0]][0] and not any(skipped[x] for x in IMPLIED[skip[0]][1]):
+            skip.clear()
+            skipped.clear()
         if skip:
             if tag in ("article", "main") and skip[0] in UNCLOSED and not inner:
                 skip.clear()  # an article inside a menu means that the menu was never closed
@@ -209,11 +247,7 @@ def blocks(html: str) -> tuple[Node, list[tuple[str, Node]]]:
         cls, suspect, gone = "", 0, False
         if attrs:
             cls, named, suspect = _names(attrs)
-            if tag == "article":
-                gone = bool(COMMENT_WORDS & set(cls.split(".")))
-            elif tag not in ("html", "body", "main"):
-                # Within an article a header is its title's.
-                gone = bool(named - {"header"} if inner else named) or bool(_HIDDEN.search(attrs))
+            gone = _named_out(tag, cls, named, inner) or (tag not in ("html", "body", "main", "article") and bool(_HIDDEN.search(attrs)))
         if tag in OUT or (tag == "header" and not inner) or gone:
             if tag in CONTAINER or tag in BLOCK or tag in OUT or tag == "header":
                 flush()

@@ -374,6 +374,25 @@ def test_longer_classes_within_an_article():
     assert htmltext.extract("<body><div class='has-sidebar'><p>all of the text</p></div></body>", None) == "all of the text"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><h2 id="search">Search results explained</h2><p>Body text here.</p></article>', "Search results explained\n\nBody text here."),
+        ("<article><table><tr><td class=share>1<td>2</table><p class=comment>x</p></article>", "1\n\n2\n\nx"),
+        ('<article><p>See <b id="menu">the menu</b> and <span class="related">related work</span> below.</p></article>', "See the menu and related work below."),
+        ('<article><p>One.<p class="notice">Warn.<p>Two.<p>Three.</article>', "One.\n\nTwo.\n\nThree."),
+        ('<article><ul><li>a<li class="promo">b<ul><li>in it</ul><li>c</ul><p>Two.</p></article>', "a\n\nc\n\nTwo."),
+        ("<article><p>a</p><dl><dt hidden>t<dd>d</dl><table><tr><td>1<td hidden>2<td>3<tr hidden><td>4<tr><td>5</table></article>", "a\n\nd\n\n1\n\n3\n\n5"),
+        ("<article><p>a <span hidden>no</p><p>c</p></article>", "a\n\nc"),
+        ("<body><article><p>the article's text<div class=ad><p>buy</article><div class=footer>f</div>", "the article's text"),
+        ("<body><article><p>a long text of the article</p><div id=comments><p>me too</p></div><div role=search>find</div></article>", "a long text of the article"),
+    ],
+)
+def test_names_and_open_elements(page, text):
+    """Headings, cells and what stands in a line stay whatever they are called; what is left out ends where its end tag may be left off."""
+    assert htmltext.extract(page, None) == text
+
+
 def test_deep_pages_take_linear_time():
     took = []
     for n in (4000, 32_000):
