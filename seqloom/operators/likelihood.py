@@ -329,12 +329,13 @@ def in_steps(scores: np.ndarray) -> int:
 
 
 def score_models(corpus: DataFrame, models: list[Model]) -> DataFrame:
-    """``(model_id, log2_lik)`` over the corpus: partial sums in each batch, so little is shuffled."""
+    """``(model_id, log2_lik)`` over the corpus: a task sums its part, so one row a task and model is shuffled."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [0] * len(models)
         for part in parts:
-            found = [in_steps(x) for x in score([encode(s) for s in part.column(0).to_pylist()], models)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(found, pa.int64())], names=["model_id", "steps"])
+            found = [a + in_steps(x) for a, x in zip(found, score([encode(s) for s in part.column(0).to_pylist()], models), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(found, pa.int64())], names=["model_id", "steps"])
 
     sums = corpus.select("seq").mapInArrow(run, "model_id int, steps long").groupBy("model_id").agg(F.sum(F.col("steps").cast("decimal(38,0)")).alias("s"))
     return sums.select("model_id", (F.col("s").cast("double") / STEPS).alias("log2_lik"))

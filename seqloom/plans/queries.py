@@ -475,6 +475,26 @@ def remaining_info(spark, d):
     return spark.createDataFrame([(round(sampler.remaining(z, liks), 6), round(sampler.information(z, liks), 6))], "remaining double, information double")
 
 
+@query(
+    """WITH p AS (SELECT user_id, event_id % 4 AS thread, value / 10 AS lik, event_id, 5 + event_id % 4 AS live FROM events WHERE value IS NOT NULL),
+    a AS (SELECT *, live - (row_number() OVER (PARTITION BY user_id, thread ORDER BY lik DESC, event_id DESC) = 1)::INT AS after,
+      row_number() OVER (PARTITION BY user_id, thread ORDER BY lik, event_id) AS k FROM p),
+    n AS (SELECT *, sum(CASE WHEN k = 1 THEN live ELSE 0 END) OVER (PARTITION BY user_id) + sum(after - live) OVER o AS then_, row_number() OVER o AS step FROM a WINDOW o AS (PARTITION BY user_id ORDER BY lik, thread, event_id)),
+    x AS (SELECT *, CAST(then_ - after + live AS DOUBLE) AS now_, sum(1 / CAST(then_ - after + live AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY step) AS log_x FROM n),
+    w AS (SELECT *, (ln(0.5) - log_x + 1 / now_ + ln(1 - CASE WHEN then_ > 0 THEN exp(-1 / now_ - 1 / CAST(then_ AS DOUBLE)) ELSE 0 END)) / ln(2) AS width FROM x)
+    SELECT user_id, step, thread, round(lik, 6) AS log2_lik, round(width, 6) AS log2_width,
+      round(max(lik + width) OVER (PARTITION BY user_id) + log2(sum(pow(CAST(2 AS DOUBLE), lik + width - m)) OVER (PARTITION BY user_id ORDER BY step)), 6) AS log2_evidence
+    FROM (SELECT *, max(lik + width) OVER (PARTITION BY user_id) AS m FROM w)"""
+)
+def evidence_merged(spark, d):
+    """Each user's events as the deaths of four threads, which lose a live point at the end."""
+    e = table(spark, d, "events").filter("value is not null").select("user_id", (F.col("event_id") % 4).alias("thread"), (F.col("value") / 10).alias("log2_lik"), "event_id")
+    last = F.row_number().over(W.partitionBy("user_id", "thread").orderBy(F.desc("log2_lik"), F.desc("event_id"))) == 1
+    live = F.col("thread") + 5
+    rows = e.withColumn("live", live).withColumn("after", live - last.cast("int"))
+    return sampler.merged_evidence(rows, ["user_id"]).select("user_id", *_long("step", "thread"), *[F.round(c, 6).alias(c) for c in ("log2_lik", "log2_width", "log2_evidence")])
+
+
 @query(
     """WITH s AS (SELECT row_number() OVER (ORDER BY event_type) AS n, sum(value) / 100 AS logz FROM events GROUP BY event_type),
     g AS (SELECT n, logz, logz - lag(logz) OVER (ORDER BY n) AS gain FROM s)

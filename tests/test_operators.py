@@ -198,21 +198,71 @@ def test_blocks_of_bases_equal_one_at_a_time():
 
 
 def test_both_ways_of_a_search_make_the_same_chains(spark, monkeypatch):
-    data = synth.Dataset(30, synth.Lengths("normal", 60, 20, 20, 120), motifs=synth.patterns(["TATAAATA"], 0.0)).generate(spark).select("seq_id", "seq", "length").cache()
+    """Chains as tasks, or jobs that score several moves of all chains; how many, and over how many parts, changes nothing."""
+    data = synth.Dataset(20, synth.Lengths("normal", 60, 20, 20, 120), motifs=synth.patterns(["TATAAATA"], 0.0)).generate(spark).select("seq_id", "seq", "length").cache()
     jobs = []
     real = sampler.score_models
     monkeypatch.setattr(sampler, "score_models", lambda c, m: jobs.append(len(m)) or real(c, m))
-    for options in ({}, {"deaths": 2, "adaptive": True, "gaps": G.GapConfig()}):
-        make = lambda **o: sampler.Search(data, length=9, ensemble=6, seed=2, **options, **o).run(2)  # noqa: B023,E731
-        small = make()
-        assert len(jobs) == 1 and small._shared is None  # the first ensemble; the broadcast is given back
+    for options in ({"ensemble": 10}, {"deaths": 2, "adaptive": True, "gaps": G.GapConfig()}):
+
+        def make(d=data, **o):
+            search = sampler.Search(d, **{"length": 9, "ensemble": 6, "seed": 2, **options, **o})  # noqa: B023
+            search.setting.max_steps = 14
+            return search.run(2)
+
+        tasks = make()
+        assert len(jobs) == 1 and tasks._parts is None  # the first ensemble; what the cluster kept is given back
         jobs.clear()
-        big = make(broadcast_bases=0, ahead=16)
-        assert big.dead == small.dead and [p.dump() for p in big.particles] == [p.dump() for p in small.particles]
-        assert 4 * (len(jobs) - 1) < sum(jobs[1:])
-        one = make(broadcast_bases=0, ahead=3)
-        assert one.dead == small.dead
+        whole = make(small=0, ahead=16)
+        assert 2 * (len(jobs) - 1) < sum(jobs[1:])
+        other = make(data.repartition(5), small=0, ahead=3)
+        for s in (whole, other):
+            assert s.dead == tasks.dead and [p.dump() for p in s.particles] == [p.dump() for p in tasks.particles]
         jobs.clear()
+    assert [sampler.Search(data, ensemble=n).threads for n in (4, 20, 200)] == [1, 4, 16]
+
+
+def _made_run(rng, live, rounds, thread=0, deaths=1):
+    """A run of exact draws: the likelihood is -100 x^2 at volume x, in log2."""
+    x, out = rng.random(live).tolist(), []
+    for _ in range(rounds):
+        worst = sorted(x, reverse=True)[:deaths]
+        for j, v in enumerate(worst, 1):
+            out.append((thread, -100 * v * v, live - j + 1, live - j if j < deaths else live))
+            x.remove(v)
+        x += (rng.random(deaths) * worst[-1]).tolist()
+    return out
+
+
+def test_merged_threads_give_one_evidence(spark):
+    """The integral of 2^(-100 x^2) over 0 to 1 is known; threads of 10 are as good as one run of 80."""
+    true = math.log2(math.sqrt(math.pi / (100 * math.log(2))) / 2)
+    rng = np.random.default_rng(8)
+    evidence = lambda rows, n: float(np.logaddexp2.reduce(np.add([r[1] for r in rows], sampler.log2_widths(rows, n)[0])))
+    for deaths in (1, 3):
+        merged, single = [], []
+        for _ in range(150):
+            rows = sorted((d for t in range(8) for d in _made_run(rng, 10, 90 // deaths, t, deaths)), key=lambda d: d[1])
+            merged.append(evidence(rows, 80))
+            single.append(evidence(_made_run(rng, 80, 720 // deaths, 0, deaths), 80))
+        assert abs(np.mean(merged) - true) < 0.1 and abs(np.mean(single) - true) < 0.1
+        assert np.std(merged) < 1.3 * np.std(single)
+    df = spark.createDataFrame([("a", *d) for d in rows] + [("b", *d) for d in _made_run(rng, 5, 9)], "run string, thread int, log2_lik double, live int, after int")
+    got = sampler.merged_evidence(df, ["run"]).orderBy("run", "step").collect()
+    assert [r["log2_width"] for r in got if r["run"] == "a"] == pytest.approx(sampler.log2_widths(rows, 80)[0])
+    assert got[len(rows) - 1]["log2_evidence"] == pytest.approx(merged[-1])
+
+
+def test_threads_agree_with_one_long_run(spark):
+    """Evidence of four threads of five and of one run of twenty, within four of their standard errors."""
+    data = synth.Dataset(12, synth.Lengths("fixed", 40), motifs=synth.patterns(["TATAAATA"], 0.0)).generate(spark).select("seq_id", "seq", "length").cache()
+    runs = [sampler.Search(data, length=6, ensemble=20, bg_order=0, seed=4, threads=n) for n in (1, 4)]
+    for r in runs:
+        r.setting.max_steps = 30
+        r.run(60)
+    assert [len(r.log) for r in runs] == [60, 60] and {d[0] for d in runs[1].log} == {0, 1, 2, 3}
+    (one, e1), (four, e4) = (r.evidence_and_error() for r in runs)
+    assert 0 < min(e1, e4) and abs(one - four) < 4 * math.hypot(e1, e4)
 
 
 def test_grace_of_a_search(spark):
@@ -249,7 +299,7 @@ def test_gaps(spark):
 def test_first_evidence_weight(spark):
     data = synth.Dataset(5, synth.Lengths("fixed", 30)).generate(spark).select("seq_id", "seq", "length")
     for n, want in ((10, -3.4637939082301825), (20, -4.393461774083733)):
-        s = sampler.Search(data, length=6, ensemble=n, bg_order=0)
+        s = sampler.Search(data, length=6, ensemble=n, bg_order=0, threads=1)
         s.step()
         assert s.log2_widths[0] == pytest.approx(want)
         assert s.log2_evidence == pytest.approx(s.dead[0] + want)
@@ -268,9 +318,7 @@ def test_search_keeps_its_floor_and_resumes(spark, tmp_path):
     again = sampler.Search.restore(data, str(tmp_path / "c")).run(12)
     assert again.dead == pytest.approx(whole.dead) and again.log2_evidence == pytest.approx(whole.log2_evidence)
     assert sampler.inspect(spark, str(tmp_path / "c"))["cycle"] == 6
-    big = make(2, deaths=3, broadcast_bases=0).run(2)
-    small = make(2, deaths=3).run(2)
-    assert big.dead == pytest.approx(small.dead)
+    assert make(2, deaths=3, small=0).run(1).dead == make(3, deaths=3).run(1).dead
     last = sampler.running_evidence(whole.table()).orderBy("step").collect()[-1]
     assert last["log2_evidence"] == pytest.approx(whole.log2_evidence)
 
