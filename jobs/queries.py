@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import kmer_census, motif_sites
 from seqloom.functions.motifs import reverse
 from seqloom.plans.queries import CORPUS, score_sql
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for one run, in the place that the session names; a local master without one gets a temporary folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from seqloom.sources.folders import new_folder
 
 
 def job1_kmer_census(spark: SparkSession, sf_dir: str) -> DataFrame:

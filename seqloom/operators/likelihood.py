@@ -339,3 +339,89 @@ def score_models(corpus: DataFrame, models: list[Model]) -> DataFrame:
 
     sums = corpus.select("seq").mapInArrow(run, "model_id int, steps long").groupBy("model_id").agg(F.sum(F.col("steps").cast("decimal(38,0)")).alias("s"))
     return sums.select("model_id", (F.col("s").cast("double") / STEPS).alias("log2_lik"))
+
+
+def context_letters(models: list[Model]) -> int:
+    """Letters before a piece that its likelihood depends on: those of an instance that ends in it, and of the background before that."""
+    spans = [sum(map(len, p.blocks)) + sum(g) for m in models for p in m.pieces for g, _ in p.layouts()]
+    orders = [round(np.log(len(m.bg)) / np.log(4)) for m in models]
+    return max(spans, default=1) - 1 + max(orders, default=0)
+
+
+def transfer(before: np.ndarray, x: np.ndarray, model: Model) -> tuple[np.ndarray, float, float]:
+    """What a piece does to the recursion: ``(matrix, exponent, background)``.
+
+    The state is the recursion's last values, the newest first, relative to a read of background
+    bases alone, as many as the longest motif has bases. All columns of the unit matrix go
+    through the recursion side by side; the matrix counts times 2^exponent, and ``background``
+    is the log2 weight of reading the piece as background.
+    """
+    both = np.concatenate([before, x])[None, :]
+    codes, bg = window_codes(both), _background(both, model.bg)
+    pieces = [p for i, p in enumerate(model.pieces) if not model.active or model.active[i]]
+    each = 1 / model.mean_length
+    stay, enter = (np.log2(1 - min(len(pieces) * each, 0.9999)), np.log2(each)) if pieces else (0.0, 0.0)
+    upto = np.concatenate([[0.0], np.cumsum(bg[0] + stay)])
+    ratios: dict[int, np.ndarray] = {}
+    for span, m in _moves(both, pieces, bg, model.both_strands, codes):
+        gain = m[0] + enter - (upto[span:] - upto[: len(upto) - span])
+        if gain.max(initial=-np.inf) > LARGE:
+            raise ValueError("a motif's weight over the background's is beyond 2^300")
+        ratios[span] = ratios.get(span, 0) + np.exp2(gain)
+    depth = max([sum(map(len, p.blocks)) + sum(g) for p in pieces for g, _ in p.layouts()], default=1)
+    # Rows are places, oldest first; columns are the unit states.
+    held = np.eye(depth)[::-1].copy()
+    exponent, c, n = 0.0, len(before), len(both[0])
+    step = min(ratios, default=max(1, len(x)))
+    for lo in range(c, n, step):
+        hi = min(lo + step, n)
+        add = np.zeros((hi - lo, depth))
+        for span, r in ratios.items():
+            # An instance that ends at place i begins at i - span, which is not before what is known.
+            first = max(lo + 1, span)
+            if first <= hi:
+                at = slice(first - span - (lo - depth + 1), hi - span - (lo - depth + 1) + 1)
+                add[first - lo - 1 :] += held[at] * r[first - span : hi - span + 1, None]
+        add[0] += held[-1]
+        held = np.concatenate([held, np.cumsum(add, axis=0)])[-depth:]
+        top = held.max()
+        if top > 2.0**LARGE or 0 < top < 2.0**-LARGE:
+            down = np.floor(np.log2(top))
+            held, exponent = held * np.exp2(-down), exponent + down
+    return held[::-1], exponent, float(upto[n] - upto[c])
+
+
+def score_pieces(pieces: DataFrame, models: list[Model]) -> DataFrame:
+    """``(seq_id, model_id, log2_lik)`` of records that come in pieces ``(seq_id, at, seq, before)``, as :func:`score_sequences` of whole ones.
+
+    ``before`` holds the last :func:`context_letters` letters of the piece before, which must be so
+    long (``with_context`` of :mod:`seqloom.sources.fasta_source`); a record's first piece has none.
+    Each piece's transfer matrix is made apart, so a record is worked on by many tasks; a
+    record's matrices, a few kilobytes each, are multiplied in the order of its pieces.
+    """
+    kinds = "model_id int, at long, matrix array<double>, exponent double, background double"
+    id_type = pieces.schema["seq_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = []
+            for at, seq, before in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                for k, model in enumerate(models):
+                    matrix, exponent, background = transfer(encode(before or ""), encode(seq or ""), model)
+                    rows.append({"model_id": k, "at": at, "matrix": matrix.ravel().tolist(), "exponent": exponent, "background": background})
+            made = pa.RecordBatch.from_pylist(rows, pa.schema([("model_id", pa.int32()), ("at", pa.int64()), ("matrix", pa.list_(pa.float64())), ("exponent", pa.float64()), ("background", pa.float64())]))
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(models))))
+            yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["seq_id", *made.schema.names])
+
+    def multiplied(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["at"])
+        depth = round(len(rows[0]["matrix"]) ** 0.5)
+        state, total = np.eye(depth)[0], 0.0
+        for r in rows:
+            state = np.array(r["matrix"]).reshape(depth, depth) @ state
+            top = np.floor(np.log2(state.max()))
+            state, total = state * np.exp2(-top), total + r["background"] + r["exponent"] + top
+        return pa.table([table["seq_id"][:1], table["model_id"][:1], pa.array([total + float(np.log2(state[0]))])], names=["seq_id", "model_id", "log2_lik"])
+
+    made = pieces.select("seq_id", "at", "seq", "before").mapInArrow(run, f"seq_id {id_type}, {kinds}")
+    return made.groupBy("seq_id", "model_id").applyInArrow(multiplied, f"seq_id {id_type}, model_id int, log2_lik double")

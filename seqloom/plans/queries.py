@@ -20,6 +20,8 @@ from seqloom.functions import gaps as G
 from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
 from seqloom.operators import compare, intervals, likelihood, mixture, sampler, scan, synth
+from seqloom.sources import fasta, fasta_source
+from seqloom.sources.folders import new_folder
 
 MOTIF = M.kmer_to_pwm("TATAAT")
 SECOND = M.kmer_to_pwm("CCAAT")
@@ -569,6 +571,14 @@ def dp_likelihood_dual(spark, d):
     return out.select("seq_id", F.round("log2_lik", 4).alias("log2_lik"))
 
 
+@query(SQL["dp_likelihood_dual"])
+def dp_likelihood_pieces(spark, d):
+    """The same from pieces of 256 letters, each by a task's transfer matrix."""
+    models = _uniform_models(spark, d, True)
+    pieces = fasta_source.with_context(fasta_source.cut(corpus(spark, d), 256), likelihood.context_letters(models))
+    return likelihood.score_pieces(pieces, models).select("seq_id", F.round("log2_lik", 4).alias("log2_lik"))
+
+
 #: The weights of a learned background of order 3 as one list, by the number of four letters.
 _BG3 = ", " + _background_sql(3).replace(f"WITH {CORPUS}, ", "").replace("SELECT ctx, base, cnt, round(", ", g AS (SELECT ctx * 4 + base AS id, (").replace(", 6) AS logp FROM f", ") AS logp FROM f)").replace("f AS (SELECT g.id", "f0 AS (SELECT g.id").replace("FROM f)", "FROM f0)") + ", bg AS MATERIALIZED (SELECT list(logp ORDER BY id) AS bgl FROM g)"
 _CODE = lambda at: f"(instr('ACGT', substring(seq, {at}, 1)) - 1)"
@@ -635,23 +645,23 @@ def length_histogram(spark, d):
 
 
 def _gapped_sql(both: bool = True) -> str:
-    """The recursion with two blocks of three bases and 0 to 4 bases between them; rows carry their last ten values."""
+    """The recursion with two blocks of three bases and 0 to 4 bases between them; rows carry their last ten values, and letters are looked up in a window of the last ten."""
     raw = {0: ["1"] * 5, 1: [f"pow(CAST(0.9 AS DOUBLE), {g})" for g in range(5)], 2: ["1"]}
     priors = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS model_id, [" + ", ".join(f"log2(CAST({x} AS DOUBLE) / ({' + '.join(r)}))" for x in r) + "] AS pr" for k, r in raw.items())
     first, last, rev_first, rev_last = (score_sql(m) for m in (MOTIF[:3], MOTIF[3:], M.reverse(MOTIF[3:]), M.reverse(MOTIF[:3])))
     terms = []
     for g in range(5):
-        a, z = f"substring(seq, i - {4 + g}, 3)", "substring(seq, i - 1, 3)"
+        a, z = f"substring(w, {5 - g}, 3)", "substring(w, 8, 3)"
         at = lambda s, w: f"({s.replace('kmer', w)})"
         fwd = f"{at(first, a)} + {at(last, z)}"
         best = f"greatest({fwd}, {at(rev_first, a)} + {at(rev_last, z)})" if both else fwd
         terms.append(f"CASE WHEN len(v) >= {6 + g} AND len(pr) > {g} THEN v[len(v) - {5 + g}] + enter + pr[{g + 1}] - {2 * g} + {best} ELSE -1e9 END AS m{g}")
     return f"""WITH RECURSIVE {CORPUS}, {_K}, cfg AS MATERIALIZED ({priors}),
-    f(model_id, pr, seq_id, seq, i, v) AS (SELECT model_id, pr, seq_id, seq, 0, [CAST(0 AS DOUBLE)] FROM corpus, cfg
-      UNION ALL SELECT model_id, pr, seq_id, seq, i + 1, list_append(CASE WHEN len(v) >= 10 THEN v[2:] ELSE v END, top + log2({" + ".join(f"pow(CAST(2 AS DOUBLE), {x} - top)" for x in ("b", "m0", "m1", "m2", "m3", "m4"))}))
+    f(model_id, pr, seq_id, seq, n, i, v) AS (SELECT model_id, pr, seq_id, '##########' || seq, length(seq), 0, [CAST(0 AS DOUBLE)] FROM corpus, cfg
+      UNION ALL SELECT model_id, pr, seq_id, seq, n, i + 1, list_append(CASE WHEN len(v) >= 10 THEN v[2:] ELSE v END, top + log2({" + ".join(f"pow(CAST(2 AS DOUBLE), {x} - top)" for x in ("b", "m0", "m1", "m2", "m3", "m4"))}))
       FROM (SELECT *, greatest(b, m0, m1, m2, m3, m4) AS top FROM (SELECT *, {", ".join(terms)}
-        FROM (SELECT f.*, enter, v[len(v)] - 2 + stay AS b FROM f, k WHERE i < length(seq)))))
-    SELECT seq_id, model_id, round(v[len(v)], 4) AS log2_lik FROM f WHERE i = length(seq)"""
+        FROM (SELECT f.*, enter, v[len(v)] - 2 + stay AS b, substring(seq, i + 2, 10) AS w FROM f, k WHERE i < n))))
+    SELECT seq_id, model_id, round(v[len(v)], 4) AS log2_lik FROM f WHERE i = n"""
 
 
 def _gapped(spark, d, both: bool) -> DataFrame:
@@ -672,6 +682,16 @@ def gapped_dp_fwd(spark, d):
     return _gapped(spark, d, False)
 
 
+@query(f"WITH {CORPUS} SELECT CAST(seq_id AS VARCHAR) AS seq_id, CAST(i AS BIGINT) AS at, CAST(least(length(seq) - i, 512) AS BIGINT) AS length, md5(substring(seq, CAST(i AS BIGINT) + 1, 512)) AS letters FROM corpus, unnest(range(0, greatest(length(seq), 1), 512)) t(i)")
+def fasta_source_pieces(spark, d):
+    """All documents written as FASTA and read back by byte ranges, in pieces of 512 letters."""
+    folder = new_folder(spark, "fasta")
+    fasta.write_fasta(corpus(spark, d), folder)
+    fasta_source.register(spark)
+    rows = spark.read.format("fasta").option("rangeBytes", 1 << 16).option("pieceLetters", 512).load(folder)
+    return rows.select("seq_id", "at", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("letters"))
+
+
 @query()
 def nested_sampling_run(spark, d):
     """A search over all documents, with the operator's own settings."""
