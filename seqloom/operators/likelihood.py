@@ -52,6 +52,19 @@ class Piece:
         ranges = range(self.gaps.shortest, self.gaps.longest + 1)
         return [(list(g), sum(self.gaps.log_prior(x) for x in g) / np.log(2)) for g in product(ranges, repeat=n)]
 
+    @property
+    def chained(self) -> bool:
+        """Whether gap lengths are summed over by a state for each block rather than a layout for each combination of them."""
+        return self.lengths is None and len(self.blocks) > 2
+
+    @property
+    def spans(self) -> tuple[int, int]:
+        """The fewest and the most bases of an instance."""
+        n = len(self.blocks) - 1
+        least, most = (0, 0) if not n else (sum(self.lengths),) * 2 if self.lengths is not None else (n * self.gaps.shortest, n * self.gaps.longest)
+        own = sum(map(len, self.blocks))
+        return own + least, own + most
+
     def other_strand(self) -> Piece:
         """Blocks and gaps in reverse order, each block reversed."""
         turned = None if self.lengths is None else list(self.lengths)[::-1]
@@ -160,6 +173,54 @@ def _moves(x: np.ndarray, pieces: list[Piece], bg: np.ndarray, both_strands: boo
         yield from found
 
 
+@dataclass
+class _Chain:
+    """A motif of several blocks on one strand, its gaps summed over: ``ends[k]`` holds, by place, the weight of all reads whose block k ends there.
+
+    A block follows the one before it after every gap length, so the work grows with the number
+    of blocks times the range of lengths, not with its powers.
+    """
+
+    blocks: list[int]
+    ratios: list[np.ndarray]
+    gaps: np.ndarray
+    shortest: int
+    enter: float
+    ends: list[np.ndarray]
+
+    @classmethod
+    def of(cls, piece: Piece, x: np.ndarray, upto: np.ndarray, stay: float, enter: float, codes: Codes) -> _Chain:
+        n, blocks, ratios, gain = x.shape[1], [len(b) for b in piece.blocks], [], enter
+        for b in piece.blocks:
+            log = block_scores(x, b, codes) - (upto[:, len(b) :] - upto[:, : max(n - len(b) + 1, 0)])
+            gain += max(0.0, log.max(initial=-np.inf))
+            ratios.append(np.ascontiguousarray(np.exp2(log).T))
+        lengths = np.arange(piece.gaps.shortest, piece.gaps.longest + 1)
+        # A base of a gap weighs as background, but for the chance of staying in it.
+        weights = np.exp2([piece.gaps.log_prior(int(d)) / np.log(2) - stay * d for d in lengths])
+        if gain + (len(blocks) - 1) * max(0.0, float(np.log2(weights.sum()))) > LARGE:
+            raise ValueError("a motif's weight over the background's is beyond 2^300")
+        return cls(blocks, ratios, weights, piece.gaps.shortest, 2.0**enter, [np.zeros((n + 1, len(x))) for _ in blocks])
+
+    def add(self, g: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """What instances that end at places ``lo + 1`` to ``hi`` add; no more places than the shortest block has."""
+        before, skip = g, 0
+        for k, (width, ratio, ends) in enumerate(zip(self.blocks, self.ratios, self.ends, strict=True)):
+            weights = self.gaps if k else np.ones(1)
+            skip = self.shortest if k else 0
+            first = max(lo + 1, width)
+            if first > hi:
+                return np.zeros((hi - lo, g.shape[1]))
+            total = np.zeros((hi - first + 1, g.shape[1]))
+            for d, w in enumerate(weights, skip):
+                begin = max(first, width + d)
+                if begin <= hi:
+                    total[begin - first :] += w * before[begin - width - d : hi - width - d + 1]
+            ends[first : hi + 1] = total * ratio[first - width : hi - width + 1]
+            before = ends
+        return ends[lo + 1 : hi + 1] * self.enter
+
+
 @dataclass
 class Batch:
     """Sequences of like length side by side: codes, -1 beyond each one's size, and their places in the list they come from."""
@@ -199,7 +260,9 @@ class Batch:
         upto = np.concatenate([np.zeros((len(x), 1)), np.cumsum(bg + stay, axis=1)], axis=1)
         # Layouts of one span add up to one weight.
         ratios: dict[int, np.ndarray] = {}
-        for span, m in _moves(x, pieces, bg, model.both_strands, self.codes):
+        joint = [p for p in pieces if p.chained and not model.both_strands]
+        chains = [_Chain.of(p, x, upto, stay, enter, self.codes) for p in joint if p.spans[0] <= n]
+        for span, m in _moves(x, [p for p in pieces if model.both_strands or not p.chained], bg, model.both_strands, self.codes):
             gain = m + enter - (upto[:, span:] - upto[:, : n - span + 1])
             if gain.max(initial=-np.inf) > LARGE:
                 return self._score_logs(model, pieces, bg, stay, enter)
@@ -207,9 +270,10 @@ class Batch:
             ratio = np.ascontiguousarray(np.exp2(gain, out=gain).T)
             ratios[span] = ratios[span] + ratio if span in ratios else ratio
         out = np.take_along_axis(upto, sizes[:, None], axis=1)[:, 0]
-        if not ratios:
+        if not ratios and not chains:
             return out
-        block, reach = min(ratios), max(ratios)
+        block = min([*ratios, *[b for c in chains for b in c.blocks]])
+        reach = max([*ratios, *[p.spans[1] for p in joint]])
         g = np.empty((n + 1, len(x)))
         g[0] = 1.0
         scale = np.zeros(len(x))
@@ -228,6 +292,8 @@ class Batch:
                 first = max(lo + 1, span)
                 if first <= hi:
                     add[first - lo - 1 :] += g[first - span : hi - span + 1] * r[first - span : hi - span + 1]
+            for chain in chains:
+                add += chain.add(g, lo, hi)
             add[0] += g[lo]
             np.cumsum(add, axis=0, out=add)
             if g[hi].max() > 2.0**LARGE:
@@ -235,7 +301,8 @@ class Batch:
                 big = np.flatnonzero(g[hi] > 2.0**LARGE)
                 down = np.floor(np.log2(g[hi, big]))
                 scale[big] += down
-                g[max(0, hi - reach) : hi + 1, big] *= np.exp2(-down)
+                for held in (g, *[e for c in chains for e in c.ends]):
+                    held[max(0, hi - reach) : hi + 1, big] *= np.exp2(-down)
         finish(n)
         return out
 
@@ -289,7 +356,7 @@ def batches(seqs: list[np.ndarray], cells: int = CELLS) -> list[Batch]:
 def score(seqs: list[np.ndarray], models: list[Model]) -> np.ndarray:
     """log2 likelihoods, (models, sequences); an empty sequence has 0."""
     out = np.zeros((len(models), len(seqs)))
-    layouts = max((len(p.layouts()) for m in models for p in m.pieces), default=1)
+    layouts = max((2 * len(p.blocks) if p.chained and not m.both_strands else len(p.layouts()) for m in models for p in m.pieces), default=1)
     for batch in batches(seqs, CELLS // layouts):
         for k, m in enumerate(models):
             out[k, batch.place] = batch.score(m)
@@ -343,7 +410,7 @@ def score_models(corpus: DataFrame, models: list[Model]) -> DataFrame:
 
 def context_letters(models: list[Model]) -> int:
     """Letters before a piece that its likelihood depends on: those of an instance that ends in it, and of the background before that."""
-    spans = [sum(map(len, p.blocks)) + sum(g) for m in models for p in m.pieces for g, _ in p.layouts()]
+    spans = [p.spans[1] for m in models for p in m.pieces]
     orders = [round(np.log(len(m.bg)) / np.log(4)) for m in models]
     return max(spans, default=1) - 1 + max(orders, default=0)
 
@@ -352,7 +419,7 @@ def transfer(before: np.ndarray, x: np.ndarray, model: Model) -> tuple[np.ndarra
     """What a piece does to the recursion: ``(matrix, exponent, background)``.
 
     The state is the recursion's last values, the newest first, relative to a read of background
-    bases alone, as many as the longest motif has bases. All columns of the unit matrix go
+    bases alone, as many as the longest motif has bases; gap lengths are taken by layout. All columns of the unit matrix go
     through the recursion side by side; the matrix counts times 2^exponent, and ``background``
     is the log2 weight of reading the piece as background.
     """
@@ -368,7 +435,7 @@ def transfer(before: np.ndarray, x: np.ndarray, model: Model) -> tuple[np.ndarra
         if gain.max(initial=-np.inf) > LARGE:
             raise ValueError("a motif's weight over the background's is beyond 2^300")
         ratios[span] = ratios.get(span, 0) + np.exp2(gain)
-    depth = max([sum(map(len, p.blocks)) + sum(g) for p in pieces for g, _ in p.layouts()], default=1)
+    depth = max([p.spans[1] for p in pieces], default=1)
     # Rows are places, oldest first; columns are the unit states.
     held = np.eye(depth)[::-1].copy()
     exponent, c, n = 0.0, len(before), len(both[0])

@@ -533,6 +533,37 @@ def test_sql_functions(spark):
     assert [None if r["x"] is None or r["x"] != r["x"] else round(r["x"], 6) for r in got] == [round(best, 6), round(best, 6), None, None]
 
 
+@pytest.mark.parametrize("gaps", [2, 3, 4])
+def test_any_number_of_gaps(gaps):
+    """A state for each block against all ways to read a sequence, several gaps and motifs; unknown letters and short sequences too."""
+    rng = np.random.default_rng(gaps)
+    config = G.GapConfig(prior="geometric", param=0.3, shortest=0, longest=2)
+    blocks = [np.log2(rng.dirichlet([1] * 4, int(n))) for n in rng.integers(2, 4, gaps + 1)]
+    bg = np.log2(rng.dirichlet([1] * 4, 4))
+    model = L.Model([L.Piece(blocks, config), L.Piece([M.kmer_to_pwm("ACG")])], bg, 12.0, both_strands=False)
+    seqs = ["".join("ACGTN"[i] for i in rng.choice(5, n, p=[0.24] * 4 + [0.04])) for n in (0, 3, 9, 14, 30, 31, 80)]
+    slow = L.Model([L.Piece(blocks, lengths=list(g)) for g in itertools.product(range(3), repeat=gaps)], bg, 12.0, both_strands=False)
+    got = L.score([L.encode(s) for s in seqs], [model])[0]
+    for s, value in zip(seqs, got, strict=True):
+        x = L.encode(s)[None, :]
+        base = L._background(x, bg)[0]
+        f = [0.0]
+        stay, enter = np.log2(1 - 2 / 12), np.log2(1 / 12)
+        moves = [(span, m[0], sum(config.log_prior(g) for g in p.lengths) / np.log(2)) for p in slow.pieces for span, m in L._emissions(x, p, base[None, :], L.window_codes(x))]
+        moves += [(3, L.block_scores(x, M.kmer_to_pwm("ACG"))[0], 0.0)]
+        for i in range(1, len(s) + 1):
+            f.append(np.logaddexp2.reduce([f[i - 1] + base[i - 1] + stay, *[f[i - n] + m[i - n] + prior + enter for n, m, prior in moves if i >= n]]))
+        assert value == pytest.approx(f[-1], abs=1e-8)
+
+
+def test_work_grows_with_the_range_of_gaps():
+    """Three gaps of up to 200 bases would be eight million layouts."""
+    piece = L.Piece([M.kmer_to_pwm(b) for b in ("TATA", "CCAA", "GGCC", "TTAA")], G.GapConfig(prior="uniform", shortest=0, longest=199))
+    seq = "TATA" + "A" * 150 + "CCAA" + "C" * 120 + "GGCC" + "TTAA" + "ACGT" * 50
+    far, near = (L.score([L.encode(seq)], [L.Model([p], np.full((1, 4), -2.0), 500.0, both_strands=False)])[0, 0] for p in (piece, L.Piece(piece.blocks, G.GapConfig(longest=5))))
+    assert far > near
+
+
 def test_gap_moves_can_be_undone():
     """Each move's ratio is minus that of its way back, and no move makes a gap that counts as none."""
     rng = np.random.default_rng(11)
