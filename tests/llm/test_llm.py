@@ -140,6 +140,13 @@ def test_long_shared_paths(spark, shared):
     assert found == {"1": "block"}
 
 
+def test_rules_of_five_tokens(spark):
+    """A rule that says nothing until five tokens meet; no cap on its size."""
+    sets = [(list(c), "block" if len(c) == 5 else "allow") for n in range(6) for c in itertools.combinations("abcde", n)]
+    rules = urls.mine(spark.createDataFrame(sets * 20, "tokens array<string>, verdict string"), 0.005, 0.8).collect()
+    assert [(sorted(r["items"]), r["confidence"]) for r in rules if r["verdict"] == "block"] == [(list("abcde"), 1.0)]
+
+
 def test_many_tokens_a_url(spark):
     """Rows of more tokens than FP-growth can take in all their sets: none occurs just where another does."""
     sets = [(sorted(f"t{j:02}" for j in range(22) if j != i % 23), "block" if i % 23 in (0, 1) else "allow") for i in range(230)]
