@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASES = "ACGT"
@@ -60,8 +62,36 @@ def log2_sum(values: Column) -> Column:
     return F.when(top == float("-inf"), top).otherwise(top + F.log2(total))
 
 
+def log2_sum_by(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(*by, total)``: log2 of the sum of 2^x over each group, in two levels of partial sums.
+
+    Values are summed by bins of 512 exponents, which no number overflows, before a group's few
+    bins meet, so a group may hold any number of rows. Nulls count for nothing; a group without
+    values has none, one of -inf alone -inf. Infinite or missing numbers (inf, nan) are kept.
+    """
+    x = F.col(value).cast("double")
+    plain = F.when(F.abs(x) < float("inf"), x)
+    bins = rows.filter(x.isNotNull()).groupBy(*by, F.floor(plain / 512).alias("bin")).agg(
+        F.sum(F.pow(F.lit(2.0), plain - 512 * F.floor(plain / 512))).alias("part"), F.max(F.when(plain.isNull(), x)).alias("odd")
+    )
+    logs = bins.select(*by, F.coalesce(F.log2("part") + 512 * F.col("bin"), F.col("odd")).alias("log"))
+    return logs.groupBy(*by).agg(F.collect_list("log").alias("logs")).select(
+        *by, F.when(F.array_max("logs") < float("inf"), log2_sum(F.col("logs"))).otherwise(F.array_max("logs")).alias("total")
+    )
+
+
+def log2sumexp(x: pa.Array) -> float:
+    """log2 of the sum of 2^x as an aggregate; nulls count for nothing, no values give null. One task reads a group: huge ones go by :func:`log2_sum_by`."""
+    found = x.drop_null().to_numpy(zero_copy_only=False)
+    if not len(found):
+        return None
+    top = float(found.max())
+    return top if not np.isfinite(top) else top + float(np.log2(np.exp2(found - top).sum()))
+
+
 def register(spark: SparkSession) -> None:
-    """Make the functions available to SQL text: ``revcomp``, ``kmers``, ``log2_sum``, and the table function ``kmer_table``."""
+    """Make the functions available to SQL text: ``revcomp``, ``kmers``, ``log2_sum``, the aggregate ``log2sumexp`` and the table function ``kmer_table``."""
+    spark.udf.register("log2sumexp", F.arrow_udf(log2sumexp, "double"))
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION revcomp(s STRING) RETURNS STRING"
         " RETURN reverse(translate(regexp_replace(upper(s), '[^ACGT]', 'N'), 'ACGT', 'TGCA'))"

@@ -7,6 +7,7 @@ as tables of likelihoods.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -446,6 +447,23 @@ def interval_overlap(spark, d):
     return intervals.overlaps(e, e, 7200).filter("a_id < b_id")
 
 
+_LSE = "SELECT {0}, round(m + log2(sum(pow(CAST(2 AS DOUBLE), value / 10 - m))), 6) AS total FROM (SELECT {0}, value, max(value / 10) OVER (PARTITION BY {0}) AS m FROM events WHERE value IS NOT NULL) GROUP BY {0}, m"
+
+
+@query(_LSE.format("user_id"))
+def log2sumexp_sql(spark, d):
+    """The aggregate from SQL text."""
+    B.register(spark)
+    table(spark, d, "events").createOrReplaceTempView(name := f"events_{uuid.uuid4().hex}")
+    return spark.sql(f"SELECT user_id, round(log2sumexp(value / 10), 6) AS total FROM {name} WHERE value IS NOT NULL GROUP BY user_id")
+
+
+@query(_LSE.format("event_type"))
+def log2sumexp_groups(spark, d):
+    """The same for a few large groups, by partial sums."""
+    return B.log2_sum_by(table(spark, d, "events").withColumn("x", F.col("value") / 10), ["event_type"], "x").select("event_type", F.round("total", 6).alias("total"))
+
+
 @query("SELECT event_type, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY event_type")
 def likelihood_iqr(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.75) - percentile(value, 0.25)"), 6).alias("iqr"))

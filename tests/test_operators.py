@@ -588,3 +588,31 @@ def test_wide_query_motifs_are_not_broadcast(spark, monkeypatch):
     pairs = compare.pairs(motifs, motifs, 3)
     assert "hint" not in pairs._jdf.queryExecution().logical().toString().lower()
     assert sorted((r["query_id"], r["other_id"]) for r in pairs.collect()) == [(i, j) for i in range(12) for j in range(12) if i != j]
+
+
+def test_free_intervals_by_brute_force(spark):
+    """Ends that touch, bins in a row, groups of one key, empty and null intervals, repeated rows; no pair is made."""
+    rng = np.random.default_rng(4)
+    made = lambda n, at: [(str(g), int(s), int(s + w), i + at) for i, (g, s, w) in enumerate(zip(rng.integers(0, 3, n), rng.integers(-60, 60, n), rng.integers(0, 25, n), strict=True))]
+    a = [*made(120, 0), ("0", 5, 5, 900), (None, 1, 9, 901), ("1", None, 4, 902), ("1", 1, None, 903), ("7", 0, 9, 904), ("7", 0, 9, 904)]
+    taken = [*made(12, 1000), (None, 0, 99, 1), ("2", None, 99, 2), ("7", 9, 12, 3), ("7", -4, 0, 4)]
+    schema = "grp string, start long, end long, id long"
+    hit = lambda x: None not in x[:3] and x[1] < x[2] and any(None not in t[:3] and t[0] == x[0] and max(t[1], x[1]) < min(t[2], x[2]) for t in taken)
+    want = sorted((x for x in a if not hit(x)), key=repr)
+    for width in (1, 7, 1_000):
+        df = intervals.free(spark.createDataFrame(a, schema), spark.createDataFrame(taken, schema), width)
+        assert sorted((tuple(r) for r in df.collect()), key=repr) == want
+    assert 20 < len(want) < len(a)
+
+
+def test_log2_sums_of_groups(spark):
+    rows = [("a", float(x)) for x in np.random.default_rng(1).normal(0, 900, 400)] + [("b", None), ("c", -math.inf), ("d", -math.inf), ("d", 3.0), ("e", 1e6), ("e", 1e6), ("f", math.inf)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    values = {k: [x for kk, x in rows if kk == k and x is not None] for k in "abcdef"}
+    want = {k: float(np.logaddexp2.reduce(v)) for k, v in values.items() if v}
+    got = {r["k"]: r["total"] for r in B.log2_sum_by(df, ["k"], "x").collect()}
+    assert got == pytest.approx(want)
+    B.register(spark)
+    df.createOrReplaceTempView("log2_rows")
+    found = {r["k"]: r["v"] for r in spark.sql("SELECT k, log2sumexp(x) AS v FROM log2_rows GROUP BY k").collect()}
+    assert found.pop("b") is None and found == pytest.approx(want)
