@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.bases import clean, context_index, from_index, kmers, reverse_complement
 from seqloom.functions.motifs import kmer_pwm_column
+from seqloom.operators import longmers
 
 PSEUDO = 0.01
 
@@ -41,8 +42,12 @@ def pieces(corpus: DataFrame, k: int, size: int = PIECE, by: tuple[str, ...] = (
 def count_kmers(corpus: DataFrame, k: int, strands: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """``(kmer, cnt)``, or ``(*by, kmer, cnt)``; with two strands each window also counts its reverse complement (a palindrome twice).
 
-    Windows are counted before the other strand is added, so that only counts are doubled.
+    Windows are counted before the other strand is added, so that only counts are doubled. Those
+    of 12 to 31 bases are counted by :mod:`seqloom.operators.longmers`, unless by groups.
     """
+    if 12 <= k <= 31 and not by:
+        letters = corpus.agg(F.sum(F.length("seq"))).first()[0] or 0
+        return longmers.count(pieces(corpus, k), k, strands, letters * strands)
     one = pieces(corpus, k, by=by).select(*by, F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("cnt"))
     return one if strands == 1 else other_strand(one, by)
 

@@ -109,6 +109,11 @@ def kmer_counts_both_strands(spark, d):
     return C.count_kmers(corpus(spark, d), 6)
 
 
+@query(f"WITH {CORPUS}, {_windows(21)} SELECT kmer, count(*) AS cnt FROM (SELECT kmer FROM w UNION ALL SELECT {RC} FROM w) GROUP BY kmer")
+def kmer_counts_21(spark, d):
+    return C.count_kmers(corpus(spark, d), 21)
+
+
 @query(f"WITH {CORPUS}, {_windows(5)} SELECT least(kmer, {RC}) AS canon, count(*) AS cnt FROM w GROUP BY 1")
 def kmer_canonical_counts(spark, d):
     return C.canonical_kmers(corpus(spark, d), 5).select("canon", *_long("cnt"))

@@ -12,7 +12,7 @@ from seqloom.functions import bases as B
 from seqloom.functions import gaps as G
 from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
-from seqloom.operators import compare, evaluate, intervals, mixture, sampler, scan, synth
+from seqloom.operators import compare, evaluate, intervals, longmers, mixture, sampler, scan, synth
 from seqloom.operators import likelihood as L
 from seqloom.sources import fasta, motif_files
 from seqloom.streaming import kmers
@@ -616,3 +616,31 @@ def test_log2_sums_of_groups(spark):
     df.createOrReplaceTempView("log2_rows")
     found = {r["k"]: r["v"] for r in spark.sql("SELECT k, log2sumexp(x) AS v FROM log2_rows GROUP BY k").collect()}
     assert found.pop("b") is None and found == pytest.approx(want)
+
+
+@pytest.mark.parametrize("k", [12, 21, 31])
+def test_long_kmers_by_brute_force(spark, monkeypatch, k):
+    """Both strands, palindromes, lower case, unknown letters, short and null sequences, many buckets; few letters are shuffled."""
+    rng = np.random.default_rng(k)
+    base = "".join("ACGT"[i] for i in rng.integers(4, size=400))
+    turn = str.maketrans("ACGT", "TGCA")
+    seqs = [base, base, base[50:200].lower(), base.translate(turn)[::-1], base[:90] + "N" + base[90:200], "A" * 80, "ACGT" * 20, base[: k - 1], "", None]
+    for strands in (1, 2):
+        want = Counter()
+        for s in seqs:
+            s = (s or "").upper()
+            for i in range(len(s) - k + 1):
+                if "N" not in (w := s[i : i + k]):
+                    want[w] += 1
+                    if strands == 2:
+                        want[w.translate(turn)[::-1]] += 1
+        df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "seq_id long, seq string")
+        for size in (100, longmers.BUCKET):
+            monkeypatch.setattr(longmers, "BUCKET", size)
+            rows = C.count_kmers(df, k, strands).collect()
+            assert len(rows) == len(want) and {r["kmer"]: r["cnt"] for r in rows} == want
+    big = spark.createDataFrame([(i, "".join("ACGT"[x] for x in rng.integers(4, size=5_000))) for i in range(8)], "seq_id long, seq string")
+    shuffled = longmers.super_kmers(big, k).agg(F.sum(F.length("run") + 16)).first()[0]
+    assert shuffled < (0.7 if k == 12 else 0.5) * 8 * (5_000 - k + 1) * (k + 8)
+    with pytest.raises(ValueError):
+        longmers.count(df, 32, 1, 1)
