@@ -58,6 +58,10 @@ def learned_lengths(corpus: DataFrame) -> Lengths:
     return Lengths("learned", values=tuple(r["length"] for r in rows), counts=tuple(r["n"] for r in rows))
 
 
+#: Bases that are drawn side by side.
+CELLS = 2_000_000
+
+
 @dataclass
 class Markov:
     """Bases one after the other, by the ``order`` before them; the first ones by ``init``."""
@@ -88,13 +92,31 @@ class Markov:
         return float(self.table[:, 1:3].sum(axis=1).mean())
 
     def generate(self, length: int, rng: np.random.Generator) -> str:
-        upto, first = np.cumsum(self.table, axis=1), np.cumsum(self.init)
-        draws, ctx, size, out = rng.random(length), 0, 4**self.order, []
-        for i, u in enumerate(draws):
-            b = min(3, int(np.searchsorted(first if i < self.order else upto[ctx], u, side="right")))
-            out.append(BASES[b])
-            ctx = (ctx * 4 + b) % size
-        return "".join(out)
+        return self.spell([rng.random(length)])[0]
+
+    def spell(self, draws: list[np.ndarray]) -> list[str]:
+        """One sequence for each array of uniform draws, base by base for all sequences side by side."""
+        out = [""] * len(draws)
+        order = sorted(range(len(draws)), key=lambda k: -len(draws[k]))
+        upto, first, size, at = np.cumsum(self.table, axis=1), np.cumsum(self.init), 4**self.order, 0
+        while at < len(order):
+            longest = max(1, len(draws[order[at]]))
+            take = order[at : at + max(1, CELLS // longest)]
+            at += len(take)
+            lengths = np.array([len(draws[k]) for k in take])
+            codes, ctx = np.zeros((longest, len(take)), np.uint8), np.zeros(len(take), np.int64)
+            u = np.zeros((longest, len(take)))
+            for j, k in enumerate(take):
+                u[: lengths[j], j] = draws[k]
+            for i in range(int(lengths.max(initial=0))):
+                n = int(np.searchsorted(-lengths, -i, side="left"))  # the sequences that are longer than i
+                edges = first[None, :] if i < self.order else upto[ctx[:n]]
+                codes[i, :n] = b = np.minimum((u[i, :n, None] >= edges).sum(axis=1), 3)
+                ctx[:n] = (ctx[:n] * 4 + b) % size
+            letters = np.frombuffer(BASES.encode(), np.uint8)[codes.T]
+            for j, k in enumerate(take):
+                out[k] = letters[j, : lengths[j]].tobytes().decode()
+        return out
 
 
 def shuffle_dinucleotides(seq: str, rng: np.random.Generator) -> str:
@@ -253,9 +275,19 @@ class Dataset:
         return self.lengths.sample(np.random.default_rng([self.seed, self.split, i]))
 
     def one(self, i: int, template: str | None = None) -> tuple[str, list[dict]]:
-        rng = np.random.default_rng([self.seed, self.split, i])
-        length = self.lengths.sample(rng)
-        seq = self.background.generate(length, rng) if template is None else _fitted(template, length, rng)
+        return self.many([i], [template])[0]
+
+    def many(self, ids: list[int], templates: list[str | None]) -> list[tuple[str, list[dict]]]:
+        """Sequences and what is planted in them; each number has random numbers of its own, so neither batches nor partitions change it."""
+        rngs = [np.random.default_rng([self.seed, self.split, i]) for i in ids]
+        lengths = [self.lengths.sample(rng) for rng in rngs]
+        if isinstance(self.background, Markov):
+            seqs = self.background.spell([rng.random(n) for rng, n in zip(rngs, lengths, strict=True)])
+        else:
+            seqs = [self.background.generate(n, rng) if t is None else _fitted(t, n, rng) for t, n, rng in zip(templates, lengths, rngs, strict=True)]
+        return [self._planted(seq, rng) for seq, rng in zip(seqs, rngs, strict=True)]
+
+    def _planted(self, seq: str, rng: np.random.Generator) -> tuple[str, list[dict]]:
         taken: list[tuple[int, int]] = []
         planted = []
         each, density = list(enumerate(self.motifs)), self.planting.density
@@ -287,7 +319,7 @@ class Dataset:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 templates = part["template"] if "template" in part else [None] * len(part)
-                made = [own.one(int(i), t) for i, t in zip(part["id"], templates, strict=True)]
+                made = own.many(part["id"].tolist(), list(templates))
                 yield pd.DataFrame({"seq_id": [f"seq_{i}" for i in part["id"]], "seq": [s for s, _ in made], "length": [len(s) for s, _ in made], "planted": [p for _, p in made]})
 
         def lengths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

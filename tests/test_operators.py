@@ -644,3 +644,21 @@ def test_long_kmers_by_brute_force(spark, monkeypatch, k):
     assert shuffled < (0.7 if k == 12 else 0.5) * 8 * (5_000 - k + 1) * (k + 8)
     with pytest.raises(ValueError):
         longmers.count(df, 32, 1, 1)
+
+
+def test_bases_side_by_side_are_those_one_by_one(monkeypatch):
+    """The recursion over a batch gives each sequence as drawn alone, whatever is beside it."""
+    rng = np.random.default_rng(9)
+    for order in (0, 1, 3):
+        model = synth.Markov(order, rng.dirichlet([0.5] * 4, 4**order), rng.dirichlet([1] * 4))
+        draws = [rng.random(n) for n in (0, 1, 2, 50, 7, 50, 300)]
+        want = []
+        for u in draws:
+            ctx, out = 0, ""
+            for i, x in enumerate(u):
+                b = min(3, int(np.searchsorted(np.cumsum(model.init if i < order else model.table[ctx]), x, side="right")))
+                ctx, out = (ctx * 4 + b) % 4**order, out + "ACGT"[b]
+            want.append(out)
+        for cells in (1, 400, 2_000_000):
+            monkeypatch.setattr(synth, "CELLS", cells)
+            assert model.spell(draws) == want
