@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -49,6 +50,30 @@ def scan(corpus: DataFrame, pwm: np.ndarray, both_strands: bool = False) -> Data
     return each.join(F.broadcast(table), "w").select("seq_id", "pos", "score")
 
 
+@dataclass(frozen=True)
+class Matrix:
+    """A motif's log2 weights with the place of its first row relative to a site, and what its scores count."""
+
+    name: str
+    rows: np.ndarray
+    offset: int = 0
+    weight: float = 1.0
+
+
+def scan_matrices(corpus: DataFrame, matrices: list[Matrix], both_strands: bool = False) -> DataFrame:
+    """``(seq_id, motif, pos, score)`` of every window of known bases of each matrix.
+
+    ``pos`` is the site's place: a window that begins ``offset`` letters after it belongs to it, so
+    matrices of one site add up by ``pos``, which may lie before the sequence's first letter. The score
+    is the window's times the matrix's weight.
+    """
+    parts = [
+        scan(corpus, m.rows, both_strands).select("seq_id", F.lit(m.name).alias("motif"), (F.col("pos") - m.offset).alias("pos"), (F.col("score") * m.weight).alias("score"))
+        for m in matrices
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def summaries(corpus: DataFrame, pwm: np.ndarray, both_strands: bool, least: float = 0.0, id_type: str = "long") -> DataFrame:
     """``(seq_id, pos, score, hits, total)`` of each row with any window of known bases.
 
@@ -176,6 +201,17 @@ def sum_facets(*facets: DataFrame) -> DataFrame:
     return every.groupBy("seq_id").agg(F.sum("log2_lik").alias("log2_lik"))
 
 
+def group_contributions(contributions: DataFrame, components: DataFrame) -> DataFrame:
+    """``(seq_id, grp, n, total)``: what the components of each group contribute to a datum, weighted.
+
+    ``contributions`` is ``(seq_id, component, value)`` and ``components`` ``(component, grp, weight)``: a
+    model's facets by group. A component may be in several groups; one in no group counts in
+    none, and a null weight counts 1. Nulls are left out of both.
+    """
+    rows = contributions.filter("component is not null and value is not null").join(components.filter("component is not null"), "component")
+    return rows.groupBy("seq_id", "grp").agg(F.count("*").alias("n"), F.sum(F.col("value") * F.coalesce("weight", F.lit(1.0))).alias("total"))
+
+
 def register(spark: SparkSession, pwm: np.ndarray, name: str = "pwm_scan", both_strands: bool = True) -> None:
     """Make a motif's best window score of a sequence available to SQL text; null where no window is known."""
     fwd, rev = np.asarray(pwm, float), reverse(pwm)

@@ -20,7 +20,7 @@ from seqloom.functions import bases as B
 from seqloom.functions import gaps as G
 from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
-from seqloom.operators import compare, intervals, likelihood, mixture, sampler, scan, synth
+from seqloom.operators import compare, intervals, likelihood, mixture, quantiles, sampler, scan, synth
 from seqloom.sources import fasta, fasta_source
 from seqloom.sources.folders import new_folder
 
@@ -277,6 +277,36 @@ def pwm_scan_dual_best(spark, d):
     return scan.best_hits(corpus(spark, d), MOTIF).select("seq_id", *_long("pos"), F.round("score", 6).alias("score"))
 
 
+_SECOND = score_sql(SECOND)
+
+
+@query(
+    f"""WITH {CORPUS}, {_windows(6)}, {_windows(5).replace("w AS", "v AS")},
+    s AS (SELECT seq_id, pos - 2 AS pos, CAST(0.5 AS DOUBLE) * ({_FWD}) AS score FROM w UNION ALL SELECT seq_id, pos + 1 AS pos, CAST(2 AS DOUBLE) * ({_SECOND}) FROM v)
+    SELECT seq_id, pos, round(sum(score), 6) AS score FROM s GROUP BY seq_id, pos HAVING count(*) = 2 AND sum(score) >= -20"""
+)
+def weighted_matrices(spark, d):
+    """Sites of two matrices at fixed places of each other, one of half and one of double weight."""
+    both = scan.scan_matrices(corpus(spark, d), [scan.Matrix("first", MOTIF, 2, 0.5), scan.Matrix("second", SECOND, -1, 2.0)])
+    sites = both.groupBy("seq_id", "pos").agg(F.count("*").alias("n"), F.sum("score").alias("score")).filter("n = 2 and score >= -20")
+    return sites.select("seq_id", *_long("pos"), F.round("score", 6).alias("score"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT event_type AS component, CASE WHEN event_type < 'm' THEN 'early' ELSE 'late' END AS grp, CAST(length(event_type) AS DOUBLE) AS weight FROM events
+      UNION ALL SELECT DISTINCT event_type, 'all', NULL FROM events)
+    SELECT user_id, grp, count(*) AS n, round(sum(value * coalesce(weight, 1)), 4) AS total FROM events JOIN c ON component = event_type WHERE value IS NOT NULL GROUP BY user_id, grp"""
+)
+def component_groups(spark, d):
+    """Each user as a datum, event types as components of groups."""
+    e = table(spark, d, "events")
+    kind = F.col("event_type")
+    own = e.select(kind.alias("component"), F.when(kind < "m", "early").otherwise("late").alias("grp"), F.length(kind).cast("double").alias("weight")).distinct()
+    every = e.select(kind.alias("component"), F.lit("all").alias("grp"), F.lit(None).cast("double").alias("weight")).distinct()
+    out = scan.group_contributions(e.select(F.col("user_id").alias("seq_id"), kind.alias("component"), "value"), own.unionByName(every))
+    return out.select(F.col("seq_id").alias("user_id"), "grp", *_long("n"), F.round("total", 4).alias("total"))
+
+
 def _rule_sql(letters: str, hit, miss) -> str:
     """A window's score where a base in a position's set weighs ``hit`` and any other ``miss``, by the size of the set."""
     return " + ".join(f"CASE WHEN instr('{of}', substring(kmer, {i + 1}, 1)) > 0 THEN log2({hit(len(of))}) ELSE log2({miss(len(of))}) END" for i, of in enumerate(letters.split()))
@@ -471,7 +501,8 @@ def log2sumexp_groups(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY event_type")
 def likelihood_iqr(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.75) - percentile(value, 0.25)"), 6).alias("iqr"))
+    q = quantiles.quantiles(table(spark, d, "events"), "event_type", "value", [0.25, 0.75])
+    return q.groupBy("event_type").agg(F.round(F.max(F.when(F.col("share") > 0.5, F.col("value"))) - F.max(F.when(F.col("share") < 0.5, F.col("value"))), 6).alias("iqr"))
 
 
 def _dead(spark, d):

@@ -12,7 +12,7 @@ from seqloom.functions import bases as B
 from seqloom.functions import gaps as G
 from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
-from seqloom.operators import compare, evaluate, intervals, longmers, mixture, sampler, scan, synth
+from seqloom.operators import compare, evaluate, intervals, longmers, mixture, quantiles, sampler, scan, synth
 from seqloom.operators import likelihood as L
 from seqloom.sources import fasta, motif_files
 from seqloom.streaming import kmers
@@ -662,3 +662,16 @@ def test_bases_side_by_side_are_those_one_by_one(monkeypatch):
         for cells in (1, 400, 2_000_000):
             monkeypatch.setattr(synth, "CELLS", cells)
             assert model.spell(draws) == want
+
+
+def test_quantiles_of_groups(spark, monkeypatch):
+    """Exact by narrowing ranges: wide and tied values, one row, nulls, a null group."""
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    monkeypatch.setattr(quantiles, "CUTS", 4)
+    rng = np.random.default_rng(2)
+    rows = [("wide", float(x)) for x in np.exp(rng.normal(0, 40, 900)) * rng.choice([-1, 1], 900)] + [("tied", float(x)) for x in rng.integers(0, 3, 500)]
+    rows += [("one", 7.0), ("two", 1.0), ("two", 4.0), ("none", None), (None, 2.0), (None, 8.0), ("tied", None)]
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["k"], r["share"]): r["value"] for r in quantiles.quantiles(spark.createDataFrame(rows, "k string, x double"), "k", "x", shares).collect()}
+    want = {(k, p): float(np.quantile([x for kk, x in rows if kk == k and x is not None], p)) for k in ("wide", "tied", "one", "two", None) for p in shares}
+    assert got == pytest.approx(want, rel=1e-12)
