@@ -34,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     both.add_argument("-adaptiveMCMC", action=argparse.BooleanOptionalAction, default=False)
     both.add_argument("-deaths", type=int, default=1, help="particles that die each round, each with a chain of its own")
 
+    both.add_argument("-threads", type=int, default=0, help="independent live sets that the ensemble is dealt to; 0: by its size")
+
     f = sub.add_parser("find", parents=[both], help="a fixed number of motifs")
     f.add_argument("-numMotifs", type=int, default=1)
     f.add_argument("-motifLength", type=int, default=10)
@@ -82,6 +84,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--length-max", type=int, default=1000)
     g.add_argument("--gc", type=float, default=0.5)
     g.add_argument("--bg-order", type=int, default=0)
+    g.add_argument("--bg-matrix", help="file of one line for each context, four chances a line; the order is that of as many contexts")
     g.add_argument("--learn-bg-from")
     g.add_argument("--bg-method", choices=["markov", "shuffle"], default="markov")
     g.add_argument("--motif", action="append", default=[])
@@ -135,7 +138,7 @@ def find(spark: SparkSession, a: argparse.Namespace) -> sampler.Search:
     else:
         config = GapConfig(True, a.minGapLength, a.maxGapLength, a.maxNumGaps, a.gapPrior, a.gapParam) if a.allowGaps else None
         seeds = C.seed_kmers(seqs, a.numMotifs, a.motifLength) if a.kmerSeeds else []
-        search = sampler.Search(seqs, a.numMotifs, a.motifLength, a.ensembleSize, not a.singleStrand, a.bgOrder, a.adaptiveMCMC, seeds, config, a.seed, a.deaths)
+        search = sampler.Search(seqs, a.numMotifs, a.motifLength, a.ensembleSize, not a.singleStrand, a.bgOrder, a.adaptiveMCMC, seeds, config, a.seed, a.deaths, a.threads)
     mode, stop = ("iqr", a.stopIqr) if a.convergenceMode == "iqr" else ("remaining", a.stopH)
     search.run(a.maxCycles, mode, stop, a.checkpointInterval, a.checkpoint, grace=GRACE)
     _export(search.best, a.out, a.format, search.log2_evidence, {"cycles": search.cycle})
@@ -144,7 +147,7 @@ def find(spark: SparkSession, a: argparse.Namespace) -> sampler.Search:
 
 def discover(spark: SparkSession, a: argparse.Namespace) -> list[tuple[int, float]]:
     seqs = _corpus(spark, a.seqs)
-    options = {"length": a.startLength, "bg_order": a.bgOrder, "seed": a.seed, "adaptive": a.adaptiveMCMC, "deaths": a.deaths}
+    options = {"length": a.startLength, "bg_order": a.bgOrder, "seed": a.seed, "adaptive": a.adaptiveMCMC, "deaths": a.deaths, "threads": a.threads}
     if a.ensembleSize:
         options["ensemble"] = a.ensembleSize
     best, seen = sampler.discover(seqs, a.minMotifs, a.maxMotifs, a.bayesThreshold, a.maxCycles, a.stopIqr, **options)
@@ -158,7 +161,9 @@ def _data(spark: SparkSession, a: argparse.Namespace) -> synth.Dataset:
     if a.preset:
         return replace(synth.PRESETS[a.preset], seed=a.seed)
     background: synth.Markov | synth.ShuffledCorpus = synth.Markov.uniform(a.gc, a.bg_order)
-    if a.learn_bg_from:
+    if a.bg_matrix:
+        background = synth.Markov.of_rows([[float(x) for x in line.split()] for line in spark.read.text(a.bg_matrix, wholetext=True).first()[0].splitlines() if line.strip()])
+    elif a.learn_bg_from:
         seqs = _corpus(spark, a.learn_bg_from)
         background = synth.ShuffledCorpus(seqs, a.seed) if a.bg_method == "shuffle" else synth.Markov.learned(seqs, a.bg_order)
     motifs = synth.patterns(a.motif)

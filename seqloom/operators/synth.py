@@ -77,6 +77,16 @@ class Markov:
         row = np.array([(1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2])
         return cls(order, np.tile(row, (4**order, 1)), row)
 
+    @classmethod
+    def of_rows(cls, rows: list[list[float]]) -> Markov:
+        """From weights of the four bases in each context, contexts in the order of their numbers; the first bases are drawn by their mean."""
+        order = round(np.log(max(len(rows), 1)) / np.log(4))
+        table = np.array(rows, float) if {len(r) for r in rows} == {4} else np.empty(0)
+        if table.shape != (4**order, 4) or (table < 0).any() or not (table.sum(axis=1) > 0).all():
+            raise ValueError("a background has four chances in each of 1, 4, 16 ... contexts")
+        table = table / table.sum(axis=1, keepdims=True)
+        return cls(order, table, table.mean(axis=0))
+
     @classmethod
     def learned(cls, corpus: DataFrame, order: int = 3) -> Markov:
         table = np.zeros((4**order, 4))

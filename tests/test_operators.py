@@ -675,3 +675,16 @@ def test_quantiles_of_groups(spark, monkeypatch):
     got = {(r["k"], r["share"]): r["value"] for r in quantiles.quantiles(spark.createDataFrame(rows, "k string, x double"), "k", "x", shares).collect()}
     want = {(k, p): float(np.quantile([x for kk, x in rows if kk == k and x is not None], p)) for k in ("wide", "tied", "one", "two", None) for p in shares}
     assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_matrix_and_threads_by_command_line(spark, tmp_path):
+    """A transition matrix from a file, and a search with as many threads as asked for."""
+    (tmp_path / "m.txt").write_text("0 1 0 0\n0 0 1 0\n0 0 0 1\n2 0 0 0\n")
+    out = str(tmp_path / "made")
+    cli.main(["generate", "-o", out, "-n", "8", "-L", "24", "--bg-matrix", str(tmp_path / "m.txt"), "--density", "0"])
+    seqs = [r["seq"] for r in fasta.read_fasta(spark, out).collect()]
+    assert len(seqs) == 8 and all(s in "ACGT" * 7 for s in seqs)
+    with pytest.raises(ValueError):
+        synth.Markov.of_rows([[1, 1, 1, 1]] * 3)
+    options = cli.parser().parse_args(["find", "-seqs", out, "-out", "x", "-threads", "2"])
+    assert options.threads == 2 and cli.parser().parse_args(["discover", "-seqs", out, "-out", "x"]).threads == 0
