@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -568,15 +569,20 @@ _RAW = {"uniform": "CAST(0 AS DOUBLE)", "geometric": "g * ln(CAST(0.7 AS DOUBLE)
 
 def _gap(kind: str) -> Query:
     def run(spark, d):
+        """The prior of each document's length, folded to gap lengths of which some are out of range."""
         c = _PRIORS[kind]
-        return spark.range(c.shortest, c.longest + 1).select(F.col("id").alias("gap"), F.round(G.prior_column(F.col("id").cast("int"), c), 6).alias("logp"))
+        gap = (F.col("length") % (c.longest + 3)).cast("int")
+        return corpus(spark, d).select("seq_id", gap.cast("long").alias("gap"), F.round(G.prior_column(gap, c), 6).alias("logp"))
 
     run.__name__ = f"gap_prior_{kind}"
     return run
 
 
 for _kind, _c in _PRIORS.items():
-    query(f"WITH r AS (SELECT g AS gap, {_RAW[_kind]} AS x FROM range({_c.shortest}, {_c.longest + 1}) s(g)) SELECT gap, round(x - ln(sum(exp(x)) OVER ()), 6) AS logp FROM r")(_gap(_kind))
+    query(
+        f"""WITH {CORPUS}, r AS (SELECT g AS of, {_RAW[_kind]} AS x FROM range({_c.shortest}, {_c.longest + 1}) s(g)), p AS (SELECT of, x - ln(sum(exp(x)) OVER ()) AS logp FROM r)
+        SELECT seq_id, gap, round(logp, 6) AS logp FROM (SELECT seq_id, length(seq) % {_c.longest + 3} AS gap FROM corpus) LEFT JOIN p ON of = gap"""
+    )(_gap(_kind))
 
 
 def _mean(spark, d) -> float:
@@ -754,13 +760,16 @@ def nested_sampling_run(spark, d):
 
 @query()
 def synthetic_generate(spark, d):
-    return synth.PRESETS["multi"].generate(spark)
+    """As many sequences as there are documents, of lengths and a background learned from these, with the motifs of a preset."""
+    like = corpus(spark, d)
+    return replace(synth.PRESETS["multi"], n=like.count(), lengths=synth.learned_lengths(like), background=synth.Markov.learned(like, 3)).generate(spark)
 
 
-@query("SELECT concat('seq_', i) AS seq_id, 200 AS length, true AS found FROM range(100) t(i)")
+@query("SELECT concat('seq_', i) AS seq_id, 200 AS length, true AS found FROM (SELECT unnest(range(0, count(*))) AS i FROM documents)")
 def synthetic_truth(spark, d):
-    """Whether all that was planted stands where the truth says."""
-    made = synth.PRESETS["gapped"].generate(spark)
+    """Whether all that was planted, in a background learned from the documents, stands where the truth says."""
+    like = corpus(spark, d)
+    made = replace(synth.PRESETS["gapped"], n=like.count(), background=synth.Markov.learned(like, 1)).generate(spark)
     there = F.forall("planted", lambda p: F.substring(F.col("seq"), p["start"] + 1, p["end"] - p["start"]) == p["sequence"])
     return made.select("seq_id", "length", there.alias("found"))
 
