@@ -416,26 +416,26 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, recall: float = REC
 def _nearest(table: DataFrame, k: int, every: int, recall: float, id_col: str, vec_col: str) -> DataFrame:
     rows = usable(table, id_col, vec_col)
     marks = stored(rows.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.max(F.struct("h1", "h2")).alias("other")).select("id", "h.h1", "h.h2", (F.col("h") != F.col("other")).alias("odd")), "marks")
-    odd = stored(marks.filter("odd").select("id", F.col("h1").alias("a1"), F.col("h2").alias("a2")), "odd")
+    odd = marks.filter("odd").select("id", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     if not odd.isEmpty():
         rows = rows.join(sized(odd), "id", "left").filter("a1 is null or (a1 = h1 and a2 = h2)").drop("a1", "a2")
     same = W.partitionBy("h1", "h2").orderBy("id")
     first = marks.select("id", "h1", "h2", F.row_number().over(same).alias("no")).filter(F.col("no") <= k + 1)
     many = first.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
     many = stored(many.select("h1", "h2", F.col("ids")[0].alias("rep"), "ids"), "many")
-    whose = sized(stored(many.select("h1", "h2", "rep"), "whose"))
+    whose = sized(many.select("h1", "h2", "rep"))
     base = rows.join(whose, ["h1", "h2"], "left").filter("rep is null or rep = id").drop("rep")
     asked = marks.filter(F.col("id") % every == 0).join(whose, ["h1", "h2"], "left").select(F.col("id").alias("query_id"), F.coalesce("rep", "id").alias("q"))
     asked = stored(asked, "asked")
-    reps = stored(asked.select(F.col("q").alias("id")).distinct(), "asked-reps")
+    reps = asked.select(F.col("q").alias("id")).distinct()
     lengths = [r[0] for r in base.select(F.size("vec")).distinct().collect()]
     found = [_of_one_length(base.filter(F.size("vec") == length), reps, k + 1, recall) for length in sorted(lengths)]
     empty = table.sparkSession.createDataFrame([], _FOUND)
     found = stored(reduce(DataFrame.unionByName, found, empty).select("q", F.explode("found").alias("x")).select("q", "x.*"), "found")
     # Equal vectors are equally far.
     ids = many.select(F.col("rep").alias("id"), "ids")
-    full = found.join(sized(stored(ids, "copies")), "id", "left").withColumn("ids", F.coalesce("ids", F.array("id")))
+    full = found.join(sized(ids), "id", "left").withColumn("ids", F.coalesce("ids", F.array("id")))
     each = full.groupBy("q").agg(_top(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id"))))), k + 1).alias("found"))
     others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
-    out = asked.join(sized(stored(each, "each")), "q").select("query_id", F.posexplode(others).alias("i", "x"))
+    out = asked.join(each, "q").select("query_id", F.posexplode(others).alias("i", "x"))
     return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))
