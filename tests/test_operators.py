@@ -251,6 +251,11 @@ def test_merged_threads_give_one_evidence(spark):
     got = sampler.merged_evidence(df, ["run"]).orderBy("run", "step").collect()
     assert [r["log2_width"] for r in got if r["run"] == "a"] == pytest.approx(sampler.log2_widths(rows, 80)[0])
     assert got[len(rows) - 1]["log2_evidence"] == pytest.approx(merged[-1])
+    # Equal likelihoods are deaths of their own.
+    tied = [(0, -3.0, 4, 4), (0, -3.0, 4, 4), (1, -3.0, 5, 5), (1, -3.0, 5, 4), (0, -1.0, 4, 3)]
+    last = sampler.merged_evidence(spark.createDataFrame([("t", *d) for d in tied], df.schema), ["run"]).orderBy("step").collect()
+    assert [r["log2_width"] for r in last] == pytest.approx(sampler.log2_widths(tied, 9)[0])
+    assert [r["log2_evidence"] for r in last] == pytest.approx(np.logaddexp2.accumulate(np.add([d[1] for d in tied], sampler.log2_widths(tied, 9)[0])))
 
 
 def test_threads_agree_with_one_long_run(spark):
