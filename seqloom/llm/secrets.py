@@ -56,23 +56,17 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _class_of(c: str) -> str:
+    return "d" if c.isdigit() else "a" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "u" if "A" <= c <= "Z" else "p"
+
+
+_CLASSES = {i: _class_of(chr(i)) for i in range(128)}
+
+
 def symbols(token: str) -> str:
     """Character classes: a hex letter, l other lower, u upper, d digit, p the rest; the first four characters as they are if upper."""
-    out = []
-    for i, c in enumerate(token):
-        if i < 4 and "A" <= c <= "Z":
-            out.append(c)
-        elif c.isdigit():
-            out.append("d")
-        elif "a" <= c <= "f":
-            out.append("a")
-        elif "g" <= c <= "z":
-            out.append("l")
-        elif "A" <= c <= "Z":
-            out.append("u")
-        else:
-            out.append("p")
-    return "".join(out)
+    out = token.translate(_CLASSES) if token.isascii() else "".join(map(_class_of, token))
+    return "".join(c if "A" <= c <= "Z" else x for c, x in zip(token[:4], out, strict=False)) + out[4:]
 
 
 @dataclass
@@ -104,6 +98,8 @@ class Automaton:
             self.states[at].count += 1
             self.states[at].ends += 1
         self._into = list(range(len(self.states)))
+        #: Steps by state and symbol, as far as they have been asked for.
+        self._steps: dict[tuple[int, str], tuple[float, int]] = {}
         self._level()
         self._infer()
 
@@ -207,15 +203,24 @@ class Automaton:
         """Chance of a symbol, "" at the end, seen ``times`` of ``count``: 16 more are dealt as the symbols of all strings, with half of one for each of 32."""
         return (times + 16 * (self.overall[c] + 0.5) / (self.size + 16)) / (count + 16)
 
+    def _step(self, at: int, c: str) -> tuple[float, int]:
+        """Log chance of a symbol in a state, and where it leads; "" is the end."""
+        state = self.states[at]
+        if not c:
+            step = math.log(self._chance(state.ends, state.count, "")), at
+        else:
+            to = state.next[c] if c in state.next else state.next[max(state.times, key=lambda x: (state.times[x], x))] if state.next else 0
+            step = math.log(self._chance(state.times[c], state.count, c)), to
+        self._steps[at, c] = step
+        return step
+
     def score(self, s: str) -> float:
         """Log likelihood of a string; an unseen step is as likely as its symbol is in all strings and leads where most steps lead, or to the start."""
-        at, total = 0, 0.0
+        steps, at, total = self._steps, 0, 0.0
         for c in s:
-            state = self.states[at]
-            total += math.log(self._chance(state.times[c], state.count, c))
-            at = state.next[c] if c in state.next else state.next[max(state.times, key=lambda x: (state.times[x], x))] if state.next else 0
-        state = self.states[at]
-        return total + math.log(self._chance(state.ends, state.count, ""))
+            chance, at = steps.get((at, c)) or self._step(at, c)
+            total += chance
+        return total + (steps.get((at, "")) or self._step(at, ""))[0]
 
 
 def _floor(strings: list[str]) -> float:
@@ -255,21 +260,27 @@ class Grammars:
                 plain = [s for s in plain if s not in alike]
         return cls(kinds, Automaton(plain) if plain else None, floors=floors)
 
+    def _beats(self, s: str, scores: dict[str, float]) -> float:
+        plain = self.plain.score(s) if self.plain else 0.0
+        return (max(scores.values()) - plain) / len(s) if scores else -1.0
+
     def likely(self, token: str) -> float:
         """Nats a character by which the best kind beats ordinary tokens."""
         s = symbols(token)
-        plain = self.plain.score(s) if self.plain else 0.0
-        return (max(a.score(s) for a in self.kinds.values()) - plain) / len(s) if self.kinds else -1.0
+        return self._beats(s, {k: a.score(s) for k, a in self.kinds.items()})
 
-    def typical(self, token: str) -> bool:
-        """Whether some kind finds the token about as likely as the credentials it was inferred from."""
-        s = symbols(token)
-        return any(k not in self.floors or a.score(s) >= self.floors[k] * len(s) - MARGIN for k, a in self.kinds.items())
+    def found(self, s: str) -> bool:
+        """Whether a token of these symbols is likely, and typical of some kind: about as likely as the credentials that it was inferred from.
+
+        Each automaton is walked once for both.
+        """
+        scores = {k: a.score(s) for k, a in self.kinds.items()}
+        return any(k not in self.floors or x >= self.floors[k] * len(s) - MARGIN for k, x in scores.items()) and self._beats(s, scores) >= self.gain
 
     def spans(self, text: str, memo: dict[str, bool] | None = None) -> list[tuple[int, int, str]]:
         """All spans: those of the fixed patterns, and tokens apart from them that a grammar finds likely and typical.
 
-        ``memo`` keeps what was found of each token.
+        ``memo`` keeps what was found of the symbols of tokens.
         """
         base = base_spans(text)
         out = [(s, e, k) for s, e, k, _ in base]
@@ -277,10 +288,11 @@ class Grammars:
         for m in CANDIDATE.finditer(text):
             if base and any(s < m.end() and m.start() < e for s, e, _, _ in base):
                 continue
-            if (found := memo.get(m[0])) is None:
+            of = symbols(m[0])
+            if (found := memo.get(of)) is None:
                 if len(memo) >= _MEMO:
                     memo.clear()
-                found = memo[m[0]] = self.likely(m[0]) >= self.gain and self.typical(m[0])
+                found = memo[of] = self.found(of)
             if found:
                 out.append((m.start(), m.end(), "format"))
         return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
