@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -376,8 +376,13 @@ def _meet(entries: DataFrame, queries: DataFrame, counts: DataFrame, k: int) ->
     return a.groupBy("list", "i", "j").cogroup(b.groupBy("list", "i", "j")).applyInArrow(_cell(k), _FOUND)
 
 
-def _top(found: Column, k: int) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, k)
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    """``(q, found)``: the ``k`` least of the distinct entries of each query's arrays ``(q, found)``.
+
+    Sorted first, as telling apart all pairs of an array takes the square of its length.
+    """
+    in_order = rows.groupBy("q").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("all"))
+    return in_order.select("q", F.slice(F.filter("all", lambda x, i: (i == 0) | (x != F.get(F.col("all"), i - 1))), 1, k).alias("found"))
 
 
 def _of_one_length(base: DataFrame, asked: DataFrame, k: int, recall: float) -> DataFrame:
@@ -395,7 +400,7 @@ def _of_one_length(base: DataFrame, asked: DataFrame, k: int, recall: float) ->
     counts = base.select("vec").mapInArrow(lean(_counted(graph)), "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
     entries = base.select("id", "vec").mapInArrow(lean(_posted(graph)), kinds)
     queries = stored(base.join(sized(asked), "id", "left_semi").select("id", "vec").mapInArrow(lean(_posted(graph, False, ratio)), kinds), "queries")
-    return _meet(entries, queries, counts, k).groupBy("q").agg(_top(F.flatten(F.collect_list("found")), k).alias("found"))
+    return _top(_meet(entries, queries, counts, k), k)
 
 
 @tidy
@@ -435,7 +440,7 @@ def _nearest(table: DataFrame, k: int, every: int, recall: float, id_col: str, v
     # Equal vectors are equally far.
     ids = many.select(F.col("rep").alias("id"), "ids")
     full = found.join(sized(ids), "id", "left").withColumn("ids", F.coalesce("ids", F.array("id")))
-    each = full.groupBy("q").agg(_top(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id"))))), k + 1).alias("found"))
+    each = _top(full.select("q", F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id"))).alias("found")), k + 1)
     others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
     out = asked.join(each, "q").select("query_id", F.posexplode(others).alias("i", "x"))
     return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))
