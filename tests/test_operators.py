@@ -105,6 +105,31 @@ def test_best_matches_in_blocks(spark, monkeypatch):
             assert {r["query_id"]: (r["other_id"], r["value"]) for r in compare.best_matches(asked, df, measure).collect()} == want
 
 
+@pytest.mark.parametrize("measure", [compare.pearson, compare.either_strand, compare.euclidean, compare.kullback_leibler, compare.shorter])
+def test_best_matches_are_chosen_from_few_pairs(spark, monkeypatch, measure):
+    """Copies, motifs alike but for less than the last digit, flat rows, other lengths and odd numbers; all as by all pairs."""
+    rng = np.random.default_rng(5)
+    made = [rng.dirichlet([1] * 4, n).tolist() for n in (4, 4, 4, 3, 6) for _ in range(30)]
+    made += made[:20] + made[:20] + [(np.array(m) + 1e-8 * i).tolist() for i, m in enumerate(made[:20])]
+    made += [[[0.25] * 4] * 4, [[0.25] * 4] * 2 + made[0][:2], [[0.1, 0.1, 0.1, 0.7]] * 4]
+    odd = [[[float("nan"), 0.2, 0.3, 0.5]] * 4, [[1e200, 0.2, 0.3, 0.5]] * 4, [[None, 0.2, 0.3, 0.5]] * 4, None]
+    df = spark.createDataFrame([(7 * i % 997, m) for i, m in enumerate(made + odd)], "motif_id long, pwm array<array<double>>")
+    asked = df.filter("motif_id % 3 = 0")
+    all_pairs = lambda a, b: measure(a, b)
+    if measure in compare.PREPARE:
+        monkeypatch.setitem(compare.PREPARE, all_pairs, compare.PREPARE[measure])
+    seen = lambda m: {r["query_id"]: (r["other_id"], str(r["value"])) for r in compare.best_matches(asked, df, m).collect()}
+    want = seen(all_pairs)
+    for cell, scores in ((8192, 2_000_000), (16, 100)):
+        monkeypatch.setattr(compare, "CELL", cell)
+        monkeypatch.setattr(compare, "SCORES", scores)
+        assert seen(measure) == want
+    fine = df.filter("motif_id < 910")
+    ready = fine.select("motif_id", compare.PREPARE.get(measure, lambda p: p)(F.col("pwm")).alias("pwm"))
+    monkeypatch.setattr(compare, "CELL", 8192)
+    assert compare.candidates(ready, ready, measure).count() < 20 * ready.count()
+
+
 def brute(seq, model):
     """Adds up every way to read a short sequence."""
     x = L.encode(seq)
