@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -129,43 +130,61 @@ class Markov:
         return out
 
 
+#: Draws of last edges that are tried at a time.
+DRAWS = 16
+
+
+def _last_edges(edges: list[np.ndarray], letters: list[int], end: int, rng: np.random.Generator) -> dict[int, int]:
+    """For each of ``letters`` one of its edges, so that they lead from all to ``end``: the first such draw, after which ``rng`` goes on."""
+    if not letters:
+        return {}
+    sizes = np.tile([len(e) for e in edges], DRAWS)
+    trial = np.arange(DRAWS)
+    while True:
+        before = rng.bit_generator.state
+        drawn = rng.integers(sizes).reshape(DRAWS, -1)
+        follow = np.full((DRAWS, 128), end, np.uint8)
+        for k, (a, e) in enumerate(zip(letters, edges, strict=True)):
+            follow[:, a] = e[drawn[:, k]]
+        good = np.ones(DRAWS, bool)
+        for a in letters:
+            at = follow[:, a]
+            for _ in letters[1:]:
+                at = follow[trial, at]
+            good &= at == end
+        if good.any():
+            first = int(good.argmax())
+            rng.bit_generator.state = before
+            rng.integers(sizes[: (first + 1) * len(letters)])
+            return {a: int(follow[first, a]) for a in letters}
+
+
 def shuffle_dinucleotides(seq: str, rng: np.random.Generator) -> str:
     """A random sequence with the same first and last letter and the same dinucleotides; unknown letters are read as A.
 
     Sequences with fewer than two distinct letters come back as they are.
     """
-    seq = "".join(c if c in BASES else "A" for c in seq.upper())
+    seq = re.sub(f"[^{BASES}]", "A", seq.upper())
     if len(set(seq)) < 2:
         return seq
-    out: dict[str, list[str]] = {}
-    for a, b in zip(seq, seq[1:], strict=False):
-        out.setdefault(a, []).append(b)
+    letters = np.frombuffer(seq.encode(), np.uint8)
+    before, after = letters[:-1], letters[1:]
+    out = {a: after[before == ord(a)] for a in sorted(set(seq[:-1]))}
     end = seq[-1]
 
-    def leads(last: dict[str, str], a: str) -> bool:
-        for _ in range(len(out) + 1):
-            if a == end:
-                return True
-            a = last[a]
-        return False
-
     # Last edges, drawn until they lead from every letter to the end, make the walk use every edge.
-    while True:
-        last = {a: bs[int(rng.integers(len(bs)))] for a, bs in sorted(out.items()) if a != end}
-        if all(leads(last, a) for a in last):
-            break
-    walks = {}
-    for a, bs in sorted(out.items()):
-        rest = list(bs)
-        if a in last:
-            rest.remove(last[a])
-        rest = [rest[int(i)] for i in rng.permutation(len(rest))]
-        walks[a] = iter(rest + ([last[a]] if a in last else []))
-    at, made = seq[0], [seq[0]]
-    for _ in range(len(seq) - 1):
-        at = next(walks[at])
-        made.append(at)
-    return "".join(made)
+    inner = [a for a in out if a != end]
+    last = _last_edges([out[a] for a in inner], [ord(a) for a in inner], ord(end), rng)
+    walks: list = [None] * 128
+    for a, bs in out.items():
+        own = last.get(ord(a))
+        rest = bs if own is None else np.delete(bs, int((bs == own).argmax()))
+        rest = rest[rng.permutation(len(rest))]
+        # The next letter is taken from the end.
+        walks[ord(a)] = [*([] if own is None else [own]), *rest[::-1].tolist()].pop
+    at = ord(seq[0])
+    made = [at, *[at := walks[at]() for _ in range(len(seq) - 1)]]
+    return bytes(made).decode()
 
 
 def _fitted(template: str, length: int, rng: np.random.Generator) -> str:

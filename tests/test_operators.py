@@ -14,6 +14,7 @@ from seqloom.functions import motifs as M
 from seqloom.operators import corpus as C
 from seqloom.operators import compare, evaluate, intervals, longmers, mixture, quantiles, sampler, scan, synth
 from seqloom.operators import likelihood as L
+from seqloom.plans import queries
 from seqloom.sources import fasta, motif_files
 from seqloom.streaming import kmers
 
@@ -369,6 +370,14 @@ def test_shuffle_keeps_dinucleotides():
     assert synth.shuffle_dinucleotides("ACGT" * 20 + "AAAA" + "CCCC", rng) != "ACGT" * 20 + "AAAA" + "CCCC"
 
 
+def test_shuffle_of_one_row_group_is_work_for_all(spark, tmp_path):
+    """The draws are as ever; a file of one row group, which one task reads, is shuffled by several."""
+    assert synth.shuffle_dinucleotides("ACGTTGCAACGGTTAACCNGTacgta", np.random.default_rng([7, 3])) == "AAGTACGTACAACGGCCGTTGTTACA"
+    spark.range(200).selectExpr("id AS doc_id", "repeat('gattaca', 9) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    made = queries.QUERIES["dinucl_shuffle"](spark, str(tmp_path))
+    assert made.select(F.spark_partition_id()).distinct().count() > 1 and made.count() == 200
+
+
 def test_planting(spark):
     data = synth.Dataset(50, synth.Lengths("fixed", 60), motifs=synth.patterns(["ACGTACGT", "TTGG[2-4]CCAA"]), planting=synth.Planting(density=1))
     rows = data.generate(spark).collect()
