@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.bases import BASES, from_index, windows
 from seqloom.functions.motifs import reverse
-from seqloom.operators.likelihood import block_scores, encode, window_codes
+from seqloom.operators.likelihood import block_scores, encode, portions, window_codes
 
 
 def window_score(window: Column, pwm: np.ndarray) -> Column:
@@ -74,6 +74,38 @@ def scan_matrices(corpus: DataFrame, matrices: list[Matrix], both_strands: bool
     return reduce(DataFrame.unionByName, parts)
 
 
+def summed_sites(corpus: DataFrame, matrices: list[Matrix], least: float = -np.inf, both_strands: bool = False, id_type: str = "long") -> DataFrame:
+    """``(seq_id, pos, score)``: the sites where all matrices have a window of known bases and their scores add up to ``least`` or more.
+
+    The sums over matrices of :func:`scan_matrices` by site, made sequence by sequence: nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            joined, lengths = _side_by_side(batch.column(1).to_pylist())
+            numbers, ends = window_codes(joined), np.cumsum(np.array(lengths, np.int64) + 1)
+            # A site may lie before its sequence's first letter and after its last one.
+            wide = 2 * (joined.shape[1] + max(abs(m.offset) for m in matrices) + 1)
+            parts = []
+            for m in matrices:
+                score = block_scores(joined, np.asarray(m.rows, float), numbers)[0]
+                if both_strands:
+                    score = np.maximum(score, block_scores(joined, reverse(m.rows), numbers)[0])
+                at = np.flatnonzero(score > -np.inf)
+                own = np.searchsorted(ends, at, side="right")
+                begin = ends[own] - np.array(lengths, np.int64)[own] - 1
+                parts.append((own, at - begin - m.offset, score[at] * m.weight))
+            own, pos, score = parts[0]
+            for other, there, more in parts[1:]:
+                _, i, j = np.intersect1d(own * wide + pos, other * wide + there, assume_unique=True, return_indices=True)
+                own, pos, score = own[i], pos[i], score[i] + more[j]
+            keep = score >= least
+            ids = batch.column(0).take(pa.array(own[keep], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pos[keep], pa.int32()), pa.array(score[keep])], names=["seq_id", "pos", "score"])
+
+    return corpus.select("seq_id", "seq").mapInArrow(run, f"seq_id {id_type}, pos int, score double")
+
+
 def summaries(corpus: DataFrame, pwm: np.ndarray, both_strands: bool, least: float = 0.0, id_type: str = "long") -> DataFrame:
     """``(seq_id, pos, score, hits, total)`` of each row with any window of known bases.
 
@@ -84,7 +116,7 @@ def summaries(corpus: DataFrame, pwm: np.ndarray, both_strands: bool, least: flo
     w, fwd, rev = len(pwm), np.asarray(pwm, float), reverse(pwm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             joined, lengths = _side_by_side(batch.column(1).to_pylist())
             numbers = window_codes(joined)
             score = block_scores(joined, fwd, numbers)[0]
@@ -140,7 +172,7 @@ def best_sites(corpus: DataFrame, motifs: dict[str, np.ndarray], id_type: str =
     turn = str.maketrans(BASES, BASES[::-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             seqs = batch.column(1).to_pylist()
             joined, lengths = _side_by_side(seqs)
             numbers, keep, rows = window_codes(joined), [], []
@@ -177,7 +209,7 @@ def logistic_facet(corpus: DataFrame, labels: DataFrame, pwms: list[np.ndarray],
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             joined, lengths = _side_by_side(batch.column(1).to_pylist())
             numbers, eta = window_codes(joined), np.zeros(len(lengths))
             for pwm, weight in zip(pwms, weights, strict=True):

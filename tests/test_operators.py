@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,31 @@ def test_best_matches_in_blocks(spark, monkeypatch):
             assert {r["query_id"]: (r["other_id"], r["value"]) for r in compare.best_matches(asked, df, measure).collect()} == want
 
 
+def test_sites_of_several_matrices_without_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = seqs(spark, ["".join("ACGTN"[i] for i in rng.integers(5, size=n)) for n in (0, 3, 4, 5, 9, 40, 200, 1)] + [None])
+    matrices = [scan.Matrix("a", M.kmer_to_pwm("TA"), 2, 0.5), scan.Matrix("b", M.kmer_to_pwm("CAG"), -1, 2.0), scan.Matrix("c", M.kmer_to_pwm("G"), 7, 1.0)]
+    for some in (matrices[:2], matrices):
+        rows = scan.scan_matrices(df, some).groupBy("seq_id", "pos").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+        want = {(r["seq_id"], r["pos"]): pytest.approx(r["score"]) for r in rows.filter(f"n = {len(some)} and score >= -14.5").collect()}
+        for letters in (10, 500_000):
+            monkeypatch.setattr(L, "LETTERS", letters)
+            found = scan.summed_sites(df, some, -14.5)
+            assert {(r["seq_id"], r["pos"]): r["score"] for r in found.collect()} == want and want
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_letters_are_scored_at_a_time(spark, monkeypatch):
+    """However many letters a batch has, an array holds few of them, or one sequence; none is left out."""
+    batch = pa.RecordBatch.from_pydict({"seq_id": list(range(9)), "seq": ["A" * n for n in (3, 0, 9, 40, 1, 1, 1)] + [None, "C" * 10]})
+    monkeypatch.setattr(L, "LETTERS", 12)
+    cut = list(L.portions(iter([batch, batch.slice(0, 0)])))
+    assert [i for b in cut for i in b.column(0).to_pylist()] == list(range(9))
+    assert all(b.num_rows == 1 or sum(len(s or "") for s in b.column(1).to_pylist()) <= 12 for b in cut)
+    held = max(b.x.size for b in L.batches([np.zeros(1_000, np.int8)] * 5_000))
+    assert held <= 500_000
+
+
 @pytest.mark.parametrize("measure", [compare.pearson, compare.either_strand, compare.euclidean, compare.kullback_leibler, compare.shorter])
 def test_best_matches_are_chosen_from_few_pairs(spark, monkeypatch, measure):
     """Copies, motifs alike but for less than the last digit, flat rows, other lengths and odd numbers; all as by all pairs."""
@@ -685,6 +711,16 @@ def test_long_kmers_by_brute_force(spark, monkeypatch, k):
         longmers.count(df, 32, 1, 1)
 
 
+def test_runs_of_windows_are_found_all_at_once():
+    """A million short sequences are no slower to cut than a long one: runs come from arrays, not from a loop over sequences."""
+    codes = np.tile(np.array([0, 1, 2, 3, 2, 2, 1, 0, 3, 3, 0, 1, 2, 0, -1], np.int8), 100_000)
+    found = longmers.runs(codes, 12)
+    assert all(isinstance(x, np.ndarray) for x in found)
+    least, start, end = found
+    assert ((end - start >= 12) & (end - start <= 14)).all() and (end - start - 11).sum() == 3 * 100_000
+    assert all((codes[s:e] >= 0).all() for s, e in zip(start[:50], end[:50], strict=True)) and len(set(zip(least[1:-1].tolist(), (start[1:-1] % 15).tolist(), strict=True))) <= 3
+
+
 def test_bases_side_by_side_are_those_one_by_one(monkeypatch):
     """The recursion over a batch gives each sequence as drawn alone, whatever is beside it."""
     rng = np.random.default_rng(9)
