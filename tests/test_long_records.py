@@ -107,3 +107,14 @@ def test_pieces_give_the_whole_record(spark):
 def test_weights_that_no_matrix_holds():
     with pytest.raises(ValueError):
         L.transfer(np.empty(0, np.int8), L.encode("ACGTACGTACGT"), L.Model.plain([np.full((9, 4), 0.0)], np.full((1, 4), -40.0), 9.0))
+
+
+def test_pieces_of_one_length_side_by_side():
+    """As each by itself, unknown letters among them."""
+    rng = np.random.default_rng(3)
+    model = L.Model.plain([M.kmer_to_pwm("TATAAT"), M.kmer_to_pwm("CCAAT")], np.full((1, 4), -2.0), 30.0, True)
+    before, x = rng.integers(-1, 4, (20, 5)).astype(np.int8), rng.integers(-1, 4, (20, 90)).astype(np.int8)
+    many = L.transfers(before, x, model)
+    for i in range(20):
+        for a, b in zip(many, L.transfer(before[i], x[i], model), strict=True):
+            assert np.allclose(a[i], b, rtol=1e-12)
