@@ -274,6 +274,35 @@ def test_both_ways_of_a_search_make_the_same_chains(spark, monkeypatch):
     assert [sampler.Search(data, ensemble=n).threads for n in (4, 20, 200)] == [1, 4, 16]
 
 
+def test_a_search_scores_few_moves_in_vain(spark, monkeypatch):
+    """Equal sequences are scored once, and a job asks for about as many moves as go by until one is taken."""
+    data = synth.Dataset(20, synth.Lengths("normal", 60, 20, 20, 120), motifs=synth.patterns(["TATAAATA"], 0.0)).generate(spark).select("seq_id", "seq", "length")
+    data = data.union(data).union(data).cache()
+    scored, real = [], sampler.score_models
+    monkeypatch.setattr(sampler, "score_models", lambda c, m: scored.append((c.count(), len(m))) or real(c, m))
+    search = sampler.Search(data, ensemble=10, seed=2, small=0)
+    assert search.particles[0].log2_lik == pytest.approx(L.score([L.encode(r["seq"]) for r in data.collect()], [search.setting.model(search.particles[0])]).sum(), abs=1e-3)
+    search.run(2)
+    assert {n for n, _ in scored} == {data.select("seq").distinct().count()}
+    # Two chains of at most 100 steps each.
+    assert sum(m for _, m in scored[1:]) <= 2 * 200
+
+
+def test_models_side_by_side():
+    """Models of equal spans over few rows are read together, with what each gives alone, which is the recursion in logarithms."""
+    rng = np.random.default_rng(3)
+    bg = np.log2(rng.dirichlet([9] * 4, 16))
+    x = [rng.integers(-1 if i == 1 else 0, 4, n).astype(np.int8) for i, n in enumerate((400, 390, 250, 3))]
+    models = [L.Model.plain([np.log2(rng.dirichlet([1] * 4, n) + 1e-10) for n in sizes], bg, mean, both) for sizes, mean, both in [((7,), 50, True), ((7,), 50, True), ((7,), 90, True), ((7,), 50, False), ((7, 11), 50, True), ((5,), 50, True), ((7,), 50, True)]]
+    models.append(L.Model.plain([np.log2([[1e-9, 1e-9, 1e-9, 1.0]] * 7)], np.full((1, 4), -60.0), 50))
+    got = L.score(x, models)
+    for m, row in zip(models, got, strict=True):
+        n = len(m.pieces)
+        for b in L.batches(x):
+            logs = b._score_logs(m, m.pieces, b.background(m.bg), np.log2(1 - n / m.mean_length), np.log2(1 / m.mean_length))
+            assert row[b.place] == pytest.approx(logs, rel=1e-9) and row[b.place] == pytest.approx(b.score(m), rel=1e-12)
+
+
 def _made_run(rng, live, rounds, thread=0, deaths=1):
     """A run of exact draws: the likelihood is -100 x^2 at volume x, in log2."""
     x, out = rng.random(live).tolist(), []
