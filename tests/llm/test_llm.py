@@ -156,6 +156,19 @@ def test_many_tokens_a_url(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
+@pytest.mark.parametrize("wide", [["allow"] * 20, ["allow"] * 17 + ["block"]])
+def test_wide_urls_change_no_rules(spark, wide):
+    """The rule of five tokens stands beside rows of 17 or 19 tokens, none of which occurs just where another does."""
+    sets = [(list(c), "block" if len(c) == 5 else "allow") for n in range(6) for c in itertools.combinations("abcde", n)] * 20
+    sets += [([f"w{j:02}" for j in range(len(wide)) if j != i], v) for i, v in enumerate(wide) for _ in range(4)]
+    rules = urls.mine(spark.createDataFrame(sets, "tokens array<string>, verdict string"), 0.005, 0.8).collect()
+    of = {tuple(sorted(r["items"])): r["confidence"] for r in rules if r["verdict"] == "block" and not r["items"][0].startswith("w")}
+    assert of == {tuple("abcde"): 1.0}
+    want = {(f"w{j:02}",): 1.0 if wide[-1] == "allow" or j == 17 else 16 / 17 for j in range(len(wide))}
+    got = {tuple(sorted(r["items"])): r["confidence"] for r in rules if r["items"][0].startswith("w") and r["verdict"] == "allow"}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+
+
 def brute_tokens(url):
     m = re.match(r"(?s)(\w*)://([^/?#]*)([^?#]*)", url or "")
     host, path = (low(m[2]), m[3]) if m else ("", "")
