@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,33 +132,115 @@ class Markov:
         return out
 
 
-#: Draws of last edges that are tried at a time.
-DRAWS = 16
+#: Draws of last edges that are tried at a time, and in all.
+DRAWS, TRIES = 12, 960
+#: Sequences that walk side by side, at least; fewer walk one by one.
+WALKERS = 48
+_NUMBERS = bytes.maketrans(BASES.encode(), bytes(range(4)))
+_LETTERS = bytes.maketrans(bytes(range(4)), BASES.encode())
 
 
-def _last_edges(edges: list[np.ndarray], letters: list[int], end: int, rng: np.random.Generator) -> dict[int, int]:
-    """For each of ``letters`` one of its edges, so that they lead from all to ``end``: the first such draw, after which ``rng`` goes on."""
+def _last_edges(edges: list[bytes], letters: list[int], end: int, rng: np.random.Generator) -> dict[int, int]:
+    """For each of ``letters`` one of its edges, so that they lead from all to ``end``: the first such draw, after which ``rng`` goes on.
+
+    Runs of one letter make such draws as rare as one in the product of the runs' lengths, so after
+    TRIES of them one is drawn from all choices that lead to the end, each by how often it would be drawn.
+    """
     if not letters:
         return {}
-    sizes = np.tile([len(e) for e in edges], DRAWS)
-    trial = np.arange(DRAWS)
-    while True:
+    sizes, each = np.array([len(e) for e in edges] * DRAWS), len(letters)
+    follow = [end] * 4
+
+    def leads() -> bool:
+        # Four letters are three steps from the end at most; the end leads to itself.
+        return all(follow[follow[follow[a]]] == end for a in letters)
+
+    for _ in range(0, TRIES, DRAWS):
         before = rng.bit_generator.state
-        drawn = rng.integers(sizes).reshape(DRAWS, -1)
-        follow = np.full((DRAWS, 128), end, np.uint8)
-        for k, (a, e) in enumerate(zip(letters, edges, strict=True)):
-            follow[:, a] = e[drawn[:, k]]
-        good = np.ones(DRAWS, bool)
-        for a in letters:
-            at = follow[:, a]
-            for _ in letters[1:]:
-                at = follow[trial, at]
-            good &= at == end
-        if good.any():
-            first = int(good.argmax())
-            rng.bit_generator.state = before
-            rng.integers(sizes[: (first + 1) * len(letters)])
-            return {a: int(follow[first, a]) for a in letters}
+        drawn = rng.integers(sizes).tolist()
+        for first in range(0, len(drawn), each):
+            for a, e, i in zip(letters, edges, drawn[first : first + each], strict=True):
+                follow[a] = e[i]
+            if leads():
+                rng.bit_generator.state = before
+                rng.integers(sizes[: first + each])
+                return {a: follow[a] for a in letters}
+    found, weights = [], []
+    for ends in product(range(4), repeat=each):
+        for a, b in zip(letters, ends, strict=True):
+            follow[a] = b
+        if leads() and (weight := math.prod(e.count(b) for e, b in zip(edges, ends, strict=True))):
+            found.append(ends)
+            weights.append(float(weight))
+    upto = np.cumsum(weights)
+    return dict(zip(letters, found[min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(found) - 1)], strict=True))
+
+
+def _successors(codes: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, list[int]]:
+    """What follows each letter, in the order in which a walk takes it, letter by letter, and where each letter's begin."""
+    before, end = codes[:-1], int(codes[-1])
+    after = codes[1:][before.argsort(kind="stable")]
+    at = [0, *np.bincount(before, minlength=4).cumsum().tolist()]
+    there = [a for a in range(4) if at[a] < at[a + 1]]
+
+    # Last edges, drawn until they lead from every letter to the end, make the walk use every edge.
+    inner = [a for a in there if a != end]
+    edges = [after[at[a] : at[a + 1]].tobytes() for a in inner]
+    last = _last_edges(edges, inner, end, rng)
+    held = dict(zip(inner, edges, strict=True))
+    out = np.empty_like(after)
+    for a in there:
+        lo, hi = at[a], at[a + 1]
+        if a == end:
+            out[lo:hi] = after[lo:hi][rng.permutation(hi - lo)]
+            continue
+        take = rng.permutation(hi - lo - 1)
+        take += take >= held[a].index(last[a])
+        out[lo : hi - 1] = after[lo:hi][take]
+        out[hi - 1] = last[a]
+    return out, at
+
+
+def shuffle_all(seqs: list[bytes], rngs: Iterable[np.random.Generator]) -> list[bytes]:
+    """:func:`shuffle_dinucleotides` of sequences of known letters, each by its own generator; many walk side by side."""
+    out = list(seqs)
+    numbers = [s.translate(_NUMBERS) for s in seqs]
+    rngs = list(rngs)
+    order = sorted((k for k, s in enumerate(numbers) if len(s) > 1 and s.count(s[:1]) < len(s)), key=lambda k: -len(seqs[k]))
+    if not order:
+        return out
+    lengths = np.array([len(seqs[k]) for k in order])
+    base = np.concatenate([[0], np.cumsum(lengths)])
+    # A sequence's letters in place, and in one place fewer what follows them.
+    made, follow = np.empty(base[-1], np.uint8), np.empty(base[-1], np.uint8)
+    next_at = np.empty((len(order), 4), np.int64)
+    for r, k in enumerate(order):
+        codes = np.frombuffer(numbers[k], np.uint8)
+        found, at = _successors(codes, rngs[k])
+        follow[base[r] : base[r + 1] - 1] = found
+        next_at[r] = at[:4]
+        made[base[r]] = codes[0]
+    next_at += base[:-1, None]
+    last_at = np.column_stack([next_at[:, 1:], base[1:] - 1])
+
+    step, n = 0, len(order)
+    now, row, put, pointers = made[base[:-1]], np.arange(len(order)) * 4, base[:-1].copy(), next_at.ravel()
+    while (n := int(np.searchsorted(-lengths[:n], -(step + 1), side="left"))) >= WALKERS:
+        k = row[:n] + now[:n]
+        p = pointers[k]
+        pointers[k] = p + 1
+        now = follow[p]
+        put = put[:n] + 1
+        made[put] = now
+        step += 1
+    for r in range(n):
+        walks = [follow[lo:hi][::-1].tolist().pop for lo, hi in zip(next_at[r], last_at[r], strict=True)]
+        at = int(made[base[r] + step])
+        made[base[r] + step + 1 : base[r + 1]] = np.frombuffer(bytes([at := walks[at]() for _ in range(int(lengths[r]) - step - 1)]), np.uint8)
+    letters = made.tobytes().translate(_LETTERS)
+    for r, k in enumerate(order):
+        out[k] = letters[base[r] : base[r + 1]]
+    return out
 
 
 def shuffle_dinucleotides(seq: str, rng: np.random.Generator) -> str:
@@ -164,27 +248,41 @@ def shuffle_dinucleotides(seq: str, rng: np.random.Generator) -> str:
 
     Sequences with fewer than two distinct letters come back as they are.
     """
-    seq = re.sub(f"[^{BASES}]", "A", seq.upper())
-    if len(set(seq)) < 2:
-        return seq
-    letters = np.frombuffer(seq.encode(), np.uint8)
-    before, after = letters[:-1], letters[1:]
-    out = {a: after[before == ord(a)] for a in sorted(set(seq[:-1]))}
-    end = seq[-1]
+    return shuffle_all([re.sub(f"[^{BASES}]", "A", seq.upper()).encode()], [rng])[0].decode()
 
-    # Last edges, drawn until they lead from every letter to the end, make the walk use every edge.
-    inner = [a for a in out if a != end]
-    last = _last_edges([out[a] for a in inner], [ord(a) for a in inner], ord(end), rng)
-    walks: list = [None] * 128
-    for a, bs in out.items():
-        own = last.get(ord(a))
-        rest = bs if own is None else np.delete(bs, int((bs == own).argmax()))
-        rest = rest[rng.permutation(len(rest))]
-        # The next letter is taken from the end.
-        walks[ord(a)] = [*([] if own is None else [own]), *rest[::-1].tolist()].pop
-    at = ord(seq[0])
-    made = [at, *[at := walks[at]() for _ in range(len(seq) - 1)]]
-    return bytes(made).decode()
+
+#: Every byte but those of the four bases.
+_OTHERS = bytes(sorted({*range(256)} - {*BASES.encode()}))
+#: Letters of the sequences that a task shuffles side by side, about.
+SIDE_BY_SIDE = 1_000_000
+
+
+def _shuffles(texts: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and the shuffled letters A, C, G and T of ``(id, text)``, texts in upper case as bytes."""
+    for batch in texts:
+        ids, seqs = batch.column(0).to_pylist(), [t.as_py().translate(None, _OTHERS) for t in batch.column(1)]
+        upto = np.cumsum([len(s) for s in seqs])
+        at = 0
+        while at < len(seqs):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SIDE_BY_SIDE, side="right")))
+            yield ids[at:end], shuffle_all(seqs[at:end], (np.random.default_rng([seed, int(i)]) for i in ids[at:end]))
+            at = end
+
+
+def _upper(texts: DataFrame) -> DataFrame:
+    # Letters other than the bases are left out in the task: Spark's regular expressions take longer than all the rest.
+    key, text = texts.columns
+    return texts.select(F.col(key).cast("long"), F.upper(F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+
+
+def shuffle_texts(texts: DataFrame, seed: int) -> DataFrame:
+    """``(seq_id, shuffled)`` of ``(id, text)``: :func:`shuffle_dinucleotides` of each text's letters A, C, G and T, drawn by ``seed`` and the id."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, made in _shuffles(parts, seed):
+            yield pa.RecordBatch.from_pydict({"seq_id": pa.array(ids, pa.int64()), "shuffled": pa.array(made, pa.binary()).cast(pa.string())})
+
+    return _upper(texts).mapInArrow(run, "seq_id long, shuffled string")
 
 
 def _fitted(template: str, length: int, rng: np.random.Generator) -> str:

@@ -1,6 +1,7 @@
 import itertools
 import json
 import math
+import signal
 from collections import Counter
 
 import numpy as np
@@ -425,6 +426,39 @@ def test_shuffle_keeps_dinucleotides():
     assert synth.shuffle_dinucleotides("ACGT" * 20 + "AAAA" + "CCCC", rng) != "ACGT" * 20 + "AAAA" + "CCCC"
 
 
+def test_shuffle_of_long_runs_ends(monkeypatch):
+    """Last edges that lead to the end are one draw in 27,000,000,000 here; drawn from such choices alone they are as likely as by trial."""
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(60)
+    try:
+        for s in ("A" * 3000 + "C" * 3000 + "G" * 3000 + "T", "G" + "T" * 90000 + "C" * 90000 + "A"):
+            t = synth.shuffle_dinucleotides(s, np.random.default_rng(3))
+            assert Counter(itertools.pairwise(s)) == Counter(itertools.pairwise(t)) and (s[0], s[-1]) == (t[0], t[-1])
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    s = "AACAGCGATAACA"
+    pairs = Counter(itertools.pairwise(s))
+    words = [[]]
+    for _ in s:
+        words = [w + [c] for w in words for c in ("ACGT" if w else s[0]) if not w or Counter(itertools.pairwise(w + [c])) <= pairs]
+    for tries in (synth.TRIES, 0):
+        monkeypatch.setattr(synth, "TRIES", tries)
+        seen = Counter(synth.shuffle_dinucleotides(s, np.random.default_rng([5, i])) for i in range(60 * len(words)))
+        assert set(seen) == {"".join(w) for w in words}
+        assert sum((n - 60) ** 2 / 60 for n in seen.values()) < len(words) + 5 * math.sqrt(2 * len(words))
+
+
+def test_shuffles_side_by_side_are_those_of_each():
+    rng = np.random.default_rng(4)
+    seqs = ["".join("ACGT"[i] for i in rng.choice(4, size=int(n), p=[0.7, 0.1, 0.1, 0.1])) for n in [*rng.integers(0, 90, size=150), 2000]]
+    alone = [synth.shuffle_dinucleotides(s, np.random.default_rng([7, i])).encode() for i, s in enumerate(seqs)]
+    assert synth.shuffle_all([s.encode() for s in seqs], [np.random.default_rng([7, i]) for i in range(len(seqs))]) == alone
+
+
 def test_shuffle_of_one_row_group_is_work_for_all(spark, tmp_path):
     """The draws are as ever; a file of one row group, which one task reads, is shuffled by several."""
     assert synth.shuffle_dinucleotides("ACGTTGCAACGGTTAACCNGTacgta", np.random.default_rng([7, 3])) == "AAGTACGTACAACGGCCGTTGTTACA"
