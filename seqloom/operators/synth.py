@@ -285,6 +285,23 @@ def shuffle_texts(texts: DataFrame, seed: int) -> DataFrame:
     return _upper(texts).mapInArrow(run, "seq_id long, shuffled string")
 
 
+def count_shuffled(texts: DataFrame, seed: int) -> DataFrame:
+    """``(seq_id, kmer, cnt)``: the dinucleotides of :func:`shuffle_texts`; a task counts those of a text, so a shuffle moves 16 rows of it at most."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, made in _shuffles(parts, seed):
+            codes = np.frombuffer(b"".join(made).translate(_NUMBERS), np.uint8).astype(np.int64)
+            row = np.repeat(np.arange(len(made)), [len(s) for s in made])
+            inside = row[1:] == row[:-1]
+            counts = np.bincount((row[:-1] * 16 + codes[:-1] * 4 + codes[1:])[inside], minlength=16 * len(made))
+            there = np.flatnonzero(counts)
+            kmers = pa.array([a + b for a in BASES for b in BASES]).take(pa.array(there % 16))
+            yield pa.RecordBatch.from_pydict({"seq_id": pa.array(ids, pa.int64()).take(pa.array(there // 16)), "kmer": kmers, "cnt": pa.array(counts[there], pa.int64())})
+
+    counted = _upper(texts).mapInArrow(run, "seq_id long, kmer string, cnt long")
+    return counted.groupBy("seq_id", "kmer").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"))
+
+
 def _fitted(template: str, length: int, rng: np.random.Generator) -> str:
     """A shuffled template, cut or filled up with uniform bases."""
     base = shuffle_dinucleotides(template, rng)[:length]

@@ -459,6 +459,17 @@ def test_shuffles_side_by_side_are_those_of_each():
     assert synth.shuffle_all([s.encode() for s in seqs], [np.random.default_rng([7, i]) for i in range(len(seqs))]) == alone
 
 
+def test_shuffled_counts_leave_the_task_as_counts(spark):
+    """Of a text no more rows than there are dinucleotides are shuffled, and rows of one id are counted together."""
+    texts = [(1, "gattaca" * 40), (2, None), (3, "aé-c"), (1, "AC"), (5, "t" * 9)]
+    made = synth.count_shuffled(spark.createDataFrame(texts, "doc_id long, text string"), 7)
+    assert "Generate" not in made._jdf.queryExecution().toString()
+    want = Counter()
+    for i, t in texts:
+        want += Counter((i, a + b) for a, b in itertools.pairwise(c for c in (t or "").upper() if c in "ACGT"))
+    assert {(r["seq_id"], r["kmer"]): r["cnt"] for r in made.collect()} == want
+
+
 def test_shuffle_of_one_row_group_is_work_for_all(spark, tmp_path):
     """The draws are as ever; a file of one row group, which one task reads, is shuffled by several."""
     assert synth.shuffle_dinucleotides("ACGTTGCAACGGTTAACCNGTacgta", np.random.default_rng([7, 3])) == "AAGTACGTACAACGGCCGTTGTTACA"
