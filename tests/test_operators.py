@@ -304,6 +304,46 @@ def test_models_side_by_side():
             assert row[b.place] == pytest.approx(logs, rel=1e-9) and row[b.place] == pytest.approx(b.score(m), rel=1e-12)
 
 
+def test_a_deck_gives_what_its_sequences_give(monkeypatch):
+    """Sequences kept by slabs are scored for models side by side as each is alone: repeated, with unknown letters, over the ends of slabs and of groups, by any model."""
+    rng = np.random.default_rng(6)
+    bg = np.log2(rng.dirichlet([9] * 4, 16))
+    x = [rng.integers(-1 if i % 5 == 1 else 0, 4, n).astype(np.int8) for i, n in enumerate([400, 2, 0, 1, 48, 96, 95, 49, 1500, *rng.integers(1, 200, size=60).tolist()])]
+    times = rng.integers(1, 4, size=len(x))
+    pwm = lambda n: np.log2(rng.dirichlet([1] * 4, n) + 1e-10)
+    models = [L.Model.plain([pwm(n) for n in sizes], back, mean, both) for sizes in ((5,), (10,), (20,), (10, 7), (7, 12), (10,), (23,)) for back, mean, both in ((bg, 150, True), (bg, 150, False), (UNIFORM, 90, True))]
+    models.append(L.Model([L.Piece([pwm(4), pwm(5)], lengths=[3])], bg, 150))
+    models.append(L.Model.plain([np.log2([[1e-9, 1e-9, 1e-9, 1.0]] * 7)], np.full((1, 4), -60.0), 50))
+    strong = L.Model.plain([np.log2([[0.97, 0.01, 0.01, 0.01]] * 12)], np.log2([[0.02, 0.38, 0.3, 0.3]]), 2)
+    x.append(np.zeros(3000, np.int8))  # its weight is beyond what a number holds
+    models.append(strong)
+    times = np.append(times, 1)
+    # Rounding to steps is all that the order of sums may change.
+    want = [sum(L.in_steps(b.score(m), times[b.place]) for b in L.batches(x)) for m in models]
+    for rows in (L.ROWS, 16):
+        monkeypatch.setattr(L, "ROWS", rows)
+        deck = L.Deck(x, times)
+        assert deck.score(models) == pytest.approx(want, abs=int(times.sum()))
+        deck.settle(models[0])
+        again = L.Deck.load(deck.dump())
+        assert again.score(models[:1]) == deck.score(models[:1]) and again.score(models) == deck.score(models)
+    assert L.Deck([], np.array([])).score(models[:2]) == [0, 0]
+
+
+def test_a_search_reads_a_large_corpus_once(spark, monkeypatch):
+    """A job of a search over a corpus that isn't small gets arrays that are kept, not letters to sort anew."""
+    data = synth.Dataset(20, synth.Lengths("normal", 60, 20, 20, 120), motifs=synth.patterns(["TATAAATA"], 0.0)).generate(spark).select("seq_id", "seq", "length").cache()
+    kept, real = [], sampler.score_models
+    monkeypatch.setattr(sampler, "score_models", lambda c, m: kept.append(c) or real(c, m))
+    search = sampler.Search(data, ensemble=10, seed=2, small=0)
+    search.setting.max_steps = 5
+    search.step()
+    assert len(kept) > 2 and {id(c) for c in kept} == {id(kept[0])} and isinstance(kept[0], L.Decks)
+    models = [search.setting.model(p) for p in search.particles[:3]]
+    assert kept[0].score(models) == [round(r["log2_lik"] * L.STEPS) for r in L.score_models(data, models).orderBy("model_id").collect()]
+    search.close()
+
+
 def _made_run(rng, live, rounds, thread=0, deaths=1):
     """A run of exact draws: the likelihood is -100 x^2 at volume x, in log2."""
     x, out = rng.random(live).tolist(), []
